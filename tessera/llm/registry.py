@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, imatch, line_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_chunks": bpe.op4_bpe_chunks,
+        "op6_imatch": imatch.op6_imatch,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_line_dedup": line_dedup.OP9_SQL,
+    }

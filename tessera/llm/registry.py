@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, line_dedup
+from . import bpe, imatch, line_dedup, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_chunks": bpe.op4_bpe_chunks,
         "op6_imatch": imatch.op6_imatch,
+        "op8_secrets": secrets.op8_secrets,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, lang_id, line_dedup, secrets
+from . import ann, bpe, imatch, lang_id, line_dedup, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lang_id": lang_id.op1_lang_id,
+        "op10_ann": ann.op10_ann,
         "op4_bpe_chunks": bpe.op4_bpe_chunks,
         "op6_imatch": imatch.op6_imatch,
         "op8_secrets": secrets.op8_secrets,

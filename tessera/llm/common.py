@@ -125,6 +125,44 @@ def inverse(base: np.uint64 = BASE) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
+_SCALES: list[np.ndarray] = []
+
+
+def scales(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse, kept between calls."""
+    if not _SCALES or len(_SCALES[0]) < n:
+        n = max(n, BLOCK_BYTES + (1 << 16))
+        _SCALES[:] = powers(n), powers(n, inverse())
+    return _SCALES[0], _SCALES[1]
+
+
+#: Bytes with A-Z in lower case, and which bytes part words: \x20 and \x09-\x0D.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit hash) of every word of the rows' texts, in order, A-Z lower-cased."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    space = SPACE[data]
+    solid = ~space
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    first = solid.copy()
+    first[1:] &= space[:-1]
+    first[starts] = solid[starts]
+    last = solid.copy()
+    last[:-1] &= space[1:]
+    last[starts[1:] - 1] = solid[starts[1:] - 1]
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = scales(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return np.searchsorted(offsets, s, side="right") - 1, mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+
+
 # ---------------------------------------------------------------- Spark helpers
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, imatch, lang_id, line_dedup, secrets
+from . import ann, bpe, imatch, lang_id, line_dedup, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lang_id": lang_id.op1_lang_id,
         "op10_ann": ann.op10_ann,
         "op4_bpe_chunks": bpe.op4_bpe_chunks,
+        "op5_quality": quality.op5_quality,
         "op6_imatch": imatch.op6_imatch,
         "op8_secrets": secrets.op8_secrets,
         "op9_line_dedup": line_dedup.op9_line_dedup,

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, imatch, lang_id, line_dedup, quality, secrets
+from . import ann, bpe, imatch, lang_id, line_dedup, ngram_join, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lang_id": lang_id.op1_lang_id,
         "op10_ann": ann.op10_ann,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op4_bpe_chunks": bpe.op4_bpe_chunks,
         "op5_quality": quality.op5_quality,
         "op6_imatch": imatch.op6_imatch,

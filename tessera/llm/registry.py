@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, imatch, lang_id, line_dedup, ngram_join, quality, secrets
+from . import ann, bpe, imatch, lang_id, line_dedup, mixing, ngram_join, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lang_id": lang_id.op1_lang_id,
         "op10_ann": ann.op10_ann,
         "op2_ngram_join": ngram_join.op2_ngram_join,
+        "op3_mixing": mixing.op3_mixing,
         "op4_bpe_chunks": bpe.op4_bpe_chunks,
         "op5_quality": quality.op5_quality,
         "op6_imatch": imatch.op6_imatch,
+        "op7_sharding": sharding.op7_sharding,
         "op8_secrets": secrets.op8_secrets,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }

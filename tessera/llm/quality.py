@@ -127,7 +127,7 @@ def evidence_of(model: Classifier | None):
         return lambda text: F.lit(0.0)
 
     @F.arrow_udf("double")
-    def run(text: pa.Array) -> pa.Array:
+    def run(text):
         filled = pa.compute.fill_null(text, "")
         e = model.evidence(shape(*raw(filled)))
         e[pa.compute.binary_length(filled).to_numpy(zero_copy_only=False) == 0] = 0.0
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs:
     chosen = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(span)) < share).groupBy("doc_id").agg(F.max("y").alias("y"))
 
     @F.arrow_udf("array<double>")
-    def features(text: pa.Array) -> pa.Array:
+    def features(text):
         return pa.array(list(shape(*raw(text))), pa.list_(pa.float64()))
 
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about 2 * train_docs rows

@@ -168,7 +168,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
     blocks = F.coalesce(*[F.when(F.col("list") == a, F.lit(b)) for a, b in sizes.items() if b > 1], F.lit(1))
     held = built.withColumn("block", F.pmod(F.xxhash64("v", F.lit(5)), blocks).cast("int"))
 
-    def ranked(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def ranked(key, left, right):
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(left) or not len(right):
             return empty

@@ -196,7 +196,7 @@ def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 def families(num: int, den: int):
     """A grouped function over a block, or two blocks, of a family: the spanning forest of its links, and link counts."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.drop_duplicates("node").sort_values(["block", "node"], kind="stable")
         grams = [np.asarray(x, np.int64).view(np.uint64) for x in rows.grams]
         nodes, block = rows.node.to_numpy(), rows.block.to_numpy()

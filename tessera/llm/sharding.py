@@ -144,7 +144,7 @@ def shard(docs: DataFrame, arrivals: int = ARRIVALS, target: int = TARGET, fanou
     store.vacuum()
     live = store.manifest().select("shard", "tier", F.col("n_docs").alias("shard_docs"), F.col("n_bytes").alias("shard_bytes"))
     rows = store.read().select("doc_id", "shard").join(F.broadcast(live), "shard", "left")  # a row for each file of target size
-    name = F.regexp_extract("shard", r"([^/]*)$", 1)
+    name = F.regexp_extract("shard", r"/data/(.*)$", 1)
     return store, rows.select("doc_id", name.alias("shard"), "tier", F.lit(v).cast("long").alias("version"), "shard_docs", "shard_bytes")
 
 

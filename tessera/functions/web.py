@@ -118,4 +118,4 @@ def markdown(html: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"(?i)</p>|<br\s*/?>|</div>|</tr>", "\n\n"), r"(?s)<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n"))

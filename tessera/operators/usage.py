@@ -11,11 +11,30 @@ KNOWN_COVERAGE = ("high", "medium", "low", "not_applicable")
 MOST_RANKED, MOST_PAGE, WARNING_SHARE, RETENTION_DAYS = 25, 100, 0.20, 90
 LABELS = {"curated": "Curated knowledge", "recipe": "Recipes", "symbol": "Symbols/APIs", "citation": "Raw documents", "document": "Raw documents"}
 
-status, coverage = F.col("result_status"), F.col("coverage")
-grounded = status.isin(*GROUNDED)
-tokens = F.coalesce("returned_tokens", F.lit(0))
-served = grounded & (tokens > 0)
-unclassified = grounded & ~F.coalesce(coverage, F.lit("")).isin(*KNOWN_COVERAGE)
+def status() -> Column:
+    return F.col("result_status")
+
+
+def coverage() -> Column:
+    return F.col("coverage")
+
+
+def grounded() -> Column:
+    return status().isin(*GROUNDED)
+
+
+def tokens() -> Column:
+    """Tokens that a request returned."""
+    return F.coalesce("returned_tokens", F.lit(0))
+
+
+def served() -> Column:
+    return grounded() & (tokens() > 0)
+
+
+def unclassified() -> Column:
+    """Grounded, but of no known coverage."""
+    return grounded() & ~F.coalesce(coverage(), F.lit("")).isin(*KNOWN_COVERAGE)
 
 
 def where(requests: DataFrame, since=None, until=None, tool: str = "", covered: str = "", result: str = "", root: str = "", roots: DataFrame | None = None) -> DataFrame:
@@ -28,9 +47,9 @@ def where(requests: DataFrame, since=None, until=None, tool: str = "", covered:
     if tool:
         cond = cond & (F.col("tool_name") == tool)
     if covered:
-        cond = cond & (unclassified if covered == "unclassified" else coverage == covered)
+        cond = cond & (unclassified() if covered == "unclassified" else coverage() == covered)
     if result:
-        cond = cond & (status == result)
+        cond = cond & (status() == result)
     out = requests.where(cond)
     return out.join(roots.where(F.col("root_name") == root).select("request_id"), "request_id", "left_semi") if root else out
 
@@ -47,19 +66,19 @@ def summary(requests: DataFrame) -> DataFrame:
     """One row of counts, rates and the reconciliation of outcomes."""
     one = requests.agg(
         F.count(F.lit(1)).alias("total"),
-        n(grounded, "grounded"),
-        n((F.col("curated_count") > 0) | (status == "grounded_curated"), "curated"),
-        n(coverage == "high", "high"),
-        n(coverage == "medium", "medium"),
-        n(coverage == "low", "low"),
-        n(unclassified, "unclassified"),
-        n(coverage == "not_applicable", "not_applicable"),
-        n(F.col("root_selection_required") | (status == "root_selection_required"), "root_selection"),
-        n(status == "no_local_match", "no_match"),
-        n(status == "local_insufficient", "insufficient"),
-        n(status == "request_error", "errors"),
-        F.coalesce(F.sum(F.when(served, tokens)), F.lit(0)).alias("tokens_served"),
-        F.round(F.avg(F.when(served, tokens)), 6).alias("avg_package_tokens"),
+        n(grounded(), "grounded"),
+        n((F.col("curated_count") > 0) | (status() == "grounded_curated"), "curated"),
+        n(coverage() == "high", "high"),
+        n(coverage() == "medium", "medium"),
+        n(coverage() == "low", "low"),
+        n(unclassified(), "unclassified"),
+        n(coverage() == "not_applicable", "not_applicable"),
+        n(F.col("root_selection_required") | (status() == "root_selection_required"), "root_selection"),
+        n(status() == "no_local_match", "no_match"),
+        n(status() == "local_insufficient", "insufficient"),
+        n(status() == "request_error", "errors"),
+        F.coalesce(F.sum(F.when(served(), tokens())), F.lit(0)).alias("tokens_served"),
+        F.round(F.avg(F.when(served(), tokens())), 6).alias("avg_package_tokens"),
     )
     total = F.col("grounded") + F.col("root_selection") + F.col("no_match") + F.col("insufficient") + F.col("errors")
     return one.select(
@@ -92,33 +111,33 @@ def timeseries(requests: DataFrame, size: str = "day") -> DataFrame:
     source = F.col("estimated_source_tokens")
     return requests.groupBy(bucket(F.col("occurred_at"), size).alias("bucket")).agg(
         F.count(F.lit(1)).alias("total"),
-        n(grounded, "grounded"),
-        n(F.col("root_selection_required") | (status == "root_selection_required"), "root_choice"),
-        n(status == "no_local_match", "no_match"),
-        n(status == "local_insufficient", "insufficient"),
-        n(status == "request_error", "errors"),
-        n(coverage == "high", "high"),
-        n(coverage == "medium", "medium"),
-        n(coverage == "low", "low"),
-        F.coalesce(F.sum(F.when(served, tokens)), F.lit(0)).alias("tokens_served"),
+        n(grounded(), "grounded"),
+        n(F.col("root_selection_required") | (status() == "root_selection_required"), "root_choice"),
+        n(status() == "no_local_match", "no_match"),
+        n(status() == "local_insufficient", "insufficient"),
+        n(status() == "request_error", "errors"),
+        n(coverage() == "high", "high"),
+        n(coverage() == "medium", "medium"),
+        n(coverage() == "low", "low"),
+        F.coalesce(F.sum(F.when(served(), tokens())), F.lit(0)).alias("tokens_served"),
         F.coalesce(F.sum(F.when(source > 0, source)), F.lit(0)).alias("source_tokens"),
-        F.round(F.avg(F.when(served, tokens)), 6).alias("avg_package"),
+        F.round(F.avg(F.when(served(), tokens())), 6).alias("avg_package"),
     )
 
 
 def outcomes(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row: exclusive outcomes with a rest, and overlapping uses of evidence."""
     documents = evidence.where("evidence_type = 'document'").select("request_id", F.lit(True).alias("has_document")).distinct()
-    error = status == "request_error"
+    error = status() == "request_error"
     one = requests.join(documents, "request_id", "left").agg(
         F.count(F.lit(1)).alias("total"),
         n(error, "errors"),
-        n(~error & ((status == "root_selection_required") | F.col("root_selection_required")), "root_choice"),
-        n(status == "no_local_match", "no_match"),
-        n(status == "local_insufficient", "insufficient"),
-        n(status == "grounded_mixed", "mixed"),
-        n(status == "grounded_curated", "curated"),
-        n(status == "grounded_local", "local"),
+        n(~error & ((status() == "root_selection_required") | F.col("root_selection_required")), "root_choice"),
+        n(status() == "no_local_match", "no_match"),
+        n(status() == "local_insufficient", "insufficient"),
+        n(status() == "grounded_mixed", "mixed"),
+        n(status() == "grounded_curated", "curated"),
+        n(status() == "grounded_local", "local"),
         n(F.col("curated_count") > 0, "uses_curated"),
         n(F.col("recipe_count") > 0, "uses_recipe"),
         n(F.col("symbol_count") > 0, "uses_symbol"),
@@ -134,12 +153,12 @@ def efficiency(requests: DataFrame) -> DataFrame:
     when = lambda cond, x: F.when(cond, x)
     source = F.col("estimated_source_tokens")
     one = requests.agg(
-        F.sum(when(served, tokens)).alias("local_tokens"),
-        F.sum(when(grounded, F.col("structured_tokens"))).alias("structured_tokens"),
-        F.sum(when(grounded, F.col("raw_document_tokens"))).alias("raw_tokens"),
-        F.sum(when(grounded & (source > 0), source)).alias("source_tokens"),
-        F.round(F.avg(when(served, tokens)), 6).alias("avg_package_tokens"),
-        n(grounded, "grounded"),
+        F.sum(when(served(), tokens())).alias("local_tokens"),
+        F.sum(when(grounded(), F.col("structured_tokens"))).alias("structured_tokens"),
+        F.sum(when(grounded(), F.col("raw_document_tokens"))).alias("raw_tokens"),
+        F.sum(when(grounded() & (source > 0), source)).alias("source_tokens"),
+        F.round(F.avg(when(served(), tokens())), 6).alias("avg_package_tokens"),
+        n(grounded(), "grounded"),
     )
     whole = F.coalesce("structured_tokens", F.lit(0)) + F.coalesce("raw_tokens", F.lit(0))
     some = F.col("local_tokens") > 0
@@ -154,7 +173,7 @@ def evidence_tokens(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     """(type, label, tokens) by evidence type, and what the served tokens have beyond as `overhead`."""
     typed = evidence.join(requests.select("request_id"), "request_id").groupBy(F.col("evidence_type").alias("type")).agg(F.sum("estimated_tokens").alias("tokens"))
     label = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in LABELS.items()], F.col("type"))
-    local = requests.agg(F.sum(F.when(served, tokens)).alias("local"))
+    local = requests.agg(F.sum(F.when(served(), tokens())).alias("local"))
     rest = local.crossJoin(typed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("typed"))).where("local > typed")  # one row each
     rest = rest.select(F.lit("overhead").alias("type"), F.lit("Mixed package overhead").alias("label"), (F.col("local") - F.col("typed")).alias("tokens"))
     return typed.select("type", label.alias("label"), "tokens").unionByName(rest)

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, inverse, powers, raw, strings, table
+from .common import blocks, give_back, inverse, powers, raw, strings, table
 
 #: Bytes that the rolling hash sees.
 WINDOW = 32
@@ -32,7 +32,7 @@ TOP = np.uint64(64 - 10)
 #: Shortest and longest chunk in bytes.
 SHORTEST, LONGEST = 128, 8192
 #: Entries of one generation of the word memo and bytes of one generation of the chunk memo; two generations are kept.
-WORDS, CHUNK_BYTES = 250_000, 16 << 20
+WORDS, CHUNK_BYTES = 100_000, 8 << 20
 
 #: Marks that stand apart from a letter or digit before them.
 TRAILING = b".,;:"
@@ -257,7 +257,7 @@ def encoded(path: str, keep: list[str], ids: bool):
         c = coder(path)
         for batch in batches:
             data, offsets = raw(strings(batch, "text"))
-            for i, j in blocks(offsets, 8 << 20):
+            for i, j in blocks(offsets, 2 << 20):
                 got = [c.encode(data[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
                 out = {k: batch.column(batch.schema.get_field_index(k)).slice(i, j - i) for k in keep}
                 out["n_tokens"] = pa.array([len(x) // 4 for x, _ in got], pa.int64())
@@ -267,6 +267,7 @@ def encoded(path: str, keep: list[str], ids: bool):
                     out["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in got], pa.list_(pa.int32()))
                     out["decoded"] = pa.array([y.decode("utf-8") for _, y in got], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
+            give_back()
 
     return run
 

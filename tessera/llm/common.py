@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -88,6 +90,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, and their peaks would add up over stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a libc without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES):
     """Yields (first row, end row) of runs of rows that hold about `most` bytes."""
     n, i = len(offsets) - 1, 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, connected_components, drop_stored, mix64, raw, stored, strings, table, words
+from .common import BASE, blocks, connected_components, drop_stored, give_back, mix64, raw, stored, strings, table, words
 
 #: Ratio of a band's largest to its smallest size, and empty fragments that a set of a band may have without more ado.
 RATIO, SPARE = 1.5, 2
@@ -122,6 +122,7 @@ def described(n: int, num: int, den: int):
                         "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in flat])]), pa.int32()), pa.array(np.concatenate(flat))),
                     }
                 )
+            give_back()
 
     return run
 
@@ -137,6 +138,7 @@ def listed(n: int):
                 count, grams = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 at = np.concatenate([[0], np.cumsum(count)])
                 yield pa.RecordBatch.from_pydict({"node": ids.slice(i, j - i), "grams": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))})
+            give_back()
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, raw, stored, table, words
+from .common import blocks, give_back, raw, stored, table, words
 
 #: Bound on the labelled documents of a class that are learned from, and on a document's evidence in nats.
 TRAIN_DOCS, MOST_EVIDENCE = 3000, 8.0
@@ -131,6 +131,7 @@ def evidence_of(model: Classifier | None):
         filled = pa.compute.fill_null(text, "")
         e = model.evidence(shape(*raw(filled)))
         e[pa.compute.binary_length(filled).to_numpy(zero_copy_only=False) == 0] = 0.0
+        give_back()
         return pa.array(e, pa.float64())
 
     return lambda text: run(F.col(text))

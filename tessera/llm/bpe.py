@@ -32,7 +32,7 @@ TOP = np.uint64(64 - 10)
 #: Shortest and longest chunk in bytes.
 SHORTEST, LONGEST = 128, 8192
 #: Entries of one generation of the word memo and bytes of one generation of the chunk memo; two generations are kept.
-WORDS, CHUNK_BYTES = 100_000, 8 << 20
+WORDS, CHUNK_BYTES = 40_000, 4 << 20
 
 #: Marks that stand apart from a letter or digit before them.
 TRAILING = b".,;:"
@@ -237,14 +237,15 @@ def word_after(text: bytes, at: int) -> int:
     return at
 
 
-_CODERS: dict[str, Coder] = {}
+#: The chunks that this process has encoded, by vocabulary file: they outlive a task; the rest of a coder does not.
+_CHUNKS: dict[str, Memo] = {}
 
 
 def coder(path: str) -> Coder:
-    """This process's coder for a vocabulary file."""
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    """A coder for a vocabulary file that reuses the chunks which earlier ones of this process have encoded."""
+    c = Coder(path)
+    c.chunks = _CHUNKS.setdefault(path, c.chunks)
+    return c
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -267,7 +268,8 @@ def encoded(path: str, keep: list[str], ids: bool):
                     out["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in got], pa.list_(pa.int32()))
                     out["decoded"] = pa.array([y.decode("utf-8") for _, y in got], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
-            give_back()
+        del c
+        give_back()
 
     return run
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, corpus, retrieval, web
+from .plans import analytics, corpus, packages, retrieval, web
 
-ALL = retrieval.QUERIES | analytics.QUERIES | corpus.QUERIES | web.QUERIES
+ALL = retrieval.QUERIES | analytics.QUERIES | corpus.QUERIES | web.QUERIES | packages.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

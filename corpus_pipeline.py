@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, line_dedup, mixing, ngram_join, quality
 from tessera.llm.common import scratch_path, table
 
+#: Any character that is not ASCII white space.
+WORD = r"[^\x20\x09-\x0D]"
 #: The mixture uses every document, none more often than this.
 REPEATS = 1.5
 
@@ -24,8 +26,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten documents or more hold; n_chars follows. Texts that were null stay null."""
-    out = line_dedup.dedup_lines(docs.withColumn("_null", F.col("text").isNull()))
+    """Documents without the lines that ten different texts or more hold; n_chars follows. Texts that were null stay null.
+
+    Copies count as one text here: a document isn't emptied for having copies, of which the next stage keeps one.
+    """
+    out = line_dedup.dedup_lines(docs.withColumn("_null", F.col("text").isNull()), copies=False)
     text = F.when(~F.col("_null"), F.col("text"))
     done = {"text": text, "n_chars": F.coalesce(F.char_length(text), F.lit(0)).cast("long")}
     return out.select(*[done.get(c, F.col(c)).alias(c) for c in docs.columns])
@@ -34,12 +39,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by a similarity of 0.8 over five-word shingles.
 
-    Repeated rows are one document; documents without words are in no group, so all of them stay.
+    Repeated rows are one document. Texts without words have no shingles: of equal ones (null counts as empty) one stays.
     """
     groups = ngram_join.join(docs)
-    best = groups.where("doc_id = component_id").select("doc_id").distinct()
-    loose = docs.where(F.col("doc_id").isNull())
-    return docs.join(best, "doc_id", "left_semi").unionByName(loose).dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    best = groups.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
+    worded = docs.join(best, "doc_id", "left_semi").where(F.col("text").rlike(WORD)).dropDuplicates(["doc_id", "text"])
+    blank = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)).groupBy(F.coalesce("text", F.lit("")).alias("_t")).agg(F.min_by(F.struct(*docs.columns), F.struct("doc_id", "lang", "source")).alias("d"))
+    loose = docs.where(F.col("doc_id").isNull() & F.col("text").rlike(WORD)).dropDuplicates(["text"])
+    return worded.select(*docs.columns).unionByName(blank.select("d.*")).unionByName(loose)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

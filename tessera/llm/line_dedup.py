@@ -90,20 +90,23 @@ def batches_of(docs: DataFrame, order: str, n: int) -> list[Column]:
     return out
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, batches: int = 4, copies: bool = True) -> DataFrame:
     """Drops, from every document, the lines whose key at least `threshold` documents hold.
 
     docs has doc_id and text; its columns come back with text replaced by the lines kept, joined by newlines, and
     n_lines (before) and n_dropped added (a column of such a name is replaced). Each row counts as a document, repeated
-    rows too. A null or empty text is one empty line; keys shorter than min_chars are never dropped, so empty lines
+    rows too; with copies=False documents of equal texts count as one, so that copies alone make no line frequent, and
+    batches are parted by a hash of the text rather than by doc_id. A null or empty text is one empty line; keys shorter than min_chars are never dropped, so empty lines
     stay. A text that loses all its lines becomes empty. An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     runs = LineRuns(threshold)
     narrow = docs.select("doc_id", "text")
-    for cond in batches_of(docs, "doc_id", batches):
-        keys = narrow.where(cond).select(F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), key_of))).alias("key"))
-        runs.add(hashed(keys.where(F.char_length("key") >= min_chars)))
+    seal = F.xxhash64(F.lit(2), text)
+    for cond in batches_of(docs, "doc_id", batches) if copies else [F.pmod(seal, F.lit(batches)) == k for k in range(batches)]:
+        keys = narrow.where(cond).select(seal.alias("seal"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), key_of))).alias("key"))
+        keys = hashed(keys.where(F.char_length("key") >= min_chars))
+        runs.add(keys.select("h1", "h2") if copies else keys.distinct().select("h1", "h2"))
     frequent = stored(runs.frequent(), "frequent-lines")
     for r in runs.runs():
         drop_stored(r)

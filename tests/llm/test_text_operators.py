@@ -105,6 +105,14 @@ def test_line_dedup(spark, threshold, batches, fanout):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_copies_can_count_as_one(spark):
+    rs = [(i, "same\nlines") for i in range(20)] + [(20 + i, f"shared\nown {i}") for i in range(5)]
+    docs = spark.createDataFrame(rs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, 5, copies=False).collect()}
+    assert got[0] == got[19] == "same\nlines" and got[22] == "own 2"
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, 5).collect()}[0] == ""
+
+
 def test_line_runs_are_compacted(spark):
     runs = line_dedup.LineRuns(threshold=4, fanout=2)
     for k in range(4):

@@ -1,8 +1,8 @@
 """I-Match fingerprints over randomised lexicon subsets. DataFrame functions only.
 
-A term's document frequency is counted over all documents, in 2^20 classes of its hash, so the table of frequencies has
-a fixed size whatever the corpus holds. The lexicon is the terms whose normalised inverse document frequency lies in a
-band; its random subsets are classes of the term's hash. A document's signature in a subset combines the hashes of its
+A term's document frequency is counted over all documents, by its 64-bit hash. The lexicon is the terms whose normalised
+inverse document frequency lies in a band, a table in the shared folder that grows with the corpus; its random subsets
+are classes of the term's hash. A document's signature in a subset combines the hashes of its
 sorted distinct terms there by exclusive or, which takes them in any order, so no sort crosses tasks. The
 fingerprint is the string of all signatures; two fingerprints are as like as the share of subsets, among those where
 either has a term, whose signatures agree.
@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from .common import partitions, stored, table
 
-#: Classes of term hashes whose document frequency is kept.
-CLASSES = 1 << 20
+#: A lexicon of up to so many terms is broadcast; a larger one is joined by a shuffle.
+BROADCAST_TERMS = 1 << 20
 #: Band of ln(N / df) / ln(N) for a corpus of N documents.
 BAND = (0.12, 0.9)
 #: (classes, subsets taken of them) of each partition of the lexicon: fine subsets outlive edits, coarse ones tell near copies.
@@ -36,9 +36,8 @@ def terms_of(text: Column) -> Column:
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
-    """(id, df) of the classes of terms found in docs' column t; at most CLASSES rows."""
-    ids = F.array_distinct(F.transform(terms_of(F.col("t")), lambda h: h.bitwiseAND(F.lit(CLASSES - 1))))
-    return docs.select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df"))
+    """(h, df) of the terms found in docs' column t; counted within tasks first."""
+    return docs.select(F.explode(terms_of(F.col("t"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
 
 
 def next_rows(keys: DataFrame, n: int) -> DataFrame:
@@ -71,15 +70,15 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, keys: list[str], texts: list[str], lexicon: DataFrame) -> DataFrame:
     """One row for each row of keys (which must be distinct), with fp_0, fp_1 ...: the fingerprints of the columns texts.
 
-    lexicon is (id, in_band); it has at most CLASSES rows, so it is broadcast.
+    lexicon is (h, in_band), a stored table: counting it reads no rows.
     """
     k = len(texts)
     def tagged(i: int, text: str) -> Column:
         return F.transform(terms_of(F.col(text)), lambda h: F.struct(F.lit(i).alias("which"), h.alias("h")))
 
     rows = docs.select(*keys, F.explode_outer(F.concat(*[tagged(i, t) for i, t in enumerate(texts)])).alias("x")).select(*keys, "x.which", "x.h")
-    rows = rows.withColumn("id", F.col("h").bitwiseAND(F.lit(CLASSES - 1))).join(F.broadcast(lexicon), "id", "left")
-    rows = rows.withColumn("m", F.xxhash64("h"))
+    small = lexicon.count() <= BROADCAST_TERMS
+    rows = rows.join(F.broadcast(lexicon) if small else lexicon, "h", "left").withColumn("m", F.xxhash64("h"))
     sums = []
     for i in range(k):
         mine = F.col("which") == i
@@ -100,9 +99,9 @@ def fingerprints(docs: DataFrame, keys: list[str], texts: list[str], lexicon: Da
 
 
 def lexicon_of(docs: DataFrame, n: int, band: tuple[float, float] = BAND) -> DataFrame:
-    """(id, in_band = true) of the classes whose normalised inverse document frequency over n documents is in the band."""
+    """(h, in_band = true) of the terms whose normalised inverse document frequency over n documents is in the band."""
     nidf = (F.log(F.lit(float(max(n, 2)))) - F.log(F.col("df").cast("double"))) / F.log(F.lit(float(max(n, 2))))
-    return frequencies(docs).where(nidf.between(*band)).select("id", F.lit(True).alias("in_band"))
+    return frequencies(docs).where(nidf.between(*band)).select("h", F.lit(True).alias("in_band"))
 
 
 def fingerprint(docs: DataFrame, column: str = "text", band: tuple[float, float] = BAND) -> DataFrame:

@@ -149,6 +149,21 @@ def test_imatch_tells_edits_from_others(spark, sf):
     assert got.e > 5 * got.n and got.w > 0.9
 
 
+def test_imatch_lexicon_counts_each_term(spark):
+    """Terms of one document stay out of the band, however many terms there are; 6,000 terms fall into 2^20 classes with clashes."""
+    t = spark.createDataFrame([(" ".join(f"w{k}" for k in range(i, 6000, 50)) + " shared" * (i < 25),) for i in range(50)], "t string")
+    got = imatch.lexicon_of(t, 50).collect()
+    assert len(got) == 1
+    assert got[0].h == spark.sql("SELECT xxhash64('shared') AS h").first().h
+
+
+def test_imatch_large_lexicon_is_joined_alike(spark, monkeypatch):
+    docs = documents(spark)
+    want = sorted(imatch.fingerprint(docs).collect())
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
+    assert sorted(imatch.fingerprint(docs).collect()) == want
+
+
 # ---------------------------------------------------------------- secrets
 
 

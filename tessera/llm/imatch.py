@@ -21,7 +21,8 @@ BROADCAST_TERMS = 1 << 20
 #: Band of ln(N / df) / ln(N) for a corpus of N documents.
 BAND = (0.12, 0.9)
 #: (classes, subsets taken of them) of each partition of the lexicon: fine subsets outlive edits, coarse ones tell near copies.
-SUBSETS = ((256, 16), (64, 12), (16, 4))
+#: The coarsest partition is taken whole, so each term of the lexicon is in a subset.
+SUBSETS = ((256, 16), (64, 12), (16, 16))
 N_SUBSETS = sum(n for _, n in SUBSETS)
 #: A document with fewer terms in the band is fingerprinted by all its terms.
 LEAST_TERMS = 4

@@ -157,6 +157,14 @@ def test_imatch_lexicon_counts_each_term(spark):
     assert got[0].h == spark.sql("SELECT xxhash64('shared') AS h").first().h
 
 
+def test_imatch_every_term_is_in_a_subset(spark):
+    """Texts of four terms each, all different: each has a signature, and no two the same fingerprint."""
+    docs = spark.createDataFrame([(" ".join(f"t{4 * i + k}" for k in range(4)),) for i in range(200)], "text string")
+    got = [r.fingerprint for r in imatch.fingerprint(docs, band=(0.0, 1.0)).collect()]
+    assert len(set(got)) == 200
+    assert not [f for f in got if set(f) == {"0"}]
+
+
 def test_imatch_large_lexicon_is_joined_alike(spark, monkeypatch):
     docs = documents(spark)
     want = sorted(imatch.fingerprint(docs).collect())

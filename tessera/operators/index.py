@@ -32,8 +32,8 @@ def words(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), 1)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, heading_weight: float = 10.0, body_weight: float = 1.0) -> DataFrame:
-    """(qid, chunk_id, rank): negative Okapi BM25 over heading and body for chunks that hold all of a query's words.
+def bm25(chunks: DataFrame, queries: DataFrame, heading_weight: float = 10.0, body_weight: float = 1.0, all_words: bool = True) -> DataFrame:
+    """(qid, chunk_id, rank): negative Okapi BM25 over heading and body for chunks that hold all (or some) of a query's words.
 
     Statistics are corpus-wide. The queries' words, a small table, are joined before anything is shuffled.
     """
@@ -50,4 +50,4 @@ def bm25(chunks: DataFrame, queries: DataFrame, heading_weight: float = 10.0, bo
     weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     out = scored.groupBy("qid", "chunk_id", "n_words").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("c"))
-    return out.where("c = n_words").select("qid", "chunk_id", (-F.col("s")).alias("rank"))
+    return (out.where("c = n_words") if all_words else out).select("qid", "chunk_id", (-F.col("s")).alias("rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import authority_boost, authority_rank, composite_score, version_preference
-from ..functions.text import clip_excerpt, contains_fold, idf
+from ..functions.text import clip_excerpt, contains_fold, content_tokens, idf
 from .index import bm25, document_frequency, term_vectors
 
 #: Fixed values of the candidate rules.
@@ -93,12 +93,15 @@ def path_candidates(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFr
 def search(chunks: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, per_document: int = PER_DOCUMENT, preferred_version: str = "", semantic: bool = False) -> DataFrame:
     """(qid, rank, chunk_id, document_id, score, match_kind): lexical, path and semantic candidates in one ranking.
 
+    Lexical candidates hold all of a query's content words; for a query without any, those that hold some of them.
     Candidates found twice keep their first origin. The order is authority, score, lexical rank, origin and id; a
     document gives at most per_document chunks (negative: any number).
     """
     most = limit * CANDIDATES_PER_RESULT if per_document > 0 else limit
     w = Window.partitionBy("qid").orderBy("rank", "chunk_id")
-    lexical = bm25(chunks, queries).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("qid", "chunk_id", "rank", F.lit(0).alias("origin"))
+    content = F.array_join(content_tokens(F.col("query")), " ")
+    asked = queries.select("qid", F.when(content != "", content).otherwise(F.col("query")).alias("query"))
+    lexical = or_fallback(bm25(chunks, asked), bm25(chunks, asked, all_words=False)).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).select("qid", "chunk_id", "rank", F.lit(0).alias("origin"))
     zero = F.lit(0.0).alias("rank")
     found = lexical.unionByName(path_candidates(chunks, queries, most).select("qid", "chunk_id", zero, F.lit(1).alias("origin")))
     if semantic:

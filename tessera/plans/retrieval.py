@@ -99,6 +99,11 @@ def search_ranked(spark, sf):
     return search.search(T.chunks(spark, sf), T.short_queries(spark, sf, 1), limit=10, preferred_version="1.1")
 
 
+def search_ranked_whole(spark, sf):
+    """The search over whole benchmark items, of which search_ranked takes the first word."""
+    return search.search(T.chunks(spark, sf), T.search_queries(spark, sf), limit=10, preferred_version="1.1")
+
+
 SEARCH_SQL = f"""WITH {CHUNKS_SQL}, {short_sql(1)}, {BM25_SQL},
  lexical AS (SELECT qid, chunk_id, rank, 0 AS origin FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, chunk_id) AS pos FROM bm25) WHERE pos <= 40),
  paths AS (SELECT qid, chunk_id, 0.0 AS rank, 1 AS origin FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS r FROM chunks, queries
@@ -254,6 +259,7 @@ QUERIES = {
     "lookup_terms_pruned": (lookup_terms, f"{WITH}, {QTERMS_SQL}, {LOOKUP_SQL} SELECT qid, term, round(w, 6) AS w, picked FROM lookup"),
     "bm25_search": (bm25_search, f"WITH {CHUNKS_SQL}, {short_sql(2)}, {BM25_SQL} SELECT qid, CAST(pos AS INT) AS pos, chunk_id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), chunk_id) AS pos FROM bm25) WHERE pos <= 50"),
     "search_ranked": (search_ranked, SEARCH_SQL),
+    "search_ranked_whole": (search_ranked_whole, None),
     "or_fallback": (or_fallback, OR_SQL),
     "phrase_search": (phrase_search, PHRASE_SQL),
     "symbol_forms": (symbol_forms, f"WITH {SYMBOLS_SQL}, {FORMS_SQL} SELECT id, name_norm, unqualified_name, namespace FROM forms"),

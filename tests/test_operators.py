@@ -51,6 +51,13 @@ def test_documents_are_diversified(spark):
     assert search.search(corpus_of(spark, rows), q(spark, "needle"), limit=7, per_document=-1).count() == 7
 
 
+def test_search_retries_with_some_words(spark):
+    """A query that no chunk answers in full takes chunks with some content word; one that a chunk answers does not."""
+    c = corpus_of(spark, [(1, 1, "p", "unknown", "", "retry policy here"), (2, 2, "p", "unknown", "", "backoff only"), (3, 3, "p", "unknown", "", "how is the rest")])
+    got = search.search(c, q(spark, "how is the retry policy with backoff", "how is the retry policy", "nothing alike"))
+    assert sorted((r.qid, r.chunk_id) for r in got.collect()) == [(0, 1), (0, 2), (1, 1)]
+
+
 def test_search_prefers_the_version_and_drops_the_deprecated(spark):
     c = corpus_of(spark, [(1, 1, "p", "unknown", "", "needle"), (2, 2, "p", "unknown", "", "needle")])
     c = c.withColumn("product_version", F.when(F.col("chunk_id") == 2, "2.0").otherwise("1.0"))

@@ -72,11 +72,18 @@ def folder_prefix(spark, sf):
     return corpus.folder_join(p, folders).groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
 
 
-def near_pairs(spark, sf):
-    c = T.chunks(spark, sf)
+def near_items(c):
     tail = F.concat(F.lit("part"), (F.col("chunk_id") % 7).cast("string"), F.lit("/doc-"), (F.col("chunk_id") % 83).cast("string"), F.lit(".md"))
-    items = c.where("document_id % 4 = 0").select(F.col("chunk_id").alias("id"), F.col("root_name").alias("root"), tail.alias("path"), text.title_key(F.col("heading")).alias("title_key"))
-    return corpus.near_duplicate_pairs(items)
+    return c.select(F.col("chunk_id").alias("id"), F.col("root_name").alias("root"), tail.alias("path"), text.title_key(F.col("heading")).alias("title_key"))
+
+
+def near_pairs(spark, sf):
+    return corpus.near_duplicate_pairs(near_items(T.chunks(spark, sf).where("document_id % 4 = 0")))
+
+
+def near_pairs_whole(spark, sf):
+    """Pairs among all chunks; near_duplicate_pairs and its SQL take a quarter of the documents."""
+    return corpus.near_duplicate_pairs(near_items(T.chunks(spark, sf)))
 
 
 NEAR_SQL = f"""WITH {CHUNKS_SQL}, i AS (SELECT chunk_id AS id, root_name AS root, 'part' || (chunk_id % 7) || '/doc-' || (chunk_id % 83) || '.md' AS path, 'doc-' || (chunk_id % 83) || '.md' AS base,
@@ -214,6 +221,7 @@ QUERIES = {
     "id_crosscheck": (crosscheck, "WITH l AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 3 <> 0) SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'only right' ELSE 'only left' END AS problem FROM l FULL JOIN r ON l.doc_id = r.doc_id WHERE l.doc_id IS NULL OR r.doc_id IS NULL"),
     "folder_prefix_join": (folder_prefix, r"WITH p AS (SELECT regexp_extract(url, '^https?://(.*)$', 1) AS path FROM pages), f AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM p) SELECT folder, count(*) AS files FROM p JOIN f ON path = folder OR starts_with(path, folder || '/') GROUP BY 1"),
     "near_duplicate_pairs": (near_pairs, NEAR_SQL),
+    "near_duplicate_pairs_whole": (near_pairs_whole, None),
     "source_inventory": (inventory, "SELECT source AS name, count(*) AS items, 'local' AS kind FROM documents GROUP BY 1 UNION ALL SELECT regexp_extract(url, '^https?://([^/]+)', 1), count(*), 'web' FROM pages GROUP BY 1 UNION ALL SELECT role, count(*), 'chat' FROM conversations GROUP BY 1"),
     "chunk_size_bounded": (chunk_bounded, CHUNK_SQL),
     "md_sections": (md_sections, SECTIONS_SQL),

@@ -36,6 +36,24 @@ def test_query_equals_its_sql(spark, sf, duck, name):
         assert got == sorted(tuple(norm(r[i]) for i in at) for r in q.fetchall())
 
 
+def test_near_duplicate_pairs_are_of_all_chunks(spark, sf):
+    """Against brute force over every pair of chunks, those of documents that the smaller query leaves out included."""
+    from tessera.plans import corpus
+    from tessera.sources import tables as T
+
+    chunks = T.chunks(spark, sf)
+    xs = sorted(map(tuple, corpus.near_items(chunks).select("id", "root", "path", "title_key").collect()))
+    ends = lambda a, b: len(b) >= 12 and "/" in b and a.endswith(b)
+    want = set()
+    for i, (a, ra, pa, ta) in enumerate(xs):
+        for b, rb, pb, tb in xs[i + 1 :]:
+            if ra != rb and ra and rb and (pa.split("/")[-1] == pb.split("/")[-1] or (ta == tb and len(ta.encode()) >= 8) or ends(pa, pb) or ends(pb, pa)):
+                want.add((a, b))
+    got = [tuple(r) for r in corpus.near_pairs_whole(spark, sf).select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert want > {tuple(r) for r in corpus.near_pairs(spark, sf).select("a", "b").collect()}
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 

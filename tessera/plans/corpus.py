@@ -129,10 +129,19 @@ SECTIONS_SQL = """WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len
 SELECT doc_id, section, coalesce(max(title), '') AS heading, CAST(min(pos) + 1 AS INT) AS start_line, count(*) AS n_lines FROM s GROUP BY doc_id, section"""
 
 
+def header_pages(spark, sf, text):
+    """Documents as pages of files, with a header above two of three texts."""
+    return T.table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("file"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" Header "), (F.col("doc_id") % 40).cast("string"), F.lit(" \n"), text)).otherwise(text).alias("text"))
+
+
 def header_lines(spark, sf):
-    """Documents as pages of files, each tenth line of which is a header."""
-    d = T.table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("file"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" Header "), (F.col("doc_id") % 40).cast("string"), F.lit(" \n"), F.left("text", F.lit(80)))).otherwise(F.left("text", F.lit(80))).alias("text"))
-    return corpus.edge_lines(d)
+    """Edges of pages cut to 80 characters, as in its SQL."""
+    return corpus.edge_lines(header_pages(spark, sf, F.left("text", F.lit(80))))
+
+
+def header_lines_whole(spark, sf):
+    """Edges of pages with their whole texts."""
+    return corpus.edge_lines(header_pages(spark, sf, F.col("text")))
 
 
 HEADER_SQL = """WITH p AS (SELECT doc_id % 40 AS file, CASE WHEN doc_id % 3 <> 0 THEN ' Header ' || (doc_id % 40) || ' ' || chr(10) || left(text, 80) ELSE left(text, 80) END AS text FROM documents),
@@ -226,6 +235,7 @@ QUERIES = {
     "chunk_size_bounded": (chunk_bounded, CHUNK_SQL),
     "md_sections": (md_sections, SECTIONS_SQL),
     "header_footer_lines": (header_lines, HEADER_SQL),
+    "header_footer_lines_whole": (header_lines_whole, None),
     "authority_rank": (authority_rank, f"WITH {CHUNKS_SQL} SELECT chunk_id, CAST({RANK_SQL} AS BIGINT) AS ar, CAST({BOOST_SQL} AS DOUBLE) AS boost, {RANK_SQL} < 5 AS hydrate FROM chunks"),
     "version_preference": (version_preference, f"WITH {CHUNKS_SQL} SELECT product_version, CAST(sum(CASE WHEN product_version = '1.2' THEN 5 ELSE -8 END) AS DOUBLE) AS bias, count(*) AS n FROM chunks GROUP BY 1"),
     "path_classes": (path_classes, PATHS_SQL),

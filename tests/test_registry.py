@@ -54,6 +54,16 @@ def test_near_duplicate_pairs_are_of_all_chunks(spark, sf):
     assert want > {tuple(r) for r in corpus.near_pairs(spark, sf).select("a", "b").collect()}
 
 
+def test_footers_are_seen_below_long_texts(spark, tmp_path):
+    """A footer that every document of a file ends in is found, though it stands beyond 80 characters."""
+    from tessera.plans import corpus
+
+    rows = [(40 * k, "src0", "x" * 90 + f" {k}\nbody\nThe footer") for k in range(1, 5)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.file, r.line, r.n) for r in corpus.header_lines_whole(spark, str(tmp_path)).collect()}
+    assert got == {(0, "Header 0", 3), (0, "The footer", 4)}
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 

@@ -66,6 +66,12 @@ def crosscheck(spark, sf):
     return corpus.crosscheck(d.where("doc_id % 2 = 0").select("doc_id"), l.where("doc_id % 3 <> 0").select("doc_id"), "doc_id")
 
 
+def crosscheck_whole(spark, sf):
+    """Ids of all documents and labels; id_crosscheck and its SQL take half of the first and two thirds of the second."""
+    d, l = T.table(spark, sf, "documents"), T.table(spark, sf, "labels")
+    return corpus.crosscheck(d.select("doc_id"), l.select("doc_id"), "doc_id")
+
+
 def folder_prefix(spark, sf):
     p = T.table(spark, sf, "pages").select(F.regexp_extract("url", r"^https?://(.*)$", 1).alias("path"))
     folders = p.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).distinct().withColumn("id", F.xxhash64("folder") * 0)
@@ -228,6 +234,7 @@ QUERIES = {
       SELECT coalesce(s.url, n.url) AS url, CASE WHEN n.url IS NOT NULL THEN 2 ELSE 1 END AS generation, CAST(CASE WHEN n.url IS NOT NULL THEN 0 ELSE missing + 1 END AS INT) AS missing FROM s FULL JOIN n ON s.url = n.url WHERE n.url IS NOT NULL OR missing + 1 < 2"""),
     "root_counts": (root_counts, f"WITH {CHUNKS_SQL} SELECT root_name, count(DISTINCT document_id) AS documents, count(*) AS chunks, count(*) FILTER (WHERE chunk_id % 3 = 1) AS symbols FROM chunks GROUP BY 1"),
     "id_crosscheck": (crosscheck, "WITH l AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 3 <> 0) SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'only right' ELSE 'only left' END AS problem FROM l FULL JOIN r ON l.doc_id = r.doc_id WHERE l.doc_id IS NULL OR r.doc_id IS NULL"),
+    "id_crosscheck_whole": (crosscheck_whole, None),
     "folder_prefix_join": (folder_prefix, r"WITH p AS (SELECT regexp_extract(url, '^https?://(.*)$', 1) AS path FROM pages), f AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM p) SELECT folder, count(*) AS files FROM p JOIN f ON path = folder OR starts_with(path, folder || '/') GROUP BY 1"),
     "near_duplicate_pairs": (near_pairs, NEAR_SQL),
     "near_duplicate_pairs_whole": (near_pairs_whole, None),

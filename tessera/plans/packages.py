@@ -42,6 +42,11 @@ def playbook_queries(spark, sf):
     return playbook.queries(subjects(spark, sf)).where("part < 3").select("qid", "part", "query", "weight")
 
 
+def playbook_queries_whole(spark, sf):
+    """All queries of all subjects; playbook_queries and its SQL take the first three of a twentieth of them."""
+    return playbook.queries(T.table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("subject")))
+
+
 def playbook_apis(spark, sf):
     s = T.symbols(spark, sf)
     t = s.select((F.col("id") % 5).alias("qid"), F.concat_ws(" ", text.unqualified(F.col("name")), F.lit("make_call"), F.replace("name", F.lit("::"), F.lit(" "))).alias("text"), F.when(F.col("id") % 3 == 0, "sample").otherwise("guide").alias("kind"))
@@ -143,6 +148,7 @@ QUERIES = {
     "source_health": (health_issues, HEALTH_SQL),
     "library_growth": (growth, GROWTH_SQL),
     "playbook_queries": (playbook_queries, "SELECT p_partkey AS qid, CAST(i AS INT) AS part, p_name || (['', ' example', ' sample'])[i + 1] AS query, CAST(([8, 5, 5])[i + 1] AS DOUBLE) AS weight FROM part, range(3) r(i) WHERE p_partkey % 20 = 0"),
+    "playbook_queries_whole": (playbook_queries_whole, None),
     "playbook_apis": (playbook_apis, APIS_SQL),
     "group_recall": (group_recall, RECALL_SQL),
     "recipe_search": (recipe_search, RECIPE_SQL),

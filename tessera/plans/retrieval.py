@@ -171,6 +171,18 @@ def symbol_lookup(spark, sf):
     return symbols.find(s, names.unionByName(parts).unionByName(typos))
 
 
+def symbol_names(s):
+    """(qid, name): every symbol's name, its last part, and a typo of that; qid is three times the id, and the form."""
+    forms = [F.col("name"), text.unqualified(F.col("name")), F.concat(F.left(text.unqualified(F.col("name")), F.lit(6)), F.lit("x"), F.expr("substring(name, 99, 9)"))]
+    return s.select("id", F.posexplode(F.array(*forms)).alias("form", "name")).select((3 * F.col("id") + F.col("form")).alias("qid"), "name")
+
+
+def symbol_lookup_whole(spark, sf):
+    """Looks up every symbol in each form; symbol_staged_lookup and its SQL take one in fifty for each."""
+    s = T.symbols(spark, sf)
+    return symbols.find(s, symbol_names(s))
+
+
 SYMBOL_LOOKUP_SQL = rf"""WITH {SYMBOLS_SQL}, {FORMS_SQL},
  names AS (SELECT id AS qid, name FROM symbols WHERE id % 50 = 1 UNION ALL SELECT id, unqualified_name FROM forms WHERE id % 50 = 2
    UNION ALL SELECT id, left(unqualified_name, 6) || 'x' FROM forms WHERE id % 50 = 3),
@@ -264,6 +276,7 @@ QUERIES = {
     "phrase_search": (phrase_search, PHRASE_SQL),
     "symbol_forms": (symbol_forms, f"WITH {SYMBOLS_SQL}, {FORMS_SQL} SELECT id, name_norm, unqualified_name, namespace FROM forms"),
     "symbol_staged_lookup": (symbol_lookup, SYMBOL_LOOKUP_SQL),
+    "symbol_staged_lookup_whole": (symbol_lookup_whole, None),
     "camel_split": (camel_split, CAMEL_SQL),
     "token_estimate": (token_estimate, "SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents"),
     "query_parse": (query_parse, f"SELECT item_id AS qid, {parse_sql(' AND ')} AS match, {parse_sql(' OR ')} AS match_or FROM benchmark"),

@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or one of our own where it is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -54,11 +56,27 @@ def remove_path(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Spark deletes an execution's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within it, what an execution shuffles is deleted when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -185,23 +203,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A node of more than this share of the edges is a hub: there are at most 2 / HUB of them.
+HUB = 1e-4
+
+
+def with_least(edges: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the node that least (u, m) has for u. Hubs' edges stay where they are: hubs (u, hub) is small."""
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    return marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(marked.where("hub is null").select("u", "v").join(least, "u"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of edges; component is the component's smallest node.
 
     Alternating large-star and small-star steps: each moves every node's edges to a smaller neighbour, so edges
-    never outnumber the input and a hub's edges are only read by partial minima and joins that can be split.
-    Each round is a table in the shared folder. An empty table of edges gives an empty result.
+    never outnumber the input. A node's smallest neighbour is found by partial minima; the few hubs' are broadcast, and
+    the rest joined. Each round is a table in the shared folder. An empty table of edges gives an empty result.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stored(e, "cc")
+
+    def starred(both: DataFrame, of) -> DataFrame:
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-low")
+        total = low.agg(F.sum("n")).first()[0] or 0
+        hubs = low.where(F.col("n") > max(16.0, total * HUB)).select("u", F.col("m").alias("hub"))
+        out = stored(of(with_least(both, low.select("u", "m"), hubs)).distinct(), "cc")
+        drop_stored(low)
+        return out
+
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = stored(small, "cc")
+        large = starred(both, lambda x: x.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
+        after = starred(large, lambda x: x.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v"))
+        drop_stored(large)
         # done when every node has one parent and no parent has a parent
         parents = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         chained = after.select("v").distinct().join(after.select(F.col("u").alias("v")), "v", "left_semi")

@@ -2,15 +2,23 @@
 
 All n-grams have one global order, that of their 64-bit hashes. The order is cut into fragments, and with it every
 document's set. Two sets that are similar enough differ in at most k n-grams, so of k + 1 + e fragments at least e + 1
-agree: documents meet only where a whole fragment of theirs agrees, never over one common n-gram. How many fragments
-there are follows from the size of the larger set (bands of sizes; a document takes part in each band that a partner of
-its may be in). The rare documents with more than e empty fragments also meet over their first n-grams in the order, so
-that no link is lost.
-
-Of the documents that meet, those with too many n-grams that none of the others has can't be linked and leave. The rest
-fall into families (connected by meeting). Within a family, overlaps are counted fragment by fragment and summed per
-pair, and the links become a spanning forest; a large family is dealt into blocks, and pairs of blocks are joined
-instead. Equal sets count as one throughout, so copies cost one row. Links make the components.
+agree. How many fragments there are follows from the size of the larger set (bands of sizes; a document takes part in
+each band that a partner of its may be in). A set leaves out its e most common fragments: the prefix principle says that
+two sets with e + 1 fragments in common still share one of the others. So documents meet only where a rare whole
+fragment of theirs agrees, and a passage that many documents hold brings no one together. The rare documents with more
+than e empty fragments also meet over their first n-grams in the order, so that no link is lost.
+
+Documents that meet, directly or through others, are a family. Links within one are decided by differences from a
+centre C, the n-grams that most of a large family have (nothing, in a small one): the overlap of S and T is |C| - |C-S| -
+|C-T| + |x|, x being what the differences of S and of T from C have in common. With w(S) = (den + num) |C-S| + num |S|,
+S and T are linked where w(S) + w(T) <= (den + num) (|C| + |x|). Families are dealt into blocks in order of w. Pairs of
+blocks that are linked throughout at x = 0, or nowhere at the greatest x, need no more than their sizes. For the others
+x is counted, fragment by fragment of the order, and summed per pair, in one task a pair of blocks. Only a spanning
+forest and link counts leave a task. Equal sets count as one throughout, so copies cost one row. Links make the
+components.
+
+Sets and n-grams are known by 64-bit hashes: of d different sets about d^2 / 2^65 pairs are taken for equal ones by
+chance, which is below one up to some 5 * 10^9 sets.
 """
 
 from __future__ import annotations
@@ -22,17 +30,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BASE, blocks, connected_components, drop_stored, give_back, mix64, raw, stored, strings, table, words
 
-#: Ratio of a band's largest to its smallest size, and empty fragments that a set of a band may have without more ado.
-RATIO, SPARE = 1.5, 2
-#: N-grams of a block of a family, and documents of it.
-BLOCK_GRAMS, BLOCK_DOCS = 2_000_000, 1500
-#: N-grams of a fragment when overlaps are counted.
-COUNTED = 1 << 16
+#: Ratio of a band's largest to its smallest size. A band with k n-grams to differ in has SPARE + k // SHARE fragments over.
+RATIO, SPARE, SHARE = 1.5, 2, 4
+#: N-grams of a block of a family, and documents of it; a family of more than a block gets a centre.
+BLOCK_GRAMS, BLOCK_DOCS = 1 << 20, 1024
+#: N-grams of a fragment when overlaps are counted, and of a matrix.
+COUNTED, COLUMNS = 1 << 16, 4096
 #: Documents up to this many (16 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.
-BROADCAST_DOCS = 2_000_000
+BROADCAST_DOCS = 1_000_000
+#: The bits of a meeting hash that tell its slot.
+SLOT = np.uint64(127)
+#: Sets that a task remembers, so as to send the meeting hashes of copies once.
+REMEMBERED = 1 << 18
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,30 +93,43 @@ class Bands:
         return 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
 
 
-def signatures(grams: np.ndarray, bands: Bands) -> list[np.ndarray]:
-    """The hashes by which a set (ascending) meets others: one for each band and fragment that has n-grams."""
-    out = []
+def signatures(grams: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """The hashes by which a set (ascending) meets others, and (slot, slack) of each slot.
+
+    A slot is a band's fragments, or a band's first n-grams where too many fragments are empty; the low bits of a hash
+    tell its slot. Sets that are similar share more than `slack` hashes of a slot, so the slack most common ones of a
+    set need not be looked at.
+    """
+    out, slots = [], []
     s = len(grams)
     for band in bands.taken(s):
         k = bands.differ(band)
         if not k:
             continue  # only equal sets, which are one already
-        spare = SPARE + k // 16
+        spare = SPARE + k // SHARE
         m = k + 1 + spare
         part = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         seal = mix64(np.add.reduceat(mix64(grams), cut) + part[cut] * np.uint64(1 << 20) + np.uint64(band))
-        out.append(seal)
-        if m - len(cut) > spare:
-            out.append(mix64(grams[: s - -(-s * bands.num // bands.den) + 1] ^ np.uint64(0x5851F42D4C957F2D + band)))
-    return out
+        out.append(seal & ~SLOT | np.uint64(2 * band))
+        slack = spare - (m - len(cut))
+        slots.append((2 * band, max(0, slack)))
+        if slack < 0:
+            first = mix64(grams[: s - -(-s * bands.num // bands.den) + 1] ^ np.uint64(0x5851F42D4C957F2D + band))
+            out.append(first & ~SLOT | np.uint64(2 * band + 1))
+            slots.append((2 * band + 1, 0))
+    return out, slots
 
 
 def described(n: int, num: int, den: int):
-    """An Arrow function: each row's set size, 64-bit set hash (the set's node) and signatures."""
+    """An Arrow function: each row's set size, 64-bit set hash (the set's node), meeting hashes, and slots with slacks.
+
+    Copies that a task has seen already come without hashes and slots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, seen = Bands(num, den), set()
+        none = ([np.zeros(0, np.uint64)], [])
         for batch in batches:
             data, offsets = raw(strings(batch, "text"))
             ids, seals = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "seal"))
@@ -111,15 +137,23 @@ def described(n: int, num: int, den: int):
                 count, grams = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 ends = np.concatenate([[0], np.cumsum(count)])
                 whole = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(grams ^ np.uint64(1)))])
-                sigs = [signatures(grams[a:z], bands) if z > a else [] for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                flat = [np.concatenate(s).view(np.int64) if s else np.zeros(0, np.int64) for s in sigs]
+                nodes = mix64(whole[ends[1:]] - whole[ends[:-1]] + count.astype(np.uint64))
+                sigs, slots = [], []
+                for node, a, z in zip(nodes.tolist(), ends[:-1], ends[1:], strict=True):
+                    got = signatures(grams[a:z], bands) if z > a and node not in seen else none
+                    sigs.append(np.concatenate([*got[0], none[0][0]]).view(np.int64))
+                    slots.append([{"slot": k, "slack": v} for k, v in got[1]])
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": ids.slice(i, j - i),
                         "seal": seals.slice(i, j - i),
                         "n": pa.array(count, pa.int64()),
-                        "node": pa.array(mix64(whole[ends[1:]] - whole[ends[:-1]] + count.astype(np.uint64)).view(np.int64)),
-                        "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in flat])]), pa.int32()), pa.array(np.concatenate(flat))),
+                        "node": pa.array(nodes.view(np.int64)),
+                        "sigs": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in sigs])]), pa.int32()), pa.array(np.concatenate(sigs))),
+                        "slots": pa.array(slots, pa.list_(pa.struct([("slot", pa.int32()), ("slack", pa.int32())]))),
                     }
                 )
             give_back()
@@ -143,20 +177,19 @@ def listed(n: int):
     return run
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
-    """Pairs (i, j) of similar sets: overlaps are counted by fragments of the order and summed. right None: i < j of left."""
+def common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """The number of common values of each of left and each of right (None: of left), counted by fragments and summed."""
     both = left if right is None else left + right
-    size = np.array([len(x) for x in both])
     grams = np.concatenate(both)
-    row = np.repeat(np.arange(len(both)), size)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
     order = np.argsort(grams, kind="stable")
     grams, row = grams[order], row[order]
-    group = np.cumsum(np.concatenate([[True], grams[1:] != grams[:-1]])) - 1
-    shared = np.bincount(group)[group] > 1
+    group = np.cumsum(np.concatenate([[True], grams[1:] != grams[:-1]])) - 1 if len(grams) else grams.astype(int)
+    shared = np.bincount(group)[group] > 1 if len(grams) else group
     row, group = row[shared], group[shared]
     a = len(left)
     b = np.arange(len(both)) if right is None else np.arange(a, len(both))
-    overlap = np.zeros((a, len(b)), np.float32)
+    overlap = np.zeros((a, len(b)), np.int64)
     at = 0
     while at < len(row):  # a fragment of the global order at a time
         end = at + COUNTED
@@ -164,14 +197,24 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den
             end += 1
         r, g = row[at:end], group[at:end]
         g = np.unique(g, return_inverse=True)[1]
-        for c in range(0, g.max() + 1 if len(g) else 0, 4096):
-            own = (g >= c) & (g < c + 4096)
-            member = np.zeros((len(both), min(4096, int(g.max()) + 1 - c)), np.float32)
+        for c in range(0, g.max() + 1, COLUMNS):
+            own = (g >= c) & (g < c + COLUMNS)
+            member = np.zeros((len(both), min(COLUMNS, int(g.max()) + 1 - c)), np.float32)
             member[r[own], g[own] - c] = 1
-            overlap += member[:a] @ member[b].T
+            overlap += (member[:a] @ member[b].T).astype(np.int64)  # at most COLUMNS each, which a float32 holds exactly
         at = end
-    similar = den * overlap >= num * (size[:a, None] + size[b][None] - overlap)
-    i, j = np.nonzero(similar)
+    return overlap
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, w: np.ndarray, centre: int, num: int, den: int) -> np.ndarray:
+    """Pairs (i, j) of similar sets, i < j over left and then right: the differences from a centre of so many n-grams, and w.
+
+    right None: pairs of left. All comparisons are of whole numbers.
+    """
+    w = np.asarray(w, np.int64)
+    a, n = len(left), len(left) + len(right or [])
+    b = np.arange(n) if right is None else np.arange(a, n)
+    i, j = np.nonzero((den + num) * (centre + common(left, right)) >= w[:a, None] + w[b][None])
     pairs = np.stack([i, b[j]], 1)
     return pairs[pairs[:, 0] < pairs[:, 1]]
 
@@ -196,19 +239,15 @@ def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def families(num: int, den: int):
-    """A grouped function over a block, or two blocks, of a family: the spanning forest of its links, and link counts."""
+    """A grouped function over a pair of blocks of a family: the spanning forest of its links, and link counts."""
 
     def run(key, rows):
-        rows = rows.drop_duplicates("node").sort_values(["block", "node"], kind="stable")
-        grams = [np.asarray(x, np.int64).view(np.uint64) for x in rows.grams]
-        nodes, block = rows.node.to_numpy(), rows.block.to_numpy()
-        left = int((block == key[1]).sum())
-        if key[1] == key[2]:
-            pairs = linked(grams, None, num, den) if len(grams) > 1 else np.zeros((0, 2), int)
-        else:
-            pairs = linked(grams[:left], grams[left:], num, den) if 0 < left < len(grams) else np.zeros((0, 2), int)
-        tree = forest(pairs, len(grams))
-        degree = np.bincount(pairs.ravel(), minlength=len(grams)) if len(pairs) else np.zeros(len(grams), np.int64)
+        rows = rows.sort_values(["block", "node"], kind="stable")
+        delta = [np.asarray(x, np.int64).view(np.uint64) for x in rows.delta]
+        nodes, left = rows.node.to_numpy(), int((rows.block == key[1]).sum())
+        pairs = linked(delta[:left], None if key[1] == key[2] else delta[left:], rows.w.to_numpy(), int(rows.centre.iloc[0]), num, den)
+        tree = forest(pairs, len(delta))
+        degree = np.bincount(pairs.ravel(), minlength=len(delta)) if len(pairs) else np.zeros(len(delta), np.int64)
         found = np.flatnonzero(degree)
         return pd.DataFrame(
             {
@@ -221,6 +260,81 @@ def families(num: int, den: int):
     return run
 
 
+def met_in(members: DataFrame) -> DataFrame:
+    """(sig, low, high, c) of the meeting hashes that two sets or more of members (node, sig) have; c counts rows."""
+    return members.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
+
+
+def meetings(sets: DataFrame) -> DataFrame:
+    """(a, b): sets that meet, each hash's members with its smallest one."""
+    owned = sets.select("node", F.explode("sigs").alias("sig"))
+    met = stored(met_in(owned), "met")
+    shared = owned.join(met.select("sig", "c"), "sig").withColumn("slot", F.col("sig").bitwiseAND(F.lit(int(SLOT))).cast("int"))
+    mine = shared.groupBy("node", "slot").agg(F.array_sort(F.collect_set(F.struct("c", "sig"))).alias("own"))  # rarest first; bounded by the set
+    slack = sets.select("node", F.explode("slots").alias("s")).select("node", "s.slot", "s.slack").distinct()
+    rare = mine.join(slack, ["node", "slot"]).where(F.size("own") > F.col("slack"))
+    rare = stored(rare.select("node", F.explode(F.expr("slice(own, 1, size(own) - slack)")).alias("x")).select("node", "x.sig"), "rare")
+    lows = met_in(rare).select("sig", "low")
+    edges = stored(rare.join(lows, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "meetings")
+    drop_stored(met)
+    drop_stored(rare)
+    return edges
+
+
+def centred(members: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+    """(family, node, block, delta, w, centre) of large families' members: blocks of about a block's size in order of w."""
+    rows = members.join(grams, "node")
+    often = rows.select("family", F.explode("grams").alias("g")).groupBy("family", "g").agg(F.count(F.lit(1)).alias("c"))
+    docs = members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"))
+    # at most twice the mean set: a half of the members have each
+    centres = often.join(docs, "family").where("2 * c > docs").groupBy("family").agg(F.collect_list("g").alias("c"))
+    rows = rows.join(centres, "family", "left").withColumn("c", F.coalesce("c", F.array().cast("array<bigint>")))
+    away = F.array_except("c", "grams")
+    rows = rows.select("family", "node", F.concat(away, F.array_except("grams", "c")).alias("delta"), ((den + num) * F.size(away) + num * F.size("grams")).cast("long").alias("w"), F.size("c").cast("long").alias("centre"))
+    rows = stored(rows, "centred")
+    weight = F.greatest(F.lit(BLOCK_GRAMS // BLOCK_DOCS), F.size("delta")).cast("long")
+    steps = rows.groupBy("family", "w").agg(F.sum(weight).alias("sum"))  # a row for each value of w in a family
+    steps = steps.withColumn("upto", F.sum("sum").over(Window.partitionBy("family").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)))
+    at = F.coalesce("upto", F.lit(0)) + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(1 << 20) * F.col("sum")
+    return rows.join(steps, ["family", "w"]).select("family", "node", F.floor(at / BLOCK_GRAMS).cast("int").alias("block"), "delta", "w", "centre")
+
+
+def links_within(members: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within families (family, node): rows (a, b, 0), which connect what links connect, and (a, 0, number of links)."""
+    members = members.join(grams.select("node", F.size("grams").cast("long").alias("size")), "node")
+    sizes = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams")), "families")
+    large = (F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)
+    few = members.join(sizes.where(~large).select("family"), "family", "left_semi").join(grams, "node")
+    few = few.select("family", "node", F.lit(0).alias("block"), F.col("grams").alias("delta"), (num * F.col("size")).alias("w"), F.lit(0).cast("long").alias("centre"))
+    task = lambda rows: rows.groupBy("family", "i", "j").applyInPandas(families(num, den), "a long, b long, links long")
+    small = task(few.withColumns({"i": F.lit(0), "j": F.lit(0)}))
+    if not sizes.where(large).limit(1).count():
+        return stored(small, "links")
+    many = stored(centred(members.join(sizes.where(large).select("family"), "family", "left_semi"), grams, num, den), "blocks")
+    stats = many.groupBy("family", "block").agg(F.count(F.lit(1)).alias("docs"), F.min("w").alias("low"), F.max("w").alias("high"), F.max(F.size("delta")).alias("most"), F.max("centre").alias("centre"))
+    one, two = (stats.select("family", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "docs", "low", "high", "most")), *(["centre"] if k == "i" else [])) for k in "ij")
+    both = stored(one.join(two, "family").where("block_i <= block_j"), "pairs")
+    whole = (F.col("high_i") + F.col("high_j")) <= (den + num) * F.col("centre")
+    never = (F.col("low_i") + F.col("low_j")) > (den + num) * (F.col("centre") + F.least("most_i", "most_j"))
+    asked = both.where(~whole & ~never).select("family", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    asked = asked.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    counted = task(many.join(asked, ["family", "block"]).select("family", "i", "j", "block", "node", "delta", "w", "centre"))
+    # blocks linked throughout: as many links as the other block has sets (one less within a block)
+    plain = both.where(whole)
+    sides = plain.select("family", F.col("block_i").alias("block"), (F.col("docs_j") - F.when(F.col("block_i") == F.col("block_j"), 1).otherwise(0)).alias("n"))
+    sides = sides.unionByName(plain.where("block_i < block_j").select("family", F.col("block_j").alias("block"), F.col("docs_i").alias("n")))
+    degree = many.select("family", "block", "node").join(sides.groupBy("family", "block").agg(F.sum("n").alias("n")), ["family", "block"])
+    degree = degree.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").alias("links")).where("links > 0")
+    # who is linked with anyone at x = 0 is linked with the set of the least w
+    first = many.groupBy("family").agg(F.min(F.struct("w", "node")).alias("f"))
+    near = many.select("family", "node", "w", "centre").join(first, "family").where(((den + num) * F.col("centre") >= F.col("w") + F.col("f.w")) & (F.col("node") != F.col("f.node")))
+    near = near.select(F.col("node").alias("a"), F.col("f.node").alias("b"), F.lit(0).cast("long").alias("links"))
+    out = stored(small.unionByName(counted).unionByName(degree).unionByName(near), "links")
+    for t in (many, both, sizes):
+        drop_stored(t)
+    return out
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of docs, under links of Jaccard similarity num/den or more.
 
@@ -230,46 +344,30 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     reach; n_links counts the different sets that a set is linked with (equal sets, always linked, aside). Repeated rows
     give repeated rows. A null doc_id is in no component but its own (null). An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("seal"))
-    known = stored(source.mapInArrow(described(n, num, den), "doc_id long, seal long, n long, node long, sigs array<bigint>"), "sets")
-    full = known.where("n > 0 and doc_id is not null")
-    reps = full.groupBy("node").agg(F.min(F.struct("doc_id", "seal")).alias("r"))
-    reps = stored(reps.select("node", "r.doc_id", "r.seal"), "reps")
-    # where sets meet
-    owned = full.where(F.size("sigs") > 0).join(reps, ["node", "doc_id", "seal"], "left_semi").select("node", F.explode("sigs").alias("sig"))
-    met = owned.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
-    met = stored(met, "met")
-    many = owned.join(met.where("c > 2").select("sig"), "sig", "left_semi")
-    two = met.where("c = 2").select(F.explode(F.array("low", "high")).alias("node"), "sig")
-    meeting = stored(two.unionByName(many), "meeting")
-    drop_stored(met)
+    shape = "doc_id long, seal long, n long, node long, sigs array<bigint>, slots array<struct<slot:int,slack:int>>"
+    found = stored(source.mapInArrow(described(n, num, den), shape), "sets")
+    known = stored(found.select("doc_id", "seal", "n", "node"), "known")
+    edges = meetings(found.where("doc_id is not null"))
+    drop_stored(found)
+    family = stored(connected_components(edges).withColumnRenamed("component", "family"), "family")
+    drop_stored(edges)
+    reps = stored(known.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "seal")).alias("r")).select("node", "r.doc_id", "r.seal"), "reps")
     # the sets themselves, of those that meet
-    candidates = stored(reps.join(meeting.select("node").distinct(), "node"), "candidates")
+    candidates = stored(reps.join(family.select("node"), "node"), "candidates")
     picked = F.broadcast(candidates) if candidates.count() <= BROADCAST_DOCS else candidates
-    texts = source.join(picked, ["doc_id", "seal"]).select("node", "text")
+    texts = source.join(picked, ["doc_id", "seal"]).select("node", "text").dropDuplicates(["node"])
     grams = stored(texts.mapInArrow(listed(n), "node long, grams array<bigint>"), "grams")
-    # private n-grams, which no other set here has
-    private = grams.select("node", F.explode("grams").alias("g")).groupBy("g").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1")
-    private = private.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    able = grams.select("node", F.size("grams").alias("size")).distinct().join(private, "node", "left")
-    able = stored(able.where((F.col("size") - F.coalesce("u", F.lit(0))) * den >= F.col("size") * num).select("node", "size"), "able")
-    # families
-    kept = meeting.join(able.select("node"), "node", "left_semi")
-    lows = kept.groupBy("sig").agg(F.min("node").alias("low"))
-    edges = kept.join(lows, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    family = connected_components(edges).withColumnRenamed("component", "family").join(able, "node")
-    family = stored(family, "families")
-    sizes = family.groupBy("family").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_GRAMS, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("parts"))
-    placed = family.join(sizes, "family").select("node", "family", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = placed.select("node", "family", "block", F.explode(pairs).alias("p")).join(grams, "node").select("node", "family", "block", "p.i", "p.j", "grams")
-    links = stored(dealt.groupBy("family", "i", "j").applyInPandas(families(num, den), "a long, b long, links long"), "links")
-    groups = connected_components(links.where("links = 0").select("a", "b"))
+    links = links_within(family, grams, num, den)
+    for t in (family, candidates, grams):
+        drop_stored(t)
+    groups = stored(connected_components(links.where("links = 0").select("a", "b")), "groups")
     degree = links.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     joined = reps.select("node", "doc_id").join(groups, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     told = stored(joined.join(least, "component").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
+    for t in (links, groups, reps):
+        drop_stored(t)
     rows = known.select("doc_id", F.col("n").alias("n_shingles"), "node")
     none = F.lit(0).cast("long").alias("n_links")
     linkless = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

@@ -39,6 +39,16 @@ def brute_join(docs, n, num, den):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def brute_links(docs, n, num, den):
+    """The number of other distinct sets that each document's set is linked with."""
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    different = set(sets.values())
+    return {i: sum(s != x and bool(s) and bool(x) and den * len(s & x) >= num * len(s | x) for x in different) for i, s in sets.items()}
+
+
 @pytest.mark.parametrize("n,num,den,seed", [(3, 90, 100, 1), (5, 80, 100, 2), (3, 50, 100, 3)])
 def test_ngram_join_equals_brute_force(spark, n, num, den, seed):
     rng = random.Random(seed)
@@ -57,21 +67,57 @@ def test_ngram_join_equals_brute_force(spark, n, num, den, seed):
     want = brute_join(docs, n, num, den)
     got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), n, num, den).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert {r.doc_id: r.n_links for r in got} == brute_links(docs, n, num, den)
 
 
-def test_ngram_join_splits_large_families(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 10)
-    rng = random.Random(8)
-    base = prose(rng, 120).split()
+def family_of(rng, n, words, most):
+    base = prose(rng, words).split()
     texts = []
-    for k in range(60):
+    for k in range(n):
         v = list(base)
-        for _ in range(k % 6):
+        for _ in range(k % most):
             v[rng.randrange(len(v))] = "n%d" % rng.randrange(10**6)
         texts.append(" ".join(v))
-    docs = list(enumerate(texts))
-    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(docs, 3, 90, 100)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("words,most,num", [(120, 6, 90), (40, 4, 80), (300, 5, 90)])
+def test_ngram_join_splits_large_families(spark, monkeypatch, words, most, num):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 2000)
+    docs = family_of(random.Random(8), 60, words, most)
+    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), 3, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(docs, 3, num, 100)
+    assert {r.doc_id: r.n_links for r in got} == brute_links(docs, 3, num, 100)
+
+
+def test_ngram_join_of_a_family_of_20000(spark):
+    """Copies with one word changed, or none: 18,000 of a long text, all linked, and 2,000 of a short one, linked with the original alone."""
+    rng = random.Random(5)
+    long_text, short_text = prose(rng, 160).split(), prose(rng, 70).split()
+    docs = []
+    for i in range(20_000):
+        v = list(long_text if i >= 2000 else short_text)
+        if i != 7:
+            v[3 + i % (len(v) - 6)] = f"n{i}"
+        docs.append((i, " ".join(v)))
+    got = {r.doc_id: r for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), 3, 90, 100).collect()}
+    assert {got[i].component_id for i in range(2000, 20_000)} == {2000}
+    assert {got[i].component_id for i in range(2000)} == {0}
+    assert {got[i].n_links for i in range(2000, 20_000)} == {17_999}
+    assert got[7].n_links == 1999
+
+
+def test_ngram_join_compares_large_sets_in_whole_numbers():
+    """Ratios that a float32 rounds: 900,009 common n-grams of 950,009 and 950,010 are exactly 0.9 of the union."""
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 1 << 63, 1_000_400, dtype=np.uint64))
+    both, left, right = grams[:900_009], grams[900_009:950_009], grams[950_009:1_000_010]
+    a, b = np.sort(np.concatenate([both, left])), np.sort(np.concatenate([both, right]))
+    assert len(a) == 950_009 and len(b) == 950_010
+    assert ngram_join.linked([a, b], None, np.array([90 * len(a), 90 * len(b)]), 0, 90, 100).tolist() == [[0, 1]]
+    less = np.sort(np.concatenate([both[1:], right]))
+    assert ngram_join.linked([a, less], None, np.array([90 * len(a), 90 * len(less)]), 0, 90, 100).tolist() == []
 
 
 def test_ngram_join_edge_cases(spark):

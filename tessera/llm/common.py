@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/tessera-scratch/{tag}-{uuid.uuid4().hex}"
+    if _PASSING:
+        _PASSING[-1].append(path)
     atexit.register(remove_path, spark, path)
     return path
 
@@ -56,6 +58,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: The scratch paths made within each passing() that is open.
+_PASSING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Deletes, at its end, the scratch paths that were made within it."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            remove_path(spark, path)
+
+
 #: Spark deletes an execution's shuffle files as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -82,8 +99,29 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Lets a scan of a bucketed table, of which each bucket is one sorted file, count as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+def stored_sorted(df: DataFrame, tag: str, *keys: str) -> DataFrame:
+    """As stored(), dealt into buckets by the keys (as many as the session's shuffle partitions) and sorted in each.
+
+    Joins and sums by these keys need neither exchange nor sort; so does writing df, if it comes from one of them.
+    """
+    spark = df.sparkSession
+    path, name = scratch_path(spark, tag), f"tessera_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    spark.conf.set(ORDERED, "true")
+    with tidy(spark):
+        df.write.bucketBy(partitions(spark), *keys).sortBy(*keys).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._scratch_path, out._scratch_table = path, name
+    return out
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df, once nothing will read it again."""
+    """Deletes what stored() or stored_sorted() wrote for df, once nothing will read it again."""
+    if name := getattr(df, "_scratch_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path := getattr(df, "_scratch_path", None):
         remove_path(df.sparkSession, path)
 

@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a table in the shared folder, sorted by key hash, with each key's number of documents. A batch's keys are
-anti-joined (sort-merge, both sides dealt and sorted by hash) with the keys that a run already holds as frequent, and
-the rest becomes a run of its own on level 0. When a level has `fanout` runs they are merged into one run a level up.
-A key's document count is its sum over the runs; once all batches are in, the keys at the threshold are joined with the
-lines' hashes, and each document loses the positions that match. Texts are read twice and dealt out once; hot lines are
-pre-aggregated before their hashes are shuffled.
+A run is a table in the shared folder, dealt into buckets by key hash and sorted in each, with each key's number of
+documents. Batches, runs and merges all have the same buckets, so runs are joined and merged where they lie, by merging
+sorted files, without exchange or sort. A batch's keys are merge-anti-joined with the keys that a run already holds as
+frequent, and the rest becomes a run of its own on level 0. When a level has `fanout` runs they are merged into one run
+a level up. A key's document count is its sum over the runs; once all batches are in, the keys at the threshold are
+joined with the lines' hashes, and each document loses the positions that match. Texts are read twice and dealt out once;
+hot lines are pre-aggregated before their hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_stored, stored, table
+from .common import ascii_lower, drop_stored, stored, stored_sorted, table
 
 #: What a line's key is stripped of.
 BLANK = " \t\n\r\x0b\x0c"
@@ -47,7 +48,7 @@ class LineRuns:
     def write(self, counts: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stored(counts.sortWithinPartitions("h1", "h2"), f"lines-{level}"))
+        self.levels[level].append(stored_sorted(counts, f"lines-{level}", "h1", "h2"))
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
             self.write(self.summed(merged), level + 1)
@@ -56,10 +57,12 @@ class LineRuns:
 
     @staticmethod
     def summed(runs: list[DataFrame]) -> DataFrame:
+        """Runs merged, their counts added."""
         out = runs[0]
         for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            both = out.join(r.select("h1", "h2", F.col("n").alias("m")).hint("merge"), ["h1", "h2"], "full_outer")
+            out = both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
 
     def add(self, keys: DataFrame) -> None:
         """A new batch: one row (h1, h2) for each document and distinct key."""
@@ -90,14 +93,15 @@ def batches_of(docs: DataFrame, order: str, n: int) -> list[Column]:
     return out
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, batches: int = 4, copies: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, batches: int = 4, copies: bool = True, nulls: bool = False) -> DataFrame:
     """Drops, from every document, the lines whose key at least `threshold` documents hold.
 
     docs has doc_id and text; its columns come back with text replaced by the lines kept, joined by newlines, and
     n_lines (before) and n_dropped added (a column of such a name is replaced). Each row counts as a document, repeated
     rows too; with copies=False documents of equal texts count as one, so that copies alone make no line frequent, and
-    batches are parted by a hash of the text rather than by doc_id. A null or empty text is one empty line; keys shorter than min_chars are never dropped, so empty lines
-    stay. A text that loses all its lines becomes empty. An empty table gives an empty one.
+    batches are parted by a hash of the text rather than by doc_id. A null or empty text is one empty line, and comes
+    back empty unless nulls keeps it null; keys shorter than min_chars are never dropped, so empty lines stay. A text
+    that loses all its lines becomes empty. An empty table gives an empty one. Any other names may stand in docs.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     runs = LineRuns(threshold)
@@ -117,10 +121,11 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, min_chars: int = 1, batche
     places = hashed(places.select("_a", "_b", "pos", key_of(F.col("line")).alias("key")))
     hit = places.join(frequent, ["h1", "h2"], "left_semi").groupBy("_a", "_b").agg(F.collect_set("pos").alias("_out"))
     kept_columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    whole = docs.select(F.struct(*kept_columns).alias("_doc"), lines_of(F.col("text")).alias("_lines"), F.col("text").isNull().alias("_null"), *(c.alias(k) for c, k in zip(ids, ("_a", "_b"), strict=True)))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("_doc"), lines_of(F.col("text")).alias("_lines"), F.col("text").isNull().alias("_null"), *(c.alias(k) for c, k in zip(ids, ("_a", "_b"), strict=True)))
     out = whole.join(hit, ["_a", "_b"], "left")
     rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_out"))
     kept = F.when(F.col("_out").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    kept = F.when(~F.col("_null"), kept) if nulls else kept
     done = {"text": kept, **{c: F.col(f"_doc.`{c}`") for c in kept_columns}}
     return out.select(
         *(done[c].alias(c) for c in docs.columns if c in done),

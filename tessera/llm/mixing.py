@@ -6,60 +6,109 @@ would be repeated beyond the limit. A token budget then gives each source its ep
 source's blocks, keyed by epoch; whole epochs take every block, the last one takes blocks in its permutation's order
 until the source's budget is spent, and part of the block where that happens.
 
-Sources and blocks are summed by partial aggregation. Cumulative sums run over one source's blocks (bounded in number)
-and over the documents of the one block that is cut, so no source is collected into one task.
+Nothing is collected by source: each step of the bisection sums powers of the shares on the executors for a grid of
+exponents. Where the last epoch of a source ends is found by digits of its blocks' places: sums over at most 2^DIGIT
+bins of a source, then over the bins of the one that is cut, then over its few blocks, then over the rows of one block.
+That gives one row a source, by which the documents are chosen where they are read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import drop_stored, stored, table
 
-#: Tokens of a block, and blocks of one source at most.
-BLOCK_TOKENS, MOST_BLOCKS = 200_000, 4096
+#: Tokens of a block, and bits of a digit of a block's place in an epoch.
+BLOCK_TOKENS, DIGIT = 200_000, 12
 #: Share of the greatest entropy to reach, and times that a document may be used.
 ENTROPY, REPEATS = 0.9, 4.0
+#: Exponents tried at once, and rounds: the exponent is known to GRID^-ROUNDS.
+GRID, ROUNDS = 64, 5
+#: Sources up to this many are broadcast to the documents; beyond it they are joined, each dealt over SALTS keys.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 
 
-def exponent(tokens: dict[str, float], entropy: float, repeats: float, budget: float | None = None) -> tuple[float, dict[str, float]]:
-    """(exponent, weights): the largest exponent that reaches the entropy within the limit on repetition.
+def exponent(moments: Callable[[list[float]], dict[float, tuple[float, float]]], n: int, least: float, most: float, total: float, entropy: float, repeats: float, budget: float | None = None) -> tuple[float, float]:
+    """(exponent, sum of the shares' powers): the largest exponent that reaches the entropy within the limit on repetition.
 
-    entropy is a share of ln(number of sources). Without a budget, the budget is the least that uses every document
-    once. Where both can't be met, the limit on repetition holds.
+    moments(ts) gives, for each exponent t, the sums over the n sources of p^t and of p^t ln p, p being a source's
+    share; least and most are the extreme shares and total the tokens. entropy is a share of ln(n). Without a budget,
+    the budget is the least that uses every document once. Where both targets can't be met, the limit on repetition holds.
     """
-    total = sum(tokens.values())
-    shares = {k: v / total for k, v in tokens.items() if v > 0} if total else {}
-    if len(shares) < 2:
-        return 1.0, dict.fromkeys(shares, 1.0)
-
-    def weights(t: float) -> dict[str, float]:
-        powers = {k: p**t for k, p in shares.items()}
-        whole = sum(powers.values())
-        return {k: v / whole for k, v in powers.items()}
-
-    def most(w: dict[str, float]) -> float:
-        b = budget if budget is not None else max(tokens[k] / w[k] for k in w)
-        return max(b * w[k] / tokens[k] for k in w)
-
-    def bisect(holds) -> float:
-        """The border, to 2^-40, of a condition that holds from some exponent on."""
-        low, high = 0.0, 1.0
-        if holds(low):
-            return low
-        for _ in range(40):
-            mid = (low + high) / 2
-            low, high = (low, mid) if holds(mid) else (mid, high)
-        return high
+    if n < 2:
+        return 1.0, 1.0
+
+    def holds(t: float, z: float, e: float) -> tuple[bool, bool]:
+        falls = math.log(z) - t * e / z < entropy * math.log(n)  # entropy falls as t grows
+        whole = total * most ** (1 - t) * z if budget is None else budget
+        return falls, whole * least ** (t - 1) / (z * total) <= repeats * (1 + 1e-12)
 
-    reach = bisect(lambda t: -sum(p * math.log(p) for p in weights(t).values() if p > 0) < entropy * math.log(len(shares)))  # entropy falls as t grows
-    limit = bisect(lambda t: most(weights(t)) <= repeats)
-    t = max(reach, limit)
-    return t, weights(t)
+    borders, at_one = [], moments([1.0])[1.0]
+    for k in (0, 1):
+        low, high = 0.0, 1.0
+        if not holds(1.0, *at_one)[k]:  # nowhere
+            borders.append(1.0)
+            continue
+        for _ in range(ROUNDS):
+            grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
+            got = moments(grid)
+            first = next((i for i, t in enumerate(grid) if holds(t, *got[t])[k]), GRID)
+            low, high = (grid[max(0, first - 1)], grid[first]) if first else (grid[0], grid[0])
+            if low == high:
+                break
+        borders.append(high)
+    t = max(borders)
+    return t, moments([t])[t][0]
+
+
+def spent(rows: DataFrame, by: list[str], order: list[Column], size: str) -> DataFrame:
+    """rows with `before`: the sum of a size over the rows that come earlier, of the same `by`."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
+
+
+def ends(narrow: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """(s, at, block, rank, row) for each source with a last epoch: the block in which it ends, and the last row taken there.
+
+    Blocks come in order of (at, block), rows of a block in order of (rank, row). rank and row are null where no row of
+    the block is taken.
+    """
+    placed = narrow.join(plan.where("rest > 0").select("s", "full", "rest", "blocks"), "s").withColumn("block", block_of())
+    blocks = placed.groupBy("s", "full", "rest", "block").agg(F.sum("tokens").alias("size"))
+    at = place(seed)
+    left = stored(blocks.select("s", "block", at.alias("at"), "size", F.col("rest").alias("left")), "blocks")
+    made, by = [left], ["s"]
+    for shift in (64 - DIGIT, 64 - 2 * DIGIT, None):
+        digit = F.shiftrightunsigned("at", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)) if shift else F.struct("at", "block")
+        rows = made[-1].withColumn("digit", digit)
+        bins = spent(rows.groupBy(*by, "digit").agg(F.sum("size").alias("sum"), F.first("left").alias("left")), by, [F.col("digit")], "sum")
+        cut = bins.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("sum") > F.col("left"))).select(*by, "digit", (F.col("left") - F.col("before")).alias("rest"))
+        rows = rows.join(cut, [*by, "digit"]).drop("left").withColumnRenamed("rest", "left")
+        name = f"d{len(made)}"
+        by = [*by, name]
+        made.append(stored(rows.withColumnRenamed("digit", name) if shift else rows.drop("digit"), "cut"))
+    block = made[-1].select("s", "block", "at", "left")  # one a source
+    inside = placed.join(block, ["s", "block"]).groupBy("s", "block", "at", "left", "row").agg(F.sum("tokens").alias("tokens")).withColumn("rank", F.xxhash64(F.lit(2), "row"))
+    inside = spent(inside, ["s", "block"], [F.col("rank"), F.col("row")], "tokens").where("before + tokens <= left")
+    last = inside.groupBy("s", "block").agg(F.max(F.struct("rank", "row")).alias("last"))
+    out = stored(block.join(last, ["s", "block"], "left").select("s", "at", "block", "last.rank", "last.row"), "ends")
+    for x in made:
+        drop_stored(x)
+    return out
+
+
+def block_of() -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), "row"), F.col("blocks"))
+
+
+def place(seed: int) -> Column:
+    """A block's place in its source's last epoch, 63 bits and never negative."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "s", "full", "block"), 1)
 
 
 def mix(docs: DataFrame, source: str = "source", entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, seed: int = 5) -> DataFrame:
@@ -69,45 +118,53 @@ def mix(docs: DataFrame, source: str = "source", entropy: float = ENTROPY, repea
     count 1); a null source is a source of its own. Without a budget every row is used at least once. With one, a
     source whose part is smaller than its tokens gives a part of its rows: that is the operator's purpose. Sorting by
     mix_key gives the mixture's order. Repeated rows are rows of their own, ranked together. An empty table gives an
-    empty one. Columns of the added names are replaced.
+    empty one. Columns of the added names are replaced; any other names may stand in docs, as its rows travel in one
+    struct.
     """
     added = ["mix_epoch", "mix_block", "mix_key", "mix_weight"]
     base = docs.drop(*added)
-    key = F.coalesce(F.col(source).cast("string"), F.lit("\x00null"))
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("null"))
     tokens = F.greatest(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\x0b\f]+"), lambda w: w != "")), F.lit(1)).cast("long")
     row = F.xxhash64(F.lit(seed), "doc_id", "text")
-    narrow = stored(base.select(key.alias("_source"), tokens.alias("_tokens"), row.alias("_row")), "tokens")
-    sums = {r["_source"]: r.t for r in narrow.groupBy("_source").agg(F.sum("_tokens").alias("t")).collect()}  # a row a source
-    _, weights = exponent(sums, entropy, repeats, budget)
-    whole = budget if budget is not None else max((sums[k] / weights[k] for k in weights), default=0.0)
-    rows = []
-    for k, w in weights.items():
-        part = whole * w
-        full = int(part / sums[k] + 1e-9)
-        rows.append((k, full, int(max(0.0, part - full * sums[k])), max(1, min(MOST_BLOCKS, math.ceil(sums[k] / BLOCK_TOKENS))), float(w)))
-    plan = docs.sparkSession.createDataFrame(rows, "_source string, _full int, _rest long, _blocks int, mix_weight double")
-    plan = F.broadcast(plan)  # a row a source, made on the driver
-    narrow = narrow.join(plan, "_source").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(1), "_row"), F.col("_blocks")).cast("int"))
-    at = F.xxhash64(F.lit(seed), "_source", "_full", "mix_block")
-    blocks = narrow.groupBy("_source", "_full", "_rest", "mix_block").agg(F.sum("_tokens").alias("_sum")).withColumn("_at", at)
-    w = Window.partitionBy("_source").orderBy("_at", "mix_block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("_upto", F.sum("_sum").over(w)).select("_source", "mix_block", (F.col("_rest") - (F.col("_upto") - F.col("_sum"))).alias("_left"), "_sum")
-    blocks = stored(blocks.where("_left > 0"), "blocks")  # blocks that the last epoch takes, whole or in part
-    cut = blocks.where("_left < _sum").select("_source", "mix_block", "_left")  # one a source
-    inside = narrow.join(F.broadcast(cut), ["_source", "mix_block"]).groupBy("_source", "mix_block", "_left", "_row").agg(F.sum("_tokens").alias("_tokens"))
-    w = Window.partitionBy("_source", "mix_block").orderBy(F.xxhash64(F.lit(2), "_row"), "_row").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_upto", F.sum("_tokens").over(w)).where("_upto <= _left").select("_source", "mix_block", "_row")
-    wide = base.select("*", key.alias("_source"), row.alias("_row")).join(plan, "_source").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(1), "_row"), F.col("_blocks")).cast("int"))
-    taken = F.broadcast(blocks.where("_left >= _sum").select("_source", "mix_block", F.lit(True).alias("_all")))  # MOST_BLOCKS a source at most
-    out = wide.join(taken, ["_source", "mix_block"], "left").join(inside.withColumn("_some", F.lit(True)), ["_source", "mix_block", "_row"], "left")
-    uses = F.col("_full") + F.when(F.coalesce("_all", "_some", F.lit(False)), 1).otherwise(0)
-    out = out.withColumn("mix_epoch", F.explode(F.when(uses > 0, F.sequence(F.lit(0), uses.cast("int") - 1)).otherwise(F.array().cast("array<int>"))))
+    narrow = stored(base.select(key.alias("s"), tokens.alias("tokens"), row.alias("row")), "tokens")
+    sums = stored(narrow.groupBy("s").agg(F.sum("tokens").alias("tokens")), "sources")
+    of = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    total = float(of.total or 1)
+
+    def moments(ts: list[float]) -> dict[float, tuple[float, float]]:
+        share = F.col("tokens") / total
+        rows = sums.select(share.alias("p"), F.explode(F.array(*map(F.lit, ts))).alias("t")).groupBy("t").agg(F.sum(F.pow("p", "t")).alias("z"), F.sum(F.pow("p", "t") * F.log("p")).alias("e"))
+        return {r.t: (r.z, r.e) for r in rows.collect()}  # a row for each exponent of the grid
+
+    t, z = exponent(moments, of.n, (of.least or 1) / total, (of.most or 1) / total, total, entropy, repeats, budget)
+    whole = budget if budget is not None else total * ((of.most or 1) / total) ** (1 - t) * z
+    weight = F.pow(F.col("tokens") / total, F.lit(t)) / z
+    part = F.lit(float(whole)) * weight
+    full = F.floor(part / F.col("tokens") + 1e-9).cast("int")
+    plan = sums.select("s", weight.alias("weight"), full.alias("full"), F.greatest(F.lit(0), F.floor(part - full * F.col("tokens") + 1e-6)).cast("long").alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long").alias("blocks"))
+    last = ends(narrow, plan, seed)
+    plan = stored(plan.join(last, "s", "left").select("s", "weight", "full", "rest", "blocks", F.struct("at", "block").alias("end"), F.struct("rank", "row").alias("end_row")), "plan")
+    for x in (narrow, sums, last):
+        drop_stored(x)
+    wide = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("doc"), key.alias("s"), row.alias("row"))
+    if of.n <= BROADCAST_SOURCES:
+        wide = wide.join(F.broadcast(plan), "s")
+    else:  # a source of many rows is dealt over salted keys
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        wide = wide.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"])
+    wide = wide.withColumn("block", block_of())
+    mine, within = F.struct(place(seed).alias("at"), "block"), F.struct(F.xxhash64(F.lit(2), "row").alias("rank"), "row")
+    more = F.when(F.col("rest") == 0, False).when(F.col("end.at").isNull(), True).when(mine < F.col("end"), True)
+    more = more.when(mine > F.col("end"), False).otherwise(F.coalesce(within <= F.col("end_row"), F.lit(False)) & F.col("end_row.rank").isNotNull())
+    uses = F.col("full") + more.cast("int")
+    out = wide.withColumn("epoch", F.explode(F.when(uses > 0, F.sequence(F.lit(0), uses - 1)).otherwise(F.array().cast("array<int>"))))
     # epochs follow one another evenly in each source's part of the mixture; within an epoch blocks are permuted
-    spot = (F.pmod(F.xxhash64(F.lit(seed), "_source", "mix_epoch", "mix_block"), F.lit(1 << 20)) + F.pmod(F.xxhash64(F.lit(2), "_row", "mix_epoch"), F.lit(1 << 20)) / (1 << 20)) / (1 << 20)
-    out = out.withColumn("mix_key", (F.col("mix_epoch") + spot) / (F.col("_full") + F.when(F.col("_rest") > 0, 1).otherwise(0)))
-    return out.select(*base.columns, *added)
+    spot = (F.pmod(F.xxhash64(F.lit(seed), "s", "epoch", "block"), F.lit(1 << 20)) + F.pmod(F.xxhash64(F.lit(2), "row", "epoch"), F.lit(1 << 20)) / (1 << 20)) / (1 << 20)
+    place_in = (F.col("epoch") + spot) / (F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0))
+    return out.select("doc.*", F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), place_in.alias("mix_key"), F.col("weight").alias("mix_weight"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each use of a document in the mixture: its epoch, block, place and its source's weight."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_key", "mix_weight")
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs).select("doc_id", "source", "mix_epoch", "mix_block", "mix_key", "mix_weight")

@@ -20,12 +20,12 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, give_back, raw, stored, table, words
+from .common import blocks, drop_stored, give_back, raw, stored, table, words
 
 #: Bound on the labelled documents of a class that are learned from, and on a document's evidence in nats.
 TRAIN_DOCS, MOST_EVIDENCE = 3000, 8.0
-#: Sites up to this many are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_SITES = 100_000
+#: Sites up to this many are broadcast; beyond it they are joined by a shuffle, each dealt over SALTS keys.
+BROADCAST_SITES, SALTS = 100_000, 16
 #: Classes of bytes; each one's share of the text is a feature.
 GROUPS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".,", b";:", b"!?", b"|", b"*#%&$@~^", b"=-_+/\\", b"<>{}[]()", b"\"'`")
 
@@ -173,44 +173,50 @@ def strength(groups: DataFrame, centre: Column) -> float:
     return float(min(max(got.b / got.n / between - 1, 1.0), 1e4))
 
 
-def rate(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, texts: bool = True) -> DataFrame:
     """docs' columns with evidence, host_rate, path_rate, p_good and keep added (columns of such names are replaced).
 
     docs has doc_id and text; host and path are expressions over it, a null one counting as an empty name. A null or
     empty text has no evidence and is judged by its site alone. Without labels of both classes there is no evidence
-    either, and the labels' mean (1 if there are none) is the global rate. Equal rows get equal results; an empty table
-    gives an empty one.
+    either, and the labels' mean (1 if there are none) is the global rate. A document with two labels counts as good if
+    one of them says so. Equal rows get equal results; an empty table gives an empty one. Any other names may stand in
+    docs, as its rows travel in one struct. Texts are scored once, and rows with their scores stored in the shared
+    folder; without texts, they are left out of that table and of the result.
     """
     model, mean = fit(docs, labels)
     added = ["evidence", "host_rate", "path_rate", "p_good", "keep"]
     base = docs.drop(*added)
-    evidence = evidence_of(model)
-    h, p = F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
-    site = [h.alias("_host"), p.alias("_path")]
-    e = F.col("evidence")
+    out_columns = [c for c in base.columns if texts or c != "text"]
+    doc = F.struct(*[F.col(f"`{c}`") for c in out_columns]).alias("doc")
+    scored = base.select(doc, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), evidence_of(model)("text").alias("e"))
+    scored = stored(scored, "scored")
+    e = F.col("e")
     soft = lambda e: 1 / (1 + F.exp(-(e + math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))))
-    paths = stored(base.select(*site, evidence("text").alias("evidence")).groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum(soft(e)).alias("s")), "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    paths = stored(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(soft(e)).alias("s")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     top = whole.s / whole.n if whole.n else mean
     k = strength(hosts, F.lit(top))
-    hosts = hosts.select("_host", F.col("n").alias("_hn"), F.col("s").alias("_hs"))
-    hosts = hosts.withColumn("host_rate", (F.col("_hs") + k * top) / (F.col("_hn") + k))
-    joined = paths.join(hosts, "_host")
+    hosts = hosts.select("host", F.col("n").alias("hn"), F.col("s").alias("hs"))
+    hosts = hosts.withColumn("host_rate", (F.col("hs") + k * top) / (F.col("hn") + k))
+    joined = paths.join(hosts, "host")
     k2 = strength(joined, F.col("host_rate"))
-    sites = stored(joined.select("_host", "_path", "_hn", "_hs", F.col("n").alias("_pn"), F.col("s").alias("_ps")), "sites")
-    rows = base.select("*", *site, evidence("text").alias("evidence"))
-    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    out = rows.join(sites, ["_host", "_path"], "left")
+    sites = stored(joined.select("host", "path", "hn", "hs", F.col("n").alias("pn"), F.col("s").alias("ps")), "sites")
+    drop_stored(paths)
+    if sites.count() <= BROADCAST_SITES:
+        rows = scored.join(F.broadcast(sites), ["host", "path"])
+    else:  # a site of many rows is dealt over salted keys
+        salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = scored.withColumn("salt", F.pmod(F.xxhash64("doc.doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
     own = soft(e)
-    host_rate = (F.col("_hs") - own + k * top) / (F.col("_hn") - 1 + k)
-    path_rate = (F.col("_ps") - own + k2 * F.col("host_rate")) / (F.col("_pn") - 1 + k2)
-    out = out.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate).withColumn("p_good", 1 / (1 + F.exp(-(e + logit(F.col("path_rate"))))))
-    return out.select(*base.columns, "evidence", "host_rate", "path_rate", "p_good", (F.col("p_good") >= threshold).alias("keep"))
+    host_rate = (F.col("hs") - own + k * top) / (F.col("hn") - 1 + k)
+    path_rate = (F.col("ps") - own + k2 * host_rate) / (F.col("pn") - 1 + k2)
+    p_good = 1 / (1 + F.exp(-(e + logit(path_rate))))
+    return rows.select("doc.*", e.alias("evidence"), host_rate.alias("host_rate"), path_rate.alias("path_rate"), p_good.alias("p_good"), (p_good >= threshold).alias("keep"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's evidence, site rates, posterior and decision; the source is the host, its language a path."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = rate(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
-    return out.drop("text", "lang")
+    out = rate(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"), texts=False)
+    return out.drop("lang")

@@ -3,9 +3,10 @@
 A store is a folder with immutable shard files and versioned manifests. An append writes its arrivals as small runs, one
 folder a run, in one pass and without a shuffle. Compaction takes the tiers of similarly sized runs (by powers of the
 fanout) that hold `fanout` runs or more, reads them together and writes files of about the target size; what has reached
-the target is left alone. Both end by committing a new manifest: its folder is written aside and renamed to the next
-version's name, which fails if another writer was first. Readers see the files of the highest version, so a job that is
-lost half-way leaves the store as it was.
+the target is left alone. Both end by committing a new manifest: its table is written aside, and then a small file with
+the next version's name, which says where the table is, is created only if there is none yet; so of two writers one
+fails and leaves nothing. Readers see the files of the highest version, so a job that is lost half-way leaves the store
+as it was. Older versions can be read until vacuum, which keeps the latest ones.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,30 +33,44 @@ class Store:
 
     # -------------------------------------------------------------- manifests
 
-    def version(self) -> int:
-        """The highest version committed; 0 for a new store."""
+    def versions(self) -> list[int]:
+        """The versions committed, ascending."""
         at = self.path(f"{self.root}/manifest")
         if not self.fs.exists(at):
-            return 0
+            return []
         names = [x.getPath().getName() for x in self.fs.listStatus(at)]
-        return max([int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()], default=0)
+        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
+
+    def version(self) -> int:
+        """The highest version committed; 0 for a new store."""
+        return max(self.versions(), default=0)
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """The shards of a version (the highest): run, shard (file), tier, n_docs, n_bytes (of text)."""
+        v = self.version() if version is None else version
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/tables/{self.named(v)}") if v else self.spark.createDataFrame([], MANIFEST)
 
-    def manifest(self) -> DataFrame:
-        """The live shards: run, shard (file), tier, n_docs, n_bytes (of text)."""
-        v = self.version()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{v}") if v else self.spark.createDataFrame([], MANIFEST)
+    def named(self, version: int) -> str:
+        """The name of a version's manifest table."""
+        stream = self.fs.open(self.path(f"{self.root}/manifest/v{version}"))
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
 
     def commit(self, shards: DataFrame, after: int) -> int:
         """Makes shards the manifest of version after + 1; FileExistsError if that version is there already."""
-        aside, to = f"{self.root}/pending/{uuid.uuid4().hex}", f"{self.root}/manifest/v{after + 1}"
-        shards.coalesce(1).write.parquet(aside)
-        self.fs.mkdirs(self.path(f"{self.root}/manifest"))
-        if self.fs.exists(self.path(to)) or not self.fs.rename(self.path(aside), self.path(to)):
-            self.fs.delete(self.path(aside), True)
-            raise FileExistsError(to)
-        if self.fs.exists(self.path(f"{to}/{aside.rpartition('/')[2]}")):  # a rival's rename came between: ours went inside
-            self.fs.delete(self.path(f"{to}/{aside.rpartition('/')[2]}"), True)
-            raise FileExistsError(to)
+        name, to = uuid.uuid4().hex, self.path(f"{self.root}/manifest/v{after + 1}")
+        shards.write.parquet(f"{self.root}/tables/{name}")
+        try:
+            stream = self.fs.create(to, False)  # not if it exists
+        except Py4JJavaError as e:
+            self.fs.delete(self.path(f"{self.root}/tables/{name}"), True)
+            if not self.fs.exists(to):
+                raise
+            raise FileExistsError(to.toString()) from e
+        stream.writeUTF(name)
+        stream.close()
         return after + 1
 
     def tier(self, n_bytes: Column) -> Column:
@@ -64,8 +80,8 @@ class Store:
     def measured(self, folder: str) -> DataFrame:
         """The manifest rows of the shards below a folder; reads the text's lengths only."""
         rows = self.spark.read.parquet(f"{self.root}/data/{folder}")
-        rows = rows.select(F.col("_metadata.file_path").alias("shard"), F.col("_bytes"))
-        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_bytes").alias("n_bytes"))
+        rows = rows.select(F.col("_metadata.file_path").alias("shard"), F.col("n_bytes"))
+        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
         run = F.regexp_extract("shard", r"/data/(.*)/[^/]*$", 1)
         return sizes.select(run.alias("run"), "shard", self.tier(F.col("n_bytes")).alias("tier"), "n_docs", "n_bytes")
 
@@ -77,8 +93,10 @@ class Store:
         Every row is kept as it is, nulls and repeated rows too. No rows: a version with nothing new.
         """
         v, folder = self.version(), f"a{uuid.uuid4().hex}"
-        rows = docs.withColumns({"_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "_run": F.coalesce(arrival.cast("string"), F.lit("")) if arrival is not None else F.lit("0")})
-        rows.write.option("compression", "zstd").partitionBy("_run").parquet(f"{self.root}/data/{folder}")
+        run = F.coalesce(arrival.cast("string"), F.lit("")) if arrival is not None else F.lit("0")
+        doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        rows = docs.select(doc.alias("doc"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), run.alias("run"))
+        rows.write.option("compression", "zstd").partitionBy("run").parquet(f"{self.root}/data/{folder}")
         new = self.measured(folder) if rows.limit(1).count() else self.spark.createDataFrame([], MANIFEST)
         return self.commit(self.manifest().unionByName(new), v)
 
@@ -98,30 +116,35 @@ class Store:
             rows = self.spark.read.parquet(*[f"{self.root}/data/{p}" for p in paths])
             n = max(1, round(t.n_bytes / self.target))
             folder = f"m{uuid.uuid4().hex}/t{t.tier + 1}"
-            even = F.xxhash64("doc_id", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-            rows.withColumn("_even", even).repartition(n, "_even").drop("_even").sortWithinPartitions("doc_id").write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
+            even = F.xxhash64("doc.doc_id", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+            rows.select("doc", "n_bytes", even.alias("even")).repartition(n, "even").drop("even").sortWithinPartitions("doc.doc_id").write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
             merged.append(folder)
         rest = live.join(small.join(full.select("tier"), "tier").select("run"), "run", "left_anti")
         for folder in merged:
             rest = rest.unionByName(self.measured(folder))
         return self.commit(rest, v)
 
-    def vacuum(self) -> None:
-        """Deletes run folders that the current manifest no longer lists."""
-        live = {r.run for r in self.manifest().select("run").distinct().collect()}
+    def vacuum(self, keep: int = 1) -> None:
+        """Forgets all but the latest `keep` versions, and deletes run folders that none of these lists."""
+        old, kept = (vs := self.versions())[:-keep], vs[-keep:]
+        live = {r.run for v in kept for r in self.manifest(v).select("run").distinct().collect()}  # runs, not files or rows
+        for v in old:
+            name = self.named(v)
+            self.fs.delete(self.path(f"{self.root}/manifest/v{v}"), False)
+            self.fs.delete(self.path(f"{self.root}/tables/{name}"), True)
         at = self.path(f"{self.root}/data")
         for x in self.fs.listStatus(at) if self.fs.exists(at) else []:
             for y in self.fs.listStatus(x.getPath()):
                 if y.isDirectory() and f"{x.getPath().getName()}/{y.getPath().getName()}" not in live:
                     self.fs.delete(y.getPath(), True)
 
-    def read(self) -> DataFrame:
-        """The live rows, with shard (the file that each is in)."""
-        runs = [r.run for r in self.manifest().select("run").distinct().collect()]
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version (the highest): doc, a struct of the columns appended, and shard, the file that it is in."""
+        runs = [r.run for r in self.manifest(version).select("run").distinct().collect()]
         if not runs:
-            return self.spark.createDataFrame([], "doc_id long, text string, shard string")
+            return self.spark.createDataFrame([], "doc struct<doc_id: long, text: string>, shard string")
         rows = self.spark.read.parquet(*[f"{self.root}/data/{p}" for p in runs])
-        return rows.select("*", F.col("_metadata.file_path").alias("shard")).drop("_bytes", "_run")
+        return rows.select("doc", F.col("_metadata.file_path").alias("shard"))
 
 
 #: Arrivals that a table is dealt into, bytes of text in a target-sized file, runs that make a tier full.
@@ -131,7 +154,7 @@ ARRIVALS, TARGET, FANOUT = 8, 32 << 20, 4
 def shard(docs: DataFrame, arrivals: int = ARRIVALS, target: int = TARGET, fanout: int = FANOUT) -> tuple[Store, DataFrame]:
     """Appends docs as `arrivals` runs to a new store, compacts it, and gives the store and its shards' rows.
 
-    docs has doc_id and text; other columns are stored too. The rows are (doc_id, shard, tier, version, n_docs, n_bytes),
+    docs has doc_id and text; other columns, of any names, are stored too, in one struct. The rows are (doc_id, shard, tier, version, n_docs, n_bytes),
     one for each row of docs; null ids and texts and repeated rows are kept, a null text counting 0 bytes. An empty
     table gives an empty result.
     """
@@ -143,7 +166,7 @@ def shard(docs: DataFrame, arrivals: int = ARRIVALS, target: int = TARGET, fanou
         v, last = store.compact(), v
     store.vacuum()
     live = store.manifest().select("shard", "tier", F.col("n_docs").alias("shard_docs"), F.col("n_bytes").alias("shard_bytes"))
-    rows = store.read().select("doc_id", "shard").join(F.broadcast(live), "shard", "left")  # a row for each file of target size
+    rows = store.read().select("doc.doc_id", "shard").join(live, "shard", "left")
     name = F.regexp_extract("shard", r"/data/(.*)$", 1)
     return store, rows.select("doc_id", name.alias("shard"), "tier", F.lit(v).cast("long").alias("version"), "shard_docs", "shard_bytes")
 

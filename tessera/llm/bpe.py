@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ TOP = np.uint64(64 - 10)
 #: Shortest and longest chunk in bytes.
 SHORTEST, LONGEST = 128, 8192
 #: Entries of one generation of the word memo and bytes of one generation of the chunk memo; two generations are kept.
-WORDS, CHUNK_BYTES = 40_000, 4 << 20
+WORDS, CHUNK_BYTES = 100_000, 4 << 20
 
 #: Marks that stand apart from a letter or digit before them.
 TRAILING = b".,;:"
@@ -133,7 +134,7 @@ class Coder:
         self.fresh = 0  # chunks encoded rather than reused
 
     def piece(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), b" ".join([self.pieces[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.pieces[i] for i in ids])
 
     def word(self, w: bytes) -> tuple[bytes, bytes]:
         """(ids, decoded text) of one word between white space."""
@@ -144,8 +145,9 @@ class Coder:
                 # the pattern parts a letter or digit from marks after it, so the stem and the marks encode by themselves
                 (i, d), (j, e) = (self.words.new.get(x) or self.word(x) for x in (s, w[len(s) :]))
                 found = (i + j, d + b" " + e)
-            elif PLAIN.fullmatch(t := w.decode()):
-                # Latin letters only: one piece for the pattern, nothing to normalise but the case
+            elif w.isalpha():  # ASCII letters only: one piece for the pattern, nothing to normalise but the case
+                found = self.piece([x.id for x in self.model.tokenize(w.lower().decode())])
+            elif PLAIN.fullmatch(t := w.decode()):  # Latin letters: the same
                 found = self.piece([x.id for x in self.model.tokenize(t.lower().encode().decode("latin-1").translate(BYTES))])
             else:
                 found = self.piece(self.tokenizer.encode(t, add_special_tokens=False).ids)

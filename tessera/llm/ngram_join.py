@@ -37,7 +37,7 @@ from .common import BASE, blocks, connected_components, drop_stored, give_back,
 #: Ratio of a band's largest to its smallest size. A band with k n-grams to differ in has SPARE + k // SHARE fragments over.
 RATIO, SPARE, SHARE = 1.5, 2, 4
 #: N-grams of a block of a family, and documents of it; a family of more than a block gets a centre.
-BLOCK_GRAMS, BLOCK_DOCS = 1 << 20, 1024
+BLOCK_GRAMS, BLOCK_DOCS = 1 << 19, 512
 #: N-grams of a fragment when overlaps are counted, and of a matrix.
 COUNTED, COLUMNS = 1 << 16, 4096
 #: Documents up to this many (16 bytes each) are broadcast to pick their texts; beyond it they are joined by a shuffle.

@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, line_dedup, mixing, ngram_join, quality
-from tessera.llm.common import scratch_path, table
+from tessera.llm.common import passing, remove_path, scratch_path, stored, table
 
-#: Any character that is not ASCII white space.
-WORD = r"[^\x20\x09-\x0D]"
 #: The mixture uses every document, none more often than this.
 REPEATS = 1.5
 
 
+def packed(docs: DataFrame, *columns: str, without: str = "") -> DataFrame:
+    """The named columns, and d: a struct of all columns but one, whose names can't clash with an operator's then."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("d"), *columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. Rows without a decision don't exist: empty texts go by their site."""
-    out = quality.rate(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
-    return out.where("keep").select(*docs.columns)
+    rows = packed(docs, "doc_id", "text", "source", "lang")
+    out = quality.rate(rows, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"), texts=False)
+    return out.where("keep").select("d.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,28 +34,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies count as one text here: a document isn't emptied for having copies, of which the next stage keeps one.
     """
-    out = line_dedup.dedup_lines(docs.withColumn("_null", F.col("text").isNull()), copies=False)
-    text = F.when(~F.col("_null"), F.col("text"))
-    done = {"text": text, "n_chars": F.coalesce(F.char_length(text), F.lit(0)).cast("long")}
-    return out.select(*[done.get(c, F.col(c)).alias(c) for c in docs.columns])
+    out = line_dedup.dedup_lines(packed(docs, "doc_id", "text", without="text"), copies=False, nulls=True)
+    done = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long")}
+    return out.select(*[done.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by a similarity of 0.8 over five-word shingles.
 
-    Repeated rows are one document. Texts without words have no shingles: of equal ones (null counts as empty) one stays.
+    Texts without words (null ones too) have no shingles, so each is a group of its own and stays; so does a document
+    without an id. Of rows with one doc_id and one text, one stays.
     """
     groups = ngram_join.join(docs)
-    best = groups.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
-    worded = docs.join(best, "doc_id", "left_semi").where(F.col("text").rlike(WORD)).dropDuplicates(["doc_id", "text"])
-    blank = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)).groupBy(F.coalesce("text", F.lit("")).alias("_t")).agg(F.min_by(F.struct(*docs.columns), F.struct("doc_id", "lang", "source")).alias("d"))
-    loose = docs.where(F.col("doc_id").isNull() & F.col("text").rlike(WORD)).dropDuplicates(["text"])
-    return worded.select(*docs.columns).unionByName(blank.select("d.*")).unionByName(loose)
+    known = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count(F.lit(1)).alias("c"))
+    known = stored(known.where("first = 0 or c > 1"), "gone")
+    stay = docs.join(known.where("first = 0").select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = known.where("first = 1").select("doc_id")  # ids of several rows
+    single = stay.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = stay.join(again, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, and again those of sources below their target weight, as often as the mixture uses them."""
-    return mixing.mix(docs, repeats=REPEATS).select(*docs.columns)
+    return mixing.mix(packed(docs, "doc_id", "text", "source"), repeats=REPEATS).select("d.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +78,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents, each written and read again.
+
+    Once a stage's rows are written, the tables that it kept aside go, and so do the rows that it was given.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

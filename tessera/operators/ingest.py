@@ -30,8 +30,8 @@ def documents(files: DataFrame, root: str) -> DataFrame:
 def derive(docs: DataFrame) -> dict[str, DataFrame]:
     """Chunks, symbols and term vectors of documents."""
     chunks = chunking.chunk(docs.select("uri", "root_name", "text")).withColumn("chunk_id", F.xxhash64("uri", "ordinal"))
-    symbols = code.extract(docs.select("path", "text")).join(docs.select("path", "uri", "root_name"), "path")
-    terms = term_vectors(chunks, ["chunk_id", "root_name"], "body")
+    symbols = code.extract(docs, "path", "uri", "root_name")
+    terms = term_vectors(chunks, ["chunk_id", "root_name"], "heading", "body")
     return {"chunks": chunks, "symbols": symbols, "terms": terms}
 
 

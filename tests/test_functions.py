@@ -183,6 +183,21 @@ def test_crawl_is_breadth_first(spark):
         ("a.ts", "export class Bc {\n  run(x) {\n  }\n}\nexport const make = async (a) => 1\nfunction old() {}", {("Bc", "type", 1), ("run", "method", 2), ("make", "function", 5), ("old", "function", 6)}),
         ("A.java", "public class Cd {\n  public void run(int a) {\n  }\n}", {("Cd", "type", 1), ("run", "method", 2)}),
         ("a.cpp", "#define MAX_N 4\nclass De;\nvoid Dev::open(int a) {\n}\nint helper(int);\nint main() {\n  bus::Write(1);\n}", {("MAX_N", "macro", 1), ("De", "type", 2), ("Dev::open", "method", 3), ("helper", "declaration", 5), ("bus::Write", "call", 7)}),
+        ("b.go", "func Map[K comparable, V any](m map[K]V) []K {\n}\n// func Not() {}\nvar s = `\nfunc Raw() {}`\nfunc (c Client) Ping() {}", {("Map", "function", 1), ("Ping", "method", 6)}),
+        ("b.py", "x = \"\"\"\nclass No:\n\"\"\"\n# def no(): pass\nclass Yes(Base):\n    async def go(self): pass", {("Yes", "type", 5), ("go", "method", 6)}),
+        ("a.c", "int InitDevice(void) {\n  ConfigurePin(1);\n  return 0;\n}\nstatic const int MAX_LEN = 3;\nconst char *name(const struct s *x)\n{\n}", {("InitDevice", "function", 1), ("ConfigurePin", "call", 2), ("MAX_LEN", "constant", 5), ("name", "function", 6)}),
+        ("a.h", "void ConfigurePin(int mode);\nint SpiTransfer(const uint8_t *buf, size_t n);\n", {("ConfigurePin", "declaration", 1), ("SpiTransfer", "declaration", 2)}),
+        ("t.hpp", "class RetryPolicy {};\nenum class Status { Ok };\n#define CONFIG_MAX 3\nconst int CONFIG_MAX = 3;\n", {("RetryPolicy", "type", 1), ("Status", "type", 2), ("CONFIG_MAX", "macro", 3)}),
+        ("u.cpp", "void f1() {\n  Client.Connect();\n  ns::Helper();\n  a::b::Deep();\n}\n", {("f1", "function", 1), ("Client.Connect", "call", 2), ("ns::Helper", "call", 3), ("b::Deep", "call", 4)}),
+        ("b.c", "void RegisterHandler(void);\nint RegisterHandler(void) {\n  RegisterHandler();\n  return 0;\n}\n", {("RegisterHandler", "function", 2)}),
+        ("n.cpp", "std::map<std::string, std::vector<std::pair<int, int>>> Nested(int a) {\n}\ntemplate<typename T, typename U = std::vector<T>>\nclass Holder {};\ntemplate<typename T>\nT MaxOf(T a, T b) {\n}\n", {("Nested", "function", 1), ("Holder", "type", 4), ("MaxOf", "function", 6)}),
+        ("c.cpp", "bool Less(int a, int b) { return a<b;\n}\nvoid Later() {}\n", {("Less", "function", 1), ("Later", "function", 3)}),
+        ("r.cpp", "auto Compute(int x) -> std::vector<int> {\n}\nA::A(int x) : m(x), n{1} {\n}\nA::~A() noexcept {\n}\nint A::get() const;\n", {("Compute", "function", 1), ("A::A", "method", 3), ("A::~A", "method", 5), ("A::get", "declaration", 7)}),
+        ("x.hpp", "#define LOG_MSG(msg) do { puts(msg); } while (0)\nusing BufferPtr = std::unique_ptr<uint8_t[]>;\ntypedef int StatusCode;\ntypedef struct node Node;\n", {("LOG_MSG", "macro", 1), ("BufferPtr", "type", 2), ("StatusCode", "type", 3), ("Node", "type", 4)}),
+        ("N.cs", "public class NetClient {\n  public async Task<List<int>> ConnectAsync(string host) {\n  }\n  private int Twice(int a) => a * 2;\n}\n", {("NetClient", "type", 1), ("ConnectAsync", "method", 2), ("Twice", "method", 4)}),
+        ("B.java", "public interface Ef<T extends Comparable<T>> {\n  Status disconnect();\n  public <R> List<R> all(Map<String, R> m) throws IOException, X {\n    return make();\n  }\n  // void no() {}\n}\n", {("Ef", "type", 1), ("disconnect", "declaration", 2), ("all", "method", 3)}),
+        ("c.ts", "export class Cl<T> {\n  constructor(a: string) {\n  }\n  async get<U>(a: U): Promise<U> {\n    if (a) {\n    }\n  }\n  private static make(): void {\n  }\n}\nconst openIt = async function() {};\nlet twice = (a: number): number => a;\nif (ready) {\n}", {("Cl", "type", 1), ("make", "method", 8), ("openIt", "function", 11), ("twice", "function", 12)}),
+        ("run.sh", "RegisterHandler()\n", set()),
         ("a.txt", "func X() {}", set()),
     ],
 )
@@ -190,6 +205,12 @@ def test_symbols_by_language(path, source, want):
     assert {(n, k, line) for n, k, _, _, line in code.symbols_of(path, source)} == want
 
 
+def test_definitions_stay_when_there_are_many():
+    text = "".join(f"void Defined{i}() {{}}\nvoid Use{i}() {{ RandomCall(); }}\n" for i in range(90))
+    got = code.symbols_of("many.cpp", text)
+    assert len(got) == 80 and {s[1] for s in got} == {"function"} and [s[0] for s in got[:2]] == ["Defined0", "Use0"]
+
+
 def test_symbols_of_files(spark):
     df = spark.createDataFrame([("a.py", "def f1():\n  pass"), ("b.py", None), ("c.md", "x")], "path string, text string")
     assert [(r.path, r.name) for r in code.extract(df).collect()] == [("a.py", "f1")]

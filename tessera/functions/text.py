@@ -63,7 +63,8 @@ def terms(text: Column) -> Column:
 
     def expand(w: Column) -> Column:
         parts = F.transform(identifier_parts(w), F.lower)
-        return F.concat(F.array(F.lower(w)), F.when(F.size(parts) >= 2, F.filter(parts, lambda p: p != F.lower(w))).otherwise(F.array().cast("array<string>")))
+        several = F.concat(F.array(F.lower(w)), F.when(F.size(parts) >= 2, F.filter(parts, lambda p: p != F.lower(w))).otherwise(F.array().cast("array<string>")))
+        return F.when(w.rlike(r"_|.\p{Lu}"), several).otherwise(F.array(F.lower(w)))  # other words have no border
 
     return F.filter(F.flatten(F.transform(raw, expand)), lambda t: (F.octet_length(t) >= LEAST_BYTES) & ~t.isin(*TERM_STOPWORDS))
 
@@ -86,6 +87,20 @@ def clip_excerpt(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) <= n, text).otherwise(F.concat(F.rtrim(F.when(near, back).otherwise(head)), F.lit("…")))
 
 
+def marked_excerpt(text: Column, words: Column, n: int) -> Column:
+    """The n white-space fields around the first one that holds one of the words, with such fields between <b> and </b>.
+
+    A text without any of them gives its first n fields; an ellipsis stands for what is left out.
+    """
+    fields = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    hit = lambda w: F.arrays_overlap(F.regexp_extract_all(F.lower(w), F.lit(r"([\p{L}\p{Nd}]+)"), 1), words)
+    at = F.coalesce(F.get(F.filter(F.transform(fields, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(0))
+    start = F.greatest(F.lit(0), F.least(at - n // 2, F.size(fields) - n))
+    shown = F.transform(F.slice(fields, start + 1, F.lit(n)), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+    left, right = F.when(start > 0, "… ").otherwise(""), F.when(start + n < F.size(fields), " …").otherwise("")
+    return F.concat(left, F.array_join(shown, " "), right)
+
+
 # ---------------------------------------------------------------- symbols
 
 

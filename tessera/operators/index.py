@@ -1,25 +1,40 @@
-"""The inverted index: term vectors, document frequencies and BM25 statistics."""
+"""The inverted index: term vectors, postings with positions, frequencies and statistics, in memory or as stored tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, fields
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import MOST_TERMS, terms
+from ..functions.text import MOST_TERMS, content_tokens, fold_ascii, terms
 
 #: Fixed values of the published Okapi form.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: How much a word in a heading weighs, and in a body.
+HEADING_WEIGHT, BODY_WEIGHT = 10.0, 1.0
+#: Folders that stored postings are dealt into by word, so that a lookup reads few of them; characters of a path's grams.
+BUCKETS, GRAM = 32, 3
+
+
+def runs_of(values: Column, make) -> Column:
+    """make(start, end, value) for each run of equal values in a sorted array, as an array; positions count from 0."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
+    made = F.transform(starts, lambda i, k: make(i, F.coalesce(F.get(starts, k + 1), F.size(values)), F.get(values, i)))
+    return F.when(F.size(values) > 0, made)
 
 
 def term_vectors(rows: DataFrame, key: list[str], *texts: str, most: int = MOST_TERMS) -> DataFrame:
-    """(key, term, tf): each row's terms by frequency, ties by term, at most `most`.
+    """(key, term, tf): each row's terms by frequency, ties by term, at most `most`. No shuffle: each row is counted by itself."""
+    return vectors_of(rows, key, *texts, most=most).select(*key, F.explode("v").alias("v")).select(*key, "v.term", "v.tf")
 
-    Terms are counted within the row, so no frequent term is shuffled by itself.
-    """
-    counted = rows.select(*key, F.explode(terms(F.concat_ws("\n", *texts))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = Window.partitionBy(*key).orderBy(F.desc("tf"), "term")
-    return counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+def vectors_of(rows: DataFrame, key: list[str], *texts: str, most: int = MOST_TERMS) -> DataFrame:
+    """(key, v): each row's terms as one array of (term, tf), the most frequent first."""
+    split = rows.select(*key, F.array_sort(terms(F.concat_ws("\n", *texts))).alias("s"))
+    counted = split.select(*key, runs_of(F.col("s"), lambda i, j, t: F.struct((i - j).alias("less"), t.alias("term"))).alias("c"))
+    top = F.slice(F.array_sort("c"), 1, most)
+    return counted.select(*key, F.coalesce(F.transform(top, lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("tf"))), F.array().cast("array<struct<term:string,tf:bigint>>")).alias("v"))
 
 
 def document_frequency(vectors: DataFrame, *by: str) -> DataFrame:
@@ -27,26 +42,174 @@ def document_frequency(vectors: DataFrame, *by: str) -> DataFrame:
     return vectors.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def words(text) -> F.Column:
+def words(text) -> Column:
     """The tokens of full-text search: runs of letters and digits in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), 1)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, heading_weight: float = 10.0, body_weight: float = 1.0, all_words: bool = True) -> DataFrame:
+def runs(text: Column, k: int) -> Column:
+    """All runs of k characters in a text that has as many."""
+    return F.transform(F.sequence(F.lit(1), F.char_length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))
+
+
+def grams_of(text: Column) -> Column:
+    """The distinct runs of 1 to GRAM characters in a text."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.when(F.char_length(text) >= k, runs(text, k)).otherwise(none) for k in range(1, GRAM + 1)]))
+
+
+def gram_of(text: Column) -> Column:
+    """All of a text's runs of GRAM characters; of a shorter text, the text itself."""
+    return F.when(F.char_length(text) < GRAM, F.array(text)).otherwise(F.array_distinct(runs(text, GRAM)))
+
+
+@dataclass
+class Index:
+    """What searches read. Bodies are in chunks alone, which is read for the hits."""
+
+    #: chunk_id, document_id, root_name, ordinal, title, heading, body, path, uri, authority, product_version, archived, deprecated ...
+    chunks: DataFrame
+    #: chunk_id, root_name, authority, v: array of (term, tf)
+    vectors: DataFrame
+    #: term, chunk_id, root_name
+    postings: DataFrame
+    #: root_name, term, df; and root_name, n: chunks
+    frequency: DataFrame
+    roots: DataFrame
+    #: word, chunk_id, root_name, len, positions: below 0 in the heading, from 0 on in the body
+    occurrences: DataFrame
+    #: word, df; and one row (n, avg_len)
+    word_frequency: DataFrame
+    lengths: DataFrame
+    #: gram, chunk_id: the runs of 1 to GRAM characters of path, title and uri of documents' first chunks; and gram, df
+    places: DataFrame
+    place_frequency: DataFrame
+
+
+def of(chunks: DataFrame | Index) -> Index:
+    """An index derived from chunks when it is read; an index is given back as it is."""
+    if isinstance(chunks, Index):
+        return chunks
+    vectors = vectors_of(chunks, ["chunk_id", "root_name", "authority"], "heading", "body")
+    postings = vectors.select(F.explode("v.term").alias("term"), "chunk_id", "root_name")
+    sized = chunks.select("chunk_id", "root_name", words(F.col("heading")).alias("h"), words(F.col("body")).alias("b"))
+    length = (F.size("h") + F.size("b")).alias("len")
+    # a gap of one place parts the heading from the body
+    tagged = F.concat(F.transform("h", lambda w, i: F.struct(w.alias("w"), (i - F.size("h") - 1).alias("p"))), F.transform("b", lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    placed = sized.select("chunk_id", "root_name", length, F.array_sort(tagged).alias("t")).select("chunk_id", "root_name", "len", F.col("t.w").alias("w"), F.col("t.p").alias("p"))
+    found = placed.select("chunk_id", "root_name", "len", F.explode(runs_of(F.col("w"), lambda i, j, w: F.struct(w.alias("word"), F.slice("p", i + 1, j - i).alias("positions")))).alias("x"))
+    occurrences = found.select("x.word", "chunk_id", "root_name", "len", "x.positions")
+    places = chunks.where("ordinal = 0").select("chunk_id", F.explode(F.array_distinct(F.concat(*[grams_of(fold_ascii(F.col(c))) for c in ("path", "title", "uri")]))).alias("gram")).select("gram", "chunk_id")
+    return Index(
+        chunks=chunks,
+        vectors=vectors,
+        postings=postings,
+        frequency=document_frequency(postings, "root_name"),
+        roots=chunks.groupBy("root_name").agg(F.count(F.lit(1)).alias("n")),
+        occurrences=occurrences,
+        word_frequency=occurrences.groupBy("word").agg(F.count(F.lit(1)).alias("df")),
+        lengths=sized.select(length).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")),
+        places=places,
+        place_frequency=places.groupBy("gram").agg(F.count(F.lit(1)).alias("df")),
+    )
+
+
+#: Tables that are dealt into folders by a hash of their first column.
+BY_WORD = {"postings": "term", "occurrences": "word", "places": "gram"}
+
+
+def bucket(word: Column | str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def write(chunks: DataFrame, folder: str) -> Index:
+    """Writes an index of chunks as tables below a folder, and reads them back. Frequencies come from what was written."""
+    spark, made = chunks.sparkSession, of(chunks)
+    order = ("chunks", "vectors", "postings", "occurrences", "places", "roots", "lengths", "frequency", "word_frequency", "place_frequency")
+    back: dict[str, DataFrame] = {}
+    for name in order:
+        rows = getattr(made, name)
+        if name == "postings":
+            rows = back["vectors"].select(F.explode("v.term").alias("term"), "chunk_id", "root_name")
+        elif name == "frequency":
+            rows = document_frequency(back["postings"], "root_name")
+        elif name in ("word_frequency", "place_frequency"):
+            source, word = ("occurrences", "word") if name == "word_frequency" else ("places", "gram")
+            rows = back[source].groupBy(word).agg(F.count(F.lit(1)).alias("df"))
+        if word := BY_WORD.get(name):
+            rows = rows.withColumn("bucket", bucket(word)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", word)
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        back[name] = spark.read.parquet(f"{folder}/{name}")
+    return Index(**back)
+
+
+def read(spark: SparkSession, folder: str) -> Index:
+    """The index that write() left in a folder."""
+    return Index(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Index)})
+
+
+def looked_up(table: DataFrame, asked: DataFrame, word: str) -> DataFrame:
+    """table joined with asked (word ...): of a stored table only the folders of the words asked for are read."""
+    if "bucket" in table.columns:
+        return table.join(asked.withColumn("bucket", bucket(word)), ["bucket", word]).drop("bucket")
+    return table.join(asked, word)
+
+
+def allowed(root: str = "root_name", roots: str = "roots") -> Column:
+    """Whether a row's root is one of the roots asked for; without any, all are."""
+    return F.col(roots).isNull() | (F.size(roots) == 0) | F.array_contains(roots, F.col(root))
+
+
+def scoped(queries: DataFrame) -> DataFrame:
+    """queries with a column roots (array, or null for all) in any case."""
+    return queries if "roots" in queries.columns else queries.withColumn("roots", F.lit(None).cast("array<string>"))
+
+
+def asked_words(queries: DataFrame, content: bool = False) -> DataFrame:
+    """(qid, roots, ws, phrases): a query's distinct words, and the words of its tokens that have several.
+
+    content: of content tokens alone, if there are any. A token of several words is a phrase.
+    """
+    tokens = content_tokens(F.col("query")) if content else F.filter(F.split(F.trim("query"), r"\s+"), lambda t: t != "")
+    each = F.transform(tokens, words)
+    return scoped(queries).select("qid", "roots", F.array_distinct(F.flatten(each)).alias("ws"), F.array_distinct(F.filter(each, lambda x: F.size(x) > 1)).alias("phrases"))
+
+
+def phrase_hits(ix: Index, phrases: DataFrame) -> DataFrame:
+    """(phrases' columns, chunk_id): chunks that hold a phrase (ws: its words) word after word, in a heading or a body.
+
+    phrases has pid, ws and roots. Places of the words, each less its place in the phrase, must agree.
+    """
+    each = phrases.select("pid", "roots", F.size("ws").alias("k"), F.posexplode("ws").alias("at", "word"))
+    found = looked_up(ix.occurrences, each, "word").where(allowed())
+    starts = found.select("pid", "k", "chunk_id", "at", F.explode("positions").alias("p")).groupBy("pid", "k", "chunk_id", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("c"))
+    return starts.where("c = k").select("pid", "chunk_id").distinct()
+
+
+def bm25(chunks: DataFrame | Index, queries: DataFrame, heading_weight: float = HEADING_WEIGHT, body_weight: float = BODY_WEIGHT, all_words: bool = True, content: bool = False) -> DataFrame:
     """(qid, chunk_id, rank): negative Okapi BM25 over heading and body for chunks that hold all (or some) of a query's words.
 
-    Statistics are corpus-wide. The queries' words, a small table, are joined before anything is shuffled.
+    With all words asked for, a query token of several words counts as a phrase: the chunk holds them side by side.
+    Statistics are of the whole corpus; roots (if queries has them) limit the chunks. All words are first looked for
+    by the rarest: other words are joined for the chunks that hold it.
     """
-    asked = queries.select("qid", F.array_distinct(words(F.col("query"))).alias("ws")).select("qid", F.size("ws").alias("n_words"), F.explode("ws").alias("word"))
-    wanted = asked.select("word").distinct()
-    sized = chunks.select("chunk_id", words(F.col("heading")).alias("h"), words(F.col("body")).alias("b"))
-    lengths = sized.select("chunk_id", (F.size("h") + F.size("b")).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    tagged = F.concat(F.transform("h", lambda w: F.struct(w.alias("word"), F.lit(heading_weight).alias("x"))), F.transform("b", lambda w: F.struct(w.alias("word"), F.lit(body_weight).alias("x"))))
-    occurs = sized.select("chunk_id", (F.size("h") + F.size("b")).alias("len"), F.explode(tagged).alias("t")).select("chunk_id", "len", "t.word", "t.x")
-    tf = occurs.join(wanted, "word").groupBy("word", "chunk_id", "len").agg(F.sum("x").alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "word").join(asked, "word").crossJoin(F.broadcast(stats))  # stats is one row
+    ix = of(chunks)
+    asked = asked_words(queries, content)
+    one = asked.select("qid", "roots", F.size("ws").alias("n_words"), F.explode("ws").alias("word"))
+    one = one.join(ix.word_frequency, "word", "left" if all_words else "inner")
+    found = looked_up(ix.occurrences, one, "word").where(allowed())
+    if all_words:
+        rare = one.groupBy("qid").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+        first = looked_up(ix.occurrences, one.join(rare, ["qid", "word"]), "word").where(allowed()).select("qid", "chunk_id")
+        found = found.join(first, ["qid", "chunk_id"])
+        phrases = asked.select("qid", "roots", F.posexplode("phrases").alias("k", "ws")).select("qid", "roots", "ws", F.struct("qid", "k").alias("pid"))
+        whole = phrase_hits(ix, phrases).select("pid.qid", "chunk_id").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("met"))
+        found = found.join(asked.select("qid", F.size("phrases").alias("n_phrases")), "qid").join(whole, ["qid", "chunk_id"], "left").where("n_phrases = coalesce(met, 0)")
+    heads = F.size(F.filter("positions", lambda p: p < 0))
+    tf = heads * heading_weight + (F.size("positions") - heads) * body_weight
+    scored = found.withColumn("tf", tf).join(F.broadcast(ix.lengths))  # lengths is one row
     weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     out = scored.groupBy("qid", "chunk_id", "n_words").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("c"))

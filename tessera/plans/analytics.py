@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import corpus, usage
 from ..sources import tables as T
+from ..sources.shared import fresh
 from ..sources.tables import EVIDENCE_SQL, REQUESTS_SQL, ROOTS_SQL
 from ..streaming import events as S
 
@@ -89,18 +86,20 @@ def status_counts(spark, sf):
 
 def streamed(spark, sf, transform):
     """A stream over `events` run to its end, read back as a table."""
-    import os
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    top = (shared or "file://" + tempfile.mkdtemp(prefix="tessera-stream-")).rstrip("/")
-    if not shared:
-        atexit.register(shutil.rmtree, top.removeprefix("file://"), True)
-    at = f"{top}/stream-{os.urandom(6).hex()}"
+    at = fresh(spark, "stream")
     out = transform(S.source(spark, sf, "events.parquet"))
     S.run_to_table(out, f"{at}/out", f"{at}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
+def replaced(spark, sf, transform, *key):
+    """A stream over `events` run to its end, rows replacing earlier ones of their key, read back as a table."""
+    at = fresh(spark, "stream")
+    out = transform(S.source(spark, sf, "events.parquet"))
+    S.run_latest(out, f"{at}/out", f"{at}/checkpoint")
+    return S.latest(spark, f"{at}/out", out.schema, *key)
+
+
 QUERIES = {
     "usage_summary": (lambda s, d: usage.summary(T.requests(s, d)), SUMMARY_SQL),
     "usage_summary_filtered": (filtered, f"""WITH {REQUESTS_SQL}, {ROOTS_SQL} SELECT count(*) AS total, {n(G, "grounded")}, {n("result_status = 'request_error'", "errors")}, CAST(coalesce(sum({TOK}) FILTER (WHERE {SERVED}), 0) AS BIGINT) AS tokens_served
@@ -122,7 +121,10 @@ QUERIES = {
     "usage_apportioned": (lambda s, d: usage.apportioned(T.evidence(s, d), T.requests(s, d)), f"WITH {REQUESTS_SQL}, {EVIDENCE_SQL} SELECT request_id, pieces, greatest(returned_tokens // pieces, 1) AS per_piece FROM (SELECT request_id, count(*) AS pieces FROM evidence GROUP BY 1) JOIN requests USING (request_id) WHERE returned_tokens > 0"),
     "usage_status_of_counts": (status_counts, STATUS_SQL),
     "percentile_floor": (lambda s, d: corpus.percentile_floor(T.table(s, d, "events"), "value", 0.95, "event_type"), "SELECT event_type, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS INT) + 1] AS p FROM events GROUP BY 1"),
-    "stream_tumbling_counts": (lambda s, d: S.tumbling(T.table(s, d, "events")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
-    "stream_sliding_counts": (lambda s, d: S.sliding(T.table(s, d, "events")), "SELECT date_trunc('hour', ts) - to_hours(o) AS start, count(*) AS n FROM events, (SELECT unnest(range(6)) AS o) GROUP BY ALL"),
+    "stream_tumbling_counts": (lambda s, d: replaced(s, d, S.tumbling, "start", "event_type"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
+    "stream_sliding_counts": (lambda s, d: replaced(s, d, S.sliding, "start"), "SELECT date_trunc('hour', ts) - to_hours(o) AS start, count(*) AS n FROM events, (SELECT unnest(range(6)) AS o) GROUP BY ALL"),
+    "event_sessions": (lambda s, d: S.sessions(T.table(s, d, "events")), """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM
+      (SELECT *, sum(CASE WHEN ts - before <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+        (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s"""),
     "stream_dedupe": (lambda s, d: streamed(s, d, lambda e: S.deduplicated(e.select("event_id", "ts", "event_type"))).select("event_id", "event_type"), "SELECT DISTINCT event_id, event_type FROM events"),
 }

@@ -29,21 +29,36 @@ VECTORS_SQL = f"""vectors AS (SELECT chunk_id, term, tf FROM (SELECT *, row_numb
   (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({terms_sql("heading || chr(10) || body")}) AS term FROM chunks) GROUP BY ALL)) WHERE r <= 48)"""
 QTERMS_SQL = f"""qterms AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tf DESC, term) AS r FROM
   (SELECT qid, term, count(*) AS tf FROM (SELECT item_id AS qid, unnest({terms_sql("text")}) AS term FROM benchmark) GROUP BY ALL)) WHERE r <= 48)"""
-LOOKUP_SQL = """lookup AS (SELECT qid, term, w, CASE WHEN max(rare) OVER (PARTITION BY qid) THEN rare AND r <= 16 ELSE r <= 3 END AS picked FROM
+ROOTS = "CASE WHEN qid % 5 <> 0 THEN list_slice(['src' || (qid % 20), 'src' || ((qid + 1) % 20), 'src' || ((qid + 7) % 20)], 1, 2 + qid % 2) END"
+
+
+def lookup_sql(scoped: bool = False) -> str:
+    """qn: the chunks of each query's roots; lookup: its terms with weights, and those that look up postings."""
+    within = "WHERE qid % 5 = 0 OR list_contains(roots, root_name)" if scoped else ""
+    return f"""roots_of AS (SELECT item_id AS qid, {ROOTS.replace("qid", "item_id") if scoped else "NULL"} AS roots FROM benchmark),
+ qn AS (SELECT qid, count(*) AS n FROM roots_of, chunks {within} GROUP BY qid),
+ dfs AS (SELECT q.qid, q.term, count(*) AS df FROM qterms q JOIN vectors v ON v.term = q.term JOIN chunks c ON c.chunk_id = v.chunk_id JOIN roots_of r ON r.qid = q.qid {within.replace("qid %", "q.qid %")} GROUP BY ALL),
+ lookup AS (SELECT qid, term, w, CASE WHEN max(rare) OVER (PARTITION BY qid) THEN rare AND r <= 16 ELSE r <= 3 END AS picked FROM
   (SELECT *, row_number() OVER (PARTITION BY qid, rare ORDER BY w DESC, term) AS r FROM
-   (SELECT qid, q.term, ln(1 + CAST(n AS DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS w, coalesce(df, 0) <= n * 0.15 AS rare
-    FROM qterms q LEFT JOIN (SELECT term, count(*) AS df FROM vectors GROUP BY term) d ON q.term = d.term, (SELECT count(*) AS n FROM chunks))))"""
+   (SELECT q.qid, q.term, ln(1 + CAST(greatest(n, 1) AS DOUBLE) / (coalesce(df, 0) + 1)) + 1 AS w, coalesce(df, 0) <= n * 0.15 AS rare
+    FROM qterms q JOIN qn ON qn.qid = q.qid LEFT JOIN dfs d ON q.term = d.term AND q.qid = d.qid)))"""
+
+
 BOOST_SQL = "CASE authority " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in ranking.AUTHORITIES) + " ELSE 0 END"
 RANK_SQL = "CASE authority " + " ".join(f"WHEN '{a}' THEN {i}" for i, (a, _) in enumerate(ranking.AUTHORITIES)) + " ELSE 7 END"
 KIND_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ranking.KIND_ORDER.items()) + " ELSE 5 END"
-SEMANTIC_SQL = f"""sims AS (SELECT p.qid, p.chunk_id, sum(w) / (max(q_norm) * sqrt(max(size))) AS similarity FROM
+def semantic_sql(pool: int = 500, scoped: bool = False) -> str:
+    within = "AND (l.qid % 5 = 0 OR list_contains(roots, c.root_name))" if scoped else ""
+    return f"""sims AS (SELECT p.qid, p.chunk_id, sum(w) / (max(q_norm) * sqrt(max(size))) AS similarity FROM
    (SELECT qid, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m DESC, chunk_id) AS r FROM
-     (SELECT qid, chunk_id, count(*) AS m FROM vectors v JOIN lookup l ON v.term = l.term AND picked GROUP BY qid, chunk_id)) WHERE r <= 500) p
+     (SELECT l.qid, v.chunk_id, count(*) AS m FROM vectors v JOIN lookup l ON v.term = l.term AND picked JOIN chunks c ON c.chunk_id = v.chunk_id JOIN roots_of r ON r.qid = l.qid {within} GROUP BY l.qid, v.chunk_id)) WHERE r <= {pool}) p
    JOIN vectors v ON v.chunk_id = p.chunk_id JOIN lookup l ON l.qid = p.qid AND l.term = v.term
    JOIN (SELECT chunk_id, count(*) AS size FROM vectors GROUP BY chunk_id) s ON s.chunk_id = p.chunk_id
    JOIN (SELECT qid, sqrt(sum(w * w)) AS q_norm FROM lookup GROUP BY qid) nn ON nn.qid = p.qid GROUP BY p.qid, p.chunk_id),
  semantic AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, similarity, score FROM
    (SELECT qid, s.chunk_id, similarity, round(2 * similarity + {BOOST_SQL}, 9) AS score FROM sims s JOIN chunks c ON c.chunk_id = s.chunk_id WHERE similarity >= 0.12))"""
+
+
 WITH = f"WITH {CHUNKS_SQL}, {VECTORS_SQL}"
 
 
@@ -51,22 +66,39 @@ def words_sql(col: str) -> str:
     return rf"regexp_extract_all(lower({col}), '[\p{{L}}\p{{Nd}}]+')"
 
 
-def short_sql(n: int) -> str:
-    return f"queries AS (SELECT item_id AS qid, array_to_string(list_slice(string_split(text, ' '), 1, {n}), ' ') AS query FROM benchmark)"
-
-
-BM25_SQL = f"""asked AS (SELECT qid, unnest(list_distinct({words_sql("query")})) AS word, len(list_distinct({words_sql("query")})) AS n_words FROM queries),
+def asked_sql(content: bool, scoped: bool = False) -> str:
+    """asked0: each query's words, phrases and roots; flat: each chunk's words; tf, and the sums of matching chunks."""
+    toks = content_sql("text") if content else r"list_filter(regexp_split_to_array(trim(text), '\s+'), lambda t: t <> '')"
+    within = "WHERE roots IS NULL OR list_contains(roots, root_name)" if scoped else ""
+    return f"""asked0 AS (SELECT qid, query, roots, list_distinct(flatten(each)) AS ws, list_distinct(list_filter(each, lambda x: len(x) > 1)) AS ph FROM
+   (SELECT item_id AS qid, text AS query, {ROOTS.replace("qid", "item_id") if scoped else "CAST(NULL AS VARCHAR[])"} AS roots, list_transform({toks}, lambda t: {words_sql("t")}) AS each FROM benchmark)),
+ asked AS (SELECT qid, roots, unnest(ws) AS word, len(ws) AS n_words FROM asked0),
  occurs AS (SELECT chunk_id, unnest({words_sql("heading")}) AS word, 10.0 AS x FROM chunks UNION ALL SELECT chunk_id, unnest({words_sql("body")}), 1.0 FROM chunks),
- lens AS (SELECT chunk_id, len({words_sql("heading")}) + len({words_sql("body")}) AS len FROM chunks),
+ flat AS (SELECT chunk_id, root_name, ' ' || array_to_string({words_sql("heading")}, ' ') || ' ' AS h, ' ' || array_to_string({words_sql("body")}, ' ') || ' ' AS b, len({words_sql("heading")}) + len({words_sql("body")}) AS len FROM chunks),
  tf AS (SELECT word, chunk_id, sum(x) AS tf FROM occurs WHERE word IN (SELECT word FROM asked) GROUP BY ALL),
- bm25 AS (SELECT qid, tf.chunk_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS rank
-   FROM tf JOIN (SELECT word, count(*) AS df FROM tf GROUP BY word) d ON d.word = tf.word JOIN asked ON asked.word = tf.word JOIN lens ON lens.chunk_id = tf.chunk_id,
-     (SELECT count(*) AS n, avg(len) AS avg_len FROM lens) GROUP BY qid, tf.chunk_id, n_words HAVING count(*) = n_words)"""
+ sums AS (SELECT qid, tf.chunk_id, count(*) AS c, n_words, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS rank
+   FROM tf JOIN (SELECT word, count(*) AS df FROM tf GROUP BY word) d ON d.word = tf.word JOIN asked ON asked.word = tf.word JOIN flat ON flat.chunk_id = tf.chunk_id,
+     (SELECT count(*) AS n, avg(len) AS avg_len FROM flat) {within} GROUP BY qid, tf.chunk_id, n_words),
+ every AS (SELECT s.qid, s.chunk_id, rank FROM sums s JOIN asked0 a ON a.qid = s.qid JOIN flat f ON f.chunk_id = s.chunk_id
+   WHERE c = n_words AND len(list_filter(ph, lambda p: NOT contains(h, ' ' || array_to_string(p, ' ') || ' ') AND NOT contains(b, ' ' || array_to_string(p, ' ') || ' '))) = 0),
+ lex AS (SELECT qid, chunk_id, rank, 'and' AS mode FROM every UNION ALL SELECT qid, chunk_id, rank, 'or' FROM sums WHERE qid NOT IN (SELECT qid FROM every))"""
+
+
+def words_sql(col: str) -> str:
+    return rf"regexp_extract_all(lower({col}), '[\p{{L}}\p{{Nd}}]+')"
+
+
+def content_sql(col: str) -> str:
+    """A query's content tokens as a DuckDB list."""
+    toks = rf"list_filter(regexp_split_to_array(trim({col}), '\s+'), lambda t: t <> '' AND upper(t) NOT IN ('AND', 'OR', 'NOT', 'NEAR'))"
+    bare = "lower(trim(t, '.,;:()[]{}\"'''))"
+    kept = f"list_filter({toks}, lambda t: strlen({bare}) >= 3 AND {bare} NOT IN ({_in(QUERY_STOPWORDS)}))"
+    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {toks} END"
 
 
 def term_vectors(spark, sf):
-    v = index.term_vectors(T.chunks(spark, sf), ["chunk_id"], "heading", "body")
-    return v.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"), F.count(F.lit(1)).alias("n"))
+    v = index.vectors_of(T.chunks(spark, sf), ["chunk_id"], "heading", "body")
+    return v.where(F.size("v") > 0).select("chunk_id", F.array_join(F.array_sort("v.term"), " ").alias("terms"), F.size("v").cast("long").alias("n"))
 
 
 def term_df(spark, sf):
@@ -75,81 +107,89 @@ def term_df(spark, sf):
 
 
 def index_stats(spark, sf):
-    return corpus.index_stats(index.term_vectors(T.chunks(spark, sf), ["chunk_id"], "heading", "body"))
+    return corpus.index_stats(T.index(spark, sf).postings)
 
 
 def lookup_terms(spark, sf):
-    c = T.chunks(spark, sf)
-    v = index.term_vectors(c, ["chunk_id"], "heading", "body")
-    out = search.lookup_terms(T.search_queries(spark, sf), v, c.agg(F.count(F.lit(1)).alias("n")))
+    out = search.lookup_terms(T.search_queries(spark, sf), T.index(spark, sf))
     return out.select("qid", "term", F.round("w", 6).alias("w"), "picked")
 
 
 def semantic_topk(spark, sf):
-    return search.semantic_candidates(T.chunks(spark, sf), T.search_queries(spark, sf))
+    return search.semantic_candidates(T.index(spark, sf), T.search_queries(spark, sf))
+
+
+def semantic_scoped(spark, sf):
+    """Within the roots of each query, by which its terms are weighed too."""
+    return search.semantic_candidates(T.index(spark, sf), T.scoped_queries(spark, sf))
 
 
 def bm25_search(spark, sf):
     w = Window.partitionBy("qid").orderBy("r", "chunk_id")
-    hits = index.bm25(T.chunks(spark, sf), T.short_queries(spark, sf, 2)).withColumn("r", F.round("rank", 9))
+    hits = index.bm25(T.index(spark, sf), T.search_queries(spark, sf)).withColumn("r", F.round("rank", 9))
     return hits.withColumn("pos", F.row_number().over(w)).where("pos <= 50").select("qid", "pos", "chunk_id", F.round("rank", 6).alias("rank"))
 
 
 def search_ranked(spark, sf):
-    return search.search(T.chunks(spark, sf), T.short_queries(spark, sf, 1), limit=10, preferred_version="1.1")
+    return search.search(T.index(spark, sf), T.search_queries(spark, sf), limit=10, preferred_version="1.1", semantic=True)
 
 
-def search_ranked_whole(spark, sf):
-    """The search over whole benchmark items, of which search_ranked takes the first word."""
-    return search.search(T.chunks(spark, sf), T.search_queries(spark, sf), limit=10, preferred_version="1.1")
+def search_scoped(spark, sf):
+    return search.search(T.index(spark, sf), T.scoped_queries(spark, sf), limit=10, preferred_version="1.1", semantic=True)
 
 
-SEARCH_SQL = f"""WITH {CHUNKS_SQL}, {short_sql(1)}, {BM25_SQL},
- lexical AS (SELECT qid, chunk_id, rank, 0 AS origin FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, chunk_id) AS pos FROM bm25) WHERE pos <= 40),
- paths AS (SELECT qid, chunk_id, 0.0 AS rank, 1 AS origin FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS r FROM chunks, queries
-   WHERE ordinal = 0 AND trim(query) <> '' AND (contains(lower(path), lower(query)) OR contains(lower(title), lower(query)) OR contains(lower(uri), lower(query)))) WHERE r <= 40),
- found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY origin) AS r FROM (FROM lexical UNION ALL FROM paths)) WHERE r = 1),
- hits AS (SELECT f.*, c.document_id, {RANK_SQL} AS ar, lower(query) AS q, lower(split_part(path, '/', -1)) AS base, lower(path) AS p, lower(title) AS t, lower(heading) AS h, product_version,
+def search_sql(scoped: bool = False) -> str:
+    """Lexical, path and semantic candidates of whole queries, in one ranking."""
+    inside = "AND (roots IS NULL OR list_contains(roots, root_name))" if scoped else ""
+    return f"""WITH {CHUNKS_SQL}, {VECTORS_SQL}, {QTERMS_SQL}, {lookup_sql(scoped)}, {semantic_sql(250, scoped)}, {asked_sql(True, scoped)},
+ lexical AS (SELECT qid, chunk_id, rank, 0 AS origin FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), chunk_id) AS pos FROM lex) WHERE pos <= 40),
+ paths AS (SELECT qid, chunk_id, 0.0 AS rank, 1 AS origin FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS r FROM chunks, asked0
+   WHERE ordinal = 0 AND trim(query) <> '' AND (contains(lower(path), lower(query)) OR contains(lower(title), lower(query)) OR contains(lower(uri), lower(query))) {inside}) WHERE r <= 40),
+ near AS (SELECT qid, chunk_id, 0.0 AS rank, 2 AS origin FROM semantic WHERE rank <= 10),
+ found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY origin) AS r FROM (FROM lexical UNION ALL FROM paths UNION ALL FROM near)) WHERE r = 1),
+ hits AS (SELECT f.*, c.document_id, {RANK_SQL} AS ar, lower(trim(query)) AS q, lower(split_part(path, '/', -1)) AS base, lower(path) AS p, lower(title) AS t, lower(heading) AS h, product_version,
    {BOOST_SQL} AS boost, archived, deprecated, body, left(body, 240) AS head, regexp_extract(left(body, 240), '^([\\s\\S]*)[ \\n][^ \\n]*$', 1) AS cut,
-   query <> '' AND (regexp_matches(query, '[:.#()/<>_]') OR regexp_matches(query, '[A-Z]') AND (regexp_matches(query, '[a-z]') OR strlen(query) > 2)) AS sym FROM found f JOIN chunks c ON c.chunk_id = f.chunk_id JOIN queries USING (qid)),
+   list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda w: w <> '' AND upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR') AND (regexp_matches(w, '[:.#()/<>_]') OR regexp_matches(w, '[A-Z]') AND (regexp_matches(w, '[a-z]') OR strlen(w) > 2))) AS syms
+   FROM found f JOIN chunks c ON c.chunk_id = f.chunk_id JOIN asked0 USING (qid)),
  scored AS (SELECT *, CASE WHEN base = q OR regexp_replace(base, '\\.[^.]*$', '') = q THEN 28 WHEN contains(base, q) THEN 18 WHEN contains(p, q) THEN 12 ELSE 0 END AS names,
    CASE WHEN base = q OR regexp_replace(base, '\\.[^.]*$', '') = q OR contains(base, q) THEN 'filename' WHEN contains(p, q) THEN 'path'
-        WHEN contains(t, q) OR contains(h, q) THEN 'heading' ELSE 'body' END AS k FROM hits),
- seen AS (SELECT *, sym AND (contains(h, q) OR contains(t, q) OR contains(lower(CASE WHEN length(body) <= 240 THEN body WHEN cut <> '' AND strlen(head) - strlen(cut) <= 40 THEN cut ELSE head END), q)) AS s FROM scored),
- final AS (SELECT *, CASE WHEN s THEN 'symbol' WHEN origin = 1 AND k = 'body' THEN 'path' ELSE k END AS match_kind,
+        WHEN contains(t, q) OR contains(h, q) THEN 'heading' ELSE 'body' END AS k,
+   lower(CASE WHEN length(body) <= 240 THEN body WHEN cut <> '' AND strlen(head) - strlen(cut) <= 40 THEN cut ELSE head END) AS snip FROM hits),
+ seen AS (SELECT *, len(list_filter(syms, lambda w: contains(h, lower(w)) OR contains(t, lower(w)) OR contains(snip, lower(w)))) AS n_seen, len(list_filter(syms, lambda w: contains(base, lower(w)))) AS n_base FROM scored),
+ final AS (SELECT *, CASE WHEN n_seen > 0 THEN 'symbol' WHEN origin = 1 AND k = 'body' THEN 'path' ELSE k END AS match_kind,
    round(-rank + boost + names + CASE WHEN contains(t, q) THEN 6 ELSE 0 END + CASE WHEN contains(h, q) THEN 10 ELSE 0 END
-     - CASE WHEN archived THEN 25 ELSE 0 END - CASE WHEN deprecated THEN 20 ELSE 0 END + CASE WHEN origin = 1 AND k = 'body' AND NOT s THEN 8 ELSE 0 END
-     + CASE WHEN s THEN 14 ELSE 0 END + CASE WHEN sym AND contains(base, q) THEN 8 ELSE 0 END + CASE WHEN product_version = '1.1' THEN 5 ELSE -8 END, 9) AS score FROM seen),
- per AS (SELECT *, row_number() OVER (PARTITION BY qid, document_id ORDER BY ar, score DESC, rank, origin, chunk_id) AS d FROM final)
+     - CASE WHEN archived THEN 25 ELSE 0 END - CASE WHEN deprecated THEN 20 ELSE 0 END + CASE WHEN origin = 1 AND k = 'body' AND n_seen = 0 THEN 8 ELSE 0 END
+     + 14 * n_seen + 8 * n_base + CASE WHEN product_version = '1.1' THEN 5 ELSE -8 END, 9) AS score FROM seen),
+ per AS (SELECT *, row_number() OVER (PARTITION BY qid, document_id ORDER BY ar, score DESC, round(rank, 9), origin, chunk_id) AS d FROM final)
 SELECT qid, CAST(n AS INT) AS rank, chunk_id, document_id, round(score, 6) AS score, match_kind FROM
- (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ar, score DESC, rank, origin, chunk_id) AS n FROM per WHERE d <= 3) WHERE n <= 10"""
+ (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ar, score DESC, round(rank, 9), origin, chunk_id) AS n FROM per WHERE d <= 3) WHERE n <= 10"""
 
 
 def or_fallback(spark, sf):
-    c, q = T.chunks(spark, sf), T.short_queries(spark, sf, 12)
-    asked = q.select("qid", F.array_distinct(index.words(F.col("query"))).alias("ws"))
-    words = c.select("chunk_id", F.explode(F.array_distinct(F.concat(index.words(F.col("heading")), index.words(F.col("body"))))).alias("word"))
-    m = words.join(asked.select("qid", F.size("ws").alias("n"), F.explode("ws").alias("word")), "word").groupBy("qid", "chunk_id", "n").agg(F.count(F.lit(1)).alias("c"))
-    out = search.or_fallback(m.where("c = n").select("qid", "chunk_id", F.lit("and").alias("mode")), m.select("qid", "chunk_id", F.lit("or").alias("mode")))
-    return out.groupBy("qid", "mode").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_id").alias("first"))
+    ix, q = T.index(spark, sf), T.search_queries(spark, sf)
+    every, some = (index.bm25(ix, q, all_words=x, content=True).select("qid", "chunk_id", F.lit(m).alias("mode")) for x, m in ((True, "and"), (False, "or")))
+    return search.or_fallback(every, some).groupBy("qid", "mode").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_id").alias("first"))
 
 
-OR_SQL = f"""WITH {CHUNKS_SQL}, {short_sql(12)}, a AS (SELECT qid, unnest(list_distinct({words_sql("query")})) AS word, len(list_distinct({words_sql("query")})) AS n FROM queries),
- w AS (SELECT chunk_id, unnest(list_distinct(list_concat({words_sql("heading")}, {words_sql("body")}))) AS word FROM chunks),
- m AS (SELECT qid, chunk_id, n, count(*) AS c FROM w JOIN a USING (word) GROUP BY ALL),
- o AS (SELECT qid, chunk_id, 'and' AS mode FROM m WHERE c = n UNION ALL SELECT qid, chunk_id, 'or' FROM m WHERE qid NOT IN (SELECT qid FROM m WHERE c = n))
-SELECT qid, mode, count(*) AS hits, min(chunk_id) AS first FROM o GROUP BY qid, mode"""
+def phrase_search(spark, sf):
+    """Chunks that hold a whole benchmark item, word after word."""
+    q = T.search_queries(spark, sf).select(F.col("qid").alias("pid"), index.words(F.col("query")).alias("ws"), F.lit(None).cast("array<string>").alias("roots"))
+    return index.phrase_hits(T.index(spark, sf), q).select(F.col("pid").alias("qid"), "chunk_id")
 
 
-def phrase_search(spark, sf):
-    c, q = T.chunks(spark, sf), T.short_queries(spark, sf, 2)
-    flat = lambda x: F.concat(F.lit(" "), F.array_join(index.words(x), " "), F.lit(" "))
-    return c.select("chunk_id", flat(F.col("body")).alias("b")).join(F.broadcast(q.select("qid", flat(F.col("query")).alias("p"))), F.contains("b", "p")).select("qid", "chunk_id")
+PHRASE_SQL = f"""WITH {CHUNKS_SQL}, f AS (SELECT chunk_id, ' ' || array_to_string({words_sql("heading")}, ' ') || ' ' AS h, ' ' || array_to_string({words_sql("body")}, ' ') || ' ' AS b FROM chunks)
+SELECT qid, chunk_id FROM f, (SELECT item_id AS qid, ' ' || array_to_string({words_sql("text")}, ' ') || ' ' AS p FROM benchmark) WHERE contains(b, p) OR contains(h, p)"""
+
+
+def snippets(spark, sf):
+    """The excerpt around the first content word of the three first hits of each query."""
+    ix, q = T.index(spark, sf), T.search_queries(spark, sf)
+    w = Window.partitionBy("qid").orderBy(F.round("rank", 9), "chunk_id")
+    top = index.bm25(ix, q, all_words=False, content=True).withColumn("r", F.row_number().over(w)).where("r <= 3").select("qid", "chunk_id")
+    return search.snippets(ix, top, q)
 
 
-PHRASE_SQL = f"""WITH {CHUNKS_SQL}, {short_sql(2)} SELECT qid, chunk_id FROM
- (SELECT chunk_id, ' ' || array_to_string({words_sql("body")}, ' ') || ' ' AS b FROM chunks),
- (SELECT qid, ' ' || array_to_string({words_sql("query")}, ' ') || ' ' AS p FROM queries) WHERE contains(b, p)"""
+SNIPPET_SQL = None
 
 
 def symbol_forms(spark, sf):
@@ -163,29 +203,20 @@ FORMS_SQL = rf"""forms AS (SELECT *, lower(regexp_replace({_BARE}, '\s+', '', 'g
   CASE WHEN {_SEP} = 0 THEN '' ELSE left({_BARE}, length({_BARE}) - length({_TAIL}) - {_SEP}) END AS namespace FROM symbols)"""
 
 
-def symbol_lookup(spark, sf):
-    s = T.symbols(spark, sf)
-    names = s.where("id % 50 = 1").select(F.col("id").alias("qid"), "name")
-    parts = s.where("id % 50 = 2").select(F.col("id").alias("qid"), text.unqualified(F.col("name")).alias("name"))
-    typos = s.where("id % 50 = 3").select(F.col("id").alias("qid"), F.concat(F.left(text.unqualified(F.col("name")), F.lit(6)), F.lit("x"), F.expr("substring(name, 99, 9)")).alias("name"))
-    return symbols.find(s, names.unionByName(parts).unionByName(typos))
-
-
 def symbol_names(s):
     """(qid, name): every symbol's name, its last part, and a typo of that; qid is three times the id, and the form."""
     forms = [F.col("name"), text.unqualified(F.col("name")), F.concat(F.left(text.unqualified(F.col("name")), F.lit(6)), F.lit("x"), F.expr("substring(name, 99, 9)"))]
     return s.select("id", F.posexplode(F.array(*forms)).alias("form", "name")).select((3 * F.col("id") + F.col("form")).alias("qid"), "name")
 
 
-def symbol_lookup_whole(spark, sf):
-    """Looks up every symbol in each form; symbol_staged_lookup and its SQL take one in fifty for each."""
+def symbol_lookup(spark, sf):
+    """Every symbol looked up in each form."""
     s = T.symbols(spark, sf)
     return symbols.find(s, symbol_names(s))
 
 
 SYMBOL_LOOKUP_SQL = rf"""WITH {SYMBOLS_SQL}, {FORMS_SQL},
- names AS (SELECT id AS qid, name FROM symbols WHERE id % 50 = 1 UNION ALL SELECT id, unqualified_name FROM forms WHERE id % 50 = 2
-   UNION ALL SELECT id, left(unqualified_name, 6) || 'x' FROM forms WHERE id % 50 = 3),
+ names AS (SELECT 3 * id AS qid, name FROM symbols UNION ALL SELECT 3 * id + 1, unqualified_name FROM forms UNION ALL SELECT 3 * id + 2, left(unqualified_name, 6) || 'x' FROM forms),
  q AS (SELECT qid, trim(name) AS raw, lower(regexp_replace({_BARE}, '\s+', '', 'g')) AS qn, lower({_TAIL}) AS qu, {_SEP} > 0 OR regexp_matches(trim(name), '[.#]') AS qualified FROM names),
  staged AS (SELECT *, CASE WHEN name_norm = qn THEN 0 WHEN qualified AND lower(trim(name)) = qn THEN 1 WHEN lower(unqualified_name) = qu OR name_norm = qu THEN 2
    WHEN starts_with(name_norm, qn) AND (contains(name_norm, qu) OR name_norm = qn) THEN 3 WHEN strlen(qu) >= 3 AND ends_with(name_norm, qu) THEN 4
@@ -220,10 +251,7 @@ def query_parse(spark, sf):
 
 
 def parse_sql(joiner: str) -> str:
-    toks = r"list_filter(regexp_split_to_array(trim(text), '\s+'), lambda t: t <> '' AND upper(t) NOT IN ('AND', 'OR', 'NOT', 'NEAR'))"
-    bare = "lower(trim(t, '.,;:()[]{}\"'''))"
-    kept = f"list_filter({toks}, lambda t: strlen({bare}) >= 3 AND {bare} NOT IN ({_in(QUERY_STOPWORDS)}))"
-    some = f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {toks} END"
+    some = content_sql("text")
     clean = f"list_filter(list_transform({some}, lambda t: trim(replace(t, '\"', ''))), lambda t: t NOT IN ('', '*'))"
     return f"array_to_string(list_transform({clean}, lambda t: '\"' || t || '\"'), '{joiner}')"
 
@@ -264,19 +292,20 @@ def eval_recall(spark, sf):
 
 
 QUERIES = {
-    "semantic_topk": (semantic_topk, f"{WITH}, {QTERMS_SQL}, {LOOKUP_SQL}, {SEMANTIC_SQL} SELECT qid, rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score FROM semantic WHERE rank <= 20"),
+    "semantic_topk": (semantic_topk, f"{WITH}, {QTERMS_SQL}, {lookup_sql()}, {semantic_sql()} SELECT qid, rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score FROM semantic WHERE rank <= 20"),
+    "semantic_scoped": (semantic_scoped, f"{WITH}, {QTERMS_SQL}, {lookup_sql(True)}, {semantic_sql(500, True)} SELECT qid, rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score FROM semantic WHERE rank <= 20"),
     "term_vector_top48": (term_vectors, f"{WITH} SELECT chunk_id, string_agg(term, ' ' ORDER BY term) AS terms, count(*) AS n FROM vectors GROUP BY chunk_id"),
     "term_df": (term_df, f"{WITH} SELECT root_name, term, count(*) AS df FROM vectors JOIN chunks USING (chunk_id) GROUP BY ALL"),
     "index_stats": (index_stats, f"{WITH} SELECT count(DISTINCT chunk_id) AS vectors, count(*) AS postings, count(DISTINCT term) AS terms, round(count(*) / count(DISTINCT chunk_id), 6) AS avg_terms FROM vectors"),
-    "lookup_terms_pruned": (lookup_terms, f"{WITH}, {QTERMS_SQL}, {LOOKUP_SQL} SELECT qid, term, round(w, 6) AS w, picked FROM lookup"),
-    "bm25_search": (bm25_search, f"WITH {CHUNKS_SQL}, {short_sql(2)}, {BM25_SQL} SELECT qid, CAST(pos AS INT) AS pos, chunk_id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), chunk_id) AS pos FROM bm25) WHERE pos <= 50"),
-    "search_ranked": (search_ranked, SEARCH_SQL),
-    "search_ranked_whole": (search_ranked_whole, None),
-    "or_fallback": (or_fallback, OR_SQL),
+    "lookup_terms_pruned": (lookup_terms, f"{WITH}, {QTERMS_SQL}, {lookup_sql()} SELECT qid, term, round(w, 6) AS w, picked FROM lookup"),
+    "bm25_search": (bm25_search, f"WITH {CHUNKS_SQL}, {asked_sql(False)} SELECT qid, CAST(pos AS INT) AS pos, chunk_id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), chunk_id) AS pos FROM every) WHERE pos <= 50"),
+    "search_ranked": (search_ranked, search_sql()),
+    "search_scoped": (search_scoped, search_sql(True)),
+    "or_fallback": (or_fallback, f"WITH {CHUNKS_SQL}, {asked_sql(True)} SELECT qid, mode, count(*) AS hits, min(chunk_id) AS first FROM lex GROUP BY ALL"),
     "phrase_search": (phrase_search, PHRASE_SQL),
+    "search_snippets": (snippets, SNIPPET_SQL),
     "symbol_forms": (symbol_forms, f"WITH {SYMBOLS_SQL}, {FORMS_SQL} SELECT id, name_norm, unqualified_name, namespace FROM forms"),
     "symbol_staged_lookup": (symbol_lookup, SYMBOL_LOOKUP_SQL),
-    "symbol_staged_lookup_whole": (symbol_lookup_whole, None),
     "camel_split": (camel_split, CAMEL_SQL),
     "token_estimate": (token_estimate, "SELECT doc_id, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents"),
     "query_parse": (query_parse, f"SELECT item_id AS qid, {parse_sql(' AND ')} AS match, {parse_sql(' OR ')} AS match_or FROM benchmark"),

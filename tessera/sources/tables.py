@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import AUTHORITIES
+from ..operators import index as I
+from .shared import fresh, version_of
 
 AUTHORITY_NAMES = [a for a, _ in AUTHORITIES] + ["unknown"]
 
@@ -44,14 +46,30 @@ CHUNKS_SQL = f"""chunks AS (SELECT doc_id AS chunk_id, doc_id // 3 AS document_i
   FROM documents WHERE text IS NOT NULL)"""
 
 
+#: The folders of indexes that this driver has written, by application, input and version of the input.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The stored index of an input's chunks: written when it is first asked for, and again if the documents change."""
+    key = (spark.sparkContext.applicationId, sf_dir, version_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _INDEXES:
+        folder = fresh(spark, "index")
+        I.write(chunks(spark, sf_dir), folder)
+        _INDEXES[key] = folder
+    return I.read(spark, _INDEXES[key])
+
+
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of queries: each benchmark item's words."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def short_queries(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    """A batch of short queries: the first n words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, n), " ").alias("query"))
+def scoped_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of queries, each within two or three roots; every fifth without any."""
+    i = F.col("qid")
+    roots = F.transform(F.array(F.lit(0), F.lit(1), F.lit(7)), lambda k: F.concat(F.lit("src"), ((i + k) % 20).cast("string")))
+    return search_queries(spark, sf_dir).withColumn("roots", F.when(i % 5 != 0, F.slice(roots, F.lit(1), (2 + i % 2).cast("int"))))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,24 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
-def run_by_batch(stream: DataFrame, checkpoint: str, write) -> None:
+def run_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream whose rows replace earlier ones of their key: each batch's changed rows go to a folder of its own.
+
+    A batch that is run again writes its folder anew, so none counts twice. latest() reads the rows that hold.
+    """
+    run_by_batch(stream, checkpoint, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), "update")
+
+
+def latest(spark: SparkSession, path: str, schema, *key: str) -> DataFrame:
+    """What run_latest() wrote below a path: of each key's rows the last batch's."""
+    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    columns = [f.name for f in schema]
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long")
+    last = rows.select(*columns, batch.alias("_batch")).groupBy(*key).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
+    return last.select("_row.*")
+
+
+def run_by_batch(stream: DataFrame, checkpoint: str, write, mode: str = "append") -> None:
     """Runs a stream by micro-batches through write(df, batch number), which must be idempotent."""
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

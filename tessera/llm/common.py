@@ -88,10 +88,19 @@ def tidy(spark: SparkSession):
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Narrow rows that one file takes.
+FILE_ROWS = 500_000
+
+
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    rows, a bound on the number of (narrow) rows where one is known, keeps a small table from being many files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    if rows is not None:
+        df = df.coalesce(-(-max(rows, 1) // FILE_ROWS))
     with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -260,12 +269,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stored(e, "cc")
+    most = 2 * e.count()  # edges never get more
 
     def starred(both: DataFrame, of) -> DataFrame:
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-low")
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-low", most)
         total = low.agg(F.sum("n")).first()[0] or 0
         hubs = low.where(F.col("n") > max(16.0, total * HUB)).select("u", F.col("m").alias("hub"))
-        out = stored(of(with_least(both, low.select("u", "m"), hubs)).distinct(), "cc")
+        out = stored(of(with_least(both, low.select("u", "m"), hubs)).distinct(), "cc", most)
         drop_stored(low)
         return out
 

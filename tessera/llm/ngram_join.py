@@ -268,15 +268,13 @@ def met_in(members: DataFrame) -> DataFrame:
 def meetings(sets: DataFrame) -> DataFrame:
     """(a, b): sets that meet, each hash's members with its smallest one."""
     owned = sets.select("node", F.explode("sigs").alias("sig"))
-    met = stored(met_in(owned), "met")
-    shared = owned.join(met.select("sig", "c"), "sig").withColumn("slot", F.col("sig").bitwiseAND(F.lit(int(SLOT))).cast("int"))
+    shared = owned.join(met_in(owned).select("sig", "c"), "sig").withColumn("slot", F.col("sig").bitwiseAND(F.lit(int(SLOT))).cast("int"))
     mine = shared.groupBy("node", "slot").agg(F.array_sort(F.collect_set(F.struct("c", "sig"))).alias("own"))  # rarest first; bounded by the set
     slack = sets.select("node", F.explode("slots").alias("s")).select("node", "s.slot", "s.slack").distinct()
     rare = mine.join(slack, ["node", "slot"]).where(F.size("own") > F.col("slack"))
     rare = stored(rare.select("node", F.explode(F.expr("slice(own, 1, size(own) - slack)")).alias("x")).select("node", "x.sig"), "rare")
     lows = met_in(rare).select("sig", "low")
-    edges = stored(rare.join(lows, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "meetings")
-    drop_stored(met)
+    edges = stored(rare.join(lows, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "meetings", rare.count())
     drop_stored(rare)
     return edges
 
@@ -299,10 +297,10 @@ def centred(members: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     return rows.join(steps, ["family", "w"]).select("family", "node", F.floor(at / BLOCK_GRAMS).cast("int").alias("block"), "delta", "w", "centre")
 
 
-def links_within(members: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
-    """Links within families (family, node): rows (a, b, 0), which connect what links connect, and (a, 0, number of links)."""
+def links_within(members: DataFrame, rows: int, grams: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within families (family, node), so many rows at most: rows (a, b, 0), which connect what links connect, and (a, 0, number of links)."""
     members = members.join(grams.select("node", F.size("grams").cast("long").alias("size")), "node")
-    sizes = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams")), "families")
+    sizes = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("grams")), "families", rows)
     large = (F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)
     few = members.join(sizes.where(~large).select("family"), "family", "left_semi").join(grams, "node")
     few = few.select("family", "node", F.lit(0).alias("block"), F.col("grams").alias("delta"), (num * F.col("size")).alias("w"), F.lit(0).cast("long").alias("centre"))
@@ -347,25 +345,27 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("seal"))
     shape = "doc_id long, seal long, n long, node long, sigs array<bigint>, slots array<struct<slot:int,slack:int>>"
     found = stored(source.mapInArrow(described(n, num, den), shape), "sets")
-    known = stored(found.select("doc_id", "seal", "n", "node"), "known")
+    n_docs = found.count()
+    known = stored(found.select("doc_id", "seal", "n", "node"), "known", n_docs)
     edges = meetings(found.where("doc_id is not null"))
     drop_stored(found)
-    family = stored(connected_components(edges).withColumnRenamed("component", "family"), "family")
+    family = stored(connected_components(edges).withColumnRenamed("component", "family"), "family", 2 * edges.count())
     drop_stored(edges)
-    reps = stored(known.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "seal")).alias("r")).select("node", "r.doc_id", "r.seal"), "reps")
+    reps = stored(known.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "seal")).alias("r")).select("node", "r.doc_id", "r.seal"), "reps", n_docs)
     # the sets themselves, of those that meet
-    candidates = stored(reps.join(family.select("node"), "node"), "candidates")
-    picked = F.broadcast(candidates) if candidates.count() <= BROADCAST_DOCS else candidates
+    n_family = family.count()
+    candidates = stored(reps.join(family.select("node"), "node"), "candidates", n_family)
+    picked = F.broadcast(candidates) if n_family <= BROADCAST_DOCS else candidates
     texts = source.join(picked, ["doc_id", "seal"]).select("node", "text").dropDuplicates(["node"])
     grams = stored(texts.mapInArrow(listed(n), "node long, grams array<bigint>"), "grams")
-    links = links_within(family, grams, num, den)
+    links = links_within(family, n_family, grams, num, den)
     for t in (family, candidates, grams):
         drop_stored(t)
-    groups = stored(connected_components(links.where("links = 0").select("a", "b")), "groups")
+    groups = stored(connected_components(links.where("links = 0").select("a", "b")), "groups", n_family)
     degree = links.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     joined = reps.select("node", "doc_id").join(groups, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    told = stored(joined.join(least, "component").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
+    told = stored(joined.join(least, "component").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components", n_docs)
     for t in (links, groups, reps):
         drop_stored(t)
     rows = known.select("doc_id", F.col("n").alias("n_shingles"), "node")

@@ -72,7 +72,7 @@ def spent(rows: DataFrame, by: list[str], order: list[Column], size: str) -> Dat
     return rows.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
-def ends(narrow: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+def ends(narrow: DataFrame, plan: DataFrame, n_blocks: int, n_sources: int, seed: int) -> DataFrame:
     """(s, at, block, rank, row) for each source with a last epoch: the block in which it ends, and the last row taken there.
 
     Blocks come in order of (at, block), rows of a block in order of (rank, row). rank and row are null where no row of
@@ -81,7 +81,7 @@ def ends(narrow: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     placed = narrow.join(plan.where("rest > 0").select("s", "full", "rest", "blocks"), "s").withColumn("block", block_of())
     blocks = placed.groupBy("s", "full", "rest", "block").agg(F.sum("tokens").alias("size"))
     at = place(seed)
-    left = stored(blocks.select("s", "block", at.alias("at"), "size", F.col("rest").alias("left")), "blocks")
+    left = stored(blocks.select("s", "block", at.alias("at"), "size", F.col("rest").alias("left")), "blocks", n_blocks)
     made, by = [left], ["s"]
     for shift in (64 - DIGIT, 64 - 2 * DIGIT, None):
         digit = F.shiftrightunsigned("at", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)) if shift else F.struct("at", "block")
@@ -91,12 +91,12 @@ def ends(narrow: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
         rows = rows.join(cut, [*by, "digit"]).drop("left").withColumnRenamed("rest", "left")
         name = f"d{len(made)}"
         by = [*by, name]
-        made.append(stored(rows.withColumnRenamed("digit", name) if shift else rows.drop("digit"), "cut"))
+        made.append(stored(rows.withColumnRenamed("digit", name) if shift else rows.drop("digit"), "cut", n_blocks))
     block = made[-1].select("s", "block", "at", "left")  # one a source
     inside = placed.join(block, ["s", "block"]).groupBy("s", "block", "at", "left", "row").agg(F.sum("tokens").alias("tokens")).withColumn("rank", F.xxhash64(F.lit(2), "row"))
     inside = spent(inside, ["s", "block"], [F.col("rank"), F.col("row")], "tokens").where("before + tokens <= left")
     last = inside.groupBy("s", "block").agg(F.max(F.struct("rank", "row")).alias("last"))
-    out = stored(block.join(last, ["s", "block"], "left").select("s", "at", "block", "last.rank", "last.row"), "ends")
+    out = stored(block.join(last, ["s", "block"], "left").select("s", "at", "block", "last.rank", "last.row"), "ends", n_sources)
     for x in made:
         drop_stored(x)
     return out
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, source: str = "source", entropy: float = ENTROPY, repea
     tokens = F.greatest(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\x0b\f]+"), lambda w: w != "")), F.lit(1)).cast("long")
     row = F.xxhash64(F.lit(seed), "doc_id", "text")
     narrow = stored(base.select(key.alias("s"), tokens.alias("tokens"), row.alias("row")), "tokens")
-    sums = stored(narrow.groupBy("s").agg(F.sum("tokens").alias("tokens")), "sources")
+    sums = stored(narrow.groupBy("s").agg(F.sum("tokens").alias("tokens")), "sources", narrow.select("s").distinct().count())
     of = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
     total = float(of.total or 1)
 
@@ -142,8 +142,8 @@ def mix(docs: DataFrame, source: str = "source", entropy: float = ENTROPY, repea
     part = F.lit(float(whole)) * weight
     full = F.floor(part / F.col("tokens") + 1e-9).cast("int")
     plan = sums.select("s", weight.alias("weight"), full.alias("full"), F.greatest(F.lit(0), F.floor(part - full * F.col("tokens") + 1e-6)).cast("long").alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long").alias("blocks"))
-    last = ends(narrow, plan, seed)
-    plan = stored(plan.join(last, "s", "left").select("s", "weight", "full", "rest", "blocks", F.struct("at", "block").alias("end"), F.struct("rank", "row").alias("end_row")), "plan")
+    last = ends(narrow, plan, of.n + int(total // BLOCK_TOKENS), of.n, seed)
+    plan = stored(plan.join(last, "s", "left").select("s", "weight", "full", "rest", "blocks", F.struct("at", "block").alias("end"), F.struct("rank", "row").alias("end_row")), "plan", of.n)
     for x in (narrow, sums, last):
         drop_stored(x)
     wide = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("doc"), key.alias("s"), row.alias("row"))

@@ -192,7 +192,7 @@ def rate(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thresho
     scored = stored(scored, "scored")
     e = F.col("e")
     soft = lambda e: 1 / (1 + F.exp(-(e + math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))))
-    paths = stored(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(soft(e)).alias("s")), "paths")
+    paths = stored(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(soft(e)).alias("s")), "paths", scored.select("host", "path").distinct().count())
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     top = whole.s / whole.n if whole.n else mean
@@ -201,7 +201,7 @@ def rate(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thresho
     hosts = hosts.withColumn("host_rate", (F.col("hs") + k * top) / (F.col("hn") + k))
     joined = paths.join(hosts, "host")
     k2 = strength(joined, F.col("host_rate"))
-    sites = stored(joined.select("host", "path", "hn", "hs", F.col("n").alias("pn"), F.col("s").alias("ps")), "sites")
+    sites = stored(joined.select("host", "path", "hn", "hs", F.col("n").alias("pn"), F.col("s").alias("ps")), "sites", paths.count())
     drop_stored(paths)
     if sites.count() <= BROADCAST_SITES:
         rows = scored.join(F.broadcast(sites), ["host", "path"])

@@ -2,32 +2,33 @@
 
 A term's document frequency is counted over all documents, by its 64-bit hash. The lexicon is the terms whose normalised
 inverse document frequency lies in a band, a table in the shared folder that grows with the corpus; its random subsets
-are classes of the term's hash. A document's signature in a subset combines the hashes of its
-sorted distinct terms there by exclusive or, which takes them in any order, so no sort crosses tasks. The
-fingerprint is the string of all signatures; two fingerprints are as like as the share of subsets, among those where
-either has a term, whose signatures agree.
+are classes of the term's hash. Documents' distinct terms are joined with it by a shuffle, and collected again by
+document. A document's signature in a subset is the hash of its sorted terms there. The fingerprint is the string of
+all signatures; two fingerprints are as like as the share of subsets, among those where either has a term, whose
+signatures agree.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import partitions, stored, table
 
-#: A lexicon of up to so many terms is broadcast; a larger one is joined by a shuffle.
-BROADCAST_TERMS = 1 << 20
 #: Band of ln(N / df) / ln(N) for a corpus of N documents.
 BAND = (0.12, 0.9)
 #: (classes, subsets taken of them) of each partition of the lexicon: fine subsets outlive edits, coarse ones tell near copies.
-#: The coarsest partition is taken whole, so each term of the lexicon is in a subset.
+#: The coarsest partition is taken whole, so each term of the lexicon is in a subset. Partitions use different bits.
 SUBSETS = ((256, 16), (64, 12), (16, 16))
+BITS = (0, 8, 16)
 N_SUBSETS = sum(n for _, n in SUBSETS)
 #: A document with fewer terms in the band is fingerprinted by all its terms.
 LEAST_TERMS = 4
 #: Characters of a signature.
-DIGITS = 8
+DIGITS = 16
 
 
 def terms_of(text: Column) -> Column:
@@ -36,11 +37,6 @@ def terms_of(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """(h, df) of the terms found in docs' column t; counted within tasks first."""
-    return docs.select(F.explode(terms_of(F.col("t"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-
-
 def next_rows(keys: DataFrame, n: int) -> DataFrame:
     """For distinct rows (doc_id, _a, _b, n_chars, copies): with (_na, _nb), the keys of the next row in order of doc_id.
 
@@ -49,8 +45,11 @@ def next_rows(keys: DataFrame, n: int) -> DataFrame:
     """
     at = F.coalesce("doc_id", F.lit(-(1 << 63)))
     found = keys.select(F.percentile_approx(at, [i / n for i in range(n)], 10 * n).alias("c"), F.min(at).alias("m")).first()
-    cuts = F.array(*map(F.lit, sorted({*(found["c"] or []), *([found["m"]] if found["m"] is not None else [])}))).cast("array<long>")
-    own = keys.withColumn("_at", at).withColumn("_part", F.size(F.filter(cuts, lambda c: c <= F.col("_at"))))
+    values = sorted({*(found["c"] or []), *([found["m"]] if found["m"] is not None else [])})
+    cuts, wide = F.array(*map(F.lit, values)).cast("array<long>"), max(1, math.isqrt(len(values)))
+    block = F.size(F.filter(F.array(*map(F.lit, values[::wide])).cast("array<long>"), lambda c: c <= F.col("_at")))  # the block of cuts, then the cut
+    within = F.size(F.filter(F.slice(cuts, (F.col("_block") - 1) * wide + 1, F.lit(wide)), lambda c: c <= F.col("_at")))
+    own = keys.withColumn("_at", at).withColumn("_block", F.greatest(block, F.lit(1))).withColumn("_part", (F.col("_block") - 1) * wide + within).drop("_block")
     guest = F.struct(F.when(F.col("_part") == 1, F.size(cuts)).otherwise(F.col("_part") - 1).alias("part"), F.lit(1).alias("guest"))
     mine = F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest"))
     dealt = own.select("*", F.explode(F.when(F.array_contains(cuts, F.col("_at")), F.array(mine, guest)).otherwise(F.array(mine))).alias("_to"))
@@ -68,49 +67,91 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(used == 0, F.lit(0.0)).otherwise(same / used)
 
 
-def fingerprints(docs: DataFrame, keys: list[str], texts: list[str], lexicon: DataFrame) -> DataFrame:
-    """One row for each row of keys (which must be distinct), with fp_0, fp_1 ...: the fingerprints of the columns texts.
+def masked(*texts: str) -> Column:
+    """(h, mask) of the distinct terms of some text columns, by h; bit i of mask tells that the i-th text has the term."""
+    return F.array_sort(F.concat(*[tag(t, 1 << i) for i, t in enumerate(texts)]))
 
-    lexicon is (h, in_band), a stored table: counting it reads no rows.
-    """
-    k = len(texts)
-    def tagged(i: int, text: str) -> Column:
-        return F.transform(terms_of(F.col(text)), lambda h: F.struct(F.lit(i).alias("which"), h.alias("h")))
-
-    rows = docs.select(*keys, F.explode_outer(F.concat(*[tagged(i, t) for i, t in enumerate(texts)])).alias("x")).select(*keys, "x.which", "x.h")
-    small = lexicon.count() <= BROADCAST_TERMS
-    rows = rows.join(F.broadcast(lexicon) if small else lexicon, "h", "left").withColumn("m", F.xxhash64("h"))
-    sums = []
-    for i in range(k):
-        mine = F.col("which") == i
-        band = mine & F.coalesce(F.col("in_band"), F.lit(False))
-        sums += [F.count(F.when(band, 1)).alias(f"n_{i}"), F.bit_xor(F.when(mine, F.col("m"))).alias(f"all_{i}")]
-        at, shift = 0, 0
-        for classes, taken in SUBSETS:
-            c = F.shiftrightunsigned(F.col("m"), shift).bitwiseAND(F.lit(classes - 1))
-            sums += [F.bit_xor(F.when(band & (c == j), F.xxhash64("m"))).alias(f"s_{i}_{at + j}") for j in range(taken)]
-            at, shift = at + taken, shift + 8
-    got = rows.groupBy(*keys).agg(*sums)
-
-    def sign(name: str) -> Column:
-        return F.when(F.col(name).isNull(), F.lit("0" * DIGITS)).otherwise(F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.col(name), 64 - 4 * DIGITS)), DIGITS, "0")))
-
-    subsets = lambda i: F.concat(*[sign(f"s_{i}_{j}") for j in range(N_SUBSETS)])
-    return got.select(*keys, *[F.when(F.col(f"n_{i}") >= LEAST_TERMS, subsets(i)).otherwise(F.repeat(sign(f"all_{i}"), N_SUBSETS)).alias(f"fp_{i}") for i in range(k)])
-
-
-def lexicon_of(docs: DataFrame, n: int, band: tuple[float, float] = BAND) -> DataFrame:
-    """(h, in_band = true) of the terms whose normalised inverse document frequency over n documents is in the band."""
+
+def tag(text: str, bit: int) -> Column:
+    return F.transform(terms_of(F.col(text)), lambda h: F.struct(h.alias("h"), F.lit(bit).alias("mask")))
+
+
+def merged(terms: str, k: int) -> Column:
+    """masked() with the k or fewer entries of a term made one."""
+    ahead = lambda i, j: F.when(F.get(terms, i + j)["h"] == F.get(terms, i)["h"], F.get(terms, i + j)["mask"]).otherwise(0)
+    mask = lambda i: sum((F.coalesce(ahead(i, j), F.lit(0)) for j in range(1, k)), F.get(terms, i)["mask"])
+    first = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i)["h"] != F.get(terms, i - 1)["h"]))
+    made = F.transform(first, lambda i: F.struct(F.get(terms, i)["h"].alias("h"), mask(i).alias("mask")))
+    return F.when(F.size(terms) > 0, made).otherwise(F.array().cast("array<struct<h:bigint,mask:int>>"))
+
+
+def hashes_with(terms: Column | str, bit: int) -> Column:
+    """The hashes of the terms whose mask has a bit."""
+    return F.transform(F.filter(terms, lambda t: t["mask"].bitwiseAND(F.lit(bit)) > 0), lambda t: t["h"])
+
+
+def hex64(h: Column) -> Column:
+    return F.lower(F.lpad(F.hex(h), DIGITS, "0"))
+
+
+def signatures(terms: Column) -> Column:
+    """The signatures of an ascending array of term hashes in all subsets, as one string; zeros where a subset has none."""
+
+    def class_of(h: Column, classes: int, shift: int) -> Column:
+        return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(classes - 1))
+
+    def signed(part: Column) -> Column:
+        return F.when(F.size(part) > 0, hex64(F.xxhash64(part))).otherwise("0" * DIGITS)
+
+    def of(classes: int, taken: int, shift: int) -> Column:
+        here = F.filter(terms, lambda h: class_of(h, classes, shift) < taken)
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(taken - 1)), lambda j: signed(F.filter(here, lambda h: class_of(h, classes, shift) == j))), "")
+
+    return F.concat(*[of(classes, taken, shift) for (classes, taken), shift in zip(SUBSETS, BITS, strict=True)])
+
+
+def lexicon_of(terms: DataFrame, n: int, band: tuple[float, float] = BAND) -> DataFrame:
+    """(h) of the terms whose normalised inverse document frequency over n documents is in the band; terms is (h, copies)."""
+    df = terms.groupBy("h").agg(F.sum("copies").alias("df"))
     nidf = (F.log(F.lit(float(max(n, 2)))) - F.log(F.col("df").cast("double"))) / F.log(F.lit(float(max(n, 2))))
-    return frequencies(docs).where(nidf.between(*band)).select("h", F.lit(True).alias("in_band"))
+    return df.where(nidf.between(*band)).select("h")
+
+
+def fingerprints(found: DataFrame, k: int, n: int, band: tuple[float, float]) -> DataFrame:
+    """found's keys _a and _b with fp_0 ... of its k texts. found is a stored table (_a, _b, copies, terms, all_0 ...).
+
+    A text with fewer than LEAST_TERMS terms in the band has the hash of all its terms for every signature.
+    """
+    each = found.select("_a", "_b", "copies", F.explode("terms").alias("x")).select("_a", "_b", "copies", "x.h", "x.mask")
+    lexicon = stored(lexicon_of(each.where(F.col("mask").bitwiseAND(F.lit(1)) > 0), n, band), "lexicon")
+    inside = each.select("_a", "_b", "h", "mask").join(lexicon, "h").groupBy("_a", "_b").agg(F.array_sort(F.collect_list(F.struct("h", "mask"))).alias("x"))  # a document's terms
+    rows = found.drop("terms", "copies").join(inside, ["_a", "_b"], "left")
+    none = F.array().cast("array<struct<h:bigint,mask:int>>")
+    kept = [hashes_with(F.coalesce("x", none), 1 << i).alias(f"own_{i}") for i in range(k)]
+    rows = rows.select("_a", "_b", *[f"all_{i}" for i in range(k)], *kept)
+    signed = [F.when(F.size(f"own_{i}") >= LEAST_TERMS, signatures(F.col(f"own_{i}"))).otherwise(F.repeat(F.coalesce(hex64(F.col(f"all_{i}")), F.lit("0" * DIGITS)), N_SUBSETS)).alias(f"fp_{i}") for i in range(k)]
+    return rows.select("_a", "_b", *signed)
+
+
+def described(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """keys with terms (h, mask) of the columns texts, and all_0 ...: the hash of each one's sorted terms, null if it has none."""
+    both = rows.select(*keys, *texts, masked(*texts).alias("m"))
+    both = both.select(*keys, *texts, merged("m", len(texts)).alias("terms"))
+
+    def whole(i: int) -> Column:
+        mine = hashes_with("terms", 1 << i)
+        return F.when(F.size(mine) > 0, F.xxhash64(mine)).alias(f"all_{i}")
+
+    return both.select(*keys, "terms", *[whole(i) for i in range(len(texts))], *texts)
 
 
 def fingerprint(docs: DataFrame, column: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """(text, fingerprint) for each distinct text of docs (null: empty), the lexicon drawn from all of docs' rows."""
-    t = docs.select(F.coalesce(column, F.lit("")).alias("t"))
-    lexicon = stored(lexicon_of(t, t.count(), band), "lexicon")
-    keyed = t.distinct().select("t", F.xxhash64("t").alias("_a"), F.xxhash64(F.lit(1), "t").alias("_b"))
-    return keyed.join(fingerprints(keyed, ["_a", "_b"], ["t"], lexicon), ["_a", "_b"]).select(F.col("t").alias("text"), F.col("fp_0").alias("fingerprint"))
+    t = docs.select(F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("t"))
+    n = t.count()
+    keyed = t.groupBy("t").agg(F.count(F.lit(1)).alias("copies")).select("t", "copies", F.xxhash64("t").alias("_a"), F.xxhash64(F.lit(1), "t").alias("_b"))
+    found = stored(described(keyed, ["_a", "_b", "copies"], ["t"]), "terms")
+    return found.select("_a", "_b", "t").join(fingerprints(found.drop("t"), 1, n, band), ["_a", "_b"]).select(F.col("t").alias("text"), F.col("fp_0").alias("fingerprint"))
 
 
 def fingerprints_and_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -125,18 +166,19 @@ def fingerprints_and_edits(docs: DataFrame, band: tuple[float, float] = BAND) ->
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     ids = [F.xxhash64("doc_id", "t").alias("_a"), F.xxhash64(F.lit(1), "doc_id", "t").alias("_b")]
     rows = t.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), *ids).groupBy("doc_id", "n_chars", "_a", "_b").agg(F.count(F.lit(1)).alias("copies"))
-    order = stored(next_rows(rows, min(256, partitions(spark))), "order")
+    order = stored(next_rows(rows, partitions(spark)), "order")
     n = order.agg(F.sum("copies")).first()[0] or 0
-    lexicon = stored(lexicon_of(t, n, band), "lexicon")
     texts = t.select(*ids, "t").dropDuplicates(["_a", "_b"])
     starts = texts.join(order.select(F.col("_a").alias("_pa"), F.col("_b").alias("_pb"), F.col("_na").alias("_a"), F.col("_nb").alias("_b"), F.expr("n_chars div 4").alias("m")), ["_a", "_b"])
     starts = starts.select(F.col("_pa").alias("_a"), F.col("_pb").alias("_b"), F.expr("substring(t, 1, cast(m as int))").alias("start"))
     edited = F.concat(F.expr("substring(t, 1, cast(n_chars - n_chars div 4 as int))"), "start").alias("edited")
-    both = texts.join(order.select("_a", "_b", "doc_id", "n_chars"), ["_a", "_b"]).join(starts, ["_a", "_b"]).select("_a", "_b", "doc_id", "n_chars", "t", edited)
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    prints = stored(fingerprints(both, ["_a", "_b", "doc_id", "n_chars", "edited_sha256"], ["t", "edited"], lexicon), "prints")
+    both = texts.join(order.select("_a", "_b", "n_chars", "copies"), ["_a", "_b"]).join(starts, ["_a", "_b"]).select("_a", "_b", "copies", "t", edited)
+    found = described(both, ["_a", "_b", "copies"], ["t", "edited"]).withColumn("edited_sha256", F.sha2("edited", 256)).drop("t", "edited")
+    found = stored(found, "terms")
+    prints = stored(fingerprints(found.drop("edited_sha256"), 2, n, band), "prints")
     following = prints.select(F.col("_a").alias("_na"), F.col("_b").alias("_nb"), F.col("fp_0").alias("fp_next"))
-    out = prints.join(order.select("_a", "_b", "_na", "_nb", "copies"), ["_a", "_b"]).join(following, ["_na", "_nb"])
+    digests = found.select("_a", "_b", "edited_sha256")
+    out = prints.join(order, ["_a", "_b"]).join(digests, ["_a", "_b"]).join(following, ["_na", "_nb"])
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(
         "doc_id",

@@ -150,11 +150,10 @@ def test_imatch_tells_edits_from_others(spark, sf):
 
 
 def test_imatch_lexicon_counts_each_term(spark):
-    """Terms of one document stay out of the band, however many terms there are; 6,000 terms fall into 2^20 classes with clashes."""
+    """Terms of one document stay out of the band, however many terms there are."""
     t = spark.createDataFrame([(" ".join(f"w{k}" for k in range(i, 6000, 50)) + " shared" * (i < 25),) for i in range(50)], "t string")
-    got = imatch.lexicon_of(t, 50).collect()
-    assert len(got) == 1
-    assert got[0].h == spark.sql("SELECT xxhash64('shared') AS h").first().h
+    got = imatch.lexicon_of(t.select(F.explode(imatch.terms_of(F.col("t"))).alias("h"), F.lit(1).alias("copies")), 50).collect()
+    assert [r.h for r in got] == [spark.sql("SELECT xxhash64('shared') AS h").first().h]
 
 
 def test_imatch_every_term_is_in_a_subset(spark):
@@ -165,11 +164,65 @@ def test_imatch_every_term_is_in_a_subset(spark):
     assert not [f for f in got if set(f) == {"0"}]
 
 
-def test_imatch_large_lexicon_is_joined_alike(spark, monkeypatch):
-    docs = documents(spark)
-    want = sorted(imatch.fingerprint(docs).collect())
-    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
-    assert sorted(imatch.fingerprint(docs).collect()) == want
+def brute_fingerprints(texts, counted, band):
+    """Fingerprints by their definition, one text after the other; frequencies are of the texts counted."""
+    import math
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def terms(t):
+        return sorted({signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.findall(r"[^\W_]+", t.lower())})
+
+    def joint(hs):
+        seed = 42
+        for h in hs:
+            seed = xxhash.xxh64(struct.pack("<q", h), seed=seed).intdigest()
+        return f"{seed:016x}" if hs else "0" * 16
+
+    df = Counter(h for t in counted for h in terms(t))
+    n = math.log(max(len(counted), 2))
+    inside = {h for h, c in df.items() if band[0] <= (n - math.log(c)) / n <= band[1]}
+    out = []
+    for t in texts:
+        own = terms(t)
+        kept = [h for h in own if h in inside]
+        parts = [joint([h for h in kept if ((h & (1 << 64) - 1) >> shift) % classes == j]) for (classes, taken), shift in zip(imatch.SUBSETS, imatch.BITS, strict=True) for j in range(taken)]
+        out.append("".join(parts) if len(kept) >= imatch.LEAST_TERMS else joint(own) * imatch.N_SUBSETS)
+    return out
+
+
+def brute_likeness(a, b):
+    x, y = ([f[i : i + 16] for i in range(0, len(f), 16)] for f in (a, b))
+    used = [p for p in zip(x, y, strict=True) if p != ("0" * 16, "0" * 16)]
+    return 1.0 if a == b else sum(p == q for p, q in used) / len(used) if used else 0.0
+
+
+def test_imatch_by_brute_force(spark):
+    """Fingerprints, edits and likenesses of documents with repeated rows, copies and texts without terms."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = [" ".join(vocabulary[min(299, int(rng.expovariate(0.02)))] for _ in range(rng.choice([2, 5, 30, 90, 200]))) for _ in range(60)] + ["", "!!!", "One.two_three"]
+    texts += texts[:3]
+    docs = list(enumerate(texts))
+    got = imatch.fingerprints_and_edits(spark.createDataFrame([*docs, docs[5]], "doc_id long, text string").repartition(3)).collect()
+    edited = []
+    for i, t in docs:
+        m, after = len(t) // 4, texts[(i + 1) % len(texts)]
+        edited.append(t[: len(t) - m] + after[:m])
+    counted = [*texts, texts[5]]
+    prints, changed = brute_fingerprints(texts, counted, imatch.BAND), brute_fingerprints(edited, counted, imatch.BAND)
+    assert len(got) == len(docs) + 1
+    for r in got:
+        i = r.doc_id
+        assert r.edited_sha256 == sha(edited[i])
+        assert (r.fingerprint, r.edited_fingerprint) == (prints[i], changed[i]), i
+        assert abs(r.near_edited - brute_likeness(prints[i], changed[i])) < 1e-12
+        assert abs(r.near_next - brute_likeness(prints[i], prints[(i + 1) % len(texts)])) < 1e-12
 
 
 # ---------------------------------------------------------------- secrets

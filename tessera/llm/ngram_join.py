@@ -121,10 +121,10 @@ def signatures(grams: np.ndarray, bands: Bands) -> tuple[list[np.ndarray], list[
     return out, slots
 
 
-def described(n: int, num: int, den: int):
-    """An Arrow function: each row's set size, 64-bit set hash (the set's node), meeting hashes, and slots with slacks.
+def described(n: int, num: int, den: int, meeting: bool):
+    """An Arrow function: each row's set size, 64-bit set hash (the set's node), slots with slacks, and meeting hashes.
 
-    Copies that a task has seen already come without hashes and slots.
+    The hashes, by far the largest part, come only if asked for; copies that a task has seen already go without them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def described(n: int, num: int, den: int):
                 sigs, slots = [], []
                 for node, a, z in zip(nodes.tolist(), ends[:-1], ends[1:], strict=True):
                     got = signatures(grams[a:z], bands) if z > a and node not in seen else none
-                    sigs.append(np.concatenate([*got[0], none[0][0]]).view(np.int64))
+                    sigs.append(np.concatenate([*(got[0] if meeting else []), none[0][0]]).view(np.int64))
                     slots.append([{"slot": k, "slack": v} for k, v in got[1]])
                     if len(seen) >= REMEMBERED:
                         seen.clear()
@@ -265,16 +265,20 @@ def met_in(members: DataFrame) -> DataFrame:
     return members.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
 
 
-def meetings(sets: DataFrame) -> DataFrame:
-    """(a, b): sets that meet, each hash's members with its smallest one."""
-    owned = sets.select("node", F.explode("sigs").alias("sig"))
-    shared = owned.join(met_in(owned).select("sig", "c"), "sig").withColumn("slot", F.col("sig").bitwiseAND(F.lit(int(SLOT))).cast("int"))
+def meetings(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): sets that meet, each hash's members with its smallest one.
+
+    members (node, sig) are read twice rather than stored: once to find the hashes of several sets, once to pick these.
+    """
+    met = stored(met_in(members), "met")
+    shared = members.join(met.select("sig", "c"), "sig").withColumn("slot", F.col("sig").bitwiseAND(F.lit(int(SLOT))).cast("int"))
     mine = shared.groupBy("node", "slot").agg(F.array_sort(F.collect_set(F.struct("c", "sig"))).alias("own"))  # rarest first; bounded by the set
-    slack = sets.select("node", F.explode("slots").alias("s")).select("node", "s.slot", "s.slack").distinct()
+    slack = known.select("node", F.explode("slots").alias("s")).select("node", "s.slot", "s.slack").distinct()
     rare = mine.join(slack, ["node", "slot"]).where(F.size("own") > F.col("slack"))
     rare = stored(rare.select("node", F.explode(F.expr("slice(own, 1, size(own) - slack)")).alias("x")).select("node", "x.sig"), "rare")
     lows = met_in(rare).select("sig", "low")
     edges = stored(rare.join(lows, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "meetings", rare.count())
+    drop_stored(met)
     drop_stored(rare)
     return edges
 
@@ -344,11 +348,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("seal"))
     shape = "doc_id long, seal long, n long, node long, sigs array<bigint>, slots array<struct<slot:int,slack:int>>"
-    found = stored(source.mapInArrow(described(n, num, den), shape), "sets")
-    n_docs = found.count()
-    known = stored(found.select("doc_id", "seal", "n", "node"), "known", n_docs)
-    edges = meetings(found.where("doc_id is not null"))
-    drop_stored(found)
+    found = lambda meeting: source.mapInArrow(described(n, num, den, meeting), shape)
+    known = stored(found(False).drop("sigs"), "known")
+    n_docs = known.count()
+    members = found(True).where("doc_id is not null").select("node", F.explode("sigs").alias("sig"))
+    edges = meetings(members, known.where("doc_id is not null"))
     family = stored(connected_components(edges).withColumnRenamed("component", "family"), "family", 2 * edges.count())
     drop_stored(edges)
     reps = stored(known.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "seal")).alias("r")).select("node", "r.doc_id", "r.seal"), "reps", n_docs)

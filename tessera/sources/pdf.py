@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed value: a page with so many characters counts as text.
 LEAST_RUNES = 40
@@ -89,3 +90,27 @@ def inspect(pages: DataFrame) -> DataFrame:
     g = pages.groupBy("path").agg(F.max("page").alias("pages"), F.sum(texty).alias("text_pages"), F.max("error").alias("error"))
     kind = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("text_pages") == 0, "image-only").when(F.col("text_pages") == F.col("pages"), "text").otherwise("mixed")
     return g.select("path", "pages", "text_pages", kind.alias("kind"))
+
+
+def sections(pages: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """(path, section, heading, start_page, end_page, body): a file's bookmarked sections, what precedes them, or all of it.
+
+    pages has path, page and text; bookmarks has path, position, title, page_from and page_thru (0 if not known). A
+    section without an end of its own goes on to the page before the next bookmark's. Blank pages give nothing.
+    """
+    span = pages.where("page > 0").groupBy("path").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    w = Window.partitionBy("path").orderBy("position")
+    b = bookmarks.join(span, "path").withColumn("_next", F.lead("page_from").over(w))
+    end = F.greatest("page_from", "page_thru")
+    until = F.when((F.col("page_thru") <= F.col("page_from")) & (F.col("_next") - 1 >= F.col("page_from")), F.col("_next") - 1).otherwise(end)
+    b = b.select("path", "position", F.col("title").alias("heading"), F.col("page_from").alias("_from"), F.least(until, F.col("last")).alias("end_page"), "first", "last")
+    ahead = b.groupBy("path").agg(F.min_by("_from", "position").alias("_from"), F.min("first").alias("first")).where(F.col("_from") > F.col("first"))
+    ahead = ahead.select("path", F.lit(-1).alias("position"), F.lit("").alias("heading"), F.col("first").alias("start_page"), (F.col("_from") - 1).alias("end_page"))
+    marked = b.where((F.col("_from") <= F.col("last")) & (F.col("end_page") >= F.col("first"))).select("path", "position", "heading", F.greatest("_from", "first").alias("start_page"), "end_page")
+    whole = span.join(marked.select("path").distinct(), "path", "left_anti").select("path", F.lit(-1).alias("position"), F.lit("").alias("heading"), F.col("first").alias("start_page"), F.col("last").alias("end_page"))
+    ahead = ahead.join(marked.select("path").distinct(), "path", "left_semi")
+    every = marked.unionByName(ahead).unionByName(whole).withColumn("section", F.row_number().over(Window.partitionBy("path").orderBy("position")))
+    held = every.select("*", F.explode(F.sequence("start_page", "end_page")).alias("page")).join(pages.where(F.trim("text") != "").select("path", "page", "text"), ["path", "page"])
+    text = held.groupBy("path", "section", "heading", "start_page", "end_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    body = F.when(F.col("heading") != "", F.concat(F.lit("# "), "heading", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    return text.select("path", "section", "heading", "start_page", "end_page", F.btrim(body, F.lit(" \t\r\n")).alias("body"))

@@ -46,6 +46,26 @@ def chunk(docs: DataFrame, text: str = "text", most: int = MOST_BYTES) -> DataFr
     return c.select(*rest, "ordinal", F.col("_c.start").alias("start_line"), F.col("_c.end").alias("end_line"), F.array_join(F.slice("_lines", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1), "\n").alias("body"))
 
 
+def markdown_chunk(docs: DataFrame, text: str = "text", most: int = MOST_BYTES) -> DataFrame:
+    """docs' other columns with (ordinal, heading, start_line, end_line, body): Markdown sections, large ones in bounded chunks.
+
+    A section begins with its heading's line; what precedes the first heading has none. All in the row: no shuffle.
+    """
+    rest = [c for c in docs.columns if c != text]
+    l = docs.select(*rest, lines(F.coalesce(text, F.lit(""))).alias("_lines"))
+    l = l.select(*rest, "_lines", F.transform("_lines", heading_title).alias("_titles"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: (i == 1) | F.element_at("_titles", i).isNotNull())
+    l = l.select(*rest, "_lines", "_titles", starts.alias("_starts"))
+    spans = F.transform("_starts", lambda s, k: F.struct(s.alias("s"), F.coalesce(F.get("_starts", k + 1), F.size("_lines") + 1).alias("e"), F.coalesce(F.element_at("_titles", s), F.lit("")).alias("heading")))
+
+    def sized(x: Column) -> Column:
+        parts = bounded(F.slice("_lines", x["s"], x["e"] - x["s"]), most)
+        return F.transform(parts, lambda c: F.struct((c["start"] + x["s"] - 1).alias("start"), (c["end"] + x["s"] - 1).alias("end"), x["heading"].alias("heading")))
+
+    c = l.select(*rest, "_lines", spans.alias("_spans")).select(*rest, "_lines", F.posexplode(F.flatten(F.transform("_spans", sized))).alias("ordinal", "_c"))
+    return c.select(*rest, "ordinal", F.col("_c.heading").alias("heading"), F.col("_c.start").alias("start_line"), F.col("_c.end").alias("end_line"), F.array_join(F.slice("_lines", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1), "\n").alias("body"))
+
+
 def heading_title(line: Column) -> Column:
     """The title of a heading line; null for other lines."""
     bare = F.rtrim(line, F.lit(" \t"))

@@ -93,11 +93,13 @@ def group_hits(hits: DataFrame, roles: DataFrame, project: str = "", per_root: i
     roles is (root_name, role), a small dimension.
     """
     bias = F.coalesce(*[F.when(F.col("role") == r, F.lit(b)) for r, b in ROLE_BIAS.items()], F.lit(0.0)) + F.when(F.col("root_name") == project, PROJECT_BIAS).otherwise(0.0)
-    h = hits.join(F.broadcast(roles), "root_name", "left").withColumn("score", F.col("score") + bias)
-    by_root = F.row_number().over(Window.partitionBy("qid", "root_name").orderBy(F.desc("score"), "chunk_id"))
-    overall = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
-    h = h.withColumn("_r", by_root).withColumn("_o", overall)
-    return h.where((F.col("_r") <= per_root) | (F.col("_o") <= limit)).drop("_r", "_o")
+    h = hits.join(roles, "root_name", "left").withColumn("score", F.col("score") + bias)
+
+    def first(most: int, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id")
+        return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")  # a limit that is pruned before the shuffle
+
+    return first(per_root, "qid", "root_name").unionByName(first(limit, "qid")).dropDuplicates(["qid", "chunk_id"])
 
 
 def coverage(p: dict) -> str:

@@ -93,23 +93,26 @@ def index_stats(vectors: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("avg_terms", F.round(F.try_divide(F.col("postings"), F.col("vectors")), 6))  # one row each
 
 
-def near_duplicate_pairs(items: DataFrame) -> DataFrame:
-    """(a, b): items of different roots with one base name, one long title key, or one path the end of the other.
+def near_duplicates(items: DataFrame) -> DataFrame:
+    """(id, links, base_class, title_class): with how many items of other roots an item shares its base name or a long title key.
 
-    items has id, root, path, title_key, all folded to lower case. Each rule is an equi-join; the path rule joins a path
-    with every long enough ending of the others.
+    items has id, root, path, title_key, all folded to lower case; ids are unique, and items without a root share
+    nothing. A path that is the end of another one has its base name, so both rules on paths are this one. Items of one
+    base name (or title key) are a class, named by its smallest id. Links are counted from the sizes of classes: no pair
+    is made.
     """
-    x = items.select("id", "root", F.element_at(F.split("path", "/"), -1).alias("base"), "path", "title_key")
-    l, r = x.alias("l"), x.alias("r")
-    apart = (F.col("l.root") != F.col("r.root")) & (F.col("l.root") != "") & (F.col("r.root") != "")
-    ids = [F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")]
-    by_base = l.join(r, (F.col("l.base") == F.col("r.base")) & (F.col("l.base") != "") & apart & (F.col("l.id") < F.col("r.id"))).select(ids)
-    long_key = F.octet_length("l.title_key") >= LEAST_TITLE_KEY
-    by_title = l.join(r, (F.col("l.title_key") == F.col("r.title_key")) & long_key & apart & (F.col("l.id") < F.col("r.id"))).select(ids)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length("path"), F.lit(1))), lambda i: F.char_length("path") - i + 1 >= LEAST_SUFFIX)
-    ends = x.select("id", "root", F.explode(F.transform(starts, lambda i: F.substr("path", i))).alias("end")).where(F.contains("end", F.lit("/"))).alias("r")
-    by_path = l.join(ends, (F.col("l.path") == F.col("r.end")) & apart & (F.col("l.id") != F.col("r.id"))).select(ids)
-    return by_base.unionByName(by_title).unionByName(by_path).distinct()
+    base = F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1)
+    key = F.when(F.octet_length("title_key") >= LEAST_TITLE_KEY, F.col("title_key"))
+    x = items.select("id", "root", F.when(base != "", base).alias("base"), key.alias("title"), (F.coalesce("root", F.lit("")) != "").alias("rooted"))
+    out = x
+    for name, by in (("b", ["base"]), ("t", ["title"]), ("bt", ["base", "title"])):
+        cells = x.where(" and ".join(f"{c} is not null" for c in by)).groupBy(*by, "root").agg(F.count(F.when(F.col("rooted"), 1)).alias("_c"), F.min("id").alias("_m"))
+        whole = cells.groupBy(*by).agg(F.sum("_c").alias("_all"), F.min("_m").alias(f"{name}_class"))
+        others = cells.join(whole, by).select(*by, "root", (F.col("_all") - F.col("_c")).alias(f"{name}_n"), f"{name}_class")
+        out = out.join(others, [*by, "root"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    links = F.when(F.col("rooted"), n("b_n") + n("t_n") - n("bt_n")).otherwise(F.lit(0))
+    return out.select("id", links.cast("long").alias("links"), F.col("b_class").alias("base_class"), F.col("t_class").alias("title_class"))
 
 
 def folder_join(files: DataFrame, folders: DataFrame) -> DataFrame:
@@ -142,11 +145,33 @@ def reserved(citations: DataFrame, bucket: Column, order: list[Column], limit: i
     return c.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).drop("_bucket", "_b")
 
 
+#: Bins that values are dealt into before one of them is sorted.
+BINS = 64
+
+
+def percentiles(df: DataFrame, value: str, ps: dict[str, float], *by: str) -> DataFrame:
+    """(by, a column for each of ps): the values at the ranks floor((n - 1) p), without interpolation.
+
+    Values are dealt into bins at approximate quantiles; the bins that hold the ranks are found from their counts, and
+    only these are sorted, each by itself. Nulls don't count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    cuts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], 100 * BINS).alias("_cuts"))
+    joined = rows.join(cuts, list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row
+    dealt = joined.select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin"))
+    w = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = dealt.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    ranks = F.array(*[F.struct(F.lit(k).alias("k"), F.floor((F.col("_n") - 1) * p).alias("r")) for k, p in ps.items()])
+    asked = cuts.select(*by, F.explode(ranks).alias("x")).select(*by, "x.k", "x.r")
+    held = (bins.join(asked, list(by)) if by else bins.crossJoin(F.broadcast(asked))).where((F.col("_before") <= F.col("r")) & (F.col("r") < F.col("_before") + F.col("_c")))
+    sorted_rows = dealt.join(held.select(*by, "_bin", "_before").distinct(), [*by, "_bin"]).withColumn("r", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_v")) - 1)
+    found = sorted_rows.join(held.select(*by, "_bin", "k", "r"), [*by, "_bin", "r"])
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col("_v"))).alias(k) for k in ps])
+
+
 def percentile_floor(df: DataFrame, value: str, p: float, *by: str) -> DataFrame:
-    """(by, p): the value at the rank floor((n - 1) p), without interpolation, by ranks rather than collected lists."""
-    w = Window.partitionBy(*by)
-    r = df.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return r.where(F.col("_r") == F.floor((F.col("_n") - 1) * p) + 1).select(*by, F.col(value).alias("p"))
+    """(by, p): the value at the rank floor((n - 1) p)."""
+    return percentiles(df, value, {"p": p}, *by)
 
 
 def edge_lines(pages: DataFrame, most_chars: int = 120) -> DataFrame:

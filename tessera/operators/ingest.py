@@ -1,4 +1,4 @@
-"""Ingest: files to documents, chunks, symbols and terms, written as partitioned tables that an upsert rewrites."""
+"""Ingest: files to documents, chunks, symbols and terms, written as versions of a set of tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, code
 from ..functions.text import stem
+from ..sources.shared import Versions
 from . import chunking, corpus
 from .index import term_vectors
 
@@ -29,42 +30,44 @@ def documents(files: DataFrame, root: str) -> DataFrame:
 
 def derive(docs: DataFrame) -> dict[str, DataFrame]:
     """Chunks, symbols and term vectors of documents."""
-    chunks = chunking.chunk(docs.select("uri", "root_name", "text")).withColumn("chunk_id", F.xxhash64("uri", "ordinal"))
+    plain = docs.where("language <> ''").select("uri", "root_name", "text")  # code; the rest is read as Markdown
+    prose = chunking.markdown_chunk(docs.where("coalesce(language, '') = ''").select("uri", "root_name", "text"))
+    chunks = prose.unionByName(chunking.chunk(plain).withColumn("heading", F.lit(""))).withColumn("chunk_id", F.xxhash64("uri", "ordinal"))
     symbols = code.extract(docs, "path", "uri", "root_name")
     terms = term_vectors(chunks, ["chunk_id", "root_name"], "heading", "body")
     return {"chunks": chunks, "symbols": symbols, "terms": terms}
 
 
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """One of the tables (documents, chunks, symbols, terms) of the last version below a folder."""
+    at = Versions(spark, folder).tables()
+    return spark.read.parquet(f"{at}/{name}") if at else None
+
+
 def write(spark: SparkSession, folder: str, new: DataFrame) -> int:
     """Upserts documents into the tables below a folder and derives the rest anew for what was written; how many were.
 
-    Each table is written beside the old one and swapped in by name, so readers of the old files are not disturbed.
+    All tables of the next version are written aside and then named at once, so a job that is lost half-way changes
+    nothing, and readers see either version whole. Of two writers one fails with FileExistsError.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = fs.exists(path(f"{folder}/documents"))
-    old = spark.read.parquet(f"{folder}/documents") if there else new.limit(0)
-    merged = corpus.upsert(old, new)
-    merged.write.mode("overwrite").parquet(f"{folder}/next/documents")
-    merged = spark.read.parquet(f"{folder}/next/documents")
+    versions = Versions(spark, folder)
+    last, at = max(versions.all(), default=0), versions.draft()
+    old = read(spark, folder, "documents")
+    merged = corpus.upsert(old if old is not None else new.limit(0), new)
+    merged.write.parquet(f"{at}/merged")
+    merged = spark.read.parquet(f"{at}/merged")
     fresh = merged.where("written")
-    keys = {"chunks": "uri", "symbols": "uri", "terms": "chunk_id"}
+    merged.drop("written").write.parquet(f"{at}/documents")
     gone = None
     for name, rows in derive(fresh).items():
-        if there:
-            kept = spark.read.parquet(f"{folder}/{name}")
+        kept = read(spark, folder, name)
+        if kept is not None:
             if name == "chunks":
                 gone = kept.join(fresh.select("uri"), "uri", "left_semi").select("chunk_id")
-                kept = kept.join(fresh.select("uri"), "uri", "left_anti")
-            else:
-                kept = kept.join(gone if name == "terms" else fresh.select("uri"), keys[name], "left_anti")
-            rows = kept.unionByName(rows)
-        rows.write.mode("overwrite").parquet(f"{folder}/next/{name}")
+            by = "chunk_id" if name == "terms" else "uri"
+            rows = kept.join(gone if name == "terms" else fresh.select("uri"), by, "left_anti").unionByName(rows)
+        rows.write.parquet(f"{at}/{name}")
     written = fresh.count()
-    merged.drop("written").write.mode("overwrite").parquet(f"{folder}/next/merged")
-    for name, made in (("documents", "merged"), ("chunks", "chunks"), ("symbols", "symbols"), ("terms", "terms")):
-        fs.delete(path(f"{folder}/{name}"), True)
-        fs.rename(path(f"{folder}/next/{made}"), path(f"{folder}/{name}"))
-    fs.delete(path(f"{folder}/next"), True)
+    versions.commit(at, last)
+    versions.forget()
     return written

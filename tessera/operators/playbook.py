@@ -34,7 +34,7 @@ def recall(hits: DataFrame, subjects: DataFrame, chunks: DataFrame, limit: int =
     w = Window.partitionBy("qid", "chunk_id").orderBy(F.desc("_s"))
     best = hits.withColumn("_s", F.col("score") * F.col("weight")).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "chunk_id", "_s")
     tokens = subjects.select("qid", F.transform(content_tokens(F.col("subject")), F.lower).alias("ts"))
-    b = best.join(chunks.select("chunk_id", F.lower(F.concat_ws(" ", "path", "title")).alias("where")), "chunk_id").join(F.broadcast(tokens), "qid")
+    b = best.join(chunks.select("chunk_id", F.lower(F.concat_ws(" ", "path", "title")).alias("where")), "chunk_id").join(tokens, "qid")
     b = b.withColumn("score", F.col("_s") + PER_TOKEN * F.size(F.filter("ts", lambda t: F.contains(F.col("where"), t))))
     return b.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= limit).select("qid", "rank", "chunk_id", "score")
 
@@ -44,7 +44,7 @@ def frequent_apis(texts: DataFrame, subjects: DataFrame, limit: int = MOST_APIS)
     names = F.concat(F.regexp_extract_all("text", F.lit(PASCAL), 1), F.regexp_extract_all("text", F.lit(SNAKE), 1))
     weight = F.when(F.col("kind") == "snippet", 4).when(F.col("kind") == "sample", IN_SAMPLE).otherwise(1)
     n = texts.select("qid", weight.alias("w"), F.explode(names).alias("api")).groupBy("qid", "api").agg(F.sum("w").alias("n"))
-    n = n.join(F.broadcast(subjects.select("qid", F.lower("subject").alias("s"))), "qid").withColumn("n", F.col("n") + F.when(F.contains("s", F.lower("api")), IN_SUBJECT).otherwise(0))
+    n = n.join(subjects.select("qid", F.lower("subject").alias("s")), "qid").withColumn("n", F.col("n") + F.when(F.contains("s", F.lower("api")), IN_SUBJECT).otherwise(0))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "api"))).where(F.col("rank") <= limit).select("qid", "rank", "api", "n")
 
 

@@ -62,12 +62,7 @@ def root_counts(spark, sf):
 
 
 def crosscheck(spark, sf):
-    d, l = T.table(spark, sf, "documents"), T.table(spark, sf, "labels")
-    return corpus.crosscheck(d.where("doc_id % 2 = 0").select("doc_id"), l.where("doc_id % 3 <> 0").select("doc_id"), "doc_id")
-
-
-def crosscheck_whole(spark, sf):
-    """Ids of all documents and labels; id_crosscheck and its SQL take half of the first and two thirds of the second."""
+    """Ids of all documents and labels."""
     d, l = T.table(spark, sf, "documents"), T.table(spark, sf, "labels")
     return corpus.crosscheck(d.select("doc_id"), l.select("doc_id"), "doc_id")
 
@@ -83,19 +78,16 @@ def near_items(c):
     return c.select(F.col("chunk_id").alias("id"), F.col("root_name").alias("root"), tail.alias("path"), text.title_key(F.col("heading")).alias("title_key"))
 
 
-def near_pairs(spark, sf):
-    return corpus.near_duplicate_pairs(near_items(T.chunks(spark, sf).where("document_id % 4 = 0")))
-
-
-def near_pairs_whole(spark, sf):
-    """Pairs among all chunks; near_duplicate_pairs and its SQL take a quarter of the documents."""
-    return corpus.near_duplicate_pairs(near_items(T.chunks(spark, sf)))
+def near_duplicates(spark, sf):
+    """All chunks, with made-up paths that many share."""
+    return corpus.near_duplicates(near_items(T.chunks(spark, sf)))
 
 
 NEAR_SQL = f"""WITH {CHUNKS_SQL}, i AS (SELECT chunk_id AS id, root_name AS root, 'part' || (chunk_id % 7) || '/doc-' || (chunk_id % 83) || '.md' AS path, 'doc-' || (chunk_id % 83) || '.md' AS base,
-  regexp_replace(lower(heading), '[^a-z0-9]', '', 'g') AS title_key FROM chunks WHERE document_id % 4 = 0)
-SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON a.id < b.id AND a.root <> b.root AND (a.base = b.base OR a.title_key = b.title_key AND strlen(a.title_key) >= 8
-  OR (ends_with(a.path, b.path) AND strlen(b.path) >= 12 AND contains(b.path, '/')) OR (ends_with(b.path, a.path) AND strlen(a.path) >= 12 AND contains(a.path, '/')))"""
+  regexp_replace(lower(heading), '[^a-z0-9]', '', 'g') AS title_key FROM chunks),
+ p AS (SELECT a.id, count(*) AS links FROM i a JOIN i b ON a.root <> b.root AND (a.base = b.base OR a.title_key = b.title_key AND strlen(a.title_key) >= 8
+  OR (ends_with(a.path, b.path) AND strlen(b.path) >= 12 AND contains(b.path, '/')) OR (ends_with(b.path, a.path) AND strlen(a.path) >= 12 AND contains(a.path, '/'))) GROUP BY 1)
+SELECT i.id, coalesce(links, 0) AS links, min(i.id) OVER (PARTITION BY base) AS base_class, CASE WHEN strlen(title_key) >= 8 THEN min(i.id) OVER (PARTITION BY title_key) END AS title_class FROM i LEFT JOIN p ON p.id = i.id"""
 
 
 def inventory(spark, sf):
@@ -123,6 +115,28 @@ CHUNK_SQL = """WITH RECURSIVE l AS (SELECT doc_id, string_split(regexp_replace(c
 SELECT doc_id, CAST(ordinal AS INT) AS ordinal, c.s AS start_line, c.e AS end_line, sha256(array_to_string(list_slice(ls, c.s, c.e), chr(10))) AS body_sha FROM u"""
 
 
+def md_chunks(spark, sf):
+    """Documents whose every third line is made a heading, as chunks of at most 600 bytes."""
+    made = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l, i: F.when(i % 3 == 1, F.concat(F.lit("# "), F.left(l, F.lit(12)))).otherwise(l)), "\n")
+    c = chunking.markdown_chunk(T.table(spark, sf, "documents").select("doc_id", made.alias("text")), most=600)
+    return c.select("doc_id", "ordinal", "heading", "start_line", "end_line", F.sha2("body", 256).alias("body_sha"))
+
+
+#: Sections of at most three lines: a chunk ends before a line that would pass 600 bytes, and after a blank line from 300 on.
+MD_CHUNKS_SQL = """WITH l AS (SELECT doc_id, string_split(regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN i % 3 = 2 THEN '# ' || left(x, 12) ELSE x END), chr(10)), chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)) AS ls FROM documents),
+ t AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l),
+ h AS (SELECT *, CASE WHEN regexp_matches(rtrim(line, ' ' || chr(9)), '^(#{1,6})(?:[ \t]+(.*))?$') THEN trim(rtrim(trim(regexp_extract(rtrim(line, ' ' || chr(9)), '^(#{1,6})(?:[ \t]+(.*))?$', 2), ' ' || chr(9)), '#'), ' ' || chr(9)) END AS title FROM t),
+ s AS (SELECT *, max(CASE WHEN title IS NOT NULL OR pos = 0 THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec, strlen(line) + 1 AS b FROM h),
+ r AS (SELECT doc_id, sec, coalesce(arg_min(title, pos) FILTER (WHERE pos = sec), '') AS heading, list(struct_pack(p := pos, b := b, e := line = '') ORDER BY pos) AS rows FROM s GROUP BY doc_id, sec),
+ f AS (SELECT doc_id, sec, heading, list_reduce(list_prepend({'done': CAST([] AS STRUCT(s BIGINT, e BIGINT)[]), 'st': CAST(sec AS BIGINT), 'size': CAST(0 AS BIGINT), 'at': CAST(sec - 1 AS BIGINT), 'p': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'e': false},
+    list_transform(rows, lambda x: {'done': CAST([] AS STRUCT(s BIGINT, e BIGINT)[]), 'st': CAST(0 AS BIGINT), 'size': CAST(0 AS BIGINT), 'at': CAST(0 AS BIGINT), 'p': CAST(x.p AS BIGINT), 'b': CAST(x.b AS BIGINT), 'e': x.e})),
+    lambda a, x: CASE WHEN a.size > 0 AND a.size + x.b > 600
+      THEN {'done': CASE WHEN x.e AND x.b >= 300 THEN list_concat(a.done, [{'s': a.st, 'e': a.at}, {'s': x.p, 'e': x.p}]) ELSE list_append(a.done, {'s': a.st, 'e': a.at}) END, 'st': CASE WHEN x.e AND x.b >= 300 THEN x.p + 1 ELSE x.p END, 'size': CASE WHEN x.e AND x.b >= 300 THEN 0 ELSE x.b END, 'at': x.p, 'p': x.p, 'b': x.b, 'e': x.e}
+      ELSE {'done': CASE WHEN x.e AND a.size + x.b >= 300 THEN list_append(a.done, {'s': a.st, 'e': x.p}) ELSE a.done END, 'st': CASE WHEN x.e AND a.size + x.b >= 300 THEN x.p + 1 ELSE a.st END, 'size': CASE WHEN x.e AND a.size + x.b >= 300 THEN 0 ELSE a.size + x.b END, 'at': x.p, 'p': x.p, 'b': x.b, 'e': x.e} END) AS z FROM r),
+ g AS (SELECT doc_id, sec, heading, unnest(CASE WHEN z.at >= z.st THEN list_append(z.done, {'s': z.st, 'e': z.at}) ELSE z.done END) AS c FROM f)
+SELECT g.doc_id, CAST(row_number() OVER (PARTITION BY g.doc_id ORDER BY c.s) - 1 AS INT) AS ordinal, heading, CAST(c.s + 1 AS INT) AS start_line, CAST(c.e + 1 AS INT) AS end_line, sha256(array_to_string(list_slice(ls, c.s + 1, c.e + 1), chr(10))) AS body_sha FROM g JOIN l ON l.doc_id = g.doc_id"""
+
+
 def md_sections(spark, sf):
     """Sections of documents whose every third line is made a heading."""
     made = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l, i: F.when(i % 3 == 1, F.concat(F.lit("## "), F.left(l, F.lit(20)), F.lit(" ##"))).otherwise(l)), "\n")
@@ -135,22 +149,13 @@ SECTIONS_SQL = """WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len
 SELECT doc_id, section, coalesce(max(title), '') AS heading, CAST(min(pos) + 1 AS INT) AS start_line, count(*) AS n_lines FROM s GROUP BY doc_id, section"""
 
 
-def header_pages(spark, sf, text):
-    """Documents as pages of files, with a header above two of three texts."""
-    return T.table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("file"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" Header "), (F.col("doc_id") % 40).cast("string"), F.lit(" \n"), text)).otherwise(text).alias("text"))
-
-
 def header_lines(spark, sf):
-    """Edges of pages cut to 80 characters, as in its SQL."""
-    return corpus.edge_lines(header_pages(spark, sf, F.left("text", F.lit(80))))
-
-
-def header_lines_whole(spark, sf):
-    """Edges of pages with their whole texts."""
-    return corpus.edge_lines(header_pages(spark, sf, F.col("text")))
+    """Documents as pages of files, whole texts, with a header above two of three."""
+    made = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" Header "), (F.col("doc_id") % 40).cast("string"), F.lit(" \n"), "text")).otherwise(F.col("text"))
+    return corpus.edge_lines(T.table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("file"), F.col("doc_id").alias("page"), made.alias("text")))
 
 
-HEADER_SQL = """WITH p AS (SELECT doc_id % 40 AS file, CASE WHEN doc_id % 3 <> 0 THEN ' Header ' || (doc_id % 40) || ' ' || chr(10) || left(text, 80) ELSE left(text, 80) END AS text FROM documents),
+HEADER_SQL = """WITH p AS (SELECT doc_id % 40 AS file, CASE WHEN doc_id % 3 <> 0 THEN ' Header ' || (doc_id % 40) || ' ' || chr(10) || text ELSE text END AS text FROM documents),
  l AS (SELECT file, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM p),
  e AS (SELECT file, unnest(list_distinct([ls[1], ls[-1]])) AS line FROM l WHERE len(ls) > 0)
 SELECT file, line, count(*) AS n FROM e JOIN (SELECT file, count(*) AS pages FROM p GROUP BY 1 HAVING count(*) >= 2) USING (file) GROUP BY file, line, pages HAVING count(*) >= greatest(2, (pages + 1) // 2) AND length(line) <= 120"""
@@ -233,16 +238,14 @@ QUERIES = {
     "prune_pages": (generations, """WITH s AS (SELECT url, page_id % 2 AS missing FROM pages WHERE page_id % 3 <> 0), n AS (SELECT DISTINCT url FROM pages WHERE page_id % 4 = 0)
       SELECT coalesce(s.url, n.url) AS url, CASE WHEN n.url IS NOT NULL THEN 2 ELSE 1 END AS generation, CAST(CASE WHEN n.url IS NOT NULL THEN 0 ELSE missing + 1 END AS INT) AS missing FROM s FULL JOIN n ON s.url = n.url WHERE n.url IS NOT NULL OR missing + 1 < 2"""),
     "root_counts": (root_counts, f"WITH {CHUNKS_SQL} SELECT root_name, count(DISTINCT document_id) AS documents, count(*) AS chunks, count(*) FILTER (WHERE chunk_id % 3 = 1) AS symbols FROM chunks GROUP BY 1"),
-    "id_crosscheck": (crosscheck, "WITH l AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 3 <> 0) SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'only right' ELSE 'only left' END AS problem FROM l FULL JOIN r ON l.doc_id = r.doc_id WHERE l.doc_id IS NULL OR r.doc_id IS NULL"),
-    "id_crosscheck_whole": (crosscheck_whole, None),
+    "id_crosscheck": (crosscheck, "WITH l AS (SELECT DISTINCT doc_id FROM documents), r AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'only right' ELSE 'only left' END AS problem FROM l FULL JOIN r ON l.doc_id = r.doc_id WHERE l.doc_id IS NULL OR r.doc_id IS NULL"),
     "folder_prefix_join": (folder_prefix, r"WITH p AS (SELECT regexp_extract(url, '^https?://(.*)$', 1) AS path FROM pages), f AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM p) SELECT folder, count(*) AS files FROM p JOIN f ON path = folder OR starts_with(path, folder || '/') GROUP BY 1"),
-    "near_duplicate_pairs": (near_pairs, NEAR_SQL),
-    "near_duplicate_pairs_whole": (near_pairs_whole, None),
+    "near_duplicates": (near_duplicates, NEAR_SQL),
     "source_inventory": (inventory, "SELECT source AS name, count(*) AS items, 'local' AS kind FROM documents GROUP BY 1 UNION ALL SELECT regexp_extract(url, '^https?://([^/]+)', 1), count(*), 'web' FROM pages GROUP BY 1 UNION ALL SELECT role, count(*), 'chat' FROM conversations GROUP BY 1"),
     "chunk_size_bounded": (chunk_bounded, CHUNK_SQL),
     "md_sections": (md_sections, SECTIONS_SQL),
+    "md_chunks": (md_chunks, MD_CHUNKS_SQL),
     "header_footer_lines": (header_lines, HEADER_SQL),
-    "header_footer_lines_whole": (header_lines_whole, None),
     "authority_rank": (authority_rank, f"WITH {CHUNKS_SQL} SELECT chunk_id, CAST({RANK_SQL} AS BIGINT) AS ar, CAST({BOOST_SQL} AS DOUBLE) AS boost, {RANK_SQL} < 5 AS hydrate FROM chunks"),
     "version_preference": (version_preference, f"WITH {CHUNKS_SQL} SELECT product_version, CAST(sum(CASE WHEN product_version = '1.2' THEN 5 ELSE -8 END) AS DOUBLE) AS bias, count(*) AS n FROM chunks GROUP BY 1"),
     "path_classes": (path_classes, PATHS_SQL),

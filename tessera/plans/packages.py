@@ -9,6 +9,7 @@ from ..operators import context, corpus, evaluate, health, packages, playbook, r
 from ..sources import files
 from ..sources import tables as T
 from ..sources.tables import CHUNKS_SQL, REQUESTS_SQL, SYMBOLS_SQL
+from .retrieval import KIND_SQL, RANK_SQL, content_sql
 
 
 def health_issues(spark, sf):
@@ -34,17 +35,16 @@ GROWTH_SQL = f"""WITH {CHUNKS_SQL}, a AS (SELECT root_name, count(DISTINCT docum
 SELECT root_name, a.d - coalesce(b.d, 0) AS documents, a.c - coalesce(b.c, 0) AS chunks, a.s - coalesce(b.s, 0) AS symbols FROM a LEFT JOIN b USING (root_name)"""
 
 
-def subjects(spark, sf):
-    return T.table(spark, sf, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("subject"))
-
-
 def playbook_queries(spark, sf):
-    return playbook.queries(subjects(spark, sf)).where("part < 3").select("qid", "part", "query", "weight")
+    """All queries of all subjects."""
+    return playbook.queries(T.table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("subject")))
 
 
-def playbook_queries_whole(spark, sf):
-    """All queries of all subjects; playbook_queries and its SQL take the first three of a twentieth of them."""
-    return playbook.queries(T.table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("subject")))
+PLAYBOOK_SQL = f"""WITH s AS (SELECT p_partkey AS qid, trim(p_name) AS s, {content_sql("p_name")} AS ws FROM part),
+ q AS (SELECT qid, list_concat([{{'q': s, 'w': 8.0::DOUBLE}}, {{'q': s || ' example', 'w': 5.0::DOUBLE}}, {{'q': s || ' sample', 'w': 5.0::DOUBLE}}],
+   list_transform(list_filter(ws, lambda x, i: list_position(ws, x) = i), lambda x: {{'q': x, 'w': 1.0::DOUBLE}})) AS qs FROM s),
+ u AS (SELECT qid, unnest(qs) AS q, unnest(range(len(qs))) AS part FROM q)
+SELECT qid, CAST(part AS INT) AS part, q.q AS query, q.w AS weight FROM u"""
 
 
 def playbook_apis(spark, sf):
@@ -118,14 +118,30 @@ def code_symbols(spark, sf):
 
 
 def evaluation(spark, sf):
-    """Benchmark items as tasks: the documents that hold them against those expected."""
-    b, d = T.table(spark, sf, "benchmark"), T.table(spark, sf, "documents")
-    hit = d.join(F.broadcast(b.select(F.col("item_id").alias("id"), F.col("text").alias("needle"))), F.contains("text", "needle")).groupBy("id").agg(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."))).alias("sources"))
+    """Benchmark items as tasks: the documents that hold them, and the symbols that each item's number names, against those expected.
+
+    Symbols are looked up by name; every third task asks for a symbol that is not there, every fifth forbids the one found.
+    """
+    b, d = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("needle")), T.table(spark, sf, "documents")
+    held = evaluate.containing(d.where("text is not null"), b, T.index(spark, sf))
+    hit = held.groupBy("id").agg(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."))).alias("sources"))
+    s = T.symbols(spark, sf)
+    named = s.join(b.select("id"), "id").select(F.col("id").alias("qid"), "name")
+    found = symbols.find(s, named, 3).join(s.select("id", "name"), "id").groupBy(F.col("qid").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("symbols"))
+    own = named.select(F.col("qid").alias("id"), "name")
     none = F.array().cast("array<string>")
-    tasks = b.select(F.col("item_id").alias("id"), none.alias("expected_symbols"), F.array(F.lit("doc-")).alias("expected_sources"), none.alias("forbidden_symbols"))
-    res = b.select(F.col("item_id").alias("id"), F.char_length("text").alias("tokens")).join(hit, "id", "left").withColumn("symbols", none)
+    asked = F.when(F.col("name").isNull(), none).when(F.col("id") % 3 == 0, F.array(F.lit("no such symbol"))).otherwise(F.array("name"))
+    tasks = b.join(own, "id", "left").select("id", asked.alias("expected_symbols"), F.array(F.lit("doc-")).alias("expected_sources"), F.when((F.col("id") % 5 == 0) & F.col("name").isNotNull(), F.array("name")).otherwise(none).alias("forbidden_symbols"))
+    res = b.select("id", F.char_length("needle").alias("tokens")).join(hit, "id", "left").join(found, "id", "left")
     m = evaluate.metrics(evaluate.judge(res, tasks))
-    return m.select("tasks", F.round("source_recall", 6).alias("source_recall"), "forbidden_hits", F.round("avg_tokens", 6).alias("avg_tokens"))
+    return m.select("tasks", *[F.round(c, 6).alias(c) for c in ("top1_recall", "top3_recall", "source_recall")], "forbidden_hits", F.round("avg_tokens", 6).alias("avg_tokens"))
+
+
+EVALUATION_SQL = f"""WITH {SYMBOLS_SQL}, h AS (SELECT item_id, length(b.text) AS t, count(doc_id) > 0 AS f FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
+ g AS (SELECT id, lower(name) AS low, norm, row_number() OVER (PARTITION BY norm ORDER BY {KIND_SQL}, {RANK_SQL}, start_line, id) AS r FROM (SELECT *, lower(regexp_replace(regexp_replace(trim(name), '\\(\\)$', ''), '\\s+', '', 'g')) AS norm FROM symbols)),
+ n AS (SELECT h.*, s.id IS NOT NULL AS named, (SELECT min(r) FROM g o WHERE o.norm = s.norm AND o.low = s.low) AS first FROM h LEFT JOIN g s ON s.id = item_id)
+SELECT count(*) AS tasks, round(count(*) FILTER (WHERE named AND item_id % 3 <> 0 AND first = 1) / count(*) FILTER (WHERE named), 6) AS top1_recall, round(count(*) FILTER (WHERE named AND item_id % 3 <> 0 AND first <= 3) / count(*) FILTER (WHERE named), 6) AS top3_recall,
+ round(count(*) FILTER (WHERE f) / count(*), 6) AS source_recall, count(*) FILTER (WHERE named AND item_id % 5 = 0 AND first <= 3) AS forbidden_hits, round(avg(t), 6) AS avg_tokens FROM n"""
 
 
 def latencies(spark, sf):
@@ -147,15 +163,14 @@ TOOLS_SQL = f"""WITH {REQUESTS_SQL} SELECT (['knowledge_search', 'symbol_search'
 QUERIES = {
     "source_health": (health_issues, HEALTH_SQL),
     "library_growth": (growth, GROWTH_SQL),
-    "playbook_queries": (playbook_queries, "SELECT p_partkey AS qid, CAST(i AS INT) AS part, p_name || (['', ' example', ' sample'])[i + 1] AS query, CAST(([8, 5, 5])[i + 1] AS DOUBLE) AS weight FROM part, range(3) r(i) WHERE p_partkey % 20 = 0"),
-    "playbook_queries_whole": (playbook_queries_whole, None),
+    "playbook_queries": (playbook_queries, PLAYBOOK_SQL),
     "playbook_apis": (playbook_apis, APIS_SQL),
     "group_recall": (group_recall, RECALL_SQL),
     "recipe_search": (recipe_search, RECIPE_SQL),
     "metadata_enrich": (metadata_enrich, ENRICH_SQL),
     "robots_filter": (robots_filter, r"SELECT page_id, NOT (starts_with(p, '/docs') OR starts_with(p, '/a')) AS ok FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS p FROM pages)"),
     "code_symbols": (code_symbols, "SELECT 'p' || p_partkey || '.py' AS path, 'make_' || p_partkey AS name, 'function' AS kind, 'python' AS language, 'def make_' || p_partkey || '(x):' AS signature, 1 AS line FROM part UNION ALL SELECT 'p' || p_partkey || '.py', 'Part' || p_partkey, 'type', 'python', 'class Part' || p_partkey || ':', 3 FROM part"),
-    "evaluation_metrics": (evaluation, "WITH h AS (SELECT item_id, length(b.text) AS t, count(doc_id) > 0 AS f FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL) SELECT count(*) AS tasks, round(count(*) FILTER (WHERE f) / count(*), 6) AS source_recall, CAST(0 AS BIGINT) AS forbidden_hits, round(avg(t), 6) AS avg_tokens FROM h"),
+    "evaluation_metrics": (evaluation, EVALUATION_SQL),
     "latency_percentiles": (latencies, "SELECT event_type, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.5) AS INT) + 1] AS p50, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS INT) + 1] AS p95 FROM events GROUP BY 1"),
     "tool_classes": (tool_classes, TOOLS_SQL),
 }

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import classify, ranking, text
 from ..functions.text import QUERY_STOPWORDS, TERM_STOPWORDS
-from ..operators import corpus, index, search, symbols
+from ..operators import corpus, evaluate, index, search, symbols
 from ..sources import tables as T
 from ..sources.tables import AUTHORITY_NAMES, CHUNKS_SQL, SYMBOLS_SQL
 
@@ -286,8 +286,9 @@ SELECT doc_id, root, score FROM (SELECT *, max(score) OVER (PARTITION BY doc_id)
 
 def eval_recall(spark, sf):
     """Benchmark items found verbatim in documents: the share of items with a source, and sources per item."""
-    b, d = T.table(spark, sf, "benchmark"), T.table(spark, sf, "documents")
-    hit = d.join(F.broadcast(b.select("item_id", F.col("text").alias("needle"))), F.contains("text", "needle")).groupBy("item_id").agg(F.count(F.lit(1)).alias("sources"))
+    b, d = T.table(spark, sf, "benchmark"), T.table(spark, sf, "documents").where("text is not null")
+    held = evaluate.containing(d, b.select(F.col("item_id").alias("id"), F.col("text").alias("needle")), T.index(spark, sf))
+    hit = held.groupBy(F.col("id").alias("item_id")).agg(F.count(F.lit(1)).alias("sources"))
     return b.join(hit, "item_id", "left").select("item_id", F.coalesce("sources", F.lit(0)).alias("sources"), F.col("sources").isNotNull().alias("found"))
 
 

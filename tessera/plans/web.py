@@ -43,6 +43,28 @@ TEXT_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b"""
 
 
+_DROPPED = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in ("script", "style", "nav", "header", "footer", "aside", "noscript", "title"))
+_MARKS = [(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}>", "chr(10) || chr(10) || '" + "#" * n + " \\1' || chr(10) || chr(10)") for n in range(1, 7)] + [
+    (r"(?is)<li\b[^>]*>(.*?)</li>", "chr(10) || '- \\1'"),
+    (r"(?is)<(?:strong|b)>(.*?)</(?:strong|b)>", "'**\\1**'"),
+    (r"(?is)<(?:em|i)>(.*?)</(?:em|i)>", "'*\\1*'"),
+    (r"(?is)<code>(.*?)</code>", "'`\\1`'"),
+    (r"""(?is)<a\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>""", "'[\\2](\\1)'"),
+    (r"(?i)</p>|<br\s*/?>|</div>|</tr>", "chr(10) || chr(10)"),
+    (r"(?s)<[^>]*>", "''"),
+]
+
+
+def markdown_sql() -> str:
+    out = f"regexp_replace(html, '(?is){_DROPPED}', '', 'g')"
+    for pattern, by in _MARKS:
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    out = f"regexp_replace(regexp_replace({out}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"SELECT page_id, trim({out}, ' ' || chr(9) || chr(10)) AS markdown FROM pages"
+
+
 def resolved(spark, sf):
     """The addresses that pages link to, with how many pages link there."""
     l = T.table(spark, sf, "pages").select("page_id", "url", F.explode(web.hrefs(F.col("html"))).alias("href")).where(~web.skipped_href(F.col("href")))
@@ -50,6 +72,20 @@ def resolved(spark, sf):
     return u.groupBy("to").agg(F.count_distinct("page_id").alias("pages"))
 
 
+_BARE = r"(NOT contains(x, '://') AND NOT regexp_matches(x, '^(/|\./|\.\./)') AND NOT regexp_matches(x, '[/\\?#]') AND NOT regexp_matches(x, '\.html?$') AND regexp_matches(x, '^[a-z0-9-]+(\.[a-z0-9-]+)+$'))"
+_ENDINGS = "|".join(web.SKIPPED_ENDINGS)
+RESOLVED_SQL = rf"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#][^"'']*)["'']', 1)) AS h FROM pages),
+ k AS (SELECT page_id, url, trim(h) AS h, lower(trim(h)) AS x FROM l),
+ c AS (SELECT *, regexp_replace(h, '[?#].*$', '') AS c, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+)(/.*/|/)?[^/]*$', '\1\2') AS f FROM k WHERE NOT (x = '' OR regexp_matches(x, '^(#|javascript:|mailto:|tel:)') OR {_BARE})),
+ j AS (SELECT page_id, CASE WHEN regexp_matches(c, '^https?://') THEN c WHEN starts_with(c, '//') THEN regexp_extract(url, '^(https?:)', 1) || c WHEN starts_with(c, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || c
+   ELSE CASE WHEN regexp_matches(f, '^https?://[^/]+$') THEN f || '/' ELSE f END || c END AS j FROM c),
+ w AS (SELECT page_id, regexp_extract(j, '^(https?://[^/]+)', 1) || '/' || array_to_string(list_reduce(list_prepend([], list_transform(string_split(regexp_replace(j, '^https?://[^/]+/?', ''), '/'), lambda s: [s])),
+   lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] ELSE list_concat(a, s) END), '/') AS "to" FROM j),
+ p AS (SELECT *, lower(regexp_extract("to", '^https?://[^/?#]+([^?#]*)', 1)) AS q FROM w),
+ b AS (SELECT *, split_part(q, '/', -1) AS x FROM p)
+SELECT "to", count(DISTINCT page_id) AS pages FROM b WHERE NOT (regexp_matches(q, '\.({_ENDINGS})$') OR regexp_matches(q, '{web.SKIPPED_PARTS}') OR (NOT regexp_matches(x, '[/\\?#]') AND NOT regexp_matches(x, '\.html?$') AND regexp_matches(x, '^[a-z0-9-]+(\.[a-z0-9-]+)+$'))) GROUP BY 1"""
+
+
 def version(spark, sf):
     t = F.concat(F.lit("Guide v"), (F.col("page_id") % 4).cast("string"), F.lit("."), (F.col("page_id") % 7).cast("string"), F.when(F.col("page_id") % 2 == 0, F.lit(" (stable)")).otherwise(F.lit("")))
     return T.table(spark, sf, "pages").select("page_id", web.version_in(t).alias("version"))
@@ -59,9 +95,9 @@ QUERIES = {
     "html_title": (titles, r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, sha256(html) AS hash FROM pages"),
     "html_links": (links, LINKS_SQL),
     "html_to_text": (text, TEXT_SQL),
-    "html_to_markdown": (lambda s, d: T.table(s, d, "pages").select("page_id", web.markdown(F.col("html")).alias("markdown")), None),
+    "html_to_markdown": (lambda s, d: T.table(s, d, "pages").select("page_id", web.markdown(F.col("html")).alias("markdown")), markdown_sql()),
     "url_relpath": (relative, f"SELECT page_id, CASE WHEN {P} IN ('', '/') OR ends_with({P}, '/') THEN regexp_replace({P}, '^/', '') || 'index.html' ELSE regexp_replace({P}, '^/', '') END AS path, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages"),
     "url_policy": (policy, "SELECT page_id, page_id % 7 IN (0, 4) AS allowed FROM pages"),
-    "resolved_links": (resolved, None),
+    "resolved_links": (resolved, RESOLVED_SQL),
     "title_version": (version, "SELECT page_id, (page_id % 4) || '.' || (page_id % 7) AS version FROM pages"),
 }

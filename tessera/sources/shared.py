@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -36,3 +37,57 @@ def version_of(spark: SparkSession, path: str) -> str:
     at = fs.getFileStatus(p)
     files = [at] if at.isFile() else list(fs.listStatus(p))
     return f"{sum(f.getLen() for f in files)}-{max([f.getModificationTime() for f in files], default=0)}"
+
+
+class Versions:
+    """Versions of a set of tables below a folder: each one a folder of its own, named by a small file.
+
+    The file is created only if there is none of its name, so of two writers one fails; a job that is lost before leaves
+    the last version as it was, and readers of older versions are not disturbed until these are forgotten.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def all(self) -> list[int]:
+        at = self.path(f"{self.folder}/versions")
+        names = [x.getPath().getName() for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
+
+    def tables(self, version: int | None = None) -> str | None:
+        """The folder of a version's tables (the last one's); None if there is none."""
+        v = version if version is not None else max(self.all(), default=0)
+        if not v:
+            return None
+        stream = self.fs.open(self.path(f"{self.folder}/versions/v{v}"))
+        try:
+            return f"{self.folder}/tables/{stream.readUTF()}"
+        finally:
+            stream.close()
+
+    def draft(self) -> str:
+        """The folder for tables of a version to come."""
+        return f"{self.folder}/tables/{uuid.uuid4().hex}"
+
+    def commit(self, draft: str, after: int) -> int:
+        """Makes a draft the version after + 1; FileExistsError if another writer was first."""
+        to = self.path(f"{self.folder}/versions/v{after + 1}")
+        try:
+            stream = self.fs.create(to, False)
+        except Py4JJavaError as e:
+            self.fs.delete(self.path(draft), True)
+            if not self.fs.exists(to):
+                raise
+            raise FileExistsError(to.toString()) from e
+        stream.writeUTF(draft.rpartition("/")[2])
+        stream.close()
+        return after + 1
+
+    def forget(self, keep: int = 2) -> None:
+        """Deletes all but the latest versions."""
+        for v in self.all()[:-keep]:
+            old = self.tables(v)
+            self.fs.delete(self.path(f"{self.folder}/versions/v{v}"), False)
+            self.fs.delete(self.path(old), True)

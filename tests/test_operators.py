@@ -4,9 +4,10 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, context, corpus, evaluate, index, ingest, packages, playbook, recipes, scope, search, symbols, usage
+from tessera.operators import catalog, chunking, context, corpus, evaluate, index, ingest, mutate, packages, playbook, recipes, scope, search, select, symbols, usage
 from tessera.sources import files, pdf
 from tessera.sources import tables as T
+from tessera.sources.shared import Versions
 from tessera.streaming import events
 
 
@@ -280,9 +281,120 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert ingest.write(spark, out, docs()) == 0
     (src / "b.md").write_text("# Title\nnew words entirely\n")
     assert ingest.write(spark, out, docs()) == 1
-    assert {r.name for r in spark.read.parquet(f"{out}/symbols").collect()} == {"retry_call"}
-    assert "entirely" in {r.term for r in spark.read.parquet(f"{out}/terms").collect()} and "retries" not in {r.term for r in spark.read.parquet(f"{out}/terms").collect()}
-    assert spark.read.parquet(f"{out}/chunks").count() == 2
+    assert [(r.name, r.uri) for r in ingest.read(spark, out, "symbols").collect()] == [("retry_call", "project://sdk/a.py")]
+    terms = lambda: {r.term for r in ingest.read(spark, out, "terms").collect()}
+    assert "entirely" in terms() and "retries" not in terms()
+    assert ingest.read(spark, out, "chunks").count() == 2
+
+
+def test_a_lost_write_changes_nothing(spark, tmp_path, monkeypatch):
+    out = f"file://{tmp_path}/out"
+    made = lambda text: ingest.documents(spark.createDataFrame([("a.md", text, text)], "path string, hash string, text string"), "sdk")
+    ingest.write(spark, out, made("first words"))
+    before = ingest.read(spark, out, "chunks")
+    monkeypatch.setattr(ingest, "derive", lambda docs: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.write(spark, out, made("second words"))
+    monkeypatch.undo()
+    assert [r.body for r in ingest.read(spark, out, "chunks").collect()] == ["first words"] == [r.body for r in before.collect()]
+    versions = Versions(spark, out)
+    with pytest.raises(FileExistsError):  # another writer was first
+        versions.commit(versions.draft(), 0)
+    assert ingest.write(spark, out, made("second words")) == 1
+    assert [r.body for r in before.collect()] == ["first words"]  # a reader of the old version is not disturbed
+    for n in range(3):
+        ingest.write(spark, out, made(f"words {n}"))
+    assert len(versions.all()) == 2 and ingest.read(spark, out, "documents").count() == 1
+
+
+# ---------------------------------------------------------------- searches and selection
+
+
+def test_tokens_of_several_words_are_phrases(spark):
+    c = corpus_of(spark, [(1, 1, "p", "unknown", "", "call foo bar now"), (2, 2, "p", "unknown", "", "bar then foo"), (3, 3, "p", "unknown", "foo", "bar")])
+    assert [r.chunk_id for r in search.search(c, q(spark, "foo::bar")).collect()] == [1]
+    assert {r.chunk_id for r in search.search(c, q(spark, "foo bar")).collect()} == {1, 2, 3}
+    hits = index.phrase_hits(index.of(c), spark.createDataFrame([(0, ["foo", "bar"], None), (1, ["bar", "bar"], None)], "pid int, ws array<string>, roots array<string>"))
+    assert [(r.pid, r.chunk_id) for r in hits.collect()] == [(0, 1)]
+
+
+def test_roots_limit_every_kind_of_candidate(spark):
+    rows = [(i, i, f"r{i % 3}", "unknown", "", f"needle number {i} wordy{i}") for i in range(12)]
+    c = corpus_of(spark, rows)
+    asked = spark.createDataFrame([(0, "needle", ["r1"]), (1, "needle", None), (2, "needle", []), (3, "r1/4.md", ["r2"])], "qid int, query string, roots array<string>")
+    got = search.search(c, asked, limit=50, semantic=True).collect()
+    by = {k: {r.chunk_id for r in got if r.qid == k} for k in range(4)}
+    assert by[0] == {1, 4, 7, 10} and by[1] == by[2] == set(range(12)) and not by[3] & {1, 4, 7, 10}
+    assert {r.chunk_id for r in search.search(c, q(spark, "R1/4.MD")).collect()} >= {4}
+    s = spark.createDataFrame([(1, "open", "function", "unknown", 3, "a"), (2, "open", "function", "unknown", 1, "b")], "id int, name string, kind string, authority string, start_line int, root_name string")
+    n = spark.createDataFrame([(1, "open", ["a"]), (2, "open", None), (3, "", None), (4, "x" * 300, None)], "qid int, name string, roots array<string>")
+    assert sorted((r.qid, r.id, r["rank"]) for r in symbols.find(s, n).collect()) == [(1, 1, 1), (2, 1, 2), (2, 2, 1)]
+
+
+def test_stored_index_gives_the_same(spark, tmp_path):
+    c = corpus_of(spark, [(i, i // 2, f"r{i % 3}", "unknown", f"Heading {i % 4}", f"needle retryPolicy {i} " + "common words " * (i % 5)) for i in range(30)])
+    ix = index.write(c, f"file://{tmp_path}/ix")
+    asked = q(spark, "needle heading", "retry policy", "r1/4.md", "common_words nothing")
+    run = lambda x: sorted(map(str, search.search(x, asked, semantic=True).collect()))
+    assert run(c) == run(ix) == run(index.read(spark, f"file://{tmp_path}/ix"))
+    plan = plan_of(index.looked_up(ix.occurrences, asked.select(F.explode(F.split("query", " ")).alias("word")), "word"))
+    assert "bucket" in plan and "NestedLoop" not in plan
+
+
+def test_snippets_mark_words(spark):
+    body = " ".join(f"w{i}" for i in range(100)) + " the Needle, here"
+    c = corpus_of(spark, [(1, 1, "p", "unknown", "", body)])
+    got = search.snippets(c, spark.createDataFrame([(0, 1)], "qid int, chunk_id long"), q(spark, "needle")).first().snippet
+    assert got.startswith("… ") and "<b>Needle,</b> here" in got and len(got.replace("… ", "").split()) == 32
+
+
+def test_harvest_and_marks(spark):
+    is_api = lambda t: t.rlike("[a-z][A-Z]|_|::")
+    hits = spark.createDataFrame([(0, 1, "How retryPolicy works", "see <b>open_file</b>(x)", "a/busDriver.c")], "qid int, document_id int, heading string, snippet string, path string")
+    tasks = spark.createDataFrame([(0, "reconnect with aB_cd now")], "qid int, task string")
+    assert {r.token for r in select.cue_tokens(hits, tasks, is_api).collect()} == {"retryPolicy", "open_file(x", "busDriver", "reconnect", "aB_cd"}
+    syms = spark.createDataFrame([(5, 1, "call", "c"), (6, 1, "function", "f"), (7, 2, "type", "t")], "id int, document_id int, kind string, name string")
+    found = spark.createDataFrame([(0, 7, "type", 1), (0, 6, "function", 2), (0, 8, "call", 3)], "qid int, id int, kind string, rank int")
+    assert [(r.id, r.place) for r in select.harvest(hits, syms, found).orderBy("place").collect()] == [(6, 1), (7, 3)]
+    marked = spark.createDataFrame([(0, "U", "b", 2), (0, "u", "a", 1), (0, " ", "c", 0)], "qid int, uri string, reason string, position int")
+    assert [(r.uri, r.reason) for r in select.pins(marked).collect()] == [("u", "a")]
+    one = spark.range(1).select(select.line_label(F.lit(3), F.lit(9)), select.line_label(F.lit(3), F.lit(3)), select.line_label(F.lit(0), F.lit(0)), select.shown_status(F.lit("verified"), F.lit("E3")), select.shown_status(F.lit("verified"), F.lit("E1"))).first()
+    assert list(one) == ["3-9", "3", "", "inferred", "verified"]
+
+
+def test_reviews_and_rows_that_are_replaced(spark, tmp_path):
+    r = spark.createDataFrame([(1, "generated_summary", "draft", None), (2, "curated_internal_recipe", "reviewed", "t0")], "id int, authority string, review_status string, reviewed_at string")
+    d = spark.createDataFrame([(1, "reviewed"), (2, "draft")], "id int, status string")
+    assert sorted(map(tuple, mutate.reviewed(r, d, F.lit("t1")).collect())) == [(1, "curated_internal_recipe", "reviewed", "t1"), (2, "generated_summary", "draft", "t1")]
+    assert catalog.default_roots("p", ["a", " p ", "", "a"]) == ["p", "a"] and mutate.cleared(r).count() == 0
+    (tmp_path / "in").mkdir()
+    made = lambda rows, name: spark.createDataFrame(rows, "id int, v string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    for n, rows in enumerate([[(1, "a"), (2, "b")], [(1, "c"), (3, "d")]]):
+        made(rows, f"f{n}")
+        stream = spark.readStream.schema("id int, v string").parquet(str(tmp_path / "in" / f"f{n}"))
+        events.run_by_batch(stream, str(tmp_path / f"ck{n}"), lambda df, k, n=n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+    got = events.latest(spark, f"{tmp_path}/out", spark.createDataFrame([], "id int, v string").schema, "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "c"), (2, "b"), (3, "d")]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 1000])
+def test_percentiles_by_brute_force(spark, n):
+    import random
+
+    rng = random.Random(n)
+    rows = [(g, rng.choice([1.0, 2.5, rng.random() * 9])) for g in "ab" for _ in range(n)] + [("a", None)]
+    got = {r.g: (r.p0, r.p50, r.p95, r.p100) for r in corpus.percentiles(spark.createDataFrame(rows, "g string, v double"), "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}, "g").collect()}
+    for g in "ab":
+        xs = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == tuple(xs[int((len(xs) - 1) * p)] for p in (0.0, 0.5, 0.95, 1.0))
+
+
+def test_needles_are_found_as_they_are(spark):
+    docs = [(1, "alpha beta gamma delta"), (2, "xalpha beta gamma deltax"), (3, "alpha  beta gamma delta"), (4, "short one")]
+    chunks = corpus_of(spark, [(i, i, "p", "unknown", "", t) for i, t in docs])
+    needles = spark.createDataFrame([(0, "alpha beta gamma delta"), (1, "ort o"), (2, "none of these here")], "id int, needle string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, evaluate.containing(d, needles, index.of(chunks)).collect())) == [(0, 1), (0, 2), (1, 4)]
 
 
 # ---------------------------------------------------------------- streams
@@ -312,4 +424,6 @@ def test_plans_stay_in_the_jvm_and_prune(spark, sf):
     assert "Python" not in p and "CartesianProduct" not in p
     d = plan_of(T.table(spark, sf, "documents").where("source = 'src0'").select("doc_id"))
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src0)]" in d and "ReadSchema: struct<doc_id:bigint,source:string>" in d
-    assert "WindowGroupLimit" in plan_of(index.term_vectors(T.chunks(spark, sf), ["chunk_id"], "body").select("term"))
+    assert "Exchange" not in plan_of(index.term_vectors(T.chunks(spark, sf), ["chunk_id"], "body").select("term"))  # counted within the row
+    for query in (retrieval.search_ranked, retrieval.symbol_lookup, retrieval.phrase_search, retrieval.eval_recall):
+        assert "NestedLoop" not in plan_of(query(spark, sf)).replace("BroadcastNestedLoopJoin BuildRight, Inner\n", "")

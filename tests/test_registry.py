@@ -36,60 +36,16 @@ def test_query_equals_its_sql(spark, sf, duck, name):
         assert got == sorted(tuple(norm(r[i]) for i in at) for r in q.fetchall())
 
 
-def test_near_duplicate_pairs_are_of_all_chunks(spark, sf):
-    """Against brute force over every pair of chunks, those of documents that the smaller query leaves out included."""
-    from tessera.plans import corpus
-    from tessera.sources import tables as T
-
-    chunks = T.chunks(spark, sf)
-    xs = sorted(map(tuple, corpus.near_items(chunks).select("id", "root", "path", "title_key").collect()))
-    ends = lambda a, b: len(b) >= 12 and "/" in b and a.endswith(b)
-    want = set()
-    for i, (a, ra, pa, ta) in enumerate(xs):
-        for b, rb, pb, tb in xs[i + 1 :]:
-            if ra != rb and ra and rb and (pa.split("/")[-1] == pb.split("/")[-1] or (ta == tb and len(ta.encode()) >= 8) or ends(pa, pb) or ends(pb, pa)):
-                want.add((a, b))
-    got = [tuple(r) for r in corpus.near_pairs_whole(spark, sf).select("a", "b").collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert want > {tuple(r) for r in corpus.near_pairs(spark, sf).select("a", "b").collect()}
-
-
 def test_footers_are_seen_below_long_texts(spark, tmp_path):
     """A footer that every document of a file ends in is found, though it stands beyond 80 characters."""
     from tessera.plans import corpus
 
     rows = [(40 * k, "src0", "x" * 90 + f" {k}\nbody\nThe footer") for k in range(1, 5)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.file, r.line, r.n) for r in corpus.header_lines_whole(spark, str(tmp_path)).collect()}
+    got = {(r.file, r.line, r.n) for r in corpus.header_lines(spark, str(tmp_path)).collect()}
     assert got == {(0, "Header 0", 3), (0, "The footer", 4)}
 
 
-def test_whole_queries_take_whole_tables(spark, sf):
-    from tessera.functions.text import QUERY_STOPWORDS
-    from tessera.plans import corpus, packages, retrieval
-    from tessera.sources import tables as T
-
-    parts = {r.p_partkey: r.p_name for r in T.table(spark, sf, "part").collect()}
-    got = packages.playbook_queries_whole(spark, sf).collect()
-    by = {k: [(r.query, r.weight) for r in sorted(got, key=lambda r: r.part) if r.qid == k] for k in parts}
-    assert len(got) == sum(map(len, by.values()))
-    for k, name in parts.items():
-        words = [w for w in dict.fromkeys(name.split()) if len(w) >= 3 and w not in QUERY_STOPWORDS] or list(dict.fromkeys(name.split()))
-        assert by[k] == [(name, 8.0), (name + " example", 5.0), (name + " sample", 5.0), *[(w, 1.0) for w in words]]
-    ids = lambda t: {r.doc_id for r in T.table(spark, sf, t).select("doc_id").collect()}
-    d, l = ids("documents"), ids("labels")
-    assert sorted(map(tuple, corpus.crosscheck_whole(spark, sf).select("doc_id", "problem").collect())) == sorted([(i, "only left") for i in d - l] + [(i, "only right") for i in l - d])
-    s = T.symbols(spark, sf)
-    names = {r.id: r.name for r in s.collect()}
-    found = {(r.qid, r.id): r for r in retrieval.symbol_lookup_whole(spark, sf).collect()}
-    assert {q for q, _ in found if q % 3 == 0} == {3 * k for k in names}
-    for k, name in names.items():  # a name finds its own symbol exactly, unless twenty equal names come first
-        assert (3 * k, k) in found or list(names.values()).count(name) > 20
-        assert (3 * k, k) not in found or found[3 * k, k].match_type in ("exact", "exact_qualified")
-    some = {(r.qid, r.id, r["rank"], r.match_type) for r in retrieval.symbol_lookup(spark, sf).collect()}
-    assert some and some <= {(q // 3, i, r["rank"], r.match_type) for (q, i), r in found.items() if q % 3 == q // 3 % 50 - 1}
-
-
 def test_entry_runs(spark):
     import __spark_entry__ as e
 

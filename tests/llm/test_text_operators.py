@@ -152,7 +152,7 @@ def test_imatch_tells_edits_from_others(spark, sf):
 def test_imatch_lexicon_counts_each_term(spark):
     """Terms of one document stay out of the band, however many terms there are."""
     t = spark.createDataFrame([(" ".join(f"w{k}" for k in range(i, 6000, 50)) + " shared" * (i < 25),) for i in range(50)], "t string")
-    got = imatch.lexicon_of(t.select(F.explode(imatch.terms_of(F.col("t"))).alias("h"), F.lit(1).alias("copies")), 50).collect()
+    got = imatch.lexicon_of(t, 50).collect()
     assert [r.h for r in got] == [spark.sql("SELECT xxhash64('shared') AS h").first().h]
 
 
@@ -176,11 +176,14 @@ def brute_fingerprints(texts, counted, band):
     def terms(t):
         return sorted({signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.findall(r"[^\W_]+", t.lower())})
 
-    def joint(hs):
-        seed = 42
-        for h in hs:
-            seed = xxhash.xxh64(struct.pack("<q", h), seed=seed).intdigest()
-        return f"{seed:016x}" if hs else "0" * 16
+    def mixed(h):
+        return xxhash.xxh64(struct.pack("<q", h), seed=42).intdigest()
+
+    def joint(values):
+        out = 0
+        for v in values:
+            out ^= v
+        return f"{out >> 32:08x}" if values else "0" * 8
 
     df = Counter(h for t in counted for h in terms(t))
     n = math.log(max(len(counted), 2))
@@ -189,19 +192,22 @@ def brute_fingerprints(texts, counted, band):
     for t in texts:
         own = terms(t)
         kept = [h for h in own if h in inside]
-        parts = [joint([h for h in kept if ((h & (1 << 64) - 1) >> shift) % classes == j]) for (classes, taken), shift in zip(imatch.SUBSETS, imatch.BITS, strict=True) for j in range(taken)]
-        out.append("".join(parts) if len(kept) >= imatch.LEAST_TERMS else joint(own) * imatch.N_SUBSETS)
+        ms = [mixed(h) for h in kept]
+        parts = [joint([mixed(signed(m)) for m in ms if (m >> 8 * i) % classes == j]) for i, (classes, taken) in enumerate(imatch.SUBSETS) for j in range(taken)]
+        out.append("".join(parts) if len(kept) >= imatch.LEAST_TERMS else joint([mixed(h) for h in own]) * imatch.N_SUBSETS)
     return out
 
 
 def brute_likeness(a, b):
-    x, y = ([f[i : i + 16] for i in range(0, len(f), 16)] for f in (a, b))
-    used = [p for p in zip(x, y, strict=True) if p != ("0" * 16, "0" * 16)]
+    x, y = ([f[i : i + 8] for i in range(0, len(f), 8)] for f in (a, b))
+    used = [p for p in zip(x, y, strict=True) if p != ("0" * 8, "0" * 8)]
     return 1.0 if a == b else sum(p == q for p, q in used) / len(used) if used else 0.0
 
 
-def test_imatch_by_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_imatch_by_brute_force(spark, monkeypatch, broadcast):
     """Fingerprints, edits and likenesses of documents with repeated rows, copies and texts without terms."""
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", broadcast)
     import random
 
     rng = random.Random(4)

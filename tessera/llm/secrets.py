@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import drop_stored, stored, strings, table
 
 #: Fixed values of the base formats.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -281,11 +281,12 @@ def scored(automaton: Automaton | None, background: Background, ratio: float):
 
 def infer(docs: DataFrame) -> tuple[Automaton | None, Background]:
     """The automaton of the credentials in docs' texts (none, if there are none), and the model of other candidates."""
-    found = docs.select("text").mapInArrow(sampled, "label boolean, text string").distinct()
+    found = stored(docs.select("text").mapInArrow(sampled, "label boolean, text string").distinct(), "samples")
     sets = {True: set(), False: set()}
     for label in sets:
         rows = found.where(F.col("label") == label).orderBy(F.crc32(F.encode("text", "UTF-8")), "text").limit(SAMPLE_ROWS)
         sets[label] = {r.text for r in rows.collect()}  # SAMPLE_ROWS at most
+    drop_stored(found)
     labels = smallest(sets[True])
     return learn(labels) if labels else None, Background(smallest(sets[False]))
 

@@ -17,11 +17,24 @@ HEADING_WEIGHT, BODY_WEIGHT = 10.0, 1.0
 BUCKETS, GRAM = 32, 3
 
 
-def runs_of(values: Column, make) -> Column:
-    """make(start, end, value) for each run of equal values in a sorted array, as an array; positions count from 0."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
-    made = F.transform(starts, lambda i, k: make(i, F.coalesce(F.get(starts, k + 1), F.size(values)), F.get(values, i)))
-    return F.when(F.size(values) > 0, made)
+def made_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row.
+
+    The optimizer would write a projected expression anew into each place that uses it, within lambdas too, where it is
+    computed for every element; it doesn't look through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def run_starts(values: Column) -> Column:
+    """The places (from 0) where runs of equal values begin in a sorted array."""
+    places = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
+    return F.when(F.size(values) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
+def runs_of(values: Column, starts: Column, make) -> Column:
+    """make(start, end, value) for each run of equal values in a sorted array whose run_starts() are given."""
+    return F.transform(starts, lambda i, k: make(i, F.coalesce(F.get(starts, k + 1), F.size(values)), F.get(values, i)))
 
 
 def term_vectors(rows: DataFrame, key: list[str], *texts: str, most: int = MOST_TERMS) -> DataFrame:
@@ -31,8 +44,9 @@ def term_vectors(rows: DataFrame, key: list[str], *texts: str, most: int = MOST_
 
 def vectors_of(rows: DataFrame, key: list[str], *texts: str, most: int = MOST_TERMS) -> DataFrame:
     """(key, v): each row's terms as one array of (term, tf), the most frequent first."""
-    split = rows.select(*key, F.array_sort(terms(F.concat_ws("\n", *texts))).alias("s"))
-    counted = split.select(*key, runs_of(F.col("s"), lambda i, j, t: F.struct((i - j).alias("less"), t.alias("term"))).alias("c"))
+    split = made_once(rows.select(*key, *dict.fromkeys(t for t in texts if t not in key)), "s", F.array_sort(terms(F.concat_ws("\n", *texts)))).select(*key, "s")
+    starts = made_once(split, "at", run_starts(F.col("s")))
+    counted = starts.select(*key, runs_of(F.col("s"), F.col("at"), lambda i, j, t: F.struct((i - j).alias("less"), t.alias("term"))).alias("c"))
     top = F.slice(F.array_sort("c"), 1, most)
     return counted.select(*key, F.coalesce(F.transform(top, lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("tf"))), F.array().cast("array<struct<term:string,tf:bigint>>")).alias("v"))
 
@@ -92,12 +106,14 @@ def of(chunks: DataFrame | Index) -> Index:
         return chunks
     vectors = vectors_of(chunks, ["chunk_id", "root_name", "authority"], "heading", "body")
     postings = vectors.select(F.explode("v.term").alias("term"), "chunk_id", "root_name")
-    sized = chunks.select("chunk_id", "root_name", words(F.col("heading")).alias("h"), words(F.col("body")).alias("b"))
+    sized = made_once(made_once(chunks.select("chunk_id", "root_name", "heading", "body"), "h", words(F.col("heading"))), "b", words(F.col("body"))).select("chunk_id", "root_name", "h", "b")
     length = (F.size("h") + F.size("b")).alias("len")
     # a gap of one place parts the heading from the body
     tagged = F.concat(F.transform("h", lambda w, i: F.struct(w.alias("w"), (i - F.size("h") - 1).alias("p"))), F.transform("b", lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
-    placed = sized.select("chunk_id", "root_name", length, F.array_sort(tagged).alias("t")).select("chunk_id", "root_name", "len", F.col("t.w").alias("w"), F.col("t.p").alias("p"))
-    found = placed.select("chunk_id", "root_name", "len", F.explode(runs_of(F.col("w"), lambda i, j, w: F.struct(w.alias("word"), F.slice("p", i + 1, j - i).alias("positions")))).alias("x"))
+    placed = made_once(sized, "t", F.array_sort(tagged)).select("chunk_id", "root_name", length, "t")
+    placed = made_once(made_once(placed, "w", F.col("t.w")), "p", F.col("t.p")).drop("t")
+    placed = made_once(placed, "at", run_starts(F.col("w")))
+    found = placed.select("chunk_id", "root_name", "len", F.explode(runs_of(F.col("w"), F.col("at"), lambda i, j, w: F.struct(w.alias("word"), F.slice("p", i + 1, j - i).alias("positions")))).alias("x"))
     occurrences = found.select("x.word", "chunk_id", "root_name", "len", "x.positions")
     places = chunks.where("ordinal = 0").select("chunk_id", F.explode(F.array_distinct(F.concat(*[grams_of(fold_ascii(F.col(c))) for c in ("path", "title", "uri")]))).alias("gram")).select("gram", "chunk_id")
     return Index(

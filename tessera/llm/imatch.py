@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, stored, table
+from .common import FILE_ROWS, partitions, stored, table
 
 #: A lexicon of up to so many terms is broadcast; a larger one is joined by a shuffle.
 BROADCAST_TERMS = 1 << 20
@@ -28,6 +28,8 @@ SUBSETS = ((256, 16), (64, 12), (16, 16))
 N_SUBSETS = sum(n for _, n in SUBSETS)
 #: A document with fewer terms in the band is fingerprinted by all its terms.
 LEAST_TERMS = 4
+#: The lexicon is written by one task for so many partitions of the session's: it is small beside the texts.
+LEXICON_SHARE = 8
 #: Characters of a signature.
 DIGITS = 8
 
@@ -130,9 +132,9 @@ def fingerprints_and_edits(docs: DataFrame, band: tuple[float, float] = BAND) ->
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     ids = [F.xxhash64("doc_id", "t").alias("_a"), F.xxhash64(F.lit(1), "doc_id", "t").alias("_b")]
     rows = t.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), *ids).groupBy("doc_id", "n_chars", "_a", "_b").agg(F.count(F.lit(1)).alias("copies"))
-    order = stored(next_rows(rows, partitions(spark)), "order")
+    order = stored(next_rows(rows, partitions(spark)), "order", docs.count())
     n = order.agg(F.sum("copies")).first()[0] or 0
-    lexicon = stored(lexicon_of(t, n, band), "lexicon")
+    lexicon = stored(lexicon_of(t, n, band), "lexicon", FILE_ROWS * max(1, partitions(spark) // LEXICON_SHARE))
     texts = t.select(*ids, "t").dropDuplicates(["_a", "_b"])
     starts = texts.join(order.select(F.col("_a").alias("_pa"), F.col("_b").alias("_pb"), F.col("_na").alias("_a"), F.col("_nb").alias("_b"), F.expr("n_chars div 4").alias("m")), ["_a", "_b"])
     starts = starts.select(F.col("_pa").alias("_a"), F.col("_pb").alias("_b"), F.expr("substring(t, 1, cast(m as int))").alias("start"))

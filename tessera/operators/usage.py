@@ -192,10 +192,20 @@ def top_evidence(requests: DataFrame, evidence: DataFrame, limit: int = MOST_RAN
     return g.agg(F.min("evidence_type").alias("label"), F.count(F.lit(1)).alias("times_selected"), n(F.col("included_after_trimming"), "times_included")).orderBy(F.desc("times_selected"), "key").limit(limit)
 
 
+#: The columns that a page of requests may be sorted by; another one means the first.
+SORTABLE = ("occurred_at", "tool_name", "result_status", "coverage", "returned_tokens", "estimated_source_tokens", "citation_count", "curated_count", "symbol_count", "recipe_count")
+
+
 def page(requests: DataFrame, sort: str = "occurred_at", descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of requests in order of a column, ties by id."""
+    sort = sort if sort in SORTABLE else SORTABLE[0]
     order = F.col(sort).desc() if descending else F.col(sort).asc()
-    return requests.orderBy(order, "request_id").offset(offset).limit(min(limit, MOST_PAGE))
+    return requests.orderBy(order, "request_id").offset(max(offset, 0)).limit(min(max(limit, 1), MOST_PAGE))
+
+
+def page_total(requests: DataFrame) -> DataFrame:
+    """One row: how many requests all pages hold."""
+    return requests.agg(F.count(F.lit(1)).alias("total"))
 
 
 def retained(requests: DataFrame, children: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:

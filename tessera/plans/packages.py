@@ -110,11 +110,36 @@ def robots_filter(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", files.crawlable(F.col("url"), rules).alias("ok"))
 
 
+#: Sources in eight languages, # standing for a part's number, and their symbols: name, kind, line.
+SOURCES = (
+    ("go", "go", "package p\n// func No() {}\nfunc Make#(x int) {\n}\nfunc (s *S) Stop#() {\n}", (("Make#", "function", 3), ("Stop#", "method", 5))),
+    ("py", "python", "def make_#(x):\n    pass\nclass Part#:\n    async def go_#(self): pass", (("make_#", "function", 1), ("Part#", "type", 3), ("go_#", "method", 4))),
+    ("c", "c", "int init_#(void) {\n  Bus::run_#(1);\n}\nvoid later_#(int a);\n#define MOST_# 4", (("init_#", "function", 1), ("Bus::run_#", "call", 2), ("later_#", "declaration", 4), ("MOST_#", "macro", 5))),
+    ("hpp", "cpp", "template<typename T, typename U = std::vector<std::pair<int, T>>>\nclass Box# {};\nbool Less#(int a, int b) { return a<b;\n}\nvoid ns::Open#() {\n}", (("Box#", "type", 2), ("Less#", "function", 3), ("ns::Open#", "method", 5))),
+    ("cs", "csharp", "public class Net# {\n  public async Task<List<int>> Go#(string h) {\n  }\n}", (("Net#", "type", 1), ("Go#", "method", 2))),
+    ("java", "java", "public class Ja# {\n  public void run#(int a) {\n  }\n  Status stop#();\n}", (("Ja#", "type", 1), ("run#", "method", 2), ("stop#", "declaration", 4))),
+    ("ts", "typescript", "export class Cl# {\n  open#(a: string): void {\n  }\n}\nexport const make# = async (a) => 1;", (("Cl#", "type", 1), ("open#", "method", 2), ("make#", "function", 5))),
+    ("js", "javascript", "function old#() {}\nif (x) {\n}", (("old#", "function", 1),)),
+)
+
+
 def code_symbols(spark, sf):
-    """Symbols of made-up sources: two for each part."""
-    p = T.table(spark, sf, "part")
-    src = F.concat(F.lit("def make_"), F.col("p_partkey").cast("string"), F.lit("(x):\n    pass\nclass Part"), F.col("p_partkey").cast("string"), F.lit(":\n    pass\n"))
-    return code.extract(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), src.alias("text")))
+    """Symbols of made-up sources, one for each part, in eight languages."""
+    n = F.col("p_partkey").cast("string")
+    texts = [F.replace(F.lit(text.replace("#define", "\x01define")), F.lit("#"), n) for _, _, text, _ in SOURCES]
+    which = (F.col("p_partkey") % len(SOURCES) + 1).cast("int")
+    path = F.concat(F.lit("p"), n, F.lit("."), F.element_at(F.array(*[F.lit(e) for e, *_ in SOURCES]), which))
+    return code.extract(T.table(spark, sf, "part").select(path.alias("path"), F.replace(F.element_at(F.array(*texts), which), F.lit("\x01"), F.lit("#")).alias("text")))
+
+
+def code_sql() -> str:
+    rows = []
+    for k, (ending, language, source, symbols_of) in enumerate(SOURCES):
+        for name, kind, line in symbols_of:
+            signature = name + "()" if kind == "call" else source.split("\n")[line - 1].strip().replace("#define", "\x01define")
+            value = lambda x: "replace(replace('" + x.replace("'", "''").replace("\x01", "' || chr(1) || '") + "', '#', CAST(p_partkey AS VARCHAR)), chr(1), '#')"
+            rows.append(f"SELECT 'p' || p_partkey || '.{ending}' AS path, {value(name)} AS name, '{kind}' AS kind, '{language}' AS language, {value(signature)} AS signature, {line} AS line FROM part WHERE p_partkey % {len(SOURCES)} = {k}")
+    return " UNION ALL ".join(rows)
 
 
 def evaluation(spark, sf):
@@ -169,7 +194,7 @@ QUERIES = {
     "recipe_search": (recipe_search, RECIPE_SQL),
     "metadata_enrich": (metadata_enrich, ENRICH_SQL),
     "robots_filter": (robots_filter, r"SELECT page_id, NOT (starts_with(p, '/docs') OR starts_with(p, '/a')) AS ok FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS p FROM pages)"),
-    "code_symbols": (code_symbols, "SELECT 'p' || p_partkey || '.py' AS path, 'make_' || p_partkey AS name, 'function' AS kind, 'python' AS language, 'def make_' || p_partkey || '(x):' AS signature, 1 AS line FROM part UNION ALL SELECT 'p' || p_partkey || '.py', 'Part' || p_partkey, 'type', 'python', 'class Part' || p_partkey || ':', 3 FROM part"),
+    "code_symbols": (code_symbols, code_sql()),
     "evaluation_metrics": (evaluation, EVALUATION_SQL),
     "latency_percentiles": (latencies, "SELECT event_type, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.5) AS INT) + 1] AS p50, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS INT) + 1] AS p95 FROM events GROUP BY 1"),
     "tool_classes": (tool_classes, TOOLS_SQL),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import basename
+from .shared import shared_dir
 
 #: What a scan passes over, and what it takes for text.
 IGNORED_DIRS = ".git .hg .svn node_modules vendor dist build target __pycache__ .venv .idea .vscode mft".split()
@@ -84,19 +85,23 @@ def decoded(content):
     return pa.array([None if b is None else one(b) for b in content.to_pylist()], pa.string())
 
 
-def scan(spark: SparkSession, folder: str, include: list[str] = (), exclude: list[str] = (), most_bytes: int = MOST_BYTES, paths: DataFrame | None = None) -> DataFrame:
+def scan(spark: SparkSession, folder: str, include: list[str] = (), exclude: list[str] = (), most_bytes: int = MOST_BYTES, paths: DataFrame | None = None, recurse: bool = True, most_files: int = 0) -> DataFrame:
     """(path, mtime, hash, text) of the text files below a folder that the filters allow; paths (path) restricts further.
 
-    The size is checked on the listing, before contents are read.
+    Sizes, names and filters are checked on the listing, which the driver holds in any case; only what passes is read.
+    most_files (0: any number) keeps the first ones by path.
     """
     root = folder.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     bare = re.sub(r"^[a-z0-9]+:/*", "/", root)
     rel = F.regexp_replace("path", f"^[a-z0-9]+:/*{re.escape(bare)}/", "")
-    rows = rows.where(F.col("length") <= most_bytes).select(rel.alias("path"), F.col("modificationTime").alias("mtime"), "content")
-    rows = rows.where(~ignored(F.col("path")) & textual(F.col("path")) & allowed(F.col("path"), list(include), list(exclude)))
-    rows = rows.join(paths, "path", "left_semi") if paths is not None else rows
-    return rows.select("path", "mtime", F.sha2("content", 256).alias("hash"), decoded("content").alias("text"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recurse).lower()).load(root).where(F.col("length") <= most_bytes)
+    listed = found.select(rel.alias("path"), F.col("path").alias("_whole"))
+    listed = listed.where(~ignored(F.col("path")) & textual(F.col("path")) & allowed(F.col("path"), list(include), list(exclude)))
+    listed = listed.join(paths, "path", "left_semi") if paths is not None else listed
+    listed = listed.orderBy("path").limit(most_files) if most_files > 0 else listed
+    wanted = [r._whole for r in listed.select("_whole").collect()]
+    rows = spark.read.format("binaryFile").load(wanted) if wanted else found.limit(0)
+    return rows.select(rel.alias("path"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), decoded("content").alias("text"))
 
 
 def sitemap_urls(maps: DataFrame, host: str, prefixes: list[str]) -> DataFrame:
@@ -137,16 +142,22 @@ def crawlable(url: Column, rules: list[str]) -> Column:
 def crawl(pages: DataFrame, links: DataFrame, start: list[str], depth: int, most: int) -> DataFrame:
     """(url, depth) of pages reached from the start addresses: breadth first over links (from, to), each level an anti-join.
 
-    pages (url) are what can be fetched; a level stops the crawl once `most` pages were reached, in order of address.
+    pages (url) are what can be fetched. The crawl stops after the level with which `most` pages are reached (the first
+    ones by depth and address are given), or when a level finds nothing. Each level is checkpointed.
     """
     spark = pages.sparkSession
-    seen = spark.createDataFrame([(u, 0) for u in start], "url string, depth int").join(pages.select("url"), "url", "left_semi")
-    level = seen
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    level = spark.createDataFrame([(u, 0) for u in dict.fromkeys(start)], "url string, depth int").join(pages.select("url"), "url", "left_semi").checkpoint()
+    seen, reached = level, level.count()
     for d in range(1, depth + 1):
+        if reached >= most:
+            break
         new = links.join(level.select(F.col("url").alias("from")), "from", "left_semi").select(F.col("to").alias("url")).distinct()
-        level = new.join(seen, "url", "left_anti").join(pages.select("url"), "url", "left_semi").withColumn("depth", F.lit(d))
-        level = level.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else level
-        seen = seen.unionByName(level)
+        level = new.join(seen, "url", "left_anti").join(pages.select("url"), "url", "left_semi").withColumn("depth", F.lit(d)).checkpoint()
+        if not (found := level.count()):
+            break
+        seen, reached = seen.unionByName(level), reached + found
     return seen.orderBy("depth", "url").limit(most)
 
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, raw, strings, table
+from .common import blocks, drop_stored, raw, stored, strings, table
 
 #: Buckets of hashed n-grams, and the bound on sampled training documents of one language.
 BUCKETS, TRAIN_DOCS = 1 << 15, 1500
@@ -176,7 +176,8 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         return Model(langs, code, np.zeros((BUCKETS, code.shape[1])), np.ones(code.shape[1]), np.zeros(code.shape[1]), np.ones(code.shape))
     span = 1 << 20
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(math.ceil(min(1.0, train_docs / sizes[k]) * span))) for k in langs])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text")), F.lit(span)) < share).repartition(TRAIN_PARTS, F.xxhash64("doc_id", "text")).persist()
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text")), F.lit(span)) < share).repartition(TRAIN_PARTS, F.xxhash64("doc_id", "text"))
+    chosen = stored(chosen, "train")  # a bounded sample, read twice
     counts = np.ones((n, BUCKETS))
     for r in chosen.mapInArrow(counted(langs), "lang string, counts binary").toLocalIterator():
         counts[langs.index(r.lang)] += np.frombuffer(r.counts, np.int64)
@@ -184,7 +185,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     odds = np.stack([np.log(shares[code[:, b] > 0].mean(0)) - np.log(shares[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], 1)
     model = Model(langs, code, odds, np.ones(code.shape[1]), np.zeros(code.shape[1]), np.ones(code.shape))
     got = chosen.mapInArrow(measured(model), "k int, m array<float>").toPandas()
-    chosen.unpersist()
+    drop_stored(chosen)
     k, m = got.k.to_numpy(), np.stack(got.m.to_numpy()).astype(float)
     for b in range(code.shape[1]):
         model.scale[b], model.shift[b] = calibrated(m[:, b], code[k, b])

@@ -15,10 +15,11 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
 
 
-def bounded(ls: Column, most: int = MOST_BYTES) -> Column:
+def bounded(ls: Column, most: int = MOST_BYTES, blanks: bool = True) -> Column:
     """The chunks of an array of lines: an array of (start, end), 1-based and inclusive.
 
-    Greedy: a line that would pass the bound starts a new chunk; a blank line from half the bound on ends one.
+    Greedy: a line that would pass the bound starts a new chunk; a blank line from half the bound on ends one, or, if
+    blank lines don't count, any line with which the bound is reached.
     """
     kind = "struct<done:array<struct<start:int,end:int>>,start:int,size:int,at:int>"
     zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(1).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("at")).cast(kind)
@@ -28,7 +29,7 @@ def bounded(ls: Column, most: int = MOST_BYTES) -> Column:
         full = (acc.size > 0) & (acc.size + size > most)
         done = F.when(full, F.concat(acc.done, F.array(F.struct(acc.start.alias("start"), acc.at.alias("end"))))).otherwise(acc.done)
         start, held = F.when(full, at).otherwise(acc.start), F.when(full, size).otherwise(acc.size + size)
-        soft = (line == "") & (held >= most // 2)
+        soft = (line == "") & (held >= most // 2) if blanks else held >= most
         done2 = F.when(soft, F.concat(done, F.array(F.struct(start.alias("start"), at.alias("end"))))).otherwise(done)
         return F.struct(done2.alias("done"), F.when(soft, at + 1).otherwise(start).alias("start"), F.when(soft, 0).otherwise(held).alias("size"), at.alias("at")).cast(kind)
 

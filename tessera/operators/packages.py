@@ -144,3 +144,36 @@ def summary(docs: DataFrame) -> DataFrame:
 def newest(metas: DataFrame) -> DataFrame:
     """The last stored metadata document of each root: (root, json, stored_at)."""
     return metas.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("stored_at"), "json"))).where("_r = 1").drop("_r")
+
+
+#: How content classes of structured documentation begin, and the folder that it is kept in.
+CURATED_CLASSES, LIBRARY_FOLDER = ("curated_", "librarydocs_"), "librarydocs/"
+
+
+def of_package(path: Column, content_class: Column, described: Column) -> Column:
+    """Whether a hit is of structured documentation: described by its index, by its class, or by its folder."""
+    c, p = F.lower(F.coalesce(content_class, F.lit(""))), F.lower(path)
+    folder = F.startswith(p, F.lit(LIBRARY_FOLDER)) | F.contains(p, F.lit("/" + LIBRARY_FOLDER))
+    return F.coalesce(described, F.lit(False)) | folder | F.startswith(c, F.lit(CURATED_CLASSES[0])) | F.startswith(c, F.lit(CURATED_CLASSES[1]))
+
+
+def filtered_hits(hits: DataFrame, only: bool = False, exclude: bool = False, level: str = "", status: str = "") -> DataFrame:
+    """hits (path, content_class, level, status; the last two null where nothing describes a hit) that the filters leave."""
+    described = F.col("level").isNotNull() | F.col("status").isNotNull()
+    mine, ok = of_package(F.col("path"), F.col("content_class"), described), F.lit(True)
+    ok = ok & mine if only else ok
+    ok = ok & ~mine if exclude else ok
+    for column, wanted in (("level", level), ("status", status)):
+        ok = ok & (F.lower(F.coalesce(column, F.lit(""))) == wanted.strip().lower()) if wanted.strip() else ok
+    return hits.where(ok)
+
+
+def with_artifacts(files: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """files (path, component ...) with artifact_ids, those registered for the file, and the first one's component where it has none.
+
+    artifacts has id, file and component.
+    """
+    a = artifacts.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_set("id")).alias("artifact_ids"), F.min_by("component", "id").alias("_component"))
+    out = files.join(a, "path", "left")
+    component = F.coalesce(F.nullif(F.col("component"), F.lit("")), F.col("_component"), F.lit(""))
+    return out.withColumn("component", component).withColumn("artifact_ids", F.coalesce("artifact_ids", F.array().cast("array<string>"))).select(*files.columns, "artifact_ids")

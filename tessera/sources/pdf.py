@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.chunking import MOST_BYTES, bounded
+
 #: Fixed value: a page with so many characters counts as text.
 LEAST_RUNES = 40
 OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
@@ -114,3 +116,13 @@ def sections(pages: DataFrame, bookmarks: DataFrame) -> DataFrame:
     text = held.groupBy("path", "section", "heading", "start_page", "end_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
     body = F.when(F.col("heading") != "", F.concat(F.lit("# "), "heading", F.lit("\n\n"), "text")).otherwise(F.col("text"))
     return text.select("path", "section", "heading", "start_page", "end_page", F.btrim(body, F.lit(" \t\r\n")).alias("body"))
+
+
+def chunks(sections: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """sections' columns with (ordinal, part): bodies of more than so many bytes in parts of whole lines; blank ones give none."""
+    kept = sections.where(F.trim("body") != "").withColumn("_lines", F.split(F.btrim("body", F.lit(" \t\r\n")), "\n"))
+    fits = F.octet_length(F.btrim("body", F.lit(" \t\r\n"))) <= most
+    whole = F.array(F.struct(F.lit(1).alias("start"), F.size("_lines").alias("end")))
+    parts = kept.select("*", F.posexplode(F.when(fits, whole).otherwise(bounded(F.col("_lines"), most, blanks=False))).alias("ordinal", "_c"))
+    text = F.array_join(F.slice("_lines", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1), "\n")
+    return parts.select(*sections.columns, "ordinal", text.alias("part"))

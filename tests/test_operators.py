@@ -271,6 +271,43 @@ def test_pdf_kinds(spark):
     assert pages.where("path = 't.pdf'").first().text == long
 
 
+def brute_parts(body, most):
+    out, held, size = [], [], 0
+    for line in body.split("\n"):
+        n = len(line.encode()) + 1
+        if size and size + n > most:
+            out, held, size = [*out, "\n".join(held)], [], 0
+        held, size = [*held, line], size + n
+        if size >= most:
+            out, held, size = [*out, "\n".join(held)], [], 0
+    return [*out, "\n".join(held)] if held else out
+
+
+def test_pdf_parts_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    bodies = ["", "  ", "short"] + ["\n".join("é" * rng.randrange(0, 60) + "x" for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "section int, body string")
+    got = {}
+    for r in pdf.chunks(df, 200).orderBy("section", "ordinal").collect():
+        got.setdefault(r.section, []).append(r.part)
+    for i, b in enumerate(bodies):
+        want = [] if not b.strip() else [b.strip()] if len(b.strip().encode()) <= 200 else brute_parts(b.strip(), 200)
+        assert got.get(i, []) == want
+
+
+def test_package_filters_and_artifacts(spark):
+    rows = [("LibraryDocs/a.md", "", "project", "verified"), ("x/librarydocs/b.md", "", None, None), ("c.md", "curated_note", None, None), ("d.md", "other", None, None), ("e.md", None, "unit", "draft")]
+    hits = spark.createDataFrame(rows, "path string, content_class string, level string, status string")
+    paths = lambda **k: [r.path[0] for r in packages.filtered_hits(hits, **k).orderBy("path").collect()]
+    assert paths() == ["L", "c", "d", "e", "x"] and paths(only=True) == ["L", "c", "e", "x"] and paths(exclude=True) == ["d"]
+    assert paths(level=" Project ") == ["L"] and paths(status="draft", only=True) == ["e"]
+    f = spark.createDataFrame([("a", ""), ("b", "own"), ("c", None)], "path string, component string")
+    a = spark.createDataFrame([("i2", "a", "k2"), ("i1", "a", "k1"), ("i3", "b", "k3")], "id string, file string, component string")
+    assert sorted((r.path, r.component, r.artifact_ids) for r in packages.with_artifacts(f, a).collect()) == [("a", "k1", ["i1", "i2"]), ("b", "own", ["i3"]), ("c", "", [])]
+
+
 def test_ingest_end_to_end(spark, tmp_path):
     src, out = tmp_path / "src", f"file://{tmp_path}/out"
     src.mkdir()

@@ -44,10 +44,10 @@ def term_vectors(rows: DataFrame, key: list[str], *texts: str, most: int = MOST_
 
 def vectors_of(rows: DataFrame, key: list[str], *texts: str, most: int = MOST_TERMS) -> DataFrame:
     """(key, v): each row's terms as one array of (term, tf), the most frequent first."""
-    split = made_once(rows.select(*key, *dict.fromkeys(t for t in texts if t not in key)), "s", F.array_sort(terms(F.concat_ws("\n", *texts)))).select(*key, "s")
+    split = made_once(rows.select(*key, *dict.fromkeys(t for t in texts if t not in key)), "s", F.sort_array(terms(F.concat_ws("\n", *texts)))).select(*key, "s")
     starts = made_once(split, "at", run_starts(F.col("s")))
     counted = starts.select(*key, runs_of(F.col("s"), F.col("at"), lambda i, j, t: F.struct((i - j).alias("less"), t.alias("term"))).alias("c"))
-    top = F.slice(F.array_sort("c"), 1, most)
+    top = F.slice(F.sort_array("c"), 1, most)
     return counted.select(*key, F.coalesce(F.transform(top, lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("tf"))), F.array().cast("array<struct<term:string,tf:bigint>>")).alias("v"))
 
 
@@ -110,7 +110,7 @@ def of(chunks: DataFrame | Index) -> Index:
     length = (F.size("h") + F.size("b")).alias("len")
     # a gap of one place parts the heading from the body
     tagged = F.concat(F.transform("h", lambda w, i: F.struct(w.alias("w"), (i - F.size("h") - 1).alias("p"))), F.transform("b", lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
-    placed = made_once(sized, "t", F.array_sort(tagged)).select("chunk_id", "root_name", length, "t")
+    placed = made_once(sized, "t", F.sort_array(tagged)).select("chunk_id", "root_name", length, "t")
     placed = made_once(made_once(placed, "w", F.col("t.w")), "p", F.col("t.p")).drop("t")
     placed = made_once(placed, "at", run_starts(F.col("w")))
     found = placed.select("chunk_id", "root_name", "len", F.explode(runs_of(F.col("w"), F.col("at"), lambda i, j, w: F.struct(w.alias("word"), F.slice("p", i + 1, j - i).alias("positions")))).alias("x"))

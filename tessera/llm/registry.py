@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, divergence, imatch, lang_id, line_dedup, mixing, ngram_join, quality, secrets, sharding
+from . import ann, bpe, divergence, imatch, lang_id, line_dedup, mixing, ngram_join, quality, quality_rules, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lang_id": lang_id.op1_lang_id,
         "op10_ann": ann.op10_ann,
+        "op11_quality_rules": quality_rules.op11_quality_rules,
         "op13_divergence": divergence.op13_divergence,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_mixing": mixing.op3_mixing,

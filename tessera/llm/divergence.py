@@ -19,15 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_stored, give_back, partitions, raw, stored, strings, table
+from .common import LOWER, drop_stored, give_back, raw, stored, strings, table
 
 #: Probabilities are counted in parts of SCALE = 1000 ** 3, after adding SMOOTHING to each count.
 SCALE, SMOOTHING = 1_000_000_000, 5
 #: Which bytes terms are made of: ASCII letters and all beyond ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
-#: Numbers that one block of vectors by sources takes.
-BLOCK = 1 << 20
+#: Numbers that one block of vectors by sources takes, and vectors that one task takes on average.
+BLOCK, TASK_VECTORS = 1 << 20, 1 << 13
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -164,7 +164,6 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     ones only. Ranks go by value, then by item in UTF-8. A language of one source has no pairs; an empty table gives no
     rows. Other columns of docs, of any names, are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     kept = stored(counted(docs, least_docs), "kept-terms")
     vectors = stored(kept.groupBy("lang", "v").agg(F.count(F.lit(1)).alias("times")).withColumn("id", F.monotonically_increasing_id()), "count-vectors")
@@ -173,7 +172,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     groups = docs.select("lang", "source").distinct().join(held, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = stored(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept")), "source-groups")
 
-    salts = partitions(spark)
+    salts = max(1, -(-vectors.count() // TASK_VECTORS))
     dealt = vectors.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).groupBy("lang", "salt")
     met = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy("lang", "salt")
     found = stored(dealt.cogroup(met).applyInArrow(faced(top), FACED), "faced-sources")

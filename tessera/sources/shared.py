@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,11 +40,13 @@ def version_of(spark: SparkSession, path: str) -> str:
     return f"{sum(f.getLen() for f in files)}-{max([f.getModificationTime() for f in files], default=0)}"
 
 
-class Versions:
-    """Versions of a set of tables below a folder: each one a folder of its own, named by a small file.
+class Pointers:
+    """Numbered files below a folder, each with the name of what it stands for.
 
-    The file is created only if there is none of its name, so of two writers one fails; a job that is lost before leaves
-    the last version as it was, and readers of older versions are not disturbed until these are forgotten.
+    A pointer is written beside and then published under its number by one step that never replaces: a hard link on a
+    local disk, elsewhere a rename, which fails where the name is taken. So a number belongs to one writer, and a file
+    that has one is whole. A file that is empty or cut short all the same (left by other means) counts as taken and is
+    passed over by readers.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -51,43 +54,103 @@ class Versions:
         self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def all(self) -> list[int]:
-        at = self.path(f"{self.folder}/versions")
-        names = [x.getPath().getName() for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
+    def at(self, number: int) -> str:
+        return f"{self.folder}/v{number}"
+
+    def taken(self) -> list[int]:
+        """All numbers that stand for something, ascending."""
+        folder = self.path(self.folder)
+        names = [x.getPath().getName() for x in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
         return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
 
-    def tables(self, version: int | None = None) -> str | None:
-        """The folder of a version's tables (the last one's); None if there is none."""
-        v = version if version is not None else max(self.all(), default=0)
-        if not v:
-            return None
-        stream = self.fs.open(self.path(f"{self.folder}/versions/v{v}"))
+    def name(self, number: int) -> str | None:
+        """What a number stands for; None if its file isn't whole."""
+        stream = self.fs.open(self.path(self.at(number)))
         try:
-            return f"{self.folder}/tables/{stream.readUTF()}"
+            found = stream.readUTF()
+        except Py4JJavaError as e:
+            if "EOFException" in str(e.java_exception) or "UTFDataFormatException" in str(e.java_exception):
+                return None
+            raise
         finally:
             stream.close()
+        return found if re.fullmatch(r"[0-9a-f]{32}", found) else None
+
+    def whole(self) -> list[int]:
+        """The numbers whose files are whole, ascending."""
+        return [n for n in self.taken() if self.name(n)]
+
+    def last(self) -> int:
+        """The highest number whose file is whole; 0 without any."""
+        return next((n for n in reversed(self.taken()) if self.name(n)), 0)
+
+    def publish(self, name: str, after: int) -> int:
+        """Makes name the one that follows the number `after`; FileExistsError if another writer was first."""
+        if self.last() != after:
+            raise FileExistsError(self.at(self.last()))
+        number = max(self.taken(), default=0) + 1
+        beside, to = self.path(f"{self.folder}/pending-{uuid.uuid4().hex}"), self.path(self.at(number))
+        stream = self.fs.create(beside, False)
+        try:
+            stream.writeUTF(name)
+        finally:
+            stream.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                file = lambda p: self.spark.sparkContext._jvm.java.io.File(p.toUri().getPath()).toPath()
+                self.spark.sparkContext._jvm.java.nio.file.Files.createLink(file(to), file(beside))
+            elif self.fs.exists(to) or not self.fs.rename(beside, to):
+                raise FileExistsError(to.toString())
+        except Py4JJavaError as e:
+            if self.fs.exists(to):
+                raise FileExistsError(to.toString()) from e
+            raise
+        finally:
+            self.fs.delete(beside, False)
+        return number
+
+    def forget(self, number: int) -> None:
+        self.fs.delete(self.path(self.at(number)), False)
+
+
+class Versions:
+    """Versions of a set of tables below a folder: each one a folder of its own, named by a pointer.
+
+    Of two writers one fails; a job that is lost before its pointer is published leaves the last version as it was, and
+    readers of older versions are not disturbed until these are forgotten.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.folder = folder.rstrip("/")
+        self.pointers = Pointers(spark, f"{self.folder}/versions")
+        self.path, self.fs = self.pointers.path, self.pointers.fs
+
+    def all(self) -> list[int]:
+        return self.pointers.whole()
+
+    def tables(self, version: int | None = None) -> str | None:
+        """The folder of a version's tables (the last one's); None if there is none."""
+        v = version if version is not None else self.pointers.last()
+        name = self.pointers.name(v) if v else None
+        return f"{self.folder}/tables/{name}" if name else None
 
     def draft(self) -> str:
         """The folder for tables of a version to come."""
         return f"{self.folder}/tables/{uuid.uuid4().hex}"
 
     def commit(self, draft: str, after: int) -> int:
-        """Makes a draft the version after + 1; FileExistsError if another writer was first."""
-        to = self.path(f"{self.folder}/versions/v{after + 1}")
+        """Makes a draft the version that follows `after`; FileExistsError, and the draft deleted, if another writer was first."""
         try:
-            stream = self.fs.create(to, False)
-        except Py4JJavaError as e:
+            return self.pointers.publish(draft.rpartition("/")[2], after)
+        except FileExistsError:
             self.fs.delete(self.path(draft), True)
-            if not self.fs.exists(to):
-                raise
-            raise FileExistsError(to.toString()) from e
-        stream.writeUTF(draft.rpartition("/")[2])
-        stream.close()
-        return after + 1
+            raise
 
     def forget(self, keep: int = 2) -> None:
-        """Deletes all but the latest versions."""
-        for v in self.all()[:-keep]:
+        """Deletes all but the latest versions, and pointers before these that aren't whole."""
+        kept = self.all()[-keep:]
+        for v in [v for v in self.pointers.taken() if kept and v < kept[0]]:
             old = self.tables(v)
-            self.fs.delete(self.path(f"{self.folder}/versions/v{v}"), False)
-            self.fs.delete(self.path(old), True)
+            self.pointers.forget(v)
+            if old:
+                self.fs.delete(self.path(old), True)

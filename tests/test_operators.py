@@ -324,6 +324,44 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert ingest.read(spark, out, "chunks").count() == 2
 
 
+@pytest.mark.parametrize("left", [b"", b"\x00", b"\x00\x20abc", b"\x00\x03abc"])
+def test_a_pointer_cut_short_is_passed_over(spark, tmp_path, left):
+    """What a lost writer may leave under the next number: nothing, or a part of a name. Reads and writes go on."""
+    out = f"file://{tmp_path}/out"
+    docs = lambda text: spark.createDataFrame([("u", "r", "a.md", "t", "", "official_docs", "docs", text[:1], text)], "uri string, root_name string, path string, title string, language string, authority string, class string, hash string, text string")
+    assert ingest.write(spark, out, docs("one")) == 1
+    (tmp_path / "out" / "versions" / "v2").write_bytes(left)
+    assert [r.text for r in ingest.read(spark, out, "documents").collect()] == ["one"]
+    assert ingest.write(spark, out, docs("two")) == 1
+    assert [r.text for r in ingest.read(spark, out, "documents").collect()] == ["two"]
+    versions = Versions(spark, out)
+    assert versions.all() == [1, 3]
+    late = versions.draft()
+    with pytest.raises(FileExistsError):  # a writer that began at the first version
+        versions.commit(late, 1)
+    assert ingest.write(spark, out, docs("3")) == 1
+    assert versions.all() == [3, 4] and not list((tmp_path / "out" / "versions").glob("pending*"))
+
+
+def test_one_of_many_writers_publishes(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tessera.sources.shared import Pointers
+
+    at = Pointers(spark, f"file://{tmp_path}/p")
+    first = at.publish("0" * 32, 0)
+
+    def try_one(k):
+        try:
+            return at.publish(f"{k:032x}", first)
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(try_one, range(1, 17)) if x]
+    assert won == [2] and at.whole() == [1, 2]
+
+
 def test_a_lost_write_changes_nothing(spark, tmp_path, monkeypatch):
     out = f"file://{tmp_path}/out"
     made = lambda text: ingest.documents(spark.createDataFrame([("a.md", text, text)], "path string, hash string, text string"), "sdk")

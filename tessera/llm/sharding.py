@@ -3,9 +3,9 @@
 A store is a folder with immutable shard files and versioned manifests. An append writes its arrivals as small runs, one
 folder a run, in one pass and without a shuffle. Compaction takes the tiers of similarly sized runs (by powers of the
 fanout) that hold `fanout` runs or more, reads them together and writes files of about the target size; what has reached
-the target is left alone. Both end by committing a new manifest: its table is written aside, and then a small file with
-the next version's name, which says where the table is, is created only if there is none yet; so of two writers one
-fails and leaves nothing. Readers see the files of the highest version, so a job that is lost half-way leaves the store
+the target is left alone. Both end by committing a new manifest: its table is written aside, and then a pointer to it is
+published under the next version's number, whole and never in another's place; so of two writers one fails and leaves
+nothing. Readers see the files of the highest version, so a job that is lost half-way leaves the store
 as it was. Older versions can be read until vacuum, which keeps the latest ones.
 """
 
@@ -14,10 +14,10 @@ from __future__ import annotations
 import math
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Pointers
 from .common import scratch_path, table
 
 MANIFEST = "run string, shard string, tier int, n_docs long, n_bytes long"
@@ -28,50 +28,33 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, target: int, fanout: int = 4) -> None:
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target, fanout
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.path, self.fs = path, path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.pointers = Pointers(spark, f"{self.root}/manifest")
+        self.path, self.fs = self.pointers.path, self.pointers.fs
 
     # -------------------------------------------------------------- manifests
 
     def versions(self) -> list[int]:
         """The versions committed, ascending."""
-        at = self.path(f"{self.root}/manifest")
-        if not self.fs.exists(at):
-            return []
-        names = [x.getPath().getName() for x in self.fs.listStatus(at)]
-        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
+        return self.pointers.whole()
 
     def version(self) -> int:
         """The highest version committed; 0 for a new store."""
-        return max(self.versions(), default=0)
+        return self.pointers.last()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The shards of a version (the highest): run, shard (file), tier, n_docs, n_bytes (of text)."""
         v = self.version() if version is None else version
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/tables/{self.named(v)}") if v else self.spark.createDataFrame([], MANIFEST)
-
-    def named(self, version: int) -> str:
-        """The name of a version's manifest table."""
-        stream = self.fs.open(self.path(f"{self.root}/manifest/v{version}"))
-        try:
-            return stream.readUTF()
-        finally:
-            stream.close()
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/tables/{self.pointers.name(v)}") if v else self.spark.createDataFrame([], MANIFEST)
 
     def commit(self, shards: DataFrame, after: int) -> int:
-        """Makes shards the manifest of version after + 1; FileExistsError if that version is there already."""
-        name, to = uuid.uuid4().hex, self.path(f"{self.root}/manifest/v{after + 1}")
+        """Makes shards the manifest of the version that follows `after`; FileExistsError if another writer was first."""
+        name = uuid.uuid4().hex
         shards.write.parquet(f"{self.root}/tables/{name}")
         try:
-            stream = self.fs.create(to, False)  # not if it exists
-        except Py4JJavaError as e:
+            return self.pointers.publish(name, after)
+        except FileExistsError:
             self.fs.delete(self.path(f"{self.root}/tables/{name}"), True)
-            if not self.fs.exists(to):
-                raise
-            raise FileExistsError(to.toString()) from e
-        stream.writeUTF(name)
-        stream.close()
-        return after + 1
+            raise
 
     def tier(self, n_bytes: Column) -> Column:
         """0 up to target / fanout^3, one more for each factor of fanout; 3 and more: at the target."""
@@ -129,8 +112,8 @@ class Store:
         old, kept = (vs := self.versions())[:-keep], vs[-keep:]
         live = {r.run for v in kept for r in self.manifest(v).select("run").distinct().collect()}  # runs, not files or rows
         for v in old:
-            name = self.named(v)
-            self.fs.delete(self.path(f"{self.root}/manifest/v{v}"), False)
+            name = self.pointers.name(v)
+            self.pointers.forget(v)
             self.fs.delete(self.path(f"{self.root}/tables/{name}"), True)
         at = self.path(f"{self.root}/data")
         for x in self.fs.listStatus(at) if self.fs.exists(at) else []:

@@ -306,6 +306,42 @@ def test_store_appends_compacts_and_commits(spark, tmp_path):
     assert store.version() == 3
 
 
+@pytest.mark.parametrize("left", [b"", b"\x00\x20abc"])
+def test_a_store_outlives_a_lost_writer(spark, tmp_path, left):
+    """A pointer that is empty or cut short under the next version's number stops neither reads nor appends nor merges."""
+    store = sharding.Store(spark, f"file://{tmp_path}/store", target=40_000, fanout=2)
+    docs = spark.createDataFrame([(i, "some text " * 20) for i in range(300)], "doc_id long, text string")
+    assert store.append(docs.where("doc_id < 100")) == 1
+    (tmp_path / "store" / "manifest" / "v2").write_bytes(left)
+    assert store.version() == 1 and store.read().count() == 100
+    assert store.append(docs.where("doc_id >= 100"), F.col("doc_id") % 3) == 3
+    with pytest.raises(FileExistsError):
+        store.commit(store.manifest(), after=1)
+    assert store.compact() == 4 and sorted(r.doc.doc_id for r in store.read().collect()) == list(range(300))
+    store.vacuum()
+    assert store.versions() == [4] and store.read().count() == 300
+
+
+def test_tiers_follow_sizes(spark, tmp_path):
+    """Each merge takes the tiers that are full, and no other run; what has reached the target stays. Against a plain model."""
+    store = sharding.Store(spark, f"file://{tmp_path}/store", target=64_000, fanout=3)
+    tier = lambda size: max(0, math.ceil(math.log(max(size, 1) / (64_000 / 27)) / math.log(3)))
+    model = []  # sizes of runs
+    rng = random.Random(3)
+    for k in range(9):
+        n = rng.choice([1, 3, 12, 40])
+        store.append(spark.createDataFrame([(1000 * k + i, "x" * 500) for i in range(n)], "doc_id long, text string").coalesce(1))
+        model.append(500 * n)
+        store.compact()
+        small = [x for x in model if x < 32_000]
+        full = {t for t in map(tier, small) if sum(tier(x) == t for x in small) >= 3}
+        merged = [sum(x for x in small if tier(x) == t) for t in full]
+        model = [x for x in model if x >= 32_000 or tier(x) not in full] + merged
+        got = sorted(r.n for r in store.manifest().groupBy("run").agg(F.sum("n_bytes").alias("n")).collect())
+        assert got == sorted(model), k
+    assert all(r.tier == tier(r.n_bytes) for r in store.manifest().collect())
+
+
 def test_sharding_keeps_every_row(spark):
     _, out = sharding.shard(documents(spark), arrivals=4, target=1 << 14, fanout=2)
     assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in rows())

@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions import classify, ranking, text
 from ..functions.text import QUERY_STOPWORDS, TERM_STOPWORDS
-from ..operators import corpus, evaluate, index, search, symbols
+from ..operators import corpus, evaluate, index, search, symbols, upkeep
 from ..sources import tables as T
+from ..sources.shared import fresh
 from ..sources.tables import AUTHORITY_NAMES, CHUNKS_SQL, SYMBOLS_SQL
 
 
@@ -106,6 +107,19 @@ def term_df(spark, sf):
     return index.document_frequency(v, "root_name")
 
 
+def kept_up(spark, sf):
+    """An index of three quarters of the documents, brought up to date by two batches: new and replaced ones, then removed ones."""
+    chunks, part = T.chunks(spark, sf), F.col("document_id") % 4
+    ix = upkeep.TermIndex(spark, fresh(spark, "upkeep"))
+    ix.create(chunks.where(part != 0))
+    body = F.when(part == 1, F.concat(F.lit("updated "), "body", F.lit(" revised"))).otherwise(F.col("body"))
+    ids = chunks.select("document_id").distinct()
+    ix.apply(ids.where(part <= 1), chunks.withColumn("body", body).where(part <= 1))
+    ix.apply(ids.where(part == 2), chunks.limit(0))
+    held = ix.postings().groupBy("root_name", "term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tf"))
+    return ix.frequency().join(held, ["root_name", "term"], "full").join(ix.roots().withColumnRenamed("n", "chunks"), "root_name", "full")
+
+
 def index_stats(spark, sf):
     return corpus.index_stats(T.index(spark, sf).postings)
 
@@ -292,11 +306,16 @@ def eval_recall(spark, sf):
     return b.join(hit, "item_id", "left").select("item_id", F.coalesce("sources", F.lit(0)).alias("sources"), F.col("sources").isNotNull().alias("found"))
 
 
+KEPT_UP_SQL = f"""WITH {CHUNKS_SQL.replace("text AS body", "CASE WHEN doc_id // 3 % 4 = 1 THEN 'updated ' || text || ' revised' ELSE text END AS body").replace("text IS NOT NULL)", "text IS NOT NULL AND doc_id // 3 % 4 <> 2)")}, {VECTORS_SQL},
+ held AS (SELECT root_name, count(*) AS chunks FROM chunks GROUP BY root_name)
+SELECT root_name, term, count(*) AS df, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tf, max(held.chunks) AS chunks FROM vectors JOIN chunks USING (chunk_id) JOIN held USING (root_name) GROUP BY root_name, term"""
+
 QUERIES = {
     "semantic_topk": (semantic_topk, f"{WITH}, {QTERMS_SQL}, {lookup_sql()}, {semantic_sql()} SELECT qid, rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score FROM semantic WHERE rank <= 20"),
     "semantic_scoped": (semantic_scoped, f"{WITH}, {QTERMS_SQL}, {lookup_sql(True)}, {semantic_sql(500, True)} SELECT qid, rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score FROM semantic WHERE rank <= 20"),
     "term_vector_top48": (term_vectors, f"{WITH} SELECT chunk_id, string_agg(term, ' ' ORDER BY term) AS terms, count(*) AS n FROM vectors GROUP BY chunk_id"),
     "term_df": (term_df, f"{WITH} SELECT root_name, term, count(*) AS df FROM vectors JOIN chunks USING (chunk_id) GROUP BY ALL"),
+    "index_upkeep": (kept_up, KEPT_UP_SQL),
     "index_stats": (index_stats, f"{WITH} SELECT count(DISTINCT chunk_id) AS vectors, count(*) AS postings, count(DISTINCT term) AS terms, round(count(*) / count(DISTINCT chunk_id), 6) AS avg_terms FROM vectors"),
     "lookup_terms_pruned": (lookup_terms, f"{WITH}, {QTERMS_SQL}, {lookup_sql()} SELECT qid, term, round(w, 6) AS w, picked FROM lookup"),
     "bm25_search": (bm25_search, f"WITH {CHUNKS_SQL}, {asked_sql(False)} SELECT qid, CAST(pos AS INT) AS pos, chunk_id, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), chunk_id) AS pos FROM every) WHERE pos <= 50"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import web
+from ..operators import site
 from ..sources import tables as T
 
 P = r"regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
@@ -91,7 +92,38 @@ def version(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", web.version_in(t).alias("version"))
 
 
+def main_elements(spark, sf):
+    """Pages set into the frames of two generators, a third of them into none."""
+    frame = lambda before, after: F.concat(F.lit(before), "html", F.lit(after))
+    k = F.col("page_id") % 3
+    html = F.when(k == 0, frame(*FRAMES[0])).when(k == 1, frame(*FRAMES[1])).otherwise(F.col("html"))
+    profile = F.when(k == 0, "sphinx").when(k == 1, "doxygen").otherwise("sphinx")
+    out = site.main_elements(T.table(spark, sf, "pages").select("page_id", html.alias("html"), profile.alias("profile")), "page_id")
+    return out.select("page_id", F.sha2("main", 256).alias("main_sha256"), F.char_length("main").alias("n_chars"))
+
+
+FRAMES = (
+    ('<div class="top"><div>menu</div></div><div class="document"><div><div role="main"><div>', "</div></div></div><div>aside</div></div><footer>end</footer>"),
+    ('<div class="header"><div>menu</div></div><div class="contents"><div class="textblock">', '</div><div>more</div></div><hr class="footer"/><div>end</div>'),
+)
+_CLASS, _ROLE, _ID = (rf"""lower(regexp_extract(tag, '\s{a}\s*=\s*["'']([^"'']*)', 1, 'i'))""" for a in ("class", "role", "id"))
+MAIN_SQL = rf"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{FRAMES[0][0]}' || html || '{FRAMES[0][1]}' WHEN 1 THEN '{FRAMES[1][0]}' || html || '{FRAMES[1][1]}' ELSE html END AS html, CASE WHEN page_id % 3 = 1 THEN 'doxygen' ELSE 'sphinx' END AS profile FROM pages),
+ b AS (SELECT *, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS bare FROM p),
+ s AS (SELECT page_id, profile, string_split(bare, '<') AS l FROM b),
+ x AS (SELECT page_id, profile, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM s),
+ y AS (SELECT *, lower(regexp_extract(piece, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) AS name, split_part(piece, '>', 1) AS tag FROM x WHERE pos > 0),
+ t AS (SELECT *, CASE WHEN piece LIKE '/%' THEN -1 WHEN tag LIKE '%/' THEN 0 ELSE 1 END AS step, {_CLASS} AS c, {_ROLE} AS r, {_ID} AS i FROM y WHERE name IN ('div', 'article', 'main', 'section')),
+ d AS (SELECT *, sum(step) OVER (PARTITION BY page_id, name ORDER BY pos) AS depth,
+   CASE WHEN step < 1 THEN NULL WHEN profile = 'doxygen' THEN CASE WHEN name = 'div' AND contains(c, 'contents') THEN 1 END WHEN name = 'div' AND r = 'main' THEN 1 WHEN name = 'div' AND contains(c, 'document') THEN 2
+     WHEN i IN ('content', 'main-content') OR c = 'body' THEN 3 WHEN name IN ('article', 'main') THEN 4 END AS best FROM t),
+ e AS (SELECT o.page_id, o.pos, o.best, min(z.pos) AS close FROM d o LEFT JOIN d z ON z.page_id = o.page_id AND z.name = o.name AND z.step < 0 AND z.depth = o.depth - 1 AND z.pos > o.pos WHERE o.best IS NOT NULL GROUP BY ALL),
+ f AS (SELECT e.*, substr(array_to_string(l[pos + 1:coalesce(close, len(l))], '<'), instr(array_to_string(l[pos + 1:coalesce(close, len(l))], '<'), '>') + 1) AS inside FROM e JOIN s USING (page_id)),
+ g AS (SELECT page_id, arg_min(inside, best * 1000000000::BIGINT + pos) AS inside FROM f WHERE length(inside) > 40 GROUP BY page_id)
+SELECT page_id, sha256(coalesce(inside, html)) AS main_sha256, CAST(length(coalesce(inside, html)) AS INT) AS n_chars FROM p LEFT JOIN g USING (page_id)"""
+
+
 QUERIES = {
+    "main_element": (main_elements, MAIN_SQL),
     "html_title": (titles, r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, sha256(html) AS hash FROM pages"),
     "html_links": (links, LINKS_SQL),
     "html_to_text": (text, TEXT_SQL),

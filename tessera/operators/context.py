@@ -149,7 +149,9 @@ def build(spark: SparkSession, task: str, chunks: DataFrame, symbols: DataFrame,
     found = Y.find(symbols, names, MOST_RESULTS).join(symbols.select("id", "name", "kind"), "id").orderBy("qid", "rank").collect() if words else []
     top = S.search(chunks, query, limit=12, per_document=PER_DOCUMENT, preferred_version=version, semantic=True)
     hits = top.join(chunks.drop("document_id"), "chunk_id").orderBy("rank").collect()  # 12 rows at most
-    parsed = [(r, R.parse(r.body)) for r in R.search(recipes, task, roots=list(roots)).collect()]
+    mine = R.search(recipes, task, roots=list(roots))
+    fields = {r.uri: r for r in R.read(mine).collect()}  # five recipes at most
+    parsed = [(r, fields[r.uri]) for r in mine.collect()]
     both = lambda name: list(dict.fromkeys(x for _, p in parsed for x in getattr(p, name)))
     citations = [{"uri": h.uri, "root": h.root_name, "title": h.title, "section": h.heading, "authority": h.authority, "version": h.product_version, "archived": h.archived, "hash": hashlib.sha256(h.body.encode()).hexdigest()} for h in hits]
     package = {

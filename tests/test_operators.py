@@ -207,7 +207,7 @@ RECIPE = "# Retry\nintro\n## Required APIs\n- `RetryPolicy`\n## Steps\n1. Create
 
 
 def test_recipes(spark):
-    r = recipes.parse(RECIPE)
+    r = recipes.read(spark.createDataFrame([("u", RECIPE)], "uri string, body string")).first()
     assert r.apis[0] == "RetryPolicy" and r.sequence == ["Create it", "Use it", "Cleanup: close"] and r.pitfalls == ["Do not block"] and r.version == "2.1" and r.examples == ["code"]
     df = spark.createDataFrame([("u1", "Retry", "net", "go", RECIPE, "generated", "generated_summary", "sdk", 1), ("u2", "retry too", "net", "go", "x", "human_reviewed", "curated_internal_recipe", "sdk", 0)], "uri string, subject string, technology string, language string, body string, review_status string, authority string, root_name string, created_at int")
     assert [x.uri for x in recipes.search(df, "RETRY").collect()] == ["u2", "u1"]
@@ -217,9 +217,67 @@ def test_recipes(spark):
     assert recipes.review(df, "u1", "human_reviewed").where("uri = 'u1'").first().authority == "curated_internal_recipe"
 
 
-@pytest.mark.parametrize("title,kind", [("Cleanup steps", "cleanup"), ("Required includes", "includes"), ("Prerequisites", "prereqs"), ("Required APIs", "apis"), ("Initialization order", "sequence"), ("Constraints", "constraints"), ("Common errors", "pitfalls"), ("Sample", "examples"), ("Version", "version"), ("Notes", "body")])
-def test_recipe_sections(title, kind):
-    assert recipes.section_kind(title) == kind
+def test_recipe_sections(spark):
+    kinds = {
+        "Cleanup steps": "cleanup", "Cleanup requirements": "cleanup", "Required includes": "includes", "Required headers": "includes", "Required prerequisites": "prereqs", "Requirements": "prereqs",
+        "API requirements": "apis", "Required APIs": "apis", "API reference": "apis", "Functions": "apis", "Initialization order": "sequence", "Init functions": "body", "Workflow": "sequence",
+        "Known constraints": "constraints", "You must not": "constraints", "Common errors": "pitfalls", "Known pitfalls": "pitfalls", "Sample": "examples", "Version": "version", "Miscellaneous notes": "body", " ": "body",
+    }
+    df = spark.createDataFrame(list(kinds.items()), "title string, kind string")
+    assert [r.title for r in df.where(recipes.section_kind(F.col("title")) != F.col("kind")).collect()] == []
+
+
+MADE = """intro 1. not in a section
+# Demo
+## Required prerequisites ##
+- SDK installed
+ * indented
+-not an item
+## Required APIs
+use `demo::Register` and `not an api` or `Client.Connect`
+- `demo::Register`
+#### no heading
+- `Other`
+## Required headers
+```c
+#include "demo/api.h"
+# Not a heading
+- not an item
+```
+- demo.h
+import demo
+## Initialization sequence
+- bullets come second
+2) Call Connect
+1. Call Register\r
+10.no item
+## Cleanup
+- close
+## Steps
++ again
+# Example
+~~~
+- code
+~~~
+## Version
+
+  2.1  
+more
+"""
+
+
+def test_recipes_are_read_by_their_lines(spark):
+    rows = [("made", MADE), ("none", None), ("empty", ""), ("loose", "First initialize:\n1. one\n 2) two\n- three"), ("silent", "1. one\n2. two"), ("long", "## Example\n" + "word " * 300)]
+    got = {r.uri: r for r in recipes.read(spark.createDataFrame(rows, "uri string, body string").repartition(3)).collect()}
+    m = got["made"]
+    assert m.prereqs == ["SDK installed", "indented"] and m.apis == ["demo::Register", "Client.Connect", "Other"]
+    assert m.includes == ["demo.h", '#include "demo/api.h"', "import demo"]
+    assert m.sequence == ["Call Connect", "Call Register", "bullets come second", "Cleanup: close", "again"] and m.cleanup == ["close"]
+    assert m.examples == ["~~~\n- code\n~~~"] and m.version == "2.1"
+    for k in ("none", "empty"):
+        assert not any(getattr(got[k], f) for f in ("apis", "includes", "prereqs", "sequence", "cleanup", "constraints", "pitfalls", "examples", "version"))
+    assert got["loose"].sequence == ["one", "two"] and got["silent"].sequence == []
+    assert got["long"].examples[0].endswith("word…") and 560 <= len(got["long"].examples[0]) <= 601
 
 
 def test_context_packages(spark):

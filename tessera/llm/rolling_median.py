@@ -30,7 +30,7 @@ from .common import drop_stored, give_back, stored, table
 WIDE = 360 * 60 * 1_000_000
 CUTS = [2**k for k in range(1, 12)] + [2**11 * 5**k for k in range(1, 9)]
 #: A window of n points is cut into about sqrt(n) / THIN cells.
-THIN = 3
+THIN = 6
 #: Bits of a number's mantissa that prefixes of each level have, after its sign and exponent.
 LEVELS = (3, 13, 23, 33, 43, 52)
 #: No cents; cents are below MOST in size, so that eight times as much is still a 64-bit number.

@@ -19,15 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_stored, give_back, raw, stored, strings, table
+from .common import LOWER, blocks, drop_stored, give_back, raw, stored, strings, table
 
 #: Probabilities are counted in parts of SCALE = 1000 ** 3, after adding SMOOTHING to each count.
 SCALE, SMOOTHING = 1_000_000_000, 5
 #: Which bytes terms are made of: ASCII letters and all beyond ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
-#: Numbers that one block of vectors by sources takes, and vectors that one task takes on average.
-BLOCK, TASK_VECTORS = 1 << 20, 1 << 13
+#: Bytes of text that are counted at a time; numbers that one block of vectors by sources takes, and vectors that one
+#: task takes on average.
+BLOCK_TEXT, BLOCK, TASK_VECTORS = 1 << 23, 1 << 20, 1 << 13
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -45,30 +46,31 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, source, text) to (lang, source, term, n, d): a batch's occurrences of a term, and its rows with it."""
+    """Rows (lang, source, text) to (lang, source, term, n, d): a block's occurrences of a term, and its rows with it."""
     for batch in batches:
-        names = [strings(batch, c).dictionary_encode() for c in ("lang", "source")]
-        groups, group = np.unique(names[0].indices.to_numpy() * max(len(names[1].dictionary), 1) + names[1].indices.to_numpy(), return_inverse=True)
-        row, found = terms(*raw(strings(batch, "text")))
-        if not len(row):
-            continue
-        found = found.dictionary_encode()
-        k = len(found.dictionary)
-        pair, n = np.unique(row * k + found.indices.to_numpy(), return_counts=True)
-        key, back = np.unique(group[pair // k] * k + pair % k, return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, back, n)
-        code = groups[key // k]
-        width = max(len(names[1].dictionary), 1)
-        out = {
-            "lang": names[0].dictionary.take(pa.array(code // width)),
-            "source": names[1].dictionary.take(pa.array(code % width)),
-            "term": found.dictionary.take(pa.array(key % k)).cast(pa.string()),
-            "n": pa.array(total),
-            "d": pa.array(np.bincount(back, minlength=len(key))),
-        }
-        yield pa.RecordBatch.from_pydict(out)
-        del out, row, found, pair, back
+        data, offsets = raw(strings(batch, "text"))
+        for i, j in blocks(offsets, BLOCK_TEXT):
+            row, found = terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if not len(row):
+                continue
+            names = [strings(batch, c).slice(i, j - i).dictionary_encode() for c in ("lang", "source")]
+            width = len(names[1].dictionary)
+            groups, group = np.unique(names[0].indices.to_numpy().astype(np.int64) * width + names[1].indices.to_numpy(), return_inverse=True)
+            found = found.dictionary_encode()
+            k = len(found.dictionary)
+            pair, n = np.unique(row * k + found.indices.to_numpy(), return_counts=True)
+            del row
+            key, back = np.unique(group[pair // k] * k + pair % k, return_inverse=True)
+            code = groups[key // k]
+            out = {
+                "lang": names[0].dictionary.take(pa.array(code // width)),
+                "source": names[1].dictionary.take(pa.array(code % width)),
+                "term": found.dictionary.take(pa.array(key % k)).cast(pa.string()),
+                "n": pa.array(np.bincount(back, n, len(key)).astype(np.int64)),  # sums of a block: exact as doubles
+                "d": pa.array(np.bincount(back, minlength=len(key))),
+            }
+            yield pa.RecordBatch.from_pydict(out)
+            del out, found, pair, back
         give_back()
 
 

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What reads as an API name, and what a line counts for what it holds.
-PASCAL, SNAKE = r"\b[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+\b", r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"
+#: What reads as a call of an API: a name that begins with a capital, perhaps qualified or with a member,
+#: or a name with underscores, before an opening bracket. And what a line counts for what it holds.
+CALLS = (r"\b((?:[A-Za-z_]\w*::)?[A-Z][A-Za-z0-9]+(?:\.[A-Z][A-Za-z0-9]+)?)\s*\(", r"\b([a-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+)\s*\(")
 PER_TOKEN, API_LINE, CALL_LINE, SIGNATURE_LINE, LONG_LINE = 2, 6, 4, 5, 400
 SIGNATURES = ("int f_", "void f_", "long f_", "f_file *")
 
 
+def holds_call(text: Column) -> Column:
+    """Whether a text calls an API."""
+    return text.rlike(CALLS[0]) | text.rlike(CALLS[1])
+
+
 def line_score(line: Column, tokens: Column) -> Column:
-    """How telling a line is: tokens of the subject in it, API names, and signatures; a long line without API names hardly counts."""
-    low, api = F.lower(line), line.rlike(PASCAL) | line.rlike(SNAKE)
+    """How telling a line is: tokens of the subject in it, API calls, and signatures; a long line without calls hardly counts."""
+    low, api = F.lower(line), holds_call(line)
     held = F.size(F.filter(tokens, lambda t: (t != "") & F.contains(low, F.lower(t))))
     signature = F.lit(False)
     for s in SIGNATURES:
@@ -35,7 +41,7 @@ def window_around(text: Column, tokens: Column, most: int) -> Column:
     best = best_line(lines, tokens)
     start = F.greatest(F.lit(0), F.least(best - most // 3, F.size(lines) - most))
     first = F.get(lines, start)
-    blob = (start < best) & (F.octet_length(first) > LONG_LINE) & ~(first.rlike(PASCAL) | first.rlike(SNAKE))
+    blob = (start < best) & (F.octet_length(first) > LONG_LINE) & ~holds_call(first)
     end = F.least(start + most, F.size(lines))
     end = F.when(blob & (end <= best), F.least(F.size(lines), best + most)).otherwise(end)
     start = F.when(blob, best).otherwise(start)
@@ -60,10 +66,14 @@ def trimmed_excerpt(text: Column, most: int) -> Column:
 
 
 def clean_body(text: Column) -> Column:
-    """A text without tags and images, entities read; what stands between angles in an include stays."""
-    out = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(#\s*include\s*)<([^>\n]+)>", "$1\x01$2\x02")
-    out = F.regexp_replace(out, r"</?[A-Za-z][^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """A text without tags and images, entities read once; what stands between angles in an include stays.
+
+    Lines that include nothing (their file was a tag) become one remark where there are several in a row.
+    """
+    out = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?m)^([ \t]*#[ \t]*include[ \t]*)<([^>\r\n]+)>", "$1\x01$2\x02")
+    out = F.regexp_replace(out, r"</?[A-Za-z][A-Za-z0-9]*\b[^>]*>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(F.regexp_replace(out, r"!\[[^\]]*\]\([^)]*\)", ""), r"\n{3,}", "\n\n")
-    return F.btrim(F.translate(out, "\x01\x02", "<>"), F.lit(" \t\r\n"))
+    out = F.translate(F.regexp_replace(out, r"!\[[^\]]*\]\([^)]*\)", ""), "\x01\x02", "<>")
+    out = F.regexp_replace(out, r"(?m)(?:^[ \t]*#[ \t]*include[ \t]*\n){2,}", "/* #include … */\n")
+    return F.btrim(F.regexp_replace(out, r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))

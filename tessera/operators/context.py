@@ -43,7 +43,7 @@ def tokens_of(package: dict) -> int:
     return -(-len(text) // RUNES_PER_TOKEN)
 
 
-#: What the budget takes away, in order: a field and how many of its entries stay; `clip` and `drop` act on what is left.
+#: What the budget takes away, in order: a field and how many of its entries stay; `clip` and `drop` act on what is left.
 CUTS = (
     ("follow_ups", 0), ("conventions", 0), ("apis", 4), ("symbols", 2), ("citations", 3), ("examples", 1), ("pitfalls", 0), ("constraints", 1), ("prerequisites", 0),
     ("examples", "clip"), ("constraints", "clip"), ("apis", 2), ("symbols", 1), ("missing", 0), ("summary", "clip"), ("note", "drop"), ("examples", "drop"), ("constraints", "drop"),
@@ -78,8 +78,9 @@ def cut_once(package: dict) -> bool:
 
 def trim(package: dict, most: int = MOST_TOKENS) -> dict:
     """The package within the budget, or as near as so many steps come; estimated_tokens is set."""
-    package["apis"] = package.get("apis", [])[:SOFT_APIS]
-    package["symbols"] = package.get("symbols", [])[:SOFT_SYMBOLS]
+    if most > 0:  # without a budget the package stays as it is
+        package["apis"] = package.get("apis", [])[:SOFT_APIS]
+        package["symbols"] = package.get("symbols", [])[:SOFT_SYMBOLS]
     for _ in range(MOST_STEPS):
         if most <= 0 or tokens_of(package) <= most or not cut_once(package):
             break

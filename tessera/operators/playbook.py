@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.excerpts import CALLS
 from ..functions.text import content_tokens
 
 #: Weights of the queries, of where an API name stands, and how many are named.
 SUBJECT, EXAMPLE, SAMPLE, TOKEN = 8.0, 5.0, 5.0, 1.0
 PER_TOKEN, IN_SUBJECT, IN_SAMPLE, MOST_APIS = 25.0, 6, 3, 10
-PASCAL, SNAKE = r"\b([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)\b", r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"
+#: Names that are called everywhere, and starts of names of tests and dialogs, in lower case.
+NOISE = "if for while switch return sizeof typeof printf scanf gets puts main usermain sprintf snprintf fprintf malloc free memcpy memset".split()
+NOISE_STARTS = ("dialog", "test")
 
 
 def queries(subjects: DataFrame) -> DataFrame:
@@ -40,8 +43,9 @@ def recall(hits: DataFrame, subjects: DataFrame, chunks: DataFrame, limit: int =
 
 
 def frequent_apis(texts: DataFrame, subjects: DataFrame, limit: int = MOST_APIS) -> DataFrame:
-    """(qid, rank, api, n): API names by weighted count over texts (qid, text, kind); samples and the subject weigh more."""
-    names = F.concat(F.regexp_extract_all("text", F.lit(PASCAL), 1), F.regexp_extract_all("text", F.lit(SNAKE), 1))
+    """(qid, rank, api, n): API names called, by weighted count over texts (qid, text, kind); samples and the subject weigh more."""
+    names = F.concat(*[F.regexp_extract_all("text", F.lit(c), 1) for c in CALLS])
+    names = F.filter(names, lambda n: ~F.lower(n).isin(*NOISE) & ~F.lower(n).rlike("^(" + "|".join(NOISE_STARTS) + ")"))
     weight = F.when(F.col("kind") == "snippet", 4).when(F.col("kind") == "sample", IN_SAMPLE).otherwise(1)
     n = texts.select("qid", weight.alias("w"), F.explode(names).alias("api")).groupBy("qid", "api").agg(F.sum("w").alias("n"))
     n = n.join(subjects.select("qid", F.lower("subject").alias("s")), "qid").withColumn("n", F.col("n") + F.when(F.contains("s", F.lower("api")), IN_SUBJECT).otherwise(0))

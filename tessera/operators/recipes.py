@@ -78,11 +78,12 @@ def section_kind(title: Column) -> Column:
     return F.coalesce(out, F.lit("body"))
 
 
-def clip(text: Column, n: int) -> Column:
+def clip(text: Column, n: int | Column) -> Column:
     """At most n characters, cut back to white space within the last 40, and marked where anything is cut."""
-    tail = F.reverse(F.substr(F.left(text, F.lit(n)), F.lit(n - 39)))
+    n = F.lit(n) if isinstance(n, int) else n
+    tail = F.reverse(F.substr(F.left(text, n), F.greatest(n - 39, F.lit(1))))
     back = F.array_min(F.filter(F.array(F.instr(tail, " "), F.instr(tail, "\n")), lambda k: k > 0))
-    keep = F.when(F.lit(n > 41) & back.isNotNull(), n - back).otherwise(n)
+    keep = F.when((n > 41) & back.isNotNull(), n - back).otherwise(n)
     return F.when(F.char_length(text) <= n, text).otherwise(F.concat(F.left(text, keep), F.lit("…")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, code, text
+from ..functions.excerpts import CALLS
 from ..operators import context, corpus, evaluate, health, packages, playbook, recipes, symbols
 from ..sources import files
 from ..sources import tables as T
@@ -49,14 +50,14 @@ SELECT qid, CAST(part AS INT) AS part, q.q AS query, q.w AS weight FROM u"""
 
 def playbook_apis(spark, sf):
     s = T.symbols(spark, sf)
-    t = s.select((F.col("id") % 5).alias("qid"), F.concat_ws(" ", text.unqualified(F.col("name")), F.lit("make_call"), F.replace("name", F.lit("::"), F.lit(" "))).alias("text"), F.when(F.col("id") % 3 == 0, "sample").otherwise("guide").alias("kind"))
+    t = s.select((F.col("id") % 5).alias("qid"), F.concat(text.unqualified(F.col("name")), F.lit("() make_call (1) TestCall(2) and RetryPolicy; "), "name", F.lit(" ("), F.col("id").cast("string"), F.lit(")")).alias("text"), F.when(F.col("id") % 3 == 0, "sample").otherwise("guide").alias("kind"))
     q = t.select("qid").distinct().withColumn("subject", F.lit("make_call of a thing"))
     return playbook.frequent_apis(t, q)
 
 
 APIS_SQL = rf"""WITH {SYMBOLS_SQL}, b AS (SELECT id, name, regexp_replace(trim(name), '\(\)$', '') AS n FROM symbols),
- u AS (SELECT id % 5 AS qid, CASE WHEN id % 3 = 0 THEN 3 ELSE 1 END AS w, (CASE WHEN contains(n, '::') THEN split_part(n, '::', -1) WHEN contains(n, '.') THEN split_part(n, '.', -1) WHEN contains(n, '#') THEN split_part(n, '#', -1) ELSE n END) || ' make_call ' || replace(name, '::', ' ') AS t FROM b),
- x AS (SELECT qid, w, unnest(list_concat(regexp_extract_all(t, '\b([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)\b', 1), regexp_extract_all(t, '\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b', 1))) AS api FROM u),
+ u AS (SELECT id % 5 AS qid, CASE WHEN id % 3 = 0 THEN 3 ELSE 1 END AS w, (CASE WHEN contains(n, '::') THEN split_part(n, '::', -1) WHEN contains(n, '.') THEN split_part(n, '.', -1) WHEN contains(n, '#') THEN split_part(n, '#', -1) ELSE n END) || '() make_call (1) TestCall(2) and RetryPolicy; ' || name || ' (' || id || ')' AS t FROM b),
+ x AS (SELECT qid, w, api FROM (SELECT qid, w, unnest(list_concat(regexp_extract_all(t, '{CALLS[0]}', 1), regexp_extract_all(t, '{CALLS[1]}', 1))) AS api FROM u) WHERE lower(api) NOT IN ({", ".join(f"'{x}'" for x in playbook.NOISE)}) AND NOT starts_with(lower(api), 'test') AND NOT starts_with(lower(api), 'dialog')),
  g AS (SELECT qid, api, CAST(sum(w) + CASE WHEN contains('make_call of a thing', lower(api)) THEN 6 ELSE 0 END AS BIGINT) AS n FROM x GROUP BY qid, api)
 SELECT qid, CAST(r AS INT) AS rank, api, n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, api) AS r FROM g) WHERE r <= 10"""
 

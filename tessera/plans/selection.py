@@ -232,11 +232,14 @@ FROM (SELECT *, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 30
 def telling_lines(spark, sf):
     d = T.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     tokens = F.array(F.lit("the"), F.lit("ion"), F.lit(""))
-    return d.select("doc_id", excerpts.best_line(F.split("t", "\n"), tokens).alias("line"), F.sha2(excerpts.window_around(F.col("t"), tokens, 6), 256).alias("window_sha"))
+    calls = F.concat("t", F.lit("\nPlain RetryPolicy prose.\nint f_open(Path p);\nClient.Connect (host)\n"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, calls).otherwise(F.col("t")).alias("t")).select(
+        "doc_id", excerpts.best_line(F.split("t", "\n"), tokens).alias("line"), F.sha2(excerpts.window_around(F.col("t"), tokens, 6), 256).alias("window_sha")
+    )
 
 
-_P, _S = r"'\b[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+\b'", r"'\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b'"
-TELLING_SQL = rf"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+_P, _S = (f"'{c}'" for c in excerpts.CALLS)
+TELLING_SQL = rf"""WITH l AS (SELECT doc_id, string_split(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || array_to_string(['Plain RetryPolicy prose.', 'int f_open(Path p);', 'Client.Connect (host)', ''], chr(10)) || doc_id ELSE '' END, chr(10)) AS ls FROM documents),
  s AS (SELECT doc_id, ls, list_transform(ls, lambda x: CASE WHEN strlen(x) > 400 AND NOT (regexp_matches(x, {_P}) OR regexp_matches(x, {_S})) AND (contains(lower(x), 'the') OR contains(lower(x), 'ion') OR contains(lower(x), 'f_')) THEN 1 ELSE
    CASE WHEN contains(lower(x), 'the') THEN 2 ELSE 0 END + CASE WHEN contains(lower(x), 'ion') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, {_P}) OR regexp_matches(x, {_S}) THEN 6 ELSE 0 END
    + CASE WHEN contains(lower(x), 'f_') AND contains(x, '(') THEN 4 ELSE 0 END + CASE WHEN contains(lower(x), 'int f_') OR contains(lower(x), 'void f_') OR contains(lower(x), 'long f_') OR contains(lower(x), 'f_file *') THEN 5 ELSE 0 END END) AS sc FROM l),
@@ -248,16 +251,16 @@ SELECT doc_id, CAST(best AS INT) AS line, sha256(CASE WHEN best < 0 THEN '' ELSE
 
 def cleaned_pages(spark, sf):
     p = T.table(spark, sf, "pages")
-    made = F.concat(F.lit("// Copyright x\n\n#include <a.h>\r\n![i](x.png)\n"), "html")
+    made = F.concat(F.lit("// Copyright x\n\n#include <a.h>\r\n![i](x.png)\n#include\n # include \n&amp;quot;&quot; a <b_c> &amp;lt;\n"), "html")
     return p.select("page_id", F.sha2(excerpts.clean_body(made), 256).alias("sha"), F.sha2(excerpts.trimmed_excerpt(made, 5), 256).alias("excerpt_sha"))
 
 
-CLEAN_SQL = r"""WITH p AS (SELECT page_id, '// Copyright x' || chr(10) || chr(10) || '#include <a.h>' || chr(13) || chr(10) || '![i](x.png)' || chr(10) || html AS t FROM pages),
- c AS (SELECT page_id, t, regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '(#\s*include\s*)<([^>\n]+)>', '\1' || chr(1) || '\2' || chr(2), 'g') AS a FROM p),
- d AS (SELECT page_id, t, replace(replace(replace(replace(replace(regexp_replace(a, '</?[A-Za-z][^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS b FROM c),
+CLEAN_SQL = r"""WITH p AS (SELECT page_id, '// Copyright x' || chr(10) || chr(10) || '#include <a.h>' || chr(13) || chr(10) || '![i](x.png)' || chr(10) || '#include' || chr(10) || ' # include ' || chr(10) || '&amp;quot;&quot; a <b_c> &amp;lt;' || chr(10) || html AS t FROM pages),
+ c AS (SELECT page_id, t, regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '(?m)^([ \t]*#[ \t]*include[ \t]*)<([^>\r\n]+)>', '\1' || chr(1) || '\2' || chr(2), 'g') AS a FROM p),
+ d AS (SELECT page_id, t, replace(replace(replace(replace(replace(regexp_replace(a, '</?[A-Za-z][A-Za-z0-9]*\b[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&#39;', '''') AS b FROM c),
  e AS (SELECT *, string_split(trim(t, ' ' || chr(9) || chr(13) || chr(10)), chr(10)) AS ls FROM d),
  f AS (SELECT *, list_position(list_transform(ls, lambda x: trim(x) IN ('', '*/', '/*') OR contains(x, 'Copyright') OR starts_with(trim(x), '```')), false) AS k FROM e)
-SELECT page_id, sha256(trim(translate(regexp_replace(regexp_replace(b, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(1) || chr(2), '<>'), ' ' || chr(9) || chr(13) || chr(10))) AS sha,
+SELECT page_id, sha256(trim(regexp_replace(regexp_replace(translate(regexp_replace(b, '!\[[^\]]*\]\([^)]*\)', '', 'g'), chr(1) || chr(2), '<>'), '(?m)(?:^[ \t]*#[ \t]*include[ \t]*\n){2,}', '/* #include … */' || chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10))) AS sha,
  sha256(trim(array_to_string(list_slice(ls, k, k + 4), chr(10)), ' ' || chr(9) || chr(13) || chr(10))) AS excerpt_sha FROM f"""
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, corpus, packages, retrieval, selection, web
+from .plans import analytics, context, corpus, packages, retrieval, selection, web
 
-ALL = retrieval.QUERIES | analytics.QUERIES | corpus.QUERIES | web.QUERIES | packages.QUERIES | selection.QUERIES
+ALL = context.QUERIES | retrieval.QUERIES | analytics.QUERIES | corpus.QUERIES | web.QUERIES | packages.QUERIES | selection.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import excerpts
 from tessera.operators import catalog, chunking, context, corpus, evaluate, index, ingest, mutate, packages, playbook, recipes, scope, search, select, symbols, usage
 from tessera.sources import files, pdf
 from tessera.sources import tables as T
@@ -293,10 +294,26 @@ def test_context_packages(spark):
     assert small["estimated_tokens"] <= 300 < p["estimated_tokens"]
 
 
+def test_calls_are_told_from_prose(spark):
+    lines = {"RetryPolicy in prose": False, "RetryPolicy(1)": True, "Client.Connect (host)": True, "ns::Open(": True, "f_open(path)": True, "Foo": False, "a (b)": False, "open(x)": False, "x = OSChangePrio(3)": True}
+    df = spark.createDataFrame(list(lines.items()), "line string, call boolean")
+    assert [r.line for r in df.where(excerpts.holds_call(F.col("line")) != F.col("call")).collect()] == []
+    score = {r.line: r.s for r in df.select("line", excerpts.line_score(F.col("line"), F.array().cast("array<string>")).alias("s")).collect()}
+    assert score["RetryPolicy in prose"] == 0 and score["Client.Connect (host)"] == 6
+    body = "#include <a/b.h>\n  #include\n# include \n#include <string>&lt;&amp;quot;&gt; <b>bold</b> a <b_c> d ![x](y)\r\n\n\n\nend"
+    got = spark.createDataFrame([(body,)], "t string").select(excerpts.clean_body(F.col("t")).alias("c")).first().c
+    assert got == '#include <a/b.h>\n/* #include … */\n#include <string><"> bold a <b_c> d \n\nend'
+
+
+def test_packages_without_a_budget_stay():
+    p = context.trim({"apis": list("abcdefghijkl"), "symbols": list("abcdefgh")}, 0)
+    assert len(p["apis"]) == 12 and len(p["symbols"]) == 8
+
+
 def test_playbooks(spark):
     s = spark.createDataFrame([(1, "the RetryPolicy setup")], "qid int, subject string")
     assert [r.query for r in playbook.queries(s).orderBy("part").collect()][3:] == ["RetryPolicy", "setup"]
-    t = spark.createDataFrame([(1, "RetryPolicy make_call make_call", "sample"), (1, "OtherThing", "guide")], "qid int, text string, kind string")
+    t = spark.createDataFrame([(1, "RetryPolicy(x); make_call(1) make_call (2) TestThing() printf(3) prose of OtherThing and snake_case", "sample"), (1, "OtherThing ()", "guide")], "qid int, text string, kind string")
     assert [(r.api, r.n) for r in playbook.frequent_apis(t, s).orderBy("rank").collect()] == [("RetryPolicy", 9), ("make_call", 6), ("OtherThing", 1)]
     hits = spark.createDataFrame([(1, 1, 2.0, 8.0), (1, 1, 9.0, 1.0), (1, 2, 1.0, 8.0)], "qid int, chunk_id long, score double, weight double")
     c = corpus_of(spark, [(1, 1, "a", "unknown", "", ""), (2, 2, "setup", "unknown", "", "")])

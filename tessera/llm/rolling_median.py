@@ -225,15 +225,18 @@ def spread(series, m, chunk, cell, asks):
 def picked(series, m, cell, cents, at, wanted):
     """A cell's counts by the next digit under each prefix that cells of the stretch `at` ask for."""
     c = numbers(cents)
-    codes = code(c[c != NONE])
+    codes = np.sort(code(c[c != NONE]))
     out, made = [], {}
-    for level in {x["level"] for x in wanted}:
-        made[level] = prefixes(codes, level), prefixes(codes, level + 1)
+    for level in {x["level"] for x in wanted}:  # each digit's runs once, and the prefixes that they are under
+        below = prefixes(codes, level + 1)
+        edge = np.flatnonzero(np.append(True, below[1:] != below[:-1])) if len(below) else np.zeros(0, np.int64)
+        digit = below[edge]
+        made[level] = digit >> (LEVELS[level + 1] - LEVELS[level]), digit, np.diff(np.append(edge, len(below)))
     for x in wanted:
-        of, below = made[x["level"]]
-        found, n = np.unique(below[of == x["prefix"]], return_counts=True)
-        if len(found):
-            out.append((series, m, at, x["level"], x["prefix"], packed(np.full(len(found), cell), found, n)))
+        of, digit, n = made[x["level"]]
+        a, b = np.searchsorted(of, x["prefix"]), np.searchsorted(of, x["prefix"], side="right")
+        if b > a:
+            out.append((series, m, at, x["level"], x["prefix"], packed(np.full(b - a, cell), digit[a:b], n[a:b])))
     return out
 
 
@@ -350,16 +353,19 @@ def centred(series, m, chunk, cell, us, cents, us0, cents0, state):
 OUT = "click_id long, kind string, n long, median2 long, mad4 long, far boolean"
 
 
-def finished(series, us, cents, ids, us0, cents0, state, medians):
-    """The rows of a cell's clicks."""
-    us, cents, ids, med = numbers(us), numbers(cents), numbers(ids), numbers(medians, 3)
-    mad = radii_of(numbers(state, 4), Edges(med[:, 0], us, cents, numbers(us0), numbers(cents0)), med)
-    at = np.searchsorted(med[:, 0], us)
-    n, median, mad, valued = med[at, 1], med[at, 2], mad[at], cents != NONE
-    far = 2 * np.abs(2 * np.where(valued, cents, 0) - median) > 5 * mad
-    kind = series[1:] if series else None
-    rows = zip(ids.tolist(), n.tolist(), median.tolist(), mad.tolist(), far.tolist(), valued.tolist(), strict=True)
-    return [(i if i != NONE else None, kind, k, *((c, r, f if v else None) if k >= LEAST else (None, None, None))) for i, k, c, r, f, v in rows]
+def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of cells' clicks."""
+    for batch in batches:
+        for series, us, cents, ids, us0, cents0, state, medians in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            us, cents, ids, med = numbers(us), numbers(cents), numbers(ids), numbers(medians, 3)
+            mad = radii_of(numbers(state, 4), Edges(med[:, 0], us, cents, numbers(us0), numbers(cents0)), med)
+            at = np.searchsorted(med[:, 0], us)
+            n, median, mad = med[at, 1], med[at, 2], mad[at]
+            few, bare = n < LEAST, cents == NONE
+            far = 2 * np.abs(2 * np.where(bare, 0, cents) - median) > 5 * mad
+            columns = [pa.array(ids, mask=ids == NONE), pa.array([series[1:] if series else None] * len(us), pa.string()), pa.array(n), pa.array(median, mask=few), pa.array(mad, mask=few), pa.array(far, mask=few | bare)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")])
+        give_back()
 
 
 def rolling(clicks: DataFrame) -> DataFrame:
@@ -385,7 +391,7 @@ def rolling(clicks: DataFrame) -> DataFrame:
     drop_stored(states)
     states = descended(found.select(*keys, "state", "asks"), cells, found, lambda s, extra: radius_range(s, numbers(extra, 3))[0])
     rows = both.join(states.select(*keys, "state"), keys).join(found.select(*keys, "medians"), keys)
-    rows = rows.select("series", "us", "cents", "id", "us0", "cents0", "state", "medians").mapInArrow(*by_rows(finished, OUT))
+    rows = rows.select("series", "us", "cents", "id", "us0", "cents0", "state", "medians").mapInArrow(finished, OUT)
     out = stored(rows, "rolling")
     for made in (cells, states, found):
         drop_stored(made)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import contains_fold
+from ..sources.shared import fresh
 
 REVIEWED, CURATED = "human_reviewed", "curated_internal_recipe"
 
@@ -36,6 +37,33 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(last.select("uri"), "uri", "left_anti").unionByName(last)
 
 
+def lineage(recipes: DataFrame) -> DataFrame:
+    """(uri, origin, steps) of recipes (uri, replaces): the recipe that each one's chain of replacements began with, and its length.
+
+    Every round doubles how far each recipe has looked back, so a chain of n is resolved in about log2(n) joins, each one
+    a table in the shared folder. replaces may be null or name a recipe that isn't there, which then is the origin. A
+    chain that comes back to itself is refused with ValueError. uris must differ.
+    """
+    spark = recipes.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = fresh(spark, "lineage")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    named = recipes.select("uri", "replaces").where("uri is not null")
+    outside = named.select(F.col("replaces").alias("uri")).where("uri is not null").distinct().join(named.select("uri"), "uri", "left_anti")
+    first = named.unionByName(outside.withColumn("replaces", F.lit(None).cast(dict(named.dtypes)["uri"])))
+    at = kept(first.select("uri", F.coalesce("replaces", "uri").alias("origin"), F.col("replaces").isNotNull().cast("long").alias("steps")))
+    for _ in range(at.count().bit_length() + 1):
+        ahead = at.select(F.col("uri").alias("origin"), F.col("origin").alias("to"), F.col("steps").alias("more"))
+        after = kept(at.join(ahead, "origin").select("uri", F.col("to").alias("origin"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
+        at = after.select("uri", "origin", "steps")
+        if not after.where("moved").limit(1).count():
+            return at.join(named.select("uri"), "uri", "left_semi")
+    raise ValueError("recipes replace each other in a circle")
+
+
 def review(recipes: DataFrame, uri: str, status: str) -> DataFrame:
     """Promotes or demotes one recipe; its authority follows."""
     mine = F.col("uri") == uri

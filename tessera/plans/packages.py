@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify, code, text
+from ..functions import classify, code, keyed, text
 from ..functions.excerpts import CALLS
 from ..operators import context, corpus, evaluate, health, packages, playbook, recipes, symbols
 from ..sources import files
@@ -186,7 +186,36 @@ TOOLS_SQL = f"""WITH {REQUESTS_SQL} SELECT (['knowledge_search', 'symbol_search'
  CAST(sum(CASE WHEN coalesce(returned_tokens, 0) > 0 THEN returned_tokens * CASE WHEN raw_document_tokens > structured_tokens AND structured_tokens = 0 THEN 2 WHEN structured_tokens > 0 AND raw_document_tokens = 0 THEN 4 ELSE 3 END END) AS BIGINT) AS est FROM requests GROUP BY 1, 2"""
 
 
+def recipe_lineage(spark, sf):
+    """Documents as recipes of which each replaces the one before, in chains of up to a thousand."""
+    d = T.table(spark, sf, "documents").select("doc_id").distinct()
+    return recipes.lineage(d.select(F.col("doc_id").alias("uri"), F.when(F.col("doc_id") % 1000 != 0, F.col("doc_id") - 1).alias("replaces")))
+
+
+LINEAGE_SQL = """WITH RECURSIVE d AS (SELECT DISTINCT doc_id FROM documents), c AS (SELECT doc_id AS uri, doc_id AS origin, 0 AS steps FROM d
+ UNION ALL SELECT uri, origin - 1, steps + 1 FROM c WHERE origin % 1000 <> 0 AND (origin = uri OR origin IN (FROM d)))
+SELECT uri, arg_max(origin, steps) AS origin, CAST(max(steps) AS BIGINT) AS steps FROM c GROUP BY uri"""
+
+
+def session_hashes(spark, sf):
+    """The sessions of all events: blank names, names under a salt, and names under a salt longer than a block."""
+    e = T.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, "  ").otherwise(F.concat(F.lit(" session-"), F.col("user_id").cast("string"), F.lit("é "))).alias("raw"))
+    return e.select("event_id", keyed.session_hash(F.col("raw"), SALT).alias("session"), keyed.session_hash(F.col("raw"), SALT * 9).alias("long"), keyed.session_hash(F.col("raw")).alias("plain"))
+
+
+def hmac_sql(salt: bytes) -> str:
+    blob = lambda pad: "'" + "".join(f"\\x{b:02X}" for b in keyed.padded_key(salt, pad)) + "'::BLOB"
+    return f"left(sha256({blob(keyed.OUTER)} || unhex(sha256({blob(keyed.INNER)} || encode(r)))), 32)"
+
+
+SALT = b"a salt of this install"
+SESSION_SQL = f"""SELECT event_id, CASE WHEN r = '' THEN '' ELSE {hmac_sql(SALT)} END AS session, CASE WHEN r = '' THEN '' ELSE {hmac_sql(SALT * 9)} END AS long, CASE WHEN r = '' THEN '' ELSE left(sha256(r), 16) END AS plain
+FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'session-' || user_id || 'é' END AS r FROM events)"""
+
+
 QUERIES = {
+    "recipe_lineage": (recipe_lineage, LINEAGE_SQL),
+    "session_hashes": (session_hashes, SESSION_SQL),
     "source_health": (health_issues, HEALTH_SQL),
     "library_growth": (growth, GROWTH_SQL),
     "playbook_queries": (playbook_queries, PLAYBOOK_SQL),

@@ -215,3 +215,22 @@ def test_symbols_of_files(spark):
     df = spark.createDataFrame([("a.py", "def f1():\n  pass"), ("b.py", None), ("c.md", "x")], "path string, text string")
     assert [(r.path, r.name) for r in code.extract(df).collect()] == [("a.py", "f1")]
     assert code.includes('#include <a.h>\n# include "b.h"') == ['#include "a.h"', '#include "b.h"']
+
+
+def test_hmac_equals_the_published_vectors(spark):
+    """Test cases 1 to 4, 6 and 7 of RFC 4231."""
+    from tessera.functions import keyed
+
+    cases = [
+        (b"\x0b" * 20, b"Hi There", "b0344c61d8db38535ca8afceaf0bf12b881dc200c9833da726e9376c2e32cff7"),
+        (b"Jefe", b"what do ya want for nothing?", "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"),
+        (b"\xaa" * 20, b"\xdd" * 50, "773ea91e36800e46854db8ebd09181a72959098b3ef8c122d9635514ced565fe"),
+        (bytes(range(1, 26)), b"\xcd" * 50, "82558a389a443c0ea4cc819899f2083a85f0faa3e578f8077a2e3ff46729665b"),
+        (b"\xaa" * 131, b"Test Using Larger Than Block-Size Key - Hash Key First", "60e431591ee0b67f0d8a26aacbf5b77f8e0bc6213728c5140546040f0ee37f54"),
+        (b"\xaa" * 131, b"This is a test using a larger than block-size key and a larger than block-size data. The key needs to be hashed before being used by the HMAC algorithm.", "9b09ffa71b942fcb27635fbcd5b0e944bfdc63644f0713938a7f51535c3a35e2"),
+    ]
+    df = spark.range(1)
+    got = df.select(*[keyed.hmac_sha256(k, F.lit(bytearray(m))).alias(str(i)) for i, (k, m, _) in enumerate(cases)]).first()
+    assert list(got) == [d for *_, d in cases]
+    rows = spark.createDataFrame([(None,), ("",), (" \t",), (" s1 ",), ("s1",)], "raw string").select(keyed.session_hash(F.col("raw"), b"salt").alias("h")).collect()
+    assert [len(r.h) for r in rows] == [0, 0, 0, 32, 32] and rows[3].h == rows[4].h

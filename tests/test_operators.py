@@ -228,6 +228,17 @@ def test_recipe_sections(spark):
     assert [r.title for r in df.where(recipes.section_kind(F.col("title")) != F.col("kind")).collect()] == []
 
 
+def test_recipe_lineage(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), (None, "a"), ("e", "c"), ("f", "c")]
+    df = lambda rs: spark.createDataFrame(rs, "uri string, replaces string")
+    got = {r.uri: (r.origin, r.steps) for r in recipes.lineage(df(rows)).collect()}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("gone", 1), "e": ("a", 3), "f": ("a", 3)}
+    for circle in ([("x", "x")], [("x", "y"), ("y", "x"), ("z", "x"), ("w", None)]):
+        with pytest.raises(ValueError):
+            recipes.lineage(df(circle))
+    assert recipes.lineage(df([])).collect() == []
+
+
 MADE = """intro 1. not in a section
 # Demo
 ## Required prerequisites ##

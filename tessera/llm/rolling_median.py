@@ -29,8 +29,8 @@ from .common import drop_stored, give_back, stored, table
 #: The window in microseconds, and how many cells it may be cut into: divisors of it.
 WIDE = 360 * 60 * 1_000_000
 CUTS = [2**k for k in range(1, 12)] + [2**11 * 5**k for k in range(1, 9)]
-#: A window of n points is cut into about sqrt(n) / THIN cells.
-THIN = 6
+#: A window of n points is cut into about sqrt(n) / THIN cells; counts of queries by points are made MATRIX at a time.
+THIN, MATRIX = 10, 1 << 21
 #: Bits of a number's mantissa that prefixes of each level have, after its sign and exponent.
 LEVELS = (3, 13, 23, 33, 43, 52)
 #: No cents; cents are below MOST in size, so that eight times as much is still a 64-bit number.
@@ -285,14 +285,26 @@ def descended(states: DataFrame, cells: DataFrame, medians: DataFrame | None, as
 class Edges:
     """The two cells that a cell's windows differ in: for each query, how many of their first i points by value it has."""
 
-    def __init__(self, times: np.ndarray, us: np.ndarray, cents: np.ndarray, us0: np.ndarray, cents0: np.ndarray) -> None:
-        own, old = cents != NONE, cents0 != NONE
-        value = np.concatenate([cents[own], cents0[old]])
-        held = np.concatenate([us[own][None, :] <= times[:, None], us0[old][None, :] >= times[:, None] - WIDE], 1)
-        order = np.argsort(value, kind="stable")
-        self.value = value[order]
-        self.among = np.zeros((len(times), len(value) + 1), np.int32)
-        np.cumsum(held[:, order], 1, out=self.among[:, 1:])
+    def __init__(self, times: np.ndarray, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        self.value, self.among = value, np.zeros((len(times), len(value) + 1), np.int32)
+        a, b = np.searchsorted(times, first), np.searchsorted(times, last, side="right")  # the queries that have a point
+        narrow = np.int16 if len(times) < 1 << 15 else np.int32
+        q = np.arange(len(times), dtype=narrow)[:, None]
+        np.cumsum((q >= a.astype(narrow)) & (q < b.astype(narrow)), 1, out=self.among[:, 1:])
+
+
+def slices(times: np.ndarray, us: np.ndarray, cents: np.ndarray, us0: np.ndarray, cents0: np.ndarray) -> Iterator[tuple[slice, Edges]]:
+    """The queries in order, in runs for which the counts take at most MATRIX numbers, with their edges."""
+    own, old = cents != NONE, cents0 != NONE
+    value = np.concatenate([cents[own], cents0[old]])
+    order = np.argsort(value, kind="stable")
+    far = np.iinfo(np.int64)
+    first = np.concatenate([us[own], np.full(old.sum(), far.min)])[order]  # a point is in the windows of queries from first to last
+    last = np.concatenate([np.full(own.sum(), far.max), us0[old] + WIDE])[order]
+    step = max(1, MATRIX // (len(value) + 1))
+    for i in range(0, len(times), step):
+        part = slice(i, i + step)
+        yield part, Edges(times[part], value[order], first, last)
 
 
 def medians_of(state: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
@@ -327,8 +339,9 @@ def radii_of(state: np.ndarray, edges: Edges, medians: np.ndarray) -> np.ndarray
         bottom, top = radius_range(state, medians)[1:]
     else:
         bottom, top = 0, int(np.abs(2 * edges.value[[0, -1]][:, None] - centre[some]).max())
-    low = np.sort(bounds(state[:, 0], state[:, 1])[0])
-    middle = np.append(0, np.cumsum(state[np.argsort(bounds(state[:, 0], state[:, 1])[0], kind="stable"), 2]))
+    low = bounds(state[:, 0], state[:, 1])[0]
+    order = np.argsort(low, kind="stable")
+    low, middle = low[order], np.append(0, np.cumsum(state[order, 2]))
     rank = np.concatenate([(n[some] + 1) // 2, n[some] // 2 + 1])
     q, c = np.concatenate([some, some]), np.concatenate([centre[some], centre[some]])
     until = lambda v: middle[np.searchsorted(low, v, side="right")] + edges.among[q, np.searchsorted(edges.value, v, side="right")]
@@ -345,8 +358,10 @@ def centred(series, m, chunk, cell, us, cents, us0, cents0, state):
     """A cell's queries (us, n, median2), and what it asks for their radii."""
     us, s = numbers(us), numbers(state, 4)
     times = np.unique(us)
-    n, median = medians_of(s, Edges(times, us, numbers(cents), numbers(us0), numbers(cents0)))
-    found = np.stack([times, n, median], 1)
+    found = np.zeros((len(times), 3), np.int64)
+    found[:, 0] = times
+    for part, edges in slices(times, us, numbers(cents), numbers(us0), numbers(cents0)):
+        found[part, 1], found[part, 2] = medians_of(s, edges)
     return [(series, m, chunk, cell, state, radius_range(s, found)[0][:, :2].tobytes(), found.tobytes())]
 
 
@@ -358,7 +373,9 @@ def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for series, us, cents, ids, us0, cents0, state, medians in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             us, cents, ids, med = numbers(us), numbers(cents), numbers(ids), numbers(medians, 3)
-            mad = radii_of(numbers(state, 4), Edges(med[:, 0], us, cents, numbers(us0), numbers(cents0)), med)
+            mad, s = np.zeros(len(med), np.int64), numbers(state, 4)
+            for part, edges in slices(med[:, 0], us, cents, numbers(us0), numbers(cents0)):
+                mad[part] = radii_of(s, edges, med[part])
             at = np.searchsorted(med[:, 0], us)
             n, median, mad = med[at, 1], med[at, 2], mad[at]
             few, bare = n < LEAST, cents == NONE

@@ -101,6 +101,22 @@ def test_rolling_of_nothing(spark):
     assert rm.rolling(none).collect() == []
 
 
+def test_runs_of_queries_count_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    us, us0 = np.sort(rng.integers(rm.WIDE, rm.WIDE + 500, 80)), np.sort(rng.integers(0, 500, 60))
+    cents, cents0 = rng.integers(-9, 9, 80), rng.integers(-9, 9, 60)
+    cents[::7] = rm.NONE
+    times = np.unique(us)
+    whole = next(rm.slices(times, us, cents, us0, cents0))[1]
+    for q, t in enumerate(times):
+        own = sorted([c for u, c in zip(us, cents) if u <= t and c != rm.NONE] + [c for u, c in zip(us0, cents0) if u >= t - rm.WIDE])
+        assert whole.among[q, -1] == len(own)
+        assert [v for v, n in zip(whole.value, np.diff(whole.among[q])) if n] == own
+    monkeypatch.setattr(rm, "MATRIX", 500)
+    parts = list(rm.slices(times, us, cents, us0, cents0))
+    assert len(parts) > 5 and (np.concatenate([e.among for _, e in parts]) == whole.among).all()
+
+
 def test_codes_keep_the_order():
     rng = np.random.default_rng(2)
     c = np.sort(np.concatenate([rng.integers(-(10**6), 10**6, 500), np.floor(rng.normal(size=500) * 1e17).astype(np.int64), np.arange(-70, 70)]))

@@ -13,8 +13,8 @@ from ..functions.text import MOST_TERMS, content_tokens, fold_ascii, terms
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: How much a word in a heading weighs, and in a body.
 HEADING_WEIGHT, BODY_WEIGHT = 10.0, 1.0
-#: Folders that stored postings are dealt into by word, so that a lookup reads few of them; characters of a path's grams.
-BUCKETS, GRAM = 32, 3
+#: Rows that a folder of stored postings takes on average, and a file of it; the fewest folders; characters of a path's grams.
+BUCKET_ROWS, FILE_ROWS, LEAST_BUCKETS, GRAM = 16_000_000, 2_000_000, 32, 3
 
 
 def made_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -134,42 +134,59 @@ def of(chunks: DataFrame | Index) -> Index:
 BY_WORD = {"postings": "term", "occurrences": "word", "places": "gram"}
 
 
-def bucket(word: Column | str) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def bucket(word: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+
+
+def counted(table: DataFrame, buckets: int) -> DataFrame:
+    """A stored table that knows how many folders its words are dealt into."""
+    return table.withColumn("bucket", F.col("bucket").alias("bucket", metadata={"buckets": buckets}))
 
 
 def write(chunks: DataFrame, folder: str) -> Index:
-    """Writes an index of chunks as tables below a folder, and reads them back. Frequencies come from what was written."""
+    """Writes an index of chunks as tables below a folder, and reads them back. Frequencies come from what was written.
+
+    The number of folders, of their files and so of the tasks that sort them follows the number of terms.
+    """
     spark, made = chunks.sparkSession, of(chunks)
     order = ("chunks", "vectors", "postings", "occurrences", "places", "roots", "lengths", "frequency", "word_frequency", "place_frequency")
     back: dict[str, DataFrame] = {}
+    buckets = files = LEAST_BUCKETS
     for name in order:
         rows = getattr(made, name)
         if name == "postings":
             rows = back["vectors"].select(F.explode("v.term").alias("term"), "chunk_id", "root_name")
+            n = back["vectors"].agg(F.sum(F.size("v"))).first()[0] or 0
+            buckets, files = max(LEAST_BUCKETS, -(-n // BUCKET_ROWS)), max(4 * LEAST_BUCKETS, -(-n // FILE_ROWS))
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/sizes")
         elif name == "frequency":
             rows = document_frequency(back["postings"], "root_name")
         elif name in ("word_frequency", "place_frequency"):
             source, word = ("occurrences", "word") if name == "word_frequency" else ("places", "gram")
             rows = back[source].groupBy(word).agg(F.count(F.lit(1)).alias("df"))
         if word := BY_WORD.get(name):
-            rows = rows.withColumn("bucket", bucket(word)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", word)
+            spread = F.pmod(F.xxhash64("chunk_id"), F.lit(-(-files // buckets)))  # a common word is dealt over several files
+            rows = rows.withColumn("bucket", bucket(word, buckets)).repartition(files, "bucket", spread).sortWithinPartitions("bucket", word)
             rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+            back[name] = counted(spark.read.parquet(f"{folder}/{name}"), buckets)
         else:
             rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-        back[name] = spark.read.parquet(f"{folder}/{name}")
+            back[name] = spark.read.parquet(f"{folder}/{name}")
     return Index(**back)
 
 
 def read(spark: SparkSession, folder: str) -> Index:
     """The index that write() left in a folder."""
-    return Index(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Index)})
+    buckets = spark.read.parquet(f"{folder}/sizes").first().buckets
+    back = {f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Index)}
+    return Index(**{name: counted(table, buckets) if name in BY_WORD else table for name, table in back.items()})
 
 
 def looked_up(table: DataFrame, asked: DataFrame, word: str) -> DataFrame:
     """table joined with asked (word ...): of a stored table only the folders of the words asked for are read."""
     if "bucket" in table.columns:
-        return table.join(asked.withColumn("bucket", bucket(word)), ["bucket", word]).drop("bucket")
+        buckets = table.schema["bucket"].metadata["buckets"]
+        return table.join(asked.withColumn("bucket", bucket(word, buckets)), ["bucket", word]).drop("bucket")
     return table.join(asked, word)
 
 

@@ -98,3 +98,22 @@ def test_an_empty_index_and_a_lost_batch(spark, tmp_path, monkeypatch):
     assert ix.apply(spark.createDataFrame([], "document_id long"), one) == 2  # nothing changed: no new version
     ix.apply(ids(1), none)
     assert state(ix) == ({}, {}, {})
+
+
+def test_folders_of_the_search_index_follow_its_size(spark, tmp_path, monkeypatch):
+    from tessera.operators import search
+
+    rows = [(d, d, "sdk", "Doc", f"word{d % 40}x retryPolicy number {d}", "a.md", "uri", "t", "official_documentation", False, False, "1", 0) for d in range(120)]
+    chunks = spark.createDataFrame(rows, "document_id long, chunk_id long, root_name string, heading string, body string, path string, uri string, title string, authority string, archived boolean, deprecated boolean, product_version string, ordinal int")
+    queries = spark.createDataFrame([(1, "word7x"), (2, "retryPolicy number")], "qid int, query string")
+    want = None
+    for k, (most, each) in enumerate(((16_000_000, 2_000_000), (20, 3))):
+        monkeypatch.setattr(index, "BUCKET_ROWS", most)
+        monkeypatch.setattr(index, "FILE_ROWS", each)
+        index.write(chunks, f"{tmp_path}/{k}")
+        ix = index.read(spark, f"{tmp_path}/{k}")
+        buckets = ix.postings.schema["bucket"].metadata["buckets"]
+        assert buckets == (32 if k == 0 else -(-ix.postings.count() // 20)) and (k == 0 or buckets > 12)
+        got = sorted(map(tuple, search.semantic_candidates(ix, queries, 5).collect())), sorted(map(tuple, index.bm25(ix, queries).select("qid", "chunk_id").collect()))
+        assert got[0] and got[1] and (want is None or got == want)
+        want = got

@@ -15,6 +15,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 HEADING_WEIGHT, BODY_WEIGHT = 10.0, 1.0
 #: Rows that a folder of stored postings takes on average, and a file of it; the fewest folders; characters of a path's grams.
 BUCKET_ROWS, FILE_ROWS, LEAST_BUCKETS, GRAM = 16_000_000, 2_000_000, 32, 3
+#: Characters of a body that ranking may look at; one more is stored, so that a cut shows.
+HEAD = 240
 
 
 def made_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -83,6 +85,8 @@ class Index:
 
     #: chunk_id, document_id, root_name, ordinal, title, heading, body, path, uri, authority, product_version, archived, deprecated ...
     chunks: DataFrame
+    #: chunks with head, the begin of the body, for body: what ranking looks at
+    heads: DataFrame
     #: chunk_id, root_name, authority, v: array of (term, tf)
     vectors: DataFrame
     #: term, chunk_id, root_name
@@ -118,6 +122,7 @@ def of(chunks: DataFrame | Index) -> Index:
     places = chunks.where("ordinal = 0").select("chunk_id", F.explode(F.array_distinct(F.concat(*[grams_of(fold_ascii(F.col(c))) for c in ("path", "title", "uri")]))).alias("gram")).select("gram", "chunk_id")
     return Index(
         chunks=chunks,
+        heads=chunks.withColumn("head", F.left("body", F.lit(HEAD + 1))).drop("body"),
         vectors=vectors,
         postings=postings,
         frequency=document_frequency(postings, "root_name"),
@@ -149,7 +154,7 @@ def write(chunks: DataFrame, folder: str) -> Index:
     The number of folders, of their files and so of the tasks that sort them follows the number of terms.
     """
     spark, made = chunks.sparkSession, of(chunks)
-    order = ("chunks", "vectors", "postings", "occurrences", "places", "roots", "lengths", "frequency", "word_frequency", "place_frequency")
+    order = ("chunks", "heads", "vectors", "postings", "occurrences", "places", "roots", "lengths", "frequency", "word_frequency", "place_frequency")
     back: dict[str, DataFrame] = {}
     buckets = files = LEAST_BUCKETS
     for name in order:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.ranking import authority_boost, authority_rank, composite_score, version_preference
 from ..functions.text import clip_excerpt, fold_ascii, idf, marked_excerpt
-from .index import Index, allowed, asked_words, bm25, gram_of, looked_up, of, scoped, term_vectors
+from ..sources.shared import fresh
+from .index import HEAD, Index, allowed, asked_words, bm25, gram_of, looked_up, of, scoped, term_vectors
 
 #: Fixed values of the candidate rules.
 LEAST_POOL, MOST_POOL, POOL_PER_RESULT = 250, 1500, 25
@@ -111,10 +112,18 @@ def path_candidates(chunks: DataFrame | Index, queries: DataFrame, limit: int) -
 
 def lexical_candidates(chunks: DataFrame | Index, queries: DataFrame, limit: int) -> DataFrame:
     """(qid, chunk_id, rank, mode): chunks with all of a query's content words, phrases side by side; if none has, with some."""
-    ix = of(chunks)
-    every, some = (bm25(ix, queries, all_words=x, content=True).withColumn("mode", F.lit("and" if x else "or")) for x in (True, False))
+    ix, spark = of(chunks), queries.sparkSession
     w = Window.partitionBy("qid").orderBy(F.round("rank", 9), "chunk_id")
-    return or_fallback(every, some).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).drop("pos")
+
+    def first(asked: DataFrame, all_words: bool) -> DataFrame:
+        hits = bm25(ix, asked, all_words=all_words, content=True).withColumn("mode", F.lit("and" if all_words else "or"))
+        return hits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).drop("pos")
+
+    at = fresh(spark, "candidates")  # at most limit rows a query, read twice: the other search is for the rest alone
+    first(queries, True).write.parquet(at)
+    every = spark.read.parquet(at)
+    rest = queries.join(every.select("qid").distinct(), "qid", "left_anti")
+    return every.unionByName(first(rest, False)) if rest.limit(1).count() else every
 
 
 def search(chunks: DataFrame | Index, queries: DataFrame, limit: int = DEFAULT_LIMIT, per_document: int = PER_DOCUMENT, preferred_version: str = "", semantic: bool = False) -> DataFrame:
@@ -133,8 +142,8 @@ def search(chunks: DataFrame | Index, queries: DataFrame, limit: int = DEFAULT_L
     if semantic:
         found = found.unionByName(semantic_candidates(ix, queries, limit).select("qid", "chunk_id", zero, F.lit(2).alias("origin")))
     once = found.groupBy("qid", "chunk_id").agg(F.min(F.struct("origin", "rank")).alias("f")).select("qid", "chunk_id", "f.origin", "f.rank")
-    hits = once.join(ix.chunks, "chunk_id").join(queries.select("qid", "query"), "qid")
-    score, kind = composite_score(F.col("query"), F.col("rank"), *map(F.col, ("authority", "path", "title", "heading")), clip_excerpt(F.col("body"), 240), F.col("archived"), F.col("deprecated"))
+    hits = once.join(ix.heads, "chunk_id").join(queries.select("qid", "query"), "qid")  # without bodies
+    score, kind = composite_score(F.col("query"), F.col("rank"), *map(F.col, ("authority", "path", "title", "heading")), clip_excerpt(F.col("head"), HEAD), F.col("archived"), F.col("deprecated"))
     hits = hits.withColumn("match_kind", kind).withColumn("score", score)
     from_path = (F.col("origin") == 1) & (F.col("match_kind") == "body")
     hits = hits.withColumn("score", F.col("score") + F.when(from_path, 8.0).otherwise(0.0)).withColumn("match_kind", F.when(from_path, "path").otherwise(F.col("match_kind")))

@@ -203,7 +203,13 @@ def snippets(spark, sf):
     return search.snippets(ix, top, q)
 
 
-SNIPPET_SQL = None
+SNIPPET_SQL = rf"""WITH {CHUNKS_SQL}, {asked_sql(True)},
+ top AS (SELECT qid, chunk_id FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), chunk_id) AS r FROM sums) WHERE r <= 3),
+ f AS (SELECT qid, chunk_id, ws, list_filter(regexp_split_to_array(body, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS fs FROM top JOIN chunks USING (chunk_id) JOIN asked0 USING (qid)),
+ m AS (SELECT *, list_transform(fs, lambda w: list_has_any({words_sql("w")}, ws)) AS hit FROM f),
+ s AS (SELECT *, greatest(0, least(coalesce(list_position(hit, true), 1) - 1 - {search.SNIPPET_WORDS // 2}, len(fs) - {search.SNIPPET_WORDS})) AS st FROM m)
+SELECT qid, chunk_id, CASE WHEN st > 0 THEN '… ' ELSE '' END || array_to_string(list_transform(fs[st + 1:st + {search.SNIPPET_WORDS}], lambda w, i: CASE WHEN hit[st + i] THEN '<b>' || w || '</b>' ELSE w END), ' ')
+ || CASE WHEN st + {search.SNIPPET_WORDS} < len(fs) THEN ' …' ELSE '' END AS snippet FROM s"""
 
 
 def symbol_forms(spark, sf):

@@ -1,4 +1,5 @@
 import datetime
+import json
 import zlib
 
 import pytest
@@ -178,30 +179,77 @@ def test_metadata_precedence(spark):
     assert packages.unregistered(named, arts.limit(0)).count() == 0
 
 
-def group(**policies):
-    m = scope.Member
-    return scope.Group("g", [m("docs", "official_docs"), m("app", "current_project"), m("rel1", "related_project", 5), m("rel2", "related_project", 9), m("gone", "official_docs")], scope.Policies(**policies))
-
-
-def test_group_expansion():
-    here = ["docs", "app", "rel1", "rel2", "else"]
-    assert scope.expand(group(), here) == ["app", "docs"]
-    assert scope.expand(group(include_related_projects_for_patterns=True, max_related_projects=1), here) == ["app", "docs", "rel2"]
-    assert scope.expand(group(), here, preferred=["rel1", "else"]) == ["app", "docs", "rel1"]
-    assert scope.expand(group(), here, preferred=["rel1"], only_preferred=True, project="app") == ["app", "rel1"]
-    with pytest.raises(ValueError):
-        scope.expand(group(allow_cross_root_retrieval=False), here)
-
-
-def test_roots_are_resolved():
-    cues = [("retry", ["net"], 80), ("pin", ["dev"], 40)]
-    assert scope.resolve("retry with a pin", ["net", "dev"], cues=cues).roots == ["net"]
-    assert scope.resolve("x", ["only"]).roots == ["only"]
-    assert scope.resolve("x", ["a", "b"]).needs_choice and scope.resolve("x", []).needs_choice
-    assert scope.resolve("x", ["a", "b"], ["zz"]).needs_choice and scope.resolve("x", ["a", "b"], ["a"]).roots == ["a"]
-    assert scope.resolve("x", ["docs", "app"], ["docs", "app"], groups=[group()]).group == "g"
-    assert scope.resolve("x", ["a", "b"], ["a", "b"], family=lambda r: r).needs_choice
-    assert scope.groups_from({"groups": [{"id": "g", "members": [{"rootName": "a", "role": "official_docs"}], "policies": {"maxRelatedProjects": 4}}]})[0].policies.max_related_projects == 4
+def scope_tables(spark, here, members=(), policies=None):
+    groups = spark.createDataFrame([("g", "The group", json.dumps(policies) if policies is not None else "{}")], "id string, name string, policies string")
+    m = [("The group", r, role, p) for r, role, p in members]
+    return groups, spark.createDataFrame(m, "group_name string, root_name string, role string, priority int"), spark.createDataFrame([(r,) for r in here], "root_name string")
+
+
+MEMBERS = [("docs", "official_documentation", 0), ("app", "current_project", 0), ("rel1", "related_project", 5), ("rel2", "related_project", 9), ("gone", "official_documentation", 7)]
+ALLOWED = {"allowCrossRootRetrieval": True, "preferCurrentProjectWhenSpecified": True}
+
+
+def test_group_expansion(spark):
+    def expand(policies=None, members=MEMBERS, group="G", **ask):
+        groups, m, here = scope_tables(spark, ["docs", "app", "rel1", "rel2", "else"], members, policies)
+        row = (1, group, ask.get("preferred"), ask.get("project"), ask.get("only"))
+        [r] = scope.expand(spark.createDataFrame([row], "ask_id int, group string, preferred array<string>, project string, only_preferred boolean"), groups, m, here).collect()
+        return r.reason or r.roots
+
+    assert expand() == ["app", "docs", "rel2", "rel1"]  # by default related projects come, greater priority first
+    assert expand(ALLOWED) == ["app", "docs"]
+    assert expand({**ALLOWED, "includeRelatedProjectsForPatterns": True, "maxRelatedProjects": 1}, group=" the GROUP ") == ["app", "docs", "rel2"]
+    assert expand({**ALLOWED, "includeRelatedProjectsForPatterns": True, "maxRelatedProjects": -1}) == ["app", "docs"]
+    assert expand(ALLOWED, preferred=[" rel1", None, "else"]) == ["app", "docs", "rel1"]
+    assert expand(ALLOWED, project="rel2") == ["app", "docs", "rel2"]
+    assert expand({"allowCrossRootRetrieval": True}, project="rel2") == ["app", "docs"]
+    assert expand(ALLOWED, preferred=["rel1"], only=True, project="app") == ["app", "rel1"]
+    assert expand(ALLOWED, preferred=["else"], only=True) == ["app", "docs"]
+    assert expand(ALLOWED, members=[("rel1", "?", 1), ("docs", None, 2)]) == ["docs", "rel1"]  # no role counts: all that are there
+    assert expand(ALLOWED, members=[("gone", "official_documentation", 1)]) == "no_members"
+    assert expand({"allowCrossRootRetrieval": False}) == "forbidden" and expand(group="h") == "unknown_group" and expand(group=None) == "unknown_group"
+
+
+def test_policies_of_broken_text(spark):
+    texts = [None, " ", "{}", '{"allow', "[]", '{"maxRelatedProjects": "x"}', "null", '{"maxRelatedProjects": 7}', '{"allowCrossRootRetrieval": true, "more": 1}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(scope.policies(F.col("t")).alias("p")).collect()
+    got = [tuple(r.p) for r in rows]
+    assert got == [(True, True, True, 3)] * 6 + [(False, False, False, 0), (False, False, False, 7), (True, False, False, 0)]
+
+
+def test_roots_are_resolved(spark):
+    cues = spark.createDataFrame([("retry", "net", 80), ("pin", "dev", 40), ("p", "gone", 9), ("", "net", 9)], "cue string, root string, weight int")
+
+    def resolve(here, *asks, members=(), policies=None):
+        groups, m, roots = scope_tables(spark, here, members, policies)
+        rows = [(i, q, e) for i, (q, e) in enumerate(asks)]
+        out = scope.resolve(spark.createDataFrame(rows, "request_id int, query string, explicit array<string>"), roots, cues, groups, m).orderBy("request_id").collect()
+        assert len(out) == len(asks)
+        return [(r.reason, r.roots, r.group, r.detail, r.hints) for r in out]
+
+    got = resolve(["net", "dev"], ("Retry with a pin", None), ("the DEV pin", [" "]), ("p", []), ("x", ["dev", "zz", "yy"]), ("x", [" dev ", "dev"]), (None, None), ("x", ["net", "dev"]))
+    assert got == [
+        (None, ["net"], None, None, ["p", "pin", "retry"]),
+        (None, ["dev"], None, None, ["p", "pin", "root:dev"]),
+        ("not_inferred", [], None, None, ["p"]),
+        ("unknown_root", [], None, "zz", []),
+        (None, ["dev"], None, None, ["explicit rootName"]),
+        ("not_inferred", [], None, None, []),
+        ("several_families", ["dev", "net"], None, None, ["explicit rootName"]),
+    ]
+    assert resolve(["only"], ("x", None)) == [(None, ["only"], None, None, ["only one root in database"])]
+    assert resolve([], ("x", None), ("x", ["a"])) == [("no_roots", [], None, None, []), ("unknown_root", [], None, "a", [])]
+    here = ["docs", "app", "else"]
+    assert resolve(here, ("x", ["docs", "else"]), members=MEMBERS)[0][:3] == (None, ["app", "docs"], "g")
+    assert resolve(here, ("x", ["docs", "app"]), members=MEMBERS, policies={"maxRelatedProjects": 1})[0][:2] == ("forbidden", ["app", "docs"])
+    assert resolve(["demo-http-a", "example-http-b"], ("x", ["demo-http-a", "example-http-b"]))[0][:2] == (None, ["demo-http-a", "example-http-b"])
+    assert resolve(["tile-sdk", "tile-app", "tile"], ("x", ["tile-sdk", "tile-app"]), ("x", ["tile-sdk", "tile"])) == [(None, ["tile-app", "tile-sdk"], None, None, ["explicit rootName"]), ("several_families", ["tile", "tile-sdk"], None, None, ["explicit rootName"])]
+
+
+def test_groups_of_a_configuration(spark):
+    groups, members = scope.from_config(spark, {"groups": [{"id": "g", "members": [{"rootName": "a", "role": "official_documentation"}, {"rootName": "b"}], "policies": {"maxRelatedProjects": 4}}]})
+    assert groups.select(scope.policies(F.col("policies"))["maxRelatedProjects"]).collect() == [(4,)]
+    assert sorted(map(tuple, members.collect())) == [("g", "a", "official_documentation", 0), ("g", "b", "related_project", 0)]
 
 
 RECIPE = "# Retry\nintro\n## Required APIs\n- `RetryPolicy`\n## Steps\n1. Create it\n2. Use it\n## Pitfalls\n* Do not block\n## Cleanup\n- close\n## Example\ncode\n## Version\n2.1\n"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, context, corpus, packages, retrieval, scopes, selection, web
+from .plans import analytics, context, corpus, feeds, packages, retrieval, scopes, selection, web
 
-ALL = context.QUERIES | retrieval.QUERIES | analytics.QUERIES | corpus.QUERIES | web.QUERIES | packages.QUERIES | selection.QUERIES | scopes.QUERIES
+ALL = context.QUERIES | retrieval.QUERIES | analytics.QUERIES | corpus.QUERIES | web.QUERIES | packages.QUERIES | selection.QUERIES | scopes.QUERIES | feeds.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,11 @@
 
 Centroids and codebooks are fitted on a bounded sample; every vector is then indexed. Exact copies of a vector share one
 entry, which keeps as many of their smallest ids as a result can show, so a common vector is no hot list. A list is
-split into blocks of bounded size by a hash of its entries; a query goes to the blocks of its nearest lists. Each block
-scores its entries for all its queries by asymmetric distance tables, takes a shortlist, reranks it by the exact cosine
-of the original vectors, and gives the best few; the last step keeps the best of those for each query.
+split into blocks of bounded size by a hash of its entries; a query goes to the blocks of its nearest lists. How many
+lists that are follows from the true neighbours, among all entries, of a bounded sample of the queries. Each block
+scores its entries for all its queries by asymmetric distance tables. How far a score may be off is known from the
+length of what the codes leave over, so an entry is passed over only where enough others are nearer for certain; the rest
+are reranked by the exact cosine of the original vectors. The last step keeps the best of all blocks for each query.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from .common import stored, table
 
 #: Bounds: sampled vectors for fitting, lists, entries of a block.
 SAMPLE, MOST_LISTS, BLOCK = 20_000, 4096, 8192
-#: Sub-vectors of the residual, codes of each, and entries a block reranks for a query.
-SUBS, CODES, SHORTLIST = 16, 64, 64
+#: Sub-vectors of the residual, and codes of each.
+SUBS, CODES = 16, 64
 #: Sampled queries that the number of probes is tuned on, and the share of their true neighbours that it must reach.
-TUNE, REACH = 256, 0.97
+TUNE, REACH = 512, 0.97
+#: What rounding may add to the bound of a score.
+SLACK = 1e-9
 
 
 @dataclass
@@ -36,7 +40,6 @@ class Index:
 
     centroids: np.ndarray
     books: list[np.ndarray]
-    probes: int = 1
 
     @property
     def cuts(self) -> list[tuple[int, int]]:
@@ -53,6 +56,11 @@ class Index:
         r = x - self.centroids[at]
         return np.stack([((b**2).sum(1)[None] - 2 * r[:, i:j] @ b.T).argmin(1) for b, (i, j) in zip(self.books, self.cuts, strict=True)], 1).astype(np.uint8)
 
+    def left_over(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
+        """The length of what each unit vector of a list has beyond its codes: a unit query's score is off by no more."""
+        r = x - self.centroids[at]
+        return np.sqrt(sum(((r[:, i:j] - b[codes[:, s]]) ** 2).sum(1) for s, (b, (i, j)) in enumerate(zip(self.books, self.cuts, strict=True))))
+
     def tables(self, q: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
         """Asymmetric tables: each query's product with a list's centroid, and with every code of every part."""
         return q @ self.centroids[at], np.stack([np.pad(q[:, i:j] @ b.T, ((0, 0), (0, CODES - len(b)))) for b, (i, j) in zip(self.books, self.cuts, strict=True)], 1)
@@ -74,28 +82,51 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def tuned(index: Index, sample: np.ndarray, k: int) -> int:
-    """The least number of lists that reaches REACH of the sampled queries' k true neighbours within the sample."""
-    pick = np.random.default_rng(3).permutation(len(sample))[:TUNE]
-    near = sample[pick] @ sample.T
-    near[np.arange(len(pick)), pick] = -np.inf
-    best = np.argpartition(-near, min(k, len(sample) - 1), axis=1)[:, :k]
-    at, order = index.lists(sample)[:, 0], index.lists(sample[pick], len(index.centroids))
-    rank = np.argsort(order, axis=1)[np.arange(len(pick))[:, None], at[best]]
-    return int(np.quantile(rank, REACH)) + 1
+def true_neighbours(entries: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """(q, list, score): the k entries nearest to each of a few unit queries (with their ids), in each partition of entries."""
 
-
-def fit(sample: np.ndarray, n: int, k: int = 5) -> Index:
-    """Fits lists, codebooks and the number of probes on a sample of unit vectors, for n vectors to be indexed."""
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        for b in batches:
+            if b.num_rows:
+                near = q @ unit(matrix(b.column("v"), q.shape[1])).T
+                only = {x[0]: j for j, x in enumerate(b.column("ids").to_pylist()) if len(x) == 1}
+                for i, name in enumerate(ids):
+                    if name in only:
+                        near[i, only[name]] = -np.inf
+                every = np.concatenate([best, near], 1)
+                lists = np.concatenate([held, np.broadcast_to(b.column("list").to_numpy(), near.shape)], 1)
+                top = np.argpartition(-every, k - 1, axis=1)[:, :k]
+                best, held = np.take_along_axis(every, top, 1), np.take_along_axis(lists, top, 1)
+        at, j = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_pydict({"q": pa.array(at, pa.int32()), "list": pa.array(held[at, j], pa.int32()), "score": pa.array(best[at, j], pa.float64())})
+
+    return entries.mapInArrow(nearest, "q int, list int, score double")
+
+
+def tuned(index: Index, entries: DataFrame, asked: DataFrame, dim: int, k: int) -> int:
+    """The least number of lists that reaches REACH of the k true neighbours, among all entries, of at most TUNE queries asked."""
+    some = asked.select("_id", "v").orderBy(F.xxhash64("_id"), "_id", "v").limit(TUNE).toArrow()
+    if not some.num_rows:
+        return 1
+    ids, q = some.column("_id").to_numpy(), unit(matrix(some.column("v").combine_chunks(), dim))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "list")
+    true = true_neighbours(entries, ids, q, k).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "list").toArrow()  # TUNE * k rows at most
+    if not true.num_rows:
+        return 1
+    rank = np.argsort(index.lists(q, len(index.centroids)), axis=1)[true.column("q").to_numpy(), true.column("list").to_numpy()]
+    return int(np.quantile(rank, REACH, method="higher")) + 1
+
+
+def fit(sample: np.ndarray, n: int) -> Index:
+    """Fits lists and codebooks on a sample of unit vectors, for n vectors to be indexed."""
     lists = max(1, min(MOST_LISTS, len(sample) // 8, round(math.sqrt(n) / 2)))
     centroids = kmeans(sample, lists, 8, 1)
     whole = Index(centroids, [])
     r = sample - centroids[whole.lists(sample)[:, 0]]
     parts = min(SUBS, sample.shape[1])
     cuts = [(sample.shape[1] * i // parts, sample.shape[1] * (i + 1) // parts) for i in range(parts)]
-    index = Index(centroids, [kmeans(r[:, i:j], CODES, 8, 2 + i) for i, j in cuts])
-    index.probes = tuned(index, sample, k) if len(sample) > 1 else 1
-    return index
+    return Index(centroids, [kmeans(r[:, i:j], CODES, 8, 2 + i) for i, j in cuts])
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -116,13 +147,13 @@ def valid(df: DataFrame, vec: str) -> DataFrame:
     return good.where(F.size(vec) == dims[0].d) if dims else good.limit(0)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec: str = "embedding", probes: int | None = None, shortlist: int = SHORTLIST) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec: str = "embedding", probes: int | None = None) -> DataFrame:
     """Each query's k nearest rows by cosine: query_id, rank (from 1), vec_id, score (the exact cosine in double precision).
 
     rows and queries have id_col and vec; other columns are ignored. A query never finds a row of its own id. Vectors
     that are null, zero, of another dimension than most, or with null or non-finite components take no part, nor do null
-    ids. Ties go to the smaller id; repeated rows count once. With fewer than k candidates all are given. probes is tuned on the sample where it is not given. An
-    empty table gives an empty result.
+    ids. Ties go to the smaller id; repeated rows count once. With fewer than k candidates all are given. probes is tuned on
+    queries where it is not given. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     base = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("v"))
@@ -140,8 +171,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
     if not len(got):
         got = entries.select("v").limit(SAMPLE).toArrow().column("v").combine_chunks()
     dim = len(got[0])
-    index = fit(unit(matrix(got, dim)), n, k)
-    probes = probes or index.probes
+    index = fit(unit(matrix(got, dim)), n)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,6 +185,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
     sizes = {r["list"]: max(1, math.ceil(r.n / BLOCK)) for r in built.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_LISTS rows at most
     split = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
 
+    asked = valid(queries.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("v")), "v").distinct().where(F.size("v") == dim)
+    probes = probes or tuned(index, built, asked, dim, k)
+
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -163,7 +196,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
                 row = np.repeat(np.arange(len(to)), [len(t) for t in to])
                 yield pa.RecordBatch.from_pydict({"list": pa.array([a for t in to for a, _ in t], pa.int32()), "block": pa.array([p for t in to for _, p in t], pa.int32()), "q": b.column("_id").take(pa.array(row)), "v": b.column("v").take(pa.array(row))})
 
-    asked = valid(queries.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("v")), "v").distinct().where(F.size("v") == dim)
     asked = asked.mapInArrow(probed, f"list int, block int, q long, v {kind}")
     blocks = F.coalesce(*[F.when(F.col("list") == a, F.lit(b)) for a, b in sizes.items() if b > 1], F.lit(1))
     held = built.withColumn("block", F.pmod(F.xxhash64("v", F.lit(5)), blocks).cast("int"))
@@ -178,6 +210,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
         first = np.array([x[0] for x in left.ids])
         order = np.argsort(first, kind="stable")  # equal distances in order of id
         own, length, codes, ids = own[order], length[order], codes[order], left.ids.to_numpy()[order]
+        off = index.left_over(own / length[:, None], int(key[0]), codes) + SLACK
+        most = min(k + 1, len(own))  # one may be the query itself
         out = []
         for a in range(0, len(right), 256):
             q = np.stack(right.v.iloc[a : a + 256].to_numpy()).astype(float)
@@ -187,10 +221,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_i
             near = np.repeat(head[:, None], len(own), 1)
             for s in range(codes.shape[1]):
                 near += tab[:, s, :][:, codes[:, s]]
-            keep = np.argsort(-near, axis=1, kind="stable")[:, :shortlist]
+            keep = near + off >= np.partition(near - off, -most, axis=1)[:, -most, None]  # the others are farther than as many for certain
             for i, name in enumerate(names):
-                exact = own[keep[i]] @ q[i] / (length[keep[i]] * size[i])
-                found = [(-e, int(x)) for e, j in zip(exact, keep[i], strict=True) for x in ids[j] if x != name]
+                at = np.flatnonzero(keep[i])
+                exact = own[at] @ q[i] / (length[at] * size[i])
+                top = np.flatnonzero(exact >= np.partition(exact, -most)[-most])
+                top = top[np.argsort(-exact[top], kind="stable")[:most]]
+                found = [(-e, int(x)) for e, j in zip(exact[top], at[top], strict=True) for x in ids[j] if x != name]
                 out += [(name, x, -e) for e, x in sorted(found)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
 

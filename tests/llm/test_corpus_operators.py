@@ -407,6 +407,25 @@ def test_ann_recall_and_exact_scores(spark):
     assert {r.query_id for r in got} == set(range(0, 1500, 50))
 
 
+def test_ann_finds_neighbours_in_dense_clusters(spark):
+    """Near copies that codes can't tell apart, and queries that lie elsewhere than most rows: nothing near is cut off."""
+    rng = np.random.default_rng(8)
+    tight = [rng.normal(size=32) + 1e-3 * rng.normal(size=(500, 32)) for _ in range(2)]
+    x = np.concatenate([*tight, rng.normal(size=(1500, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for queries in (range(0, 1000, 50), range(1000, 2500, 50)):
+        found = {}
+        for r in ann.search(df, df.where(F.col("vec_id").isin(list(queries)))).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hit = 0
+        for q in queries:
+            cos = unit @ unit[q]
+            cos[q] = -2
+            hit += len(set(np.argsort(-cos, kind="stable")[:5].tolist()) & found[q])
+        assert hit >= 0.95 * 5 * len(queries)
+
+
 def test_ann_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.search(df, df.where("vec_id % 50 = 0")).collect()

@@ -85,7 +85,8 @@ WHERE contains(lower(text), 'the') ORDER BY CASE WHEN item_id % 3 = 0 THEN 0 ELS
 
 def enriched(spark, sf):
     """Page paths with metadata of the folders that hold them, an index and front matter."""
-    p = T.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^https?://(.*)$", 1).alias("path")).dropDuplicates(["path"])
+    p = T.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^https?://(.*)$", 1).alias("path"))
+    p = p.groupBy("path").agg(F.min("page_id").alias("page_id"))  # of pages at one path the first
     top = p.select(F.regexp_extract("path", "^([^/]*)", 1).alias("folder")).distinct().select(F.lit(0).alias("pos"), F.concat(F.lit("host:"), "folder").alias("id"), F.col("folder").alias("name"), F.lit("L1").alias("level"), "folder", F.lit("draft").alias("doc_status"))
     deep = p.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().select(F.lit(1).alias("pos"), F.concat(F.lit("dir:"), "folder").alias("id"), F.lit("").alias("name"), F.lit("L2").alias("level"), "folder", F.lit("verified").alias("doc_status"))
     ix = p.where("page_id % 2 = 0").select("path", F.lit("ix").alias("id"), F.lit("Index").alias("component"), F.lit("L3").alias("level"), F.lit("inferred").alias("status"))

@@ -36,6 +36,30 @@ def test_query_equals_its_sql(spark, sf, duck, name):
         assert got == sorted(tuple(norm(r[i]) for i in at) for r in q.fetchall())
 
 
+def of_sql(name, folder, *names):
+    """The rows of a query's SQL over tables in a folder."""
+    c = duckdb.connect()
+    for t in names:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    q = c.sql(registry.oracle_sql()[name])
+    order = [q.columns.index(k) for k in sorted(q.columns)]
+    return sorted(tuple(norm(r[i]) for i in order) for r in q.fetchall())
+
+
+def of_query(name, spark, folder):
+    df = registry.queries()[name](spark, folder)
+    return sorted(tuple(norm(r[k]) for k in sorted(df.columns)) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["metadata_enrich", "refresh_report"])
+def test_pages_of_one_address(spark, tmp_path, name):
+    """Pages that share an address count by themselves in reports; where paths count, the one with the least id does."""
+    rows = [(i, f"http{'s' * (i % 2)}://{'abc'[i % 3]}.org/e{i % 3}/p{i % 21}", f"<p>{i}</p>") for i in range(899, -1, -1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7).write.parquet(f"{tmp_path}/pages.parquet")
+    got = of_query(name, spark, str(tmp_path))
+    assert got and got == of_sql(name, tmp_path, "pages")
+
+
 def test_footers_are_seen_below_long_texts(spark, tmp_path):
     """A footer that every document of a file ends in is found, though it stands beyond 80 characters."""
     from tessera.plans import corpus

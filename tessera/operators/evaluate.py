@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import percentiles
-from .index import Index, looked_up, words
+from .index import Index, phrase_hits, words
 
 
 def judge(results: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -43,14 +43,13 @@ def latencies(times: DataFrame, *by: str) -> DataFrame:
 def containing(docs: DataFrame, needles: DataFrame, ix: Index, key: str = "doc_id") -> DataFrame:
     """(id, key): documents whose text holds a needle (id, needle) as it is.
 
-    A needle's inner words stand whole in any text that holds it, so texts are found by the rarest of them, through the
-    index of docs (whose chunk_id is the key), and then looked at. Needles of fewer than three words have no inner one;
-    if there are any, they are compared with every text.
+    A needle's inner words stand whole and side by side in any text that holds it, so texts are found by them as a phrase,
+    through the index of docs (whose chunk_id is the key), and then looked at. Needles of fewer than three words have no
+    inner one; if there are any, they are compared with every text.
     """
     ws = needles.select("id", "needle", words(F.col("needle")).alias("ws"))
-    inner = ws.select("id", F.explode(F.array_distinct(F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0))))).alias("word"))
-    rare = inner.join(ix.word_frequency, "word", "left").groupBy("id").agg(F.min_by(F.struct("word", "df"), F.struct(F.coalesce("df", F.lit(0)), "word")).alias("f")).where("f.df is not null")
-    near = looked_up(ix.occurrences, rare.select("id", F.col("f.word").alias("word")), "word").select("id", F.col("chunk_id").alias(key))
+    inner = ws.where(F.size("ws") > 2).select(F.col("id").alias("pid"), F.slice("ws", F.lit(2), F.size("ws") - 2).alias("ws"), F.lit(None).cast("array<string>").alias("roots"))
+    near = phrase_hits(ix, inner).select(F.col("pid").alias("id"), F.col("chunk_id").alias(key))
     texts = docs.select(key, "text")
     out = near.join(needles.select("id", "needle"), "id").join(texts, key).where(F.contains("text", "needle")).select("id", key)
     short = ws.where(F.size("ws") < 3).select("id", "needle")

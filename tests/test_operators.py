@@ -1,3 +1,4 @@
+import os
 import datetime
 import json
 import zlib
@@ -540,6 +541,35 @@ def test_roots_limit_every_kind_of_candidate(spark):
     assert sorted((r.qid, r.id, r["rank"]) for r in symbols.find(s, n).collect()) == [(1, 1, 1), (2, 1, 2), (2, 2, 1)]
 
 
+def test_symbols_of_one_name_are_cut_before_they_meet(spark):
+    """Many symbols of few names, all of them looked up: each ranking is as from all pairs, which aren't made."""
+    rows = [(i, ["Ns::Open", "Open", "OpenAll", "Ns::Opem"][i % 4], "function", "unknown", 1000 - i // 4 % 7) for i in range(400)]
+    s = spark.createDataFrame(rows, "id int, name string, kind string, authority string, start_line int")
+    n = spark.createDataFrame([(0, "Ns::Open"), (1, "open"), (2, "Open()"), (3, "opem")], "qid int, name string")
+    got = sorted((r.qid, r["rank"], r.id, r.match_type) for r in symbols.find(s, n, 5).collect())
+    of = lambda name: [i for _, i in sorted((r[4], r[0]) for r in rows if r[1] == name)]
+    assert [(k, i) for q, k, i, _ in got if q == 0] == list(enumerate(of("Ns::Open")[:5], 1))
+    assert [(k, i) for q, k, i, _ in got if q == 1] == list(enumerate(of("Open")[:5], 1))
+    assert [(k, i) for q, k, i, _ in got if q == 3] == list(enumerate(of("Ns::Opem")[:5], 1))
+    assert "before" in plan_of(symbols.find(s, n, 5)) and len([g for g in got if g[0] == 2]) == 5
+
+
+def test_stored_tables_are_made_when_asked_for(spark, tmp_path):
+    """Phrases and words need no term vectors; a word that many queries ask for is read once a chunk."""
+    c = corpus_of(spark, [(i, i // 2, f"r{i % 3}", "unknown", f"Heading {i % 4}", f"needle of two words {i} " + "of needle " * (i % 5)) for i in range(30)])
+    ix = index.Stored(c, f"{tmp_path}/ix")
+    phrases = spark.createDataFrame([(k, ["needle", "of", "needle"], None) for k in range(50)], "pid int, ws array<string>, roots array<string>")
+    got = {(r.pid, r.chunk_id) for r in index.phrase_hits(ix, phrases).collect()}
+    assert got == {(k, i) for k in range(50) for i in range(30) if i % 5 >= 2}
+    assert sorted(os.listdir(f"{tmp_path}/ix")) == ["lengths", "occurrences"]
+    asked = q(spark, *["needle heading"] * 20)
+    every = sorted(map(str, index.bm25(ix, asked).collect()))
+    assert len(every) == 600 and every == sorted(map(str, index.bm25(c, asked).collect()))
+    assert sorted(os.listdir(f"{tmp_path}/ix")) == ["lengths", "occurrences", "word_frequency"]
+    words = asked.select(F.explode(F.split("query", " ")).alias("word"))
+    assert index.by_chunk(ix, words, 40).count() == 60
+
+
 def test_stored_index_gives_the_same(spark, tmp_path):
     c = corpus_of(spark, [(i, i // 2, f"r{i % 3}", "unknown", f"Heading {i % 4}", f"needle retryPolicy {i} " + "common words " * (i % 5)) for i in range(30)])
     ix = index.write(c, f"file://{tmp_path}/ix")

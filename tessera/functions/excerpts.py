@@ -17,28 +17,38 @@ def holds_call(text: Column) -> Column:
     return text.rlike(CALLS[0]) | text.rlike(CALLS[1])
 
 
+def line_scores(lines: Column, tokens: Column) -> Column:
+    """How telling each line is: tokens of the subject in it, API calls, and signatures; a long line without calls hardly counts.
+
+    Each step reads what the one before has made: a lambda computes an expression anew wherever it stands.
+    """
+    read = F.transform(lines, lambda l: F.struct(l.alias("l"), F.lower(l).alias("low"), holds_call(l).alias("api")))
+
+    def score(x: Column) -> Column:
+        held = F.size(F.filter(tokens, lambda t: (t != "") & F.contains(x["low"], F.lower(t))))
+        signature = F.lit(False)
+        for s in SIGNATURES:
+            signature = signature | F.contains(x["low"], F.lit(s))
+        sums = PER_TOKEN * held + F.when(x["api"], API_LINE).otherwise(0) + F.when(F.contains(x["low"], F.lit("f_")) & F.contains(x["l"], F.lit("(")), CALL_LINE).otherwise(0)
+        return sums + F.when(signature, SIGNATURE_LINE).otherwise(0)
+
+    scored = F.transform(read, lambda x: F.struct(score(x).alias("s"), ((F.octet_length(x["l"]) > LONG_LINE) & ~x["api"]).alias("long")))
+    return F.transform(scored, lambda x: F.when(x["long"] & (x["s"] > 0), 1).otherwise(x["s"]))
+
+
 def line_score(line: Column, tokens: Column) -> Column:
-    """How telling a line is: tokens of the subject in it, API calls, and signatures; a long line without calls hardly counts."""
-    low, api = F.lower(line), holds_call(line)
-    held = F.size(F.filter(tokens, lambda t: (t != "") & F.contains(low, F.lower(t))))
-    signature = F.lit(False)
-    for s in SIGNATURES:
-        signature = signature | F.contains(low, F.lit(s))
-    score = PER_TOKEN * held + F.when(api, API_LINE).otherwise(0) + F.when(F.contains(low, F.lit("f_")) & F.contains(line, F.lit("(")), CALL_LINE).otherwise(0) + F.when(signature, SIGNATURE_LINE).otherwise(0)
-    return F.when((F.octet_length(line) > LONG_LINE) & (score > 0) & ~api, 1).otherwise(score)
+    """How telling one line is."""
+    return F.get(line_scores(F.array(line), tokens), F.lit(0))
 
 
 def best_line(lines: Column, tokens: Column) -> Column:
     """The place (from 0) of the first line of the highest score; -1 where no line scores."""
-    scored = F.transform(lines, lambda l, i: F.struct(line_score(l, tokens).alias("s"), (-i).alias("i")))
-    best = F.array_max(scored)
-    return F.when(best["s"] > 0, -best["i"]).otherwise(-1)
+    best = F.array_max(F.transform(line_scores(lines, tokens), lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))
+    return F.coalesce(F.get(F.transform(F.array(best), lambda b: F.when(b["s"] > 0, -b["i"]).otherwise(-1)), F.lit(0)), F.lit(-1))
 
 
-def window_around(text: Column, tokens: Column, most: int) -> Column:
-    """At most so many lines, a third of them before the most telling one; empty where none is."""
-    lines = F.split(text, "\n")
-    best = best_line(lines, tokens)
+def window_at(lines: Column, best: Column, most: int) -> Column:
+    """At most so many lines, a third of them before the one at a place; empty for a place below 0."""
     start = F.greatest(F.lit(0), F.least(best - most // 3, F.size(lines) - most))
     first = F.get(lines, start)
     blob = (start < best) & (F.octet_length(first) > LONG_LINE) & ~holds_call(first)
@@ -48,6 +58,12 @@ def window_around(text: Column, tokens: Column, most: int) -> Column:
     return F.when(best < 0, "").otherwise(F.btrim(F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n"), F.lit(" \t\r\n")))
 
 
+def window_around(text: Column, tokens: Column, most: int) -> Column:
+    """At most so many lines, a third of them before the most telling one; empty where none is."""
+    lines = F.split(text, "\n")
+    return window_at(lines, best_line(lines, tokens), most)
+
+
 def around_subject(text: Column, tokens: Column, budget: int) -> Column:
     """At most so many characters, a quarter of them before the most telling line."""
     lines = F.split(text, "\n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import excerpts, git, web
 from ..operators import catalog, mutate, select
+from ..operators.index import made_once
 from ..sources import pdf
 from ..sources import tables as T
 from ..sources.tables import CHUNKS_SQL, EVIDENCE_SQL, REQUESTS_SQL, SYMBOLS_SQL
@@ -234,9 +235,9 @@ def telling_lines(spark, sf):
     d = T.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     tokens = F.array(F.lit("the"), F.lit("ion"), F.lit(""))
     calls = F.concat("t", F.lit("\nPlain RetryPolicy prose.\nint f_open(Path p);\nClient.Connect (host)\n"), F.col("doc_id").cast("string"))
-    return d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, calls).otherwise(F.col("t")).alias("t")).select(
-        "doc_id", excerpts.best_line(F.split("t", "\n"), tokens).alias("line"), F.sha2(excerpts.window_around(F.col("t"), tokens, 6), 256).alias("window_sha")
-    )
+    split = made_once(d, "lines", F.split(F.when(F.col("doc_id") % 3 == 0, calls).otherwise(F.col("t")), "\n"))
+    found = made_once(split, "line", excerpts.best_line(F.col("lines"), tokens))  # a text's lines are scored once
+    return found.select("doc_id", "line", F.sha2(excerpts.window_at(F.col("lines"), F.col("line"), 6), 256).alias("window_sha"))
 
 
 _P, _S = (f"'{c}'" for c in excerpts.CALLS)

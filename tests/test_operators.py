@@ -541,6 +541,13 @@ def test_roots_limit_every_kind_of_candidate(spark):
     assert sorted((r.qid, r.id, r["rank"]) for r in symbols.find(s, n).collect()) == [(1, 1, 1), (2, 1, 2), (2, 2, 1)]
 
 
+def test_lines_are_scored_once_a_text(spark, sf):
+    from tessera.plans import selection
+
+    plan = selection.telling_lines(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 8  # two patterns where lines are scored, and where a window begins with a long line
+
+
 def test_symbols_of_one_name_are_cut_before_they_meet(spark):
     """Many symbols of few names, all of them looked up: each ranking is as from all pairs, which aren't made."""
     rows = [(i, ["Ns::Open", "Open", "OpenAll", "Ns::Opem"][i % 4], "function", "unknown", 1000 - i // 4 % 7) for i in range(400)]

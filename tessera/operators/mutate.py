@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that a task sorts.
+TASK_PARTS = 1_000_000
+
 
 def keyed(old: DataFrame, new: DataFrame, *key: str, order: str | None = None) -> DataFrame:
     """old with new's rows in place of those of their key; of new rows with one key the last by order (any, without one)."""
@@ -16,8 +19,14 @@ def keyed(old: DataFrame, new: DataFrame, *key: str, order: str | None = None) -
 
 
 def with_parts(old: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Parts after an upsert of parents: all old parts of these go, new ones come (pages of a site, files of a repository)."""
-    return old.join(parents.select(key).distinct(), key, "left_anti").unionByName(new.join(parents.select(key).distinct(), key, "left_semi"))
+    """Parts after an upsert of parents: all old parts of these go, new ones come (pages of a site, files of a repository).
+
+    Parents are as many as parts, so their keys are sorted, not broadcast (as files' sizes, which tell little of them, would
+    have it); the number of tasks that sort follows the number of parts, so that what one of them holds doesn't grow.
+    """
+    tasks = max(int(old.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-old.count() // TASK_PARTS))
+    gone = parents.select(key).repartition(tasks, key).hint("merge")
+    return old.repartition(tasks, key).join(gone, key, "left_anti").unionByName(new.join(gone, key, "left_semi"))
 
 
 def removed(df: DataFrame, gone: DataFrame, *key: str) -> DataFrame:

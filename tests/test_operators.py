@@ -673,3 +673,15 @@ def test_plans_stay_in_the_jvm_and_prune(spark, sf):
     assert "Exchange" not in plan_of(index.term_vectors(T.chunks(spark, sf), ["chunk_id"], "body").select("term"))  # counted within the row
     for query in (retrieval.search_ranked, retrieval.symbol_lookup, retrieval.phrase_search, retrieval.eval_recall):
         assert "NestedLoop" not in plan_of(query(spark, sf)).replace("BroadcastNestedLoopJoin BuildRight, Inner\n", "")
+
+
+def test_tasks_follow_the_number_of_parts(spark, monkeypatch):
+    """Parts in one file are dealt out to as many tasks as their number asks for, and parents aren't broadcast."""
+    monkeypatch.setattr(mutate, "TASK_PARTS", 50)
+    old = spark.range(600).select((F.col("id") % 40).alias("key"), F.col("id").alias("part")).coalesce(1)
+    new = spark.createDataFrame([(3, -3), (39, -39), (41, -41)], "key long, part long")
+    out = mutate.with_parts(old, new, spark.createDataFrame([(3,), (3,), (39,)], "key long"), "key")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert ", 12), REPARTITION_BY_NUM" in text and "Broadcast" not in text
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted([(i % 40, i) for i in range(600) if i % 40 not in (3, 39)] + [(3, -3), (39, -39)])

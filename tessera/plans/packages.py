@@ -125,13 +125,19 @@ SOURCES = (
 )
 
 
+#: Sources whose symbols a task reads off.
+TASK_SOURCES = 10_000
+
+
 def code_symbols(spark, sf):
     """Symbols of made-up sources, one for each part, in eight languages."""
     n = F.col("p_partkey").cast("string")
     texts = [F.replace(F.lit(text.replace("#define", "\x01define")), F.lit("#"), n) for _, _, text, _ in SOURCES]
     which = (F.col("p_partkey") % len(SOURCES) + 1).cast("int")
     path = F.concat(F.lit("p"), n, F.lit("."), F.element_at(F.array(*[F.lit(e) for e, *_ in SOURCES]), which))
-    return code.extract(T.table(spark, sf, "part").select(path.alias("path"), F.replace(F.element_at(F.array(*texts), which), F.lit("\x01"), F.lit("#")).alias("text")))
+    parts = T.table(spark, sf, "part").select("p_partkey")
+    parts = parts.repartition(max(1, -(-parts.count() // TASK_SOURCES)), "p_partkey")  # narrow rows in few files, but each a text to be read
+    return code.extract(parts.select(path.alias("path"), F.replace(F.element_at(F.array(*texts), which), F.lit("\x01"), F.lit("#")).alias("text")))
 
 
 def code_sql() -> str:

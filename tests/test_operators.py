@@ -685,3 +685,13 @@ def test_tasks_follow_the_number_of_parts(spark, monkeypatch):
     assert ", 12), REPARTITION_BY_NUM" in text and "Broadcast" not in text
     got = sorted(tuple(r) for r in out.collect())
     assert got == sorted([(i % 40, i) for i in range(600) if i % 40 not in (3, 39)] + [(3, -3), (39, -39)])
+
+
+def test_tasks_follow_the_number_of_sources(spark, tmp_path, monkeypatch):
+    """Parts in one file are dealt out to several tasks that read symbols off their sources."""
+    from tessera.plans import packages as plan
+
+    spark.range(95).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(plan, "TASK_SOURCES", 10)
+    found = plan.code_symbols(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 10 and found.select("path").distinct().count() == 95

@@ -88,3 +88,13 @@ def test_a_killed_batch_is_made_good(spark, tmp_path, monkeypatch, when):
     assert sorted(found) == ["r0", "r1", "r2", "shared"]
     assert found["shared"][2] in {"t0", "t1", "t2"} and ("shared", f"e{found['shared'][2][1]}") in evidence and len(evidence) == 4
     assert sum(r.rows for r in log.table("counts").collect()) == 6
+
+
+def test_one_run_is_read_as_it_is(spark, tmp_path):
+    """A merged log is read without looking for each request's latest run."""
+    log = RequestLog(spark, f"file://{tmp_path}/log")
+    rows = spark.createDataFrame([event("a", 1, evidence=["x"]), event("a", 2, evidence=["y", "z"]), event("b", 1)], EVENT)
+    assert log.append(rows, "w", 0)
+    plan = log.table("evidence")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted((r[0], r[2]) for r in log.table("evidence").collect()) == [("a", "y"), ("a", "z")]

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.ranking import authority_boost, authority_rank, composite_score, version_preference
 from ..functions.text import clip_excerpt, fold_ascii, idf, marked_excerpt
 from ..sources.shared import fresh
-from .index import HEAD, Index, allowed, asked_words, bm25, gram_of, looked_up, of, scoped, term_vectors
+from .index import HEAD, Index, allowed, asked_words, bm25, gram_of, looked_up, of, scoped, set_down, term_vectors
 
 #: Fixed values of the candidate rules.
 LEAST_POOL, MOST_POOL, POOL_PER_RESULT = 250, 1500, 25
@@ -58,7 +58,7 @@ def lookup_terms(queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
     are, its rarest few are picked.
     """
     ix = of(chunks)
-    q = term_vectors(scoped(queries), ["qid", "roots"], "query").select("qid", "roots", "term")
+    q = set_down(term_vectors(scoped(queries), ["qid", "roots"], "query").select("qid", "roots", "term"), "terms")
     df = ix.frequency.join(q, "term").where(allowed()).groupBy("qid", "term").agg(F.sum("df").alias("df"))
     weighed = q.select("qid", "term").join(df, ["qid", "term"], "left").join(scope_sizes(queries, ix), "qid").select("qid", "term", F.coalesce("df", F.lit(0)).alias("df"), "n")
     weighed = weighed.withColumn("w", idf(F.col("n"), F.col("df"))).withColumn("rare", F.col("df") <= F.col("n") * MOST_DF_SHARE)
@@ -76,12 +76,13 @@ def semantic_candidates(chunks: DataFrame | Index, queries: DataFrame, limit: in
     pool; only its chunks' term vectors are read. Roots (if queries has them) limit the chunks and the weights.
     """
     ix = of(chunks)
-    q = lookup_terms(queries, ix)
+    q = set_down(lookup_terms(queries, ix), "lookup")
     weights = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"), F.collect_list(F.struct("term", "w")).alias("q_terms"))  # MOST_TERMS at most
-    picked = q.where("picked").select("qid", "term").join(scoped(queries).select("qid", "roots"), "qid")
+    picked = set_down(q.where("picked").select("qid", "term").join(scoped(queries).select("qid", "roots"), "qid"), "picked")
     matches = looked_up(ix.postings, picked, "term").where(allowed()).groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy("qid").orderBy(F.desc("m"), "chunk_id")
     pool = matches.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool_size(limit)).select("qid", "chunk_id")
+    pool = set_down(pool, "pool")
     read = pool.join(ix.vectors.select("chunk_id", "authority", F.col("v.term").alias("terms")), "chunk_id").join(weights, "qid")
     dot = F.aggregate(F.filter("q_terms", lambda x: F.array_contains(F.col("terms"), x["term"])), F.lit(0.0), lambda a, x: a + x["w"])
     sim = read.select("qid", "chunk_id", "authority", (dot / (F.col("q_norm") * F.sqrt(F.size("terms")))).alias("similarity")).where(F.col("similarity") >= LEAST_SIMILARITY)
@@ -94,10 +95,14 @@ def semantic_candidates(chunks: DataFrame | Index, queries: DataFrame, limit: in
 def path_candidates(chunks: DataFrame | Index, queries: DataFrame, limit: int) -> DataFrame:
     """(qid, chunk_id): first chunks whose path, title or uri holds the query, compared as LIKE does; by id.
 
-    Chunks are found by the rarest run of three characters in the query, and then looked at.
+    Chunks are found by the rarest run of three characters in the query, and then looked at. A query longer than all of
+    these holds nowhere, and isn't looked for.
     """
     ix = of(chunks)
-    q = scoped(queries).select("qid", "roots", fold_ascii(F.trim("query")).alias("q")).where("q <> ''")
+    longest = ix.chunks.where("ordinal = 0").agg(F.max(F.greatest(*[F.char_length(c) for c in ("path", "title", "uri")]))).first()[0] or 0
+    q = set_down(scoped(queries).select("qid", "roots", fold_ascii(F.trim("query")).alias("q")).where((F.col("q") != "") & (F.char_length("q") <= longest)), "places")
+    if not q.limit(1).count():
+        return q.select("qid", F.lit(None).cast(dict(ix.chunks.dtypes)["chunk_id"]).alias("chunk_id"))
     grams = q.select("qid", F.explode(gram_of(F.col("q"))).alias("gram")).join(ix.place_frequency, "gram", "left")
     rare = grams.groupBy("qid").agg(F.min_by(F.struct("gram", "df"), F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("g")).where("g.df is not null")
     found = looked_up(ix.places, q.join(rare.select("qid", F.col("g.gram").alias("gram")), "qid"), "gram")
@@ -116,7 +121,7 @@ def lexical_candidates(chunks: DataFrame | Index, queries: DataFrame, limit: int
     w = Window.partitionBy("qid").orderBy(F.round("rank", 9), "chunk_id")
 
     def first(asked: DataFrame, all_words: bool) -> DataFrame:
-        hits = bm25(ix, asked, all_words=all_words, content=True).withColumn("mode", F.lit("and" if all_words else "or"))
+        hits = bm25(ix, asked, all_words=all_words, content=True, most=limit).withColumn("mode", F.lit("and" if all_words else "or"))
         return hits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).drop("pos")
 
     at = fresh(spark, "candidates")  # at most limit rows a query, read twice: the other search is for the rest alone
@@ -141,7 +146,7 @@ def search(chunks: DataFrame | Index, queries: DataFrame, limit: int = DEFAULT_L
     found = found.unionByName(path_candidates(ix, queries, most).select("qid", "chunk_id", zero, F.lit(1).alias("origin")))
     if semantic:
         found = found.unionByName(semantic_candidates(ix, queries, limit).select("qid", "chunk_id", zero, F.lit(2).alias("origin")))
-    once = found.groupBy("qid", "chunk_id").agg(F.min(F.struct("origin", "rank")).alias("f")).select("qid", "chunk_id", "f.origin", "f.rank")
+    once = set_down(found.groupBy("qid", "chunk_id").agg(F.min(F.struct("origin", "rank")).alias("f")).select("qid", "chunk_id", "f.origin", "f.rank"), "found")
     hits = once.join(ix.heads, "chunk_id").join(queries.select("qid", "query"), "qid")  # without bodies
     score, kind = composite_score(F.col("query"), F.col("rank"), *map(F.col, ("authority", "path", "title", "heading")), clip_excerpt(F.col("head"), HEAD), F.col("archived"), F.col("deprecated"))
     hits = hits.withColumn("match_kind", kind).withColumn("score", score)
@@ -156,7 +161,7 @@ def snippets(chunks: DataFrame | Index, hits: DataFrame, queries: DataFrame, n:
     """hits (qid, chunk_id ...) with snippet: the n words of the body around the first content word found, which are marked."""
     ws = asked_words(queries, content=True).select("qid", "ws")
     bodies = of(chunks).chunks.select("chunk_id", F.col("body").alias("_body"))
-    return hits.join(ws, "qid").join(bodies, "chunk_id").withColumn("snippet", marked_excerpt(F.col("_body"), F.col("ws"), n)).drop("_body", "ws")
+    return set_down(hits, "hits").join(ws, "qid").join(bodies, "chunk_id").withColumn("snippet", marked_excerpt(F.col("_body"), F.col("ws"), n)).drop("_body", "ws")
 
 
 def diversify(hits: DataFrame, order: list, limit: int, per_document: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import percentiles
-from .index import Index, phrase_hits, words
+from .index import Index, phrase_hits, set_down, words
 
 
 def judge(results: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def containing(docs: DataFrame, needles: DataFrame, ix: Index, key: str = "doc_i
     """
     ws = needles.select("id", "needle", words(F.col("needle")).alias("ws"))
     inner = ws.where(F.size("ws") > 2).select(F.col("id").alias("pid"), F.slice("ws", F.lit(2), F.size("ws") - 2).alias("ws"), F.lit(None).cast("array<string>").alias("roots"))
-    near = phrase_hits(ix, inner).select(F.col("pid").alias("id"), F.col("chunk_id").alias(key))
+    near = set_down(phrase_hits(ix, inner).select(F.col("pid").alias("id"), F.col("chunk_id").alias(key)), "near")
     texts = docs.select(key, "text")
-    out = near.join(needles.select("id", "needle"), "id").join(texts, key).where(F.contains("text", "needle")).select("id", key)
+    out = texts.join(near, key).join(needles.select("id", "needle"), "id").where(F.contains("text", "needle")).select("id", key)
     short = ws.where(F.size("ws") < 3).select("id", "needle")
     return out.unionByName(texts.join(short, F.contains("text", "needle")).select("id", key)) if short.limit(1).count() else out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, code, keyed, text
 from ..functions.excerpts import CALLS
 from ..operators import context, corpus, evaluate, health, packages, playbook, recipes, symbols
+from ..operators.index import set_down
 from ..sources import files
 from ..sources import tables as T
 from ..sources.tables import CHUNKS_SQL, REQUESTS_SQL, SYMBOLS_SQL
@@ -159,8 +160,8 @@ def evaluation(spark, sf):
     held = evaluate.containing(d.where("text is not null"), b, T.index(spark, sf))
     hit = held.groupBy("id").agg(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."))).alias("sources"))
     s = T.symbols(spark, sf)
-    named = s.join(b.select("id"), "id").select(F.col("id").alias("qid"), "name")
-    found = symbols.find(s, named, 3).join(s.select("id", "name"), "id").groupBy(F.col("qid").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("symbols"))
+    named = set_down(s.join(b.select("id"), "id").select(F.col("id").alias("qid"), "name"), "named")
+    found = s.select("id", "name").join(set_down(symbols.find(s, named, 3), "symbols"), "id").groupBy(F.col("qid").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("symbols"))
     own = named.select(F.col("qid").alias("id"), "name")
     none = F.array().cast("array<string>")
     asked = F.when(F.col("name").isNull(), none).when(F.col("id") % 3 == 0, F.array(F.lit("no such symbol"))).otherwise(F.array("name"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import AUTHORITIES
 from ..operators import batch_context as B
 from ..operators import recipes
+from ..operators.index import set_down
 from ..sources import tables as T
 from ..sources.tables import CHUNKS_SQL, SYMBOLS_SQL
 from .retrieval import search_ranked, search_sql
@@ -20,7 +21,7 @@ def context_packages(spark, sf):
     n = F.col("qid").cast("string")
     body = F.concat(F.lit("## Prerequisites\n- sdk "), n, F.lit("\n## Required APIs\n- `Call"), n, F.lit(".Run`\n## Steps\n1. open "), n, F.lit("\n2. close "), n, F.lit("\n## Example\n"), "task")
     made = recipes.read(b.where("qid % 4 = 0").select("qid", body.alias("body")), "qid").withColumn("subject", F.concat(F.lit("Item "), n))
-    out = B.assembled(tasks, search_ranked(spark, sf), T.index(spark, sf).chunks, found, made)
+    out = B.assembled(tasks, set_down(search_ranked(spark, sf), "hits"), T.index(spark, sf).chunks, found, made)
     return out.select("qid", "cuts", "estimated_tokens", "coverage", "freshness", F.array_join("roots", ",").alias("roots"), "fingerprint")
 
 

@@ -2,7 +2,9 @@
 
 Time is cut into cells, so many to a window that a cell, and a window's number of cells, grow only with the square root
 of what a window holds. All queries of a cell share the whole cells that lie inside every one of their windows (the
-middle), and differ in the points of two cells at most: their own and the one a window earlier (the edges).
+middle), and differ in the points of two cells at most: their own and the one a window earlier (the edges). Runs of a
+cell's queries share most of the edges too, and look among few others. A window of some thousand points is one cell: it
+has no middle, and its queries are answered from the two cells alone.
 
 Values are coded so that equal prefixes of the code are ranges of values. A round deals points and asking cells out by
 series, prefix and stretch of time; there, prefix sums over the cells give the middle's count under each next digit of
@@ -11,15 +13,18 @@ may lie, and descends until these are single values. The medians then come from
 counts elsewhere, and the edges. The radius is found alike: a prefix bounds how far its values are from the medians, and
 those that may hold the middle deviation are descended further.
 
-All steps are joins and groups of the cells' packed columns; none brings a window, a series or a table to one task.
+All steps are joins and groups of the cells' packed columns; none brings a series or a table to one task, nor more of a
+window than two cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
@@ -28,9 +33,12 @@ from .common import drop_stored, give_back, stored, table
 
 #: The window in microseconds, and how many cells it may be cut into: divisors of it.
 WIDE = 360 * 60 * 1_000_000
-CUTS = [2**k for k in range(1, 12)] + [2**11 * 5**k for k in range(1, 9)]
-#: A window of n points is cut into about sqrt(n) / THIN cells; counts of queries by points are made MATRIX at a time.
-THIN, MATRIX = 10, 1 << 21
+CUTS = [2**k for k in range(12)] + [2**11 * 5**k for k in range(1, 9)]
+#: A window of n points is cut into about sqrt(n) / THIN cells; counts of queries by points are made MATRIX at a time. STEP
+#: queries and points that come or go with them make a run of queries.
+THIN, MATRIX, STEP = 128, 1 << 21, 1 << 10
+#: Bytes of rows that are handed on together.
+BATCH_BYTES = 1 << 23
 #: Bits of a number's mantissa that prefixes of each level have, after its sign and exponent.
 LEVELS = (3, 13, 23, 33, 43, 52)
 #: No cents; cents are below MOST in size, so that eight times as much is still a 64-bit number.
@@ -71,18 +79,32 @@ def packed(*columns: np.ndarray) -> bytes:
     return np.stack([np.asarray(c, np.int64) for c in columns], 1).tobytes()
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Its rows one at a time: they may be long."""
+    return (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows))
+
+
 def by_rows(take: Callable, schema: str) -> tuple[Callable, str]:
     """A mapInArrow function that gives take(row as a tuple) -> rows, and its schema."""
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [types[x.split()[1]] for x in schema.split(", ")]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):  # bounded, however long the rows are
-                out = [r for row in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True) for r in take(*row)]
-                columns = zip(*out, strict=True) if out else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields, strict=True)], names=names)
+            out, size = [], 0
+            for row in each_row(batch):
+                for r in take(*row):
+                    out.append(r)
+                    size += 64 + sum(len(x) for x in r if isinstance(x, bytes))
+                if size > BATCH_BYTES:
+                    yield made(out)
+                    out, size = [], 0
+            yield made(out)
             give_back()
 
     return run, schema
@@ -100,40 +122,65 @@ def micros(c: Column, kind) -> Column:
     return ((part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
-def points(clicks: DataFrame) -> DataFrame:
-    """(click_id, series, us, cents): each click_id with a time once."""
+def timed(clicks: DataFrame) -> DataFrame:
+    """(click_id, us, series, cents, chunk) of the rows with a time."""
     value = F.col("value").cast("double") * 100 + 0.5
     cents = F.when(F.abs(value) < float(MOST), F.floor(value).cast("long"))  # none for null, NaN and beyond
     us = micros(F.col("ts"), clicks.schema["ts"].dataType)
     series = F.when(F.col("kind").isNull(), "").otherwise(F.concat(F.lit("="), F.col("kind").cast("string")))
     rows = clicks.where(F.col("ts").isNotNull()).select("click_id", us.alias("us"), series.alias("series"), cents.alias("cents"))
-    return rows.groupBy("click_id").agg(F.min(F.struct("us", "series", "cents")).alias("p")).select("click_id", "p.*")
+    return rows.withColumn("chunk", floor_div(F.col("us"), F.lit(WIDE).cast("long")))
+
+
+def points(rows: DataFrame) -> DataFrame:
+    """(click_id, us, series, cents, chunk): each click_id once. Dealt out first, rows are sorted once."""
+    return rows.repartition("click_id").groupBy("click_id").agg(F.min(F.struct("us", "series", "cents", "chunk")).alias("p")).select("click_id", "p.*")
 
 
 def floor_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a - F.pmod(a, b), b)
 
 
-def sorted_cell(series, m, chunk, cell, us, cents, ids):
-    """One cell's rows in order of time, packed; missing cents and ids as NONE."""
-    us, cents, ids = (np.array([NONE if x is None else x for x in c], np.int64) for c in (us, cents, ids))
-    order = np.lexsort((ids, us))
-    return [(series, m, chunk, cell, us[order].tobytes(), cents[order].tobytes(), ids[order].tobytes())]
+def sorted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CELL with us, cents and id packed in order of time, missing ones as NONE; rows come cell by cell."""
+    names = [*(x.split()[0] for x in CELL.split(", ")), "us", "cents", "id"]
+    key, held = None, []
+
+    def made() -> pa.RecordBatch:
+        us, cents, ids = np.concatenate(held, 1)
+        order = np.argsort(us, kind="stable")
+        types = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+        blobs = [pa.array([x[order].tobytes()], pa.binary()) for x in (us, cents, ids)]
+        return pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(key, types, strict=True)), *blobs], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, rows = batch.columns[:4], np.stack([pc.fill_null(c, NONE).to_numpy() for c in batch.columns[4:]])
+        series, cell = keys[0], keys[3].to_numpy()
+        other = pc.not_equal(series[1:], series[:-1]).to_numpy(zero_copy_only=False) | (cell[1:] != cell[:-1])
+        starts = [0, *(np.flatnonzero(other) + 1), batch.num_rows]
+        for i, j in zip(starts, starts[1:]):
+            now = tuple(c[i].as_py() for c in keys)
+            if key is not None and now != key:
+                yield made()
+                held = []
+            key = now
+            held.append(rows[:, i:j])
+    if key is not None:
+        yield made()
 
 
 def cells_of(clicks: DataFrame) -> DataFrame:
     """CELL with us, cents and id packed: the series' clicks by cell; m cells make a window."""
-    p = stored(points(clicks).withColumn("chunk", floor_div(F.col("us"), F.lit(WIDE).cast("long"))), "clicks")
-    sizes = p.groupBy("series", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    rows = timed(clicks)
+    sizes = rows.groupBy("series", "chunk").agg(F.count(F.lit(1)).alias("n"))  # repeated clicks count: it is for m alone
     most = F.max("n").over(Window.partitionBy("series"))
     m = F.element_at(F.filter(F.array(*(F.lit(c) for c in CUTS)), lambda c: (c >= F.sqrt("most") / THIN) | (c == CUTS[-1])), 1)
     sizes = sizes.withColumn("most", most).select("series", "chunk", m.alias("m"))
-    rows = p.join(sizes, ["series", "chunk"]).withColumn("cell", floor_div(F.col("us"), F.call_function("div", F.lit(WIDE).cast("long"), F.col("m").cast("long"))))
-    rows = rows.groupBy("series", "m", "chunk", "cell").agg(F.collect_list(F.struct("us", "cents", "click_id")).alias("p"))
-    rows = rows.select("series", "m", "chunk", "cell", "p.us", "p.cents", "p.click_id")
-    out = stored(rows.mapInArrow(*by_rows(sorted_cell, f"{CELL}, us binary, cents binary, id binary")), "cells")
-    drop_stored(p)
-    return out
+    p = points(rows).join(sizes, ["series", "chunk"]).withColumn("cell", floor_div(F.col("us"), F.call_function("div", F.lit(WIDE).cast("long"), F.col("m").cast("long"))))
+    p = p.select("series", "m", "chunk", "cell", "us", "cents", "click_id").repartition("series", "cell").sortWithinPartitions("cell", "series")
+    return stored(p.mapInArrow(sorted_cells, f"{CELL}, us binary, cents binary, id binary"), "cells")
 
 
 # ---------------------------------------------------------------- what a cell asks for
@@ -307,49 +354,85 @@ def slices(times: np.ndarray, us: np.ndarray, cents: np.ndarray, us0: np.ndarray
         yield part, Edges(times[part], value[order], first, last)
 
 
-def medians_of(state: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
+def blocks(times: np.ndarray, us: np.ndarray, cents: np.ndarray, us0: np.ndarray, cents0: np.ndarray) -> Iterator[tuple[slice, np.ndarray, Edges]]:
+    """Runs of queries in order, the cents of both cells that all of a run's windows hold, sorted, and those that they differ in."""
+    held = np.concatenate([cents0, cents])
+    at = np.flatnonzero(held != NONE)
+    at = at[np.argsort(held[at], kind="stable")]
+    value, at = held[at], at.astype(np.int32)
+    come, gone = np.searchsorted(us, times, side="right"), np.searchsorted(us0, times - WIDE)  # a window's points in order of time
+    run = (np.arange(1, len(times) + 1) + come + gone) // STEP
+    i = 0
+    for j in np.append(np.flatnonzero(np.diff(run)) + 1, len(times)):
+        a, b, c, d = come[i], come[j - 1], gone[i], gone[j - 1]
+        inside = value[(at >= d) & (at < len(us0) + a)]
+        for part, edges in slices(times[i:j], us[a:b], cents[a:b], us0[c:d], cents0[c:d]):
+            yield slice(i + part.start, min(i + part.stop, j)), inside, edges
+        i = j
+
+
+def merged_counts(inside: np.ndarray, value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cents inside and the middle's values in order, and how many points there are up to each."""
+    if not len(value):
+        return inside, np.arange(1, len(inside) + 1)
+    order = np.argsort(value, kind="stable")
+    at = np.searchsorted(inside, value[order])
+    return np.insert(inside, at, value[order]), np.cumsum(np.insert(np.ones(len(inside), np.int64), at, count[order]))
+
+
+def medians_of(state: np.ndarray, inside: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
     """(n, the doubled median) of each query; 0 where n < LEAST."""
-    q = np.arange(len(edges.among))
-    high = bounds(state[:, 0], state[:, 1])[1]
-    n = int(state[:, 2].sum()) + edges.among[:, -1].astype(np.int64)
-    value = np.concatenate([edges.value, high])
+    n = int(state[:, 2].sum()) + len(inside) + edges.among[:, -1].astype(np.int64)
+    out, some = np.zeros(len(n), np.int64), np.flatnonzero(n >= LEAST)
+    if not len(some):
+        return n, out
+    q, rank = np.concatenate([some, some]), np.concatenate([(n[some] + 1) // 2, n[some] // 2 + 1])
+    value, upto = merged_counts(inside, bounds(state[:, 0], state[:, 1])[1], state[:, 2])
+    i, j = np.searchsorted(upto, [rank.min() - len(edges.value), rank.max()])  # the edges move ranks by no more than their number
+    before, count = (upto[i - 1] if i else 0), np.diff(upto[i : j + 1], prepend=upto[i - 1] if i else 0)
+    value = np.concatenate([edges.value, value[i : j + 1]])
     order = np.argsort(value, kind="stable")
     value, mine = value[order], np.cumsum(order < len(edges.value))
-    middle = np.cumsum(np.concatenate([np.zeros(len(edges.value), np.int64), state[:, 2]])[order])
-    out = np.zeros(len(q), np.int64)
-    some = n >= LEAST
-    for rank in ((n + 1) // 2, n // 2 + 1) if some.any() else ():
-        a, b = np.zeros(len(q), np.int64), np.full(len(q), len(value) - 1)  # the first place with at least rank points
-        for _ in range(max(len(value) - 1, 1).bit_length()):
-            at = (a + b) // 2
-            enough = middle[at] + edges.among[q, mine[at]] >= rank
-            a, b = np.where(enough, a, np.minimum(at + 1, b)), np.where(enough, at, b)
-        out += np.where(some, value[b], 0)
+    middle = before + np.cumsum(np.concatenate([np.zeros(len(edges.value), np.int64), count])[order])
+    a, b = np.zeros(len(q), np.int64), np.full(len(q), len(value) - 1)  # the first place with at least rank points
+    for _ in range(max(len(value) - 1, 1).bit_length()):
+        at = (a + b) // 2
+        enough = middle[at] + edges.among[q, mine[at]] >= rank
+        a, b = np.where(enough, a, np.minimum(at + 1, b)), np.where(enough, at, b)
+    out[some] = value[b[: len(some)]] + value[b[len(some) :]]
     return n, out
 
 
-def radii_of(state: np.ndarray, edges: Edges, medians: np.ndarray) -> np.ndarray:
-    """The doubled median of |2 * cents - median2| of each query; 0 where n < LEAST."""
+def first_enough(enough: Callable, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least whole numbers from a to b for which enough holds; b if it holds for none."""
+    while (a < b).any():
+        r = a + (b - a) // 2
+        yes = enough(r)
+        a, b = np.where(yes, a, np.minimum(r + 1, b)), np.where(yes, r, b)
+    return b
+
+
+def radii_of(state: np.ndarray, inside: np.ndarray, edges: Edges, medians: np.ndarray, bracket: tuple[int, int] | None) -> np.ndarray:
+    """The doubled median of |2 * cents - median2| of each query; 0 where n < LEAST. bracket: what bounds it, if state isn't empty."""
     n, centre = medians[:, 1], medians[:, 2]
     some = np.flatnonzero(n >= LEAST)
     out = np.zeros(len(n), np.int64)
     if not len(some):
         return out
-    if len(state):
-        bottom, top = radius_range(state, medians)[1:]
-    else:
-        bottom, top = 0, int(np.abs(2 * edges.value[[0, -1]][:, None] - centre[some]).max())
-    low = bounds(state[:, 0], state[:, 1])[0]
-    order = np.argsort(low, kind="stable")
-    low, middle = low[order], np.append(0, np.cumsum(state[order, 2]))
+    low, upto = merged_counts(inside, bounds(state[:, 0], state[:, 1])[0], state[:, 2])
+    upto = np.append(0, upto)
     rank = np.concatenate([(n[some] + 1) // 2, n[some] // 2 + 1])
     q, c = np.concatenate([some, some]), np.concatenate([centre[some], centre[some]])
-    until = lambda v: middle[np.searchsorted(low, v, side="right")] + edges.among[q, np.searchsorted(edges.value, v, side="right")]
-    a, b = np.full(len(q), bottom), np.full(len(q), top)
-    for _ in range(int(top - bottom).bit_length()):
-        r = a + (b - a) // 2
-        enough = until((c + r) >> 1) - until(-((r - c) >> 1) - 1) >= rank
-        a, b = np.where(enough, a, np.minimum(r + 1, b)), np.where(enough, r, b)
+    c0, c1 = c.min(), c.max()
+    if bracket is None:
+        ends = np.concatenate([low[:1], low[-1:], edges.value[:1], edges.value[-1:]])
+        bracket = 0, int(max(2 * ends.max() - c0, c1 - 2 * ends.min()))
+    # what surely lies, and what may lie, as near to all medians of the run bounds their radii
+    held = lambda x, y: upto[np.searchsorted(low, y >> 1, side="right")] - upto[np.searchsorted(low, -(-x >> 1))]
+    reach, need = np.array([[c0, c1], [c1, c0]]), np.array([rank.min() - len(edges.value), rank.max()])
+    bottom, top = first_enough(lambda r: held(reach[:, 0] - r, reach[:, 1] + r) >= need, *np.tile(np.array(bracket, np.int64)[:, None], 2))
+    until = lambda v: upto[np.searchsorted(low, v, side="right")] + edges.among[q, np.searchsorted(edges.value, v, side="right")]
+    b = first_enough(lambda r: until((c + r) >> 1) - until(-((r - c) >> 1) - 1) >= rank, np.full(len(q), bottom), np.full(len(q), max(bottom, top)))
     out[some] = b[: len(some)] + b[len(some) :]
     return out
 
@@ -360,8 +443,8 @@ def centred(series, m, chunk, cell, us, cents, us0, cents0, state):
     times = np.unique(us)
     found = np.zeros((len(times), 3), np.int64)
     found[:, 0] = times
-    for part, edges in slices(times, us, numbers(cents), numbers(us0), numbers(cents0)):
-        found[part, 1], found[part, 2] = medians_of(s, edges)
+    for part, inside, edges in blocks(times, us, numbers(cents), numbers(us0), numbers(cents0)):
+        found[part, 1], found[part, 2] = medians_of(s, inside, edges)
     return [(series, m, chunk, cell, state, radius_range(s, found)[0][:, :2].tobytes(), found.tobytes())]
 
 
@@ -369,13 +452,20 @@ OUT = "click_id long, kind string, n long, median2 long, mad4 long, far boolean"
 
 
 def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of cells' clicks."""
+    """The rows of cells' clicks. Without medians, which are found here then, a cell has no middle."""
     for batch in batches:
-        for series, us, cents, ids, us0, cents0, state, medians in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            us, cents, ids, med = numbers(us), numbers(cents), numbers(ids), numbers(medians, 3)
-            mad, s = np.zeros(len(med), np.int64), numbers(state, 4)
-            for part, edges in slices(med[:, 0], us, cents, numbers(us0), numbers(cents0)):
-                mad[part] = radii_of(s, edges, med[part])
+        for series, us, cents, ids, us0, cents0, state, medians in each_row(batch):
+            us, cents, ids, s = numbers(us), numbers(cents), numbers(ids), numbers(state, 4)
+            if medians is None:
+                times = np.unique(us)
+                med = np.stack([times, *np.zeros((2, len(times)), np.int64)], 1)
+            else:
+                med = numbers(medians, 3)
+            mad, bracket = np.zeros(len(med), np.int64), radius_range(s, med)[1:] if len(s) else None
+            for part, inside, edges in blocks(med[:, 0], us, cents, numbers(us0), numbers(cents0)):
+                if medians is None:
+                    med[part, 1], med[part, 2] = medians_of(s, inside, edges)
+                mad[part] = radii_of(s, inside, edges, med[part], bracket)
             at = np.searchsorted(med[:, 0], us)
             n, median, mad = med[at, 1], med[at, 2], mad[at]
             few, bare = n < LEAST, cents == NONE
@@ -399,20 +489,29 @@ def rolling(clicks: DataFrame) -> DataFrame:
     Equal times can't be parted: the clicks of one kind and microsecond are in one cell.
     """
     cells = cells_of(clicks.select("click_id", "ts", "kind", "value"))
-    states = descended(first_states(cells), cells, None, lambda s, _: median_asks(s))
     before = cells.select("series", (F.col("cell") + F.col("m")).alias("cell"), F.col("us").alias("us0"), F.col("cents").alias("cents0"))
-    keys = ["series", "m", "chunk", "cell"]
     both = cells.join(before, ["series", "cell"], "left")
+    none = F.lit(None).cast("binary")
+    rows, made = [both.where("m = 1").withColumns({"state": none, "medians": none})], [cells]
+    if cells.where("m > 1").limit(1).count():
+        more, also = with_middles(cells.where("m > 1"), both.where("m > 1"))
+        rows, made = [*rows, more], [*made, *also]
+    rows = reduce(DataFrame.unionByName, [r.select("series", "us", "cents", "id", "us0", "cents0", "state", "medians") for r in rows])
+    out = stored(rows.mapInArrow(finished, OUT), "rolling")
+    for x in made:
+        drop_stored(x)
+    return out
+
+
+def with_middles(cells: DataFrame, both: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of both with state and medians, of cells of which several make a window; the tables that they are read from."""
+    keys = ["series", "m", "chunk", "cell"]
+    states = descended(first_states(cells), cells, None, lambda s, _: median_asks(s))
     rows = both.join(states.select(*keys, "state"), keys).select(*keys, "us", "cents", "us0", "cents0", "state")
     found = stored(rows.mapInArrow(*by_rows(centred, f"{STATE}, medians binary")), "medians")
     drop_stored(states)
     states = descended(found.select(*keys, "state", "asks"), cells, found, lambda s, extra: radius_range(s, numbers(extra, 3))[0])
-    rows = both.join(states.select(*keys, "state"), keys).join(found.select(*keys, "medians"), keys)
-    rows = rows.select("series", "us", "cents", "id", "us0", "cents0", "state", "medians").mapInArrow(finished, OUT)
-    out = stored(rows, "rolling")
-    for made in (cells, states, found):
-        drop_stored(made)
-    return out
+    return both.join(states.select(*keys, "state"), keys).join(found.select(*keys, "medians"), keys), [states, found]
 
 
 def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:

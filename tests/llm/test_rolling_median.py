@@ -135,3 +135,17 @@ def test_query_equals_its_sql(spark, sf):
     assert tuple(q.columns) == COLUMNS
     got = [tuple(r[c] for c in COLUMNS) for r in rm.op12_rolling_median(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == set(q.fetchall())
+
+
+@pytest.mark.parametrize("name,thin,ms", [("spread", None, {1}), ("two far clusters", None, {1}), ("huge", 9, {1, 2})])
+def test_some_thousand_points_of_a_window_are_one_cell(spark, monkeypatch, name, thin, ms):
+    """No round is run for them; series of one cell and of several stand side by side."""
+    monkeypatch.setattr(rm, "STEP", 50, raising=False)
+    if thin:
+        monkeypatch.setattr(rm, "THIN", thin)
+    else:
+        monkeypatch.setattr(rm, "descended", None)
+    rows = clicks(random.Random(7), 600, 15, DRAWS[name])
+    df = spark.createDataFrame([(*r, 1, "x", b"y", "z") for r in rows], SCHEMA).repartition(3)
+    assert {r.m for r in rm.cells_of(df.select("click_id", "ts", "kind", "value")).select("m").collect()} == ms
+    assert result(rm.rolling(df)) == brute(rows)

@@ -18,14 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Versions
-from .index import vectors_of
+from .index import counted_terms
 
 #: Rows that one bucket takes when the index is made, the fewest buckets, and runs that make a bucket due for a merge.
 BUCKET_ROWS, LEAST_BUCKETS, FANOUT = 4_000_000, 16, 4
+#: Documents of a batch up to which their ids go to every task, so that no term of another document is counted.
+SMALL_BATCH = 1 << 16
 MANIFEST = "name string, bucket int, run string, buckets int"
 #: The tables and what they are dealt out by.
 BY = {"forward": "document_id", "postings": "term", "frequency": "term", "roots": "root_name"}
-VECTOR = "array<struct<term:string,tf:bigint>>"
 
 
 class Entry(NamedTuple):
@@ -116,7 +117,16 @@ class TermIndex:
 
     @staticmethod
     def vectors(chunks: DataFrame, seq: int) -> DataFrame:
-        return vectors_of(chunks, ["document_id", "chunk_id", "root_name"], "heading", "body").withColumn("seq", F.lit(seq).cast("long"))
+        return counted_terms(chunks, "document_id", "chunk_id", "root_name").withColumn("seq", F.lit(seq).cast("long"))
+
+    def kept(self, rows: DataFrame, name: str, run: str) -> DataFrame:
+        """rows, computed once: a table beside the run's, for as long as the batch takes."""
+        at = f"{self.folder}/data/{run}/kept/{name}"
+        rows.write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def forget_kept(self, run: str) -> None:
+        self.versions.fs.delete(self.versions.path(f"{self.folder}/data/{run}/kept"), True)
 
     def create(self, chunks: DataFrame, buckets: int | None = None) -> int:
         """The first version, of chunks (document_id, chunk_id, root_name, heading, body); FileExistsError if there is one."""
@@ -146,13 +156,15 @@ class TermIndex:
         """
         last, manifest = self.versions.pointers.last(), self.manifest()
         run, buckets, seq = uuid.uuid4().hex, manifest[0].buckets, last + 1
-        ids = changed.where("document_id is not null").select("document_id").distinct()
-        fresh = self.vectors(chunks.join(ids, "document_id", "left_semi"), seq)
-        gone = ids.join(chunks.select("document_id").distinct(), "document_id", "left_anti")
-        gone = gone.select("document_id", F.lit(None).cast("long").alias("chunk_id"), F.lit(None).cast("string").alias("root_name"), F.lit(None).cast(VECTOR).alias("v"), F.lit(seq).cast("long").alias("seq"))
-        out = self.write(fresh.unionByName(gone), "forward", run, buckets)
+        ids = self.kept(changed.where("document_id is not null").select("document_id").distinct(), "changed", run)
+        if ids.count() <= SMALL_BATCH:
+            chunks = chunks.join(F.broadcast(ids), "document_id", "left_semi")
+        # texts stay where they are, their vectors are joined; a document without chunks keeps a row without any
+        fresh = ids.join(self.vectors(chunks, seq).drop("seq"), "document_id", "left").withColumn("seq", F.lit(seq).cast("long"))
+        out = self.write(fresh, "forward", run, buckets)
         written = self.rows(out, "forward")
         if written is None:
+            self.forget_kept(run)
             return last
         old = self.rows(manifest, "forward", {r.bucket for r in out})
         sides = [written.where("chunk_id is not null").withColumn("sign", F.lit(1))]
@@ -172,13 +184,14 @@ class TermIndex:
             if delta is None:
                 continue
             n = "df" if name == "frequency" else "n"
-            delta = delta.groupBy(*keys).agg(F.sum("sign").cast("long").alias(n)).where(f"{n} <> 0")
+            delta = self.kept(delta.groupBy(*keys).agg(F.sum("sign").cast("long").alias(n)).where(f"{n} <> 0"), f"{name}-delta", run)
             at = self.touched(delta, BY[name], buckets)
             before = self.rows(manifest, name, at)
             rows = delta if before is None else before.select(*keys, n).unionByName(delta).groupBy(*keys).agg(F.sum(n).alias(n)).where(f"{n} > 0")
             if at:
                 out += self.write(rows, name, run, buckets)
             kept = [r for r in kept if r.name != name or r.bucket not in at]
+        self.forget_kept(run)
         whole = self.merged([r for r in kept if r.name != "none"] + out, buckets)
         return self.commit(whole or [Entry("none", -1, run, buckets)], last)
 

@@ -117,3 +117,26 @@ def test_folders_of_the_search_index_follow_its_size(spark, tmp_path, monkeypatc
         got = sorted(map(tuple, search.semantic_candidates(ix, queries, 5).collect())), sorted(map(tuple, index.bm25(ix, queries).select("qid", "chunk_id").collect()))
         assert got[0] and got[1] and (want is None or got == want)
         want = got
+
+
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_a_batch_shuffles_vectors_and_counts_changes_once(spark, tmp_path, monkeypatch, small):
+    """Texts are counted where they are read, in batches, and not dealt out by document; each delta is summed once."""
+    monkeypatch.setattr(upkeep, "SMALL_BATCH", small, raising=False)
+    plans, asked = {}, []
+    write, touched = upkeep.TermIndex.write, upkeep.TermIndex.touched
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(upkeep.TermIndex, "write", lambda self, rows, name, *a: (plans.__setitem__(name, plan(rows)), write(self, rows, name, *a))[1])
+    monkeypatch.setattr(upkeep.TermIndex, "touched", lambda self, rows, *a: (asked.append(plan(rows)), touched(self, rows, *a))[1])
+    ix = upkeep.TermIndex(spark, f"file://{tmp_path}/ix")
+    rng = random.Random(3)
+    live = {d: chunks_of(rng, [d], 0) for d in range(9)}
+    ix.create(spark.createDataFrame([c for rows in live.values() for c in rows], SCHEMA), 4)
+    new = {d: chunks_of(rng, [d], 1) for d in (1, 3, 11)}
+    live |= new | {5: []}
+    ix.apply(spark.createDataFrame([(1,), (3,), (5,), (11,), (77,)], "document_id long"), spark.createDataFrame([c for rows in live.values() for c in rows], SCHEMA))
+    forward = plans["forward"]
+    assert "regexp_extract_all" not in forward and forward.index("Join LeftOuter") < forward.index("MapInArrow")
+    assert ("Join LeftSemi" in forward) == bool(small)  # the texts of a small batch alone are counted
+    assert asked and not any("Aggregate" in p for p in asked)
+    assert state(ix) == rebuilt(spark, [c for rows in live.values() for c in rows])

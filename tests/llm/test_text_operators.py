@@ -231,6 +231,48 @@ def test_imatch_by_brute_force(spark, monkeypatch, broadcast):
         assert abs(r.near_next - brute_likeness(prints[i], prints[(i + 1) % len(texts)])) < 1e-12
 
 
+def shuffled_rows(spark, group):
+    """The rows that the stages of a job group have written to shuffles."""
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(x.shuffleWriteRecords() for x in map(store.lastStageAttempt, stages) if x.status().toString() == "COMPLETE")
+
+
+def test_imatch_shuffles_rare_terms_only(spark, monkeypatch):
+    """With a lexicon beyond what is broadcast, the result is the same, and terms that are broadcast leave their tasks in counts only."""
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(399, int(rng.expovariate(0.012)))}" for _ in range(rng.choice([3, 40, 150, 400]))) for _ in range(200)]
+    texts += ["", "!!!", "w1 alone once never1 never2", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = sorted(imatch.fingerprints_and_edits(docs).collect())
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 200)
+    spark.sparkContext.setJobGroup("imatch-rare", "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as a large lexicon
+    try:
+        got = sorted(imatch.fingerprints_and_edits(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == want
+    pairs = docs.select(F.size(imatch.terms_of(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0]
+    assert pairs > 10_000 and 0 < shuffled_rows(spark, "imatch-rare") < pairs
+
+
+def test_imatch_shares_out_its_lexicon(spark, monkeypatch):
+    """The broadcast part keeps to its bound, holds the most frequent terms, and leaves none of the band's out."""
+    lexicon = spark.createDataFrame([(7919 * i, 2 + (i * i) // 500, i < 900) for i in range(1000)], "h long, df long, in_band boolean")
+    assert imatch.shared_out(lexicon)[1] is None
+    for most in (500, 10, 0):
+        monkeypatch.setattr(imatch, "BROADCAST_TERMS", most)
+        common, rest = imatch.shared_out(lexicon)
+        c, r = common.collect(), rest.collect()
+        assert len(c) <= most and (len(c) > 0.8 * most or most < 100)
+        assert {x.h for x in [*c, *r] if x.in_band} == {x.h for x in lexicon.collect() if x.in_band} and not {x.h for x in c} & {x.h for x in r}
+        assert all(x.in_band for x in r) and (not c or min(x.df for x in c) * 1.1 >= max(x.df for x in r))
+
+
 # ---------------------------------------------------------------- secrets
 
 
